@@ -151,7 +151,8 @@ def score(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass; the texts are read twice and never shuffled."""
-    votes = voted(with_signals(docs), T)
+    # a filter moved below the projections would work out every count anew for each use; the row id, which is not deterministic, holds it above
+    votes = voted(with_signals(docs).withColumn(T + "row", F.monotonically_increasing_id()), T)
     names = [x for x in votes.columns if x.startswith(T + "vote_")]
     quality = fitted(voted(with_signals(docs.select("text")), T).select(*names))
-    return votes.where(~base_failed() & (quality >= 0.5)).select(*docs.columns)
+    return votes.where(~base_failed() & (quality >= 0.5) & (F.col(T + "row") >= 0)).select(*docs.columns)
