@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
-
-import numpy as np
+from itertools import compress, count, islice
+from operator import not_
 
 #: Vocabulary files by kind; the folder is a parameter of the environment's package.
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Pieces remembered by a worker; others are encoded again in each batch.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +27,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Marks that end a word are a break of their own after a letter or a digit.
+MARKS = b".,;:!?"
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as the tokenizer file ``path`` gives them."""
 
@@ -43,7 +48,7 @@ class Encoder:
 
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
-        return text.split()  # white space is dropped by this vocabulary
+        return text.lower().split()  # case and white space are dropped by this vocabulary
 
     @classmethod
     def _spaced(cls, text: bytes) -> list[bytes]:
@@ -64,22 +69,33 @@ class Encoder:
     _wide_space = staticmethod(re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80").search)
 
     def _encode(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        found = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, found, strict=True)}
+        """Ids of pieces that are not known, words and the marks after them apart."""
+        known, cores, out = self.known, {}, {}
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            cores[p] = core if core and (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalnum()) else p
+        parts = {x for p, c in cores.items() for x in (c, p[len(c) :]) if x}
+        new = [x for x in parts if x not in known]
+        found = self.library.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
+        fresh = {x: array("I", e.ids).tobytes() for x, e in zip(new, found, strict=True)}
+        ids = lambda x: known[x] if x in known else fresh[x]
+        for p, c in cores.items():
+            out[p] = ids(c) + ids(p[len(c) :]) if c != p else ids(p)
+        return fresh | out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
         known = self.known
-        new = [p for p in set().union(*cut) if p not in known] if cut else []
-        found = self._encode(new) if new else {}
-        if len(known) + len(found) <= CACHE:
-            known.update(found)
-            get = known.__getitem__
-        else:
-            room = max(0, CACHE - len(known))
-            known.update(list(found.items())[:room])
-            get = lambda p: known.get(p) if p in known else found[p]
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        cut = [self.cut(t) for t in texts]
+        ids = [list(map(known.get, pieces)) for pieces in cut]
+        gaps = [list(compress(count(), map(not_, found))) for found in ids]  # no piece has no ids
+        new = {pieces[i] for pieces, at in zip(cut, gaps, strict=True) for i in at}
+        if new:
+            fresh = self._encode(list(new))
+            for pieces, found, at in zip(cut, ids, gaps, strict=True):
+                for i in at:
+                    found[i] = fresh[pieces[i]]
+            known.update(islice(fresh.items(), max(0, CACHE - len(known))))
+        return [b"".join(found) for found in ids]
 
 
 @lru_cache(4)
