@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dac, histogram, licenses, packing, quality, simhash
+from . import ctw, dac, histogram, licenses, packing, pii, quality, simhash
 from .common import table
 
 
@@ -24,11 +25,22 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest of the base spans, and all spans of every document."""
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix sums over the lengths of all documents."""
     return histogram.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and context-tree score of every document."""
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document, read back from its token files."""
     return dac.round_trip(table(spark, sf_dir, "documents"))
@@ -48,8 +60,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
+    "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_context_tree": op6_context_tree,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
