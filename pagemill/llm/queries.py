@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, dac, histogram, licenses, packing, pii, quality, simhash
+from . import ctw, dac, decontam, histogram, licenses, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -41,6 +41,16 @@ def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document, read back from its token files."""
     return dac.round_trip(table(spark, sf_dir, "documents"))
@@ -64,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_context_tree": op6_context_tree,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
