@@ -14,6 +14,8 @@ from functools import lru_cache
 from itertools import compress, count, islice
 from operator import not_
 
+import numpy as np
+
 #: Vocabulary files by kind; the folder is a parameter of the environment's package.
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Pieces remembered by a worker; others are encoded again in each batch.
@@ -41,6 +43,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = self._words if lower_words else self._spaced
+        #: The id of a newline, where the vocabulary has one that no word joins.
+        self.newline = None if lower_words else self.library.token_to_id("Ċ")
         self.known: dict[bytes, bytes] = {}
 
     #: Where a byte-level text can be cut for certain: before a single space between words.
@@ -68,19 +72,42 @@ class Encoder:
     #: Lead bytes of white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000.
     _wide_space = staticmethod(re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80").search)
 
+    def _lines(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of the pieces that have white space at most before them: encoded as lines of one text, which is cut at its newlines."""
+        out: dict[bytes, bytes] = {}
+        plain = [p for p in pieces if not self._INNER_SPACE(p.decode())]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = array("I", self.library.encode_batch_fast([b"\n".join([*part, b""]).decode()], add_special_tokens=False)[0].ids)
+            marks = np.flatnonzero(np.frombuffer(ids, np.uint32) == self.newline)
+            cut, data = (marks * 4).tolist(), ids.tobytes()
+            out.update(zip(part, (data[a:b] for a, b in zip([0, *(x + 4 for x in cut)], cut, strict=False)), strict=True))
+        return out
+
+    _INNER_SPACE = staticmethod(re.compile(r"(?!^ \S)\s").search)
+
     def _encode(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces that are not known, words and the marks after them apart."""
-        known, cores, out = self.known, {}, {}
+        known, marked, need, out = self.known, {}, set(), {}
         for p in pieces:
-            core = p.rstrip(MARKS)
-            cores[p] = core if core and (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalnum()) else p
-        parts = {x for p, c in cores.items() for x in (c, p[len(c) :]) if x}
-        new = [x for x in parts if x not in known]
-        found = self.library.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        fresh = {x: array("I", e.ids).tobytes() for x, e in zip(new, found, strict=True)}
-        ids = lambda x: known[x] if x in known else fresh[x]
-        for p, c in cores.items():
-            out[p] = ids(c) + ids(p[len(c) :]) if c != p else ids(p)
+            if p[-1] in MARKS:
+                core = p.rstrip(MARKS)
+                if core and (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalnum()):
+                    marked[p] = core
+                    need.add(core)
+                    need.add(p[len(core) :])
+                    continue
+            need.add(p)
+        new = list(need.difference(known))
+        fresh = self._lines(new) if self.newline is not None else {}
+        rest = [x for x in new if x not in fresh]
+        found = self.library.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
+        fresh |= {x: array("I", e.ids).tobytes() for x, e in zip(rest, found, strict=True)}
+        for p, core in marked.items():
+            mark = p[len(core) :]
+            out[p] = (known.get(core) or fresh[core]) + (known.get(mark) or fresh[mark])
+        for p in need & known.keys():
+            out[p] = known[p]
         return fresh | out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
