@@ -333,19 +333,32 @@ def similar_groups(docs: DataFrame, width: int = 5, longs: int = 2, radius: int
     return _grouped(docs, width, longs, radius, sampled_tables(tables, take, 64 * longs)).select("doc_id", "component_id")
 
 
+#: Ids that are sent to every task at most (32 MB as longs); more are joined by a shuffle.
+SENT_IDS = 1 << 22
+
+
+def _among(ids: DataFrame) -> DataFrame:
+    """``ids`` as the side of a join: broadcast if they are counted to be few enough, else merged."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies.
 
     The row with the least id stays; of rows that repeat that id, one. Rows with a
-    null id cannot be named and stay if their whole group has no id.
+    null id cannot be told apart: they go, unless one of them is in a group without
+    any id. Texts are not shuffled unless more than SENT_IDS rows go.
     """
     groups = durable(similar_groups(docs, **settings))
-    stay = groups.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi")
-    repeated = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    nameless = groups.where("doc_id is null and component_id is null").isEmpty()
+    gone = "component_id is not null and doc_id <> component_id" + (" or doc_id is null" if nameless else "")
+    drop = durable(groups.where(gone).select("doc_id").distinct())
+    kept = docs.join(_among(drop), docs.doc_id.eqNullSafe(drop.doc_id), "left_anti")
+    repeated = durable(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_anti")
-    chosen = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return once.unionByName(chosen)
+    side = _among(repeated)
+    once = kept.join(side, "doc_id", "left_anti").select(docs.columns)
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    chosen = kept.join(side, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return once.unionByName(chosen.select(docs.columns))
