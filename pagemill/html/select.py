@@ -106,7 +106,10 @@ def _compiled(selector: str):
             raise SelectorError(selector)
         steps, how = [], " "
         for mark, piece in _pieces(re.sub(r"\s+", " ", part.strip()), " >+~"):
-            how = mark if mark.strip() else how
+            if mark.strip():
+                if how != " " or not steps:
+                    raise SelectorError(selector)
+                how = mark
             if not piece:
                 continue
             steps.append((how, _compound(piece)))

@@ -56,7 +56,7 @@ def profile_key(scope: Column, scheme: Column, host: Column, prefix: str = "sess
 def clipped(value: Column, most: int = MAX_VALUE) -> Column:
     """At most ``most`` bytes of UTF-8; a cut character reads as the replacement character."""
     data = F.encode(value, "UTF-8")
-    return F.when(F.octet_length(value) <= most, value).otherwise(F.decode(F.substring(data, 1, most), "UTF-8"))
+    return F.when(F.octet_length(value) <= most, value).otherwise(F.make_valid_utf8(F.substring(data, 1, most).cast("string")))
 
 
 def snapshot(profiles: DataFrame) -> DataFrame:

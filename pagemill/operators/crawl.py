@@ -124,7 +124,7 @@ def breadth_first(pages: DataFrame, edges: DataFrame, seed: str, s: Settings, st
             first = Window.partitionBy("dst").orderBy("rank", "pos")
             fresh = out.withColumn("n", F.row_number().over(first)).where("n = 1")
             base = (depth + 1) << 40
-            new = kept(fresh.select(F.col("dst").alias("url"), F.col("src").alias("parent_url"), F.lit(depth + 1).alias("depth"), "score", (F.lit(base) + (F.col("rank").cast("long") * (1 << 20)) + F.col("pos")).alias("place")))
+            new = kept(fresh.select(F.col("dst").alias("url"), F.col("src").alias("parent_url"), F.lit(depth + 1).alias("depth"), "score", (F.lit(base) + (F.col("rank").cast("long") + done) * (1 << 20) + F.col("pos")).alias("place")))
             counts = new.groupBy(F.col("parent_url").alias("url")).agg(F.count("*").cast("int").alias("links_discovered"))
             found = found.join(counts, "url", "left")
             frontier = kept(later.unionByName(left).unionByName(new))
