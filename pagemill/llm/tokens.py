@@ -20,6 +20,8 @@ import numpy as np
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Pieces remembered by a worker; others are encoded again in each batch.
 CACHE = 1_000_000
+#: Of these, the first that a worker meets, among them most common words: few enough to stay near the processor.
+HOT = 60_000
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +48,9 @@ class Encoder:
         #: The id of a newline, where the vocabulary has one that no word joins.
         self.newline = None if lower_words else self.library.token_to_id("Ċ")
         self.known: dict[bytes, bytes] = {}
+        self.hot: dict[bytes, bytes] = {}
+        #: Pieces that may hold white space after their first character.
+        self.odd: set[bytes] = {b"\n"}
 
     #: Where a byte-level text can be cut for certain: before a single space between words.
     _BREAK = re.compile(r"(?<=\S)(?= \S)")
@@ -54,15 +59,16 @@ class Encoder:
     def _words(text: bytes) -> list[bytes]:
         return text.lower().split()  # case and white space are dropped by this vocabulary
 
-    @classmethod
-    def _spaced(cls, text: bytes) -> list[bytes]:
+    def _spaced(self, text: bytes) -> list[bytes]:
         if not text:
             return []
         # plain lines of words with one space between: the words after the first carry their space
-        if text.isascii() or not cls._wide_space(text):
-            if not (b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or cls._odd(text)):
+        if text.isascii() or not self._wide_space(text):
+            if not (b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or self._odd(text)):
                 return text.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
-        return [x.encode() for x in cls._BREAK.split(text.decode())]
+        pieces = [x.encode() for x in self._BREAK.split(text.decode())]
+        self.odd.update(x for x in pieces if len(x.split()) != 1 or not x.isascii() or x[-1:].isspace() or x[:-1].count(b"\n"))
+        return pieces
 
     @staticmethod
     def _odd(text: bytes) -> bool:
@@ -75,7 +81,7 @@ class Encoder:
     def _lines(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of the pieces that have white space at most before them: encoded as lines of one text, which is cut at its newlines."""
         out: dict[bytes, bytes] = {}
-        plain = [p for p in pieces if not self._INNER_SPACE(p.decode())]
+        plain = [p for p in pieces if p not in self.odd]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             ids = array("I", self.library.encode_batch_fast([b"\n".join([*part, b""]).decode()], add_special_tokens=False)[0].ids)
@@ -84,8 +90,6 @@ class Encoder:
             out.update(zip(part, (data[a:b] for a, b in zip([0, *(x + 4 for x in cut)], cut, strict=False)), strict=True))
         return out
 
-    _INNER_SPACE = staticmethod(re.compile(r"(?!^ \S)\s").search)
-
     def _encode(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces that are not known, words and the marks after them apart."""
         known, marked, need, out = self.known, {}, set(), {}
@@ -111,10 +115,16 @@ class Encoder:
         return fresh | out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        known = self.known
+        hot, known = self.hot, self.known
         cut = [self.cut(t) for t in texts]
-        ids = [list(map(known.get, pieces)) for pieces in cut]
-        gaps = [list(compress(count(), map(not_, found))) for found in ids]  # no piece has no ids
+        ids = [list(map(hot.get, pieces)) for pieces in cut]
+        gaps = []
+        for pieces, found in zip(cut, ids, strict=True):
+            rest = list(compress(count(), map(not_, found)))  # no piece has no ids
+            more = list(map(known.get, map(pieces.__getitem__, rest)))
+            for i, x in zip(rest, more, strict=True):
+                found[i] = x
+            gaps.append(list(compress(rest, map(not_, more))))
         new = {pieces[i] for pieces, at in zip(cut, gaps, strict=True) for i in at}
         if new:
             fresh = self._encode(list(new))
@@ -122,6 +132,10 @@ class Encoder:
                 for i in at:
                     found[i] = fresh[pieces[i]]
             known.update(islice(fresh.items(), max(0, CACHE - len(known))))
+            if len(hot) < HOT:
+                hot.update(islice(fresh.items(), HOT - len(hot)))
+        if len(self.odd) > CACHE:
+            self.odd = {b"\n"}
         return [b"".join(found) for found in ids]
 
 
