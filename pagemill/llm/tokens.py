@@ -19,9 +19,9 @@ import numpy as np
 #: Vocabulary files by kind; the folder is a parameter of the environment's package.
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Pieces remembered by a worker; others are encoded again in each batch.
-CACHE = 1_000_000
-#: Of these, the first that a worker meets, among them most common words: few enough to stay near the processor.
-HOT = 60_000
+CACHE = 700_000
+#: Slots of the table of short pieces that is looked up for a whole batch at once.
+SLOTS_BITS = 21
 
 
 def vocabulary(name: str) -> str:
@@ -35,6 +35,60 @@ def vocabulary(name: str) -> str:
 MARKS = b".,;:!?"
 
 
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+class _Short:
+    """Pieces of at most 16 bytes and their ids, for many pieces of one buffer at a time.
+
+    A piece is its length and two words of 8 bytes, so equal keys are equal pieces.
+    Every piece has one slot; where another holds it, or a piece is longer, the
+    lookup says so and the caller's dictionary answers.
+    """
+
+    def __init__(self):
+        size = 1 << SLOTS_BITS
+        self.a, self.b = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.length, self.n, self.at = np.zeros(size, np.uint8), np.zeros(size, np.uint16), np.zeros(size, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    @staticmethod
+    def keys(data: bytes, starts: np.ndarray, lengths: np.ndarray):
+        """(first word, second word, slot); ``data`` has 16 bytes to spare."""
+        words = np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+        first = words[starts] & _MASK[np.minimum(lengths, 8)]
+        second = words[starts + 8] & _MASK[np.clip(lengths - 8, 0, 8)]
+        h = (first * np.uint64(0x9E3779B97F4A7C15) ^ second * np.uint64(0xC2B2AE3D27D4EB4F) ^ lengths.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        return first, second, (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
+
+    def find(self, data: bytes, starts: np.ndarray, lengths: np.ndarray):
+        """(found, slot) of each piece."""
+        first, second, slot = self.keys(data, starts, lengths)
+        return (self.length[slot] == lengths) & (self.a[slot] == first) & (self.b[slot] == second) & (lengths <= 16), slot
+
+    def add(self, pieces: dict[bytes, bytes]) -> None:
+        """Keep short pieces whose slots are free."""
+        short = [(p, i) for p, i in pieces.items() if 0 < len(p) <= 16]
+        if not short:
+            return
+        data = b"".join(p for p, _ in short) + bytes(24)
+        lengths = np.fromiter((len(p) for p, _ in short), np.int64, len(short))
+        first, second, slot = self.keys(data, np.cumsum(lengths) - lengths, lengths)
+        slot, own = np.unique(slot, return_index=True)
+        free = self.length[slot] == 0
+        slot, own = slot[free], own[free]
+        ids = [np.frombuffer(short[i][1], np.uint32) for i in own.tolist()]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(n.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        if total:
+            self.pool[self.used : self.used + total] = np.concatenate(ids)
+        self.at[slot], self.n[slot] = self.used + np.cumsum(n) - n, n
+        self.a[slot], self.b[slot], self.length[slot] = first[own], second[own], lengths[own]
+        self.used += total
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as the tokenizer file ``path`` gives them."""
 
@@ -44,30 +98,28 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut = self._words if lower_words else self._spaced
         #: The id of a newline, where the vocabulary has one that no word joins.
         self.newline = None if lower_words else self.library.token_to_id("Ċ")
         self.known: dict[bytes, bytes] = {}
-        self.hot: dict[bytes, bytes] = {}
+        self.short = _Short()
         #: Pieces that may hold white space after their first character.
         self.odd: set[bytes] = {b"\n"}
 
     #: Where a byte-level text can be cut for certain: before a single space between words.
     _BREAK = re.compile(r"(?<=\S)(?= \S)")
 
-    @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        return text.lower().split()  # case and white space are dropped by this vocabulary
+    def _is_plain(self, text: bytes) -> bool:
+        """Lines of words with one space between: every word but a line's first carries its space, newlines stand alone."""
+        if self.newline is None:
+            return True
+        wide = not text.isascii() and self._wide_space(text)
+        return bool(text) and not (wide or b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or self._odd(text))
+
+    _SIMPLE = staticmethod(re.compile(rb" ?[!-~]+").fullmatch)
 
     def _spaced(self, text: bytes) -> list[bytes]:
-        if not text:
-            return []
-        # plain lines of words with one space between: the words after the first carry their space
-        if text.isascii() or not self._wide_space(text):
-            if not (b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or self._odd(text)):
-                return text.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
         pieces = [x.encode() for x in self._BREAK.split(text.decode())]
-        self.odd.update(x for x in pieces if len(x.split()) != 1 or not x.isascii() or x[-1:].isspace() or x[:-1].count(b"\n"))
+        self.odd.update(x for x in pieces if not self._SIMPLE(x))
         return pieces
 
     @staticmethod
@@ -94,7 +146,7 @@ class Encoder:
         """Ids of pieces that are not known, words and the marks after them apart."""
         known, marked, need, out = self.known, {}, set(), {}
         for p in pieces:
-            if p[-1] in MARKS:
+            if p[-1] in MARKS and p not in self.odd:
                 core = p.rstrip(MARKS)
                 if core and (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalnum()):
                     marked[p] = core
@@ -114,29 +166,64 @@ class Encoder:
             out[p] = known[p]
         return fresh | out
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        hot, known = self.hot, self.known
-        cut = [self.cut(t) for t in texts]
-        ids = [list(map(hot.get, pieces)) for pieces in cut]
-        gaps = []
-        for pieces, found in zip(cut, ids, strict=True):
-            rest = list(compress(count(), map(not_, found)))  # no piece has no ids
-            more = list(map(known.get, map(pieces.__getitem__, rest)))
-            for i, x in zip(rest, more, strict=True):
-                found[i] = x
-            gaps.append(list(compress(rest, map(not_, more))))
-        new = {pieces[i] for pieces, at in zip(cut, gaps, strict=True) for i in at}
-        if new:
-            fresh = self._encode(list(new))
-            for pieces, found, at in zip(cut, ids, gaps, strict=True):
-                for i in at:
-                    found[i] = fresh[pieces[i]]
+    def _bounds(self, buffer: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the pieces of plain texts that lie between newline bytes at ``edges``."""
+        if self.newline is None:
+            space = (buffer == 32) | (buffer >= 9) & (buffer <= 13)
+            turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+            return turn[::2], turn[1::2]  # the buffer begins and ends with a newline
+        line = np.flatnonzero(buffer == 10)
+        starts = np.sort(np.concatenate([np.flatnonzero(buffer == 32), line, line[:-1] + 1]))
+        ends = np.r_[starts[1:], len(buffer)]
+        own = np.ones(len(starts), bool)
+        own[np.searchsorted(starts, edges)] = False
+        return starts[own], ends[own]
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of plain texts, all at once."""
+        if not texts:
+            return []
+        joined = b"\n" + b"\n".join(texts) + b"\n"
+        joined = joined.lower() if self.newline is None else joined
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        edges = np.r_[0, np.cumsum(sizes + 1)]  # the newlines around the texts
+        starts, ends = self._bounds(np.frombuffer(joined, np.uint8), edges)
+        lengths = ends - starts
+        found, slot = self.short.find(joined + bytes(24), starts, lengths)
+        n, at = self.short.n[slot].astype(np.int64), self.short.at[slot]
+        pool = self.short.pool[: self.short.used]
+        rest = np.flatnonzero(~found)
+        if len(rest):
+            pieces = [joined[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            ids = self._looked_up(pieces)
+            own = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            n[rest], at[rest] = own, len(pool) + np.cumsum(own) - own
+            pool = np.concatenate([pool, np.frombuffer(b"".join(ids), np.uint32)])
+        upto = np.cumsum(n)
+        every = pool[np.repeat(at - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)].tobytes()
+        cut = np.r_[0, upto][np.searchsorted(starts, edges)] * 4
+        return [every[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+
+    def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces by the dictionary; new ones are encoded and remembered while there is room."""
+        known = self.known
+        ids = list(map(known.get, pieces))
+        gaps = list(compress(count(), map(not_, ids)))  # no piece has no ids
+        if gaps:
+            fresh = self._encode(list({pieces[i] for i in gaps}))
+            for i in gaps:
+                ids[i] = fresh[pieces[i]]
             known.update(islice(fresh.items(), max(0, CACHE - len(known))))
-            if len(hot) < HOT:
-                hot.update(islice(fresh.items(), HOT - len(hot)))
+            self.short.add(fresh)
+        return ids
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        plain = [self._is_plain(t) for t in texts]
+        done = iter(self._plain(list(compress(texts, plain))))
+        out = [next(done) if ok else b"".join(self._looked_up(self._spaced(t))) if t else b"" for t, ok in zip(texts, plain, strict=True)]
         if len(self.odd) > CACHE:
             self.odd = {b"\n"}
-        return [b"".join(found) for found in ids]
+        return out
 
 
 @lru_cache(4)
