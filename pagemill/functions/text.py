@@ -120,3 +120,16 @@ def proxied_images(markdown: Column, host: str) -> Column:
     link = lambda p: F.replace(F.url_encode(F.regexp_extract(p, _HOTLINKED, 2)), F.lit("+"), F.lit("%20"))
     done = lambda p: F.concat(F.lit("!["), F.regexp_extract(p, _HOTLINKED, 1), F.lit(f"](https://{host}/img/"), link(p), F.lit(")"), F.regexp_replace(p, f"^{_HOTLINKED}", ""))
     return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{_HOTLINKED}"), done(p)).otherwise(p)), "")
+
+
+def wrapped(text: Column, width: int = 40, lines: int = 3) -> Column:
+    """Greedy word wrap: at most ``lines`` lines of about ``width`` characters, as an array."""
+    words = F.filter(F.split(collapse(text), " "), lambda w: w != "")
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def add(state, word):
+        joined = F.when(state["line"] == "", word).otherwise(F.concat(state["line"], F.lit(" "), word))
+        fits = (F.length(joined) <= width) | (state["line"] == "")
+        return F.struct(F.when(fits, state["done"]).otherwise(F.array_append(state["done"], state["line"])).alias("done"), F.when(fits, joined).otherwise(word).alias("line"))
+
+    return F.slice(F.aggregate(words, empty, add, lambda s: F.when(s["line"] == "", s["done"]).otherwise(F.array_append(s["done"], s["line"]))), 1, lines)

@@ -226,3 +226,28 @@ def platform(host: Column, path: Column) -> Column:
 
 def pacing_domain(netloc: Column) -> Column:
     return F.when(F.coalesce(netloc, F.lit("")) == "", "__default__").otherwise(netloc)
+
+
+def job_path(path: Column) -> Column:
+    """struct(id, action) of ``/api/jobs/<id>[/<action>]``; nulls for other paths."""
+    found = F.regexp_extract(path, r"^/api/jobs/([^/]+)(?:/([^/]+))?/?$", 1)
+    action = F.regexp_extract(path, r"^/api/jobs/([^/]+)(?:/([^/]+))?/?$", 2)
+    return F.struct(F.nullif(found, F.lit("")).alias("id"), F.nullif(action, F.lit("")).alias("action"))
+
+
+def cookie(header: Column, name: str) -> Column:
+    """A cookie's value from a Cookie header, or null."""
+    pairs = F.filter(F.split(F.coalesce(header, F.lit("")), ";"), lambda p: F.trim(F.substring_index(p, "=", 1)) == name)
+    return F.trim(F.regexp_replace(F.get(pairs, F.lit(0)), "^[^=]*=", ""))
+
+
+def string_list(values: Column) -> Column:
+    """Trimmed, distinct, in order, blanks dropped."""
+    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != ""))
+
+
+def provider_eligible(df: DataFrame, rules: DataFrame, blocked: DataFrame, host: str = "host", adapter: str = "adapter") -> DataFrame:
+    """Rows of the generic adapter whose domain has no paywall rule and whose host (``blocked``: host) was not refused before."""
+    plain = df.where(F.col(adapter) == "generic")
+    plain = plain.join(rules.select(F.col("domain").alias("__d")), registrable(F.col(host)) == F.col("__d"), "left_anti")
+    return plain.join(blocked.select(F.col("host").alias("__h")), F.col(host) == F.col("__h"), "left_anti")

@@ -156,6 +156,14 @@ def ordered(state: State) -> DataFrame:
     return state.results.withColumn("visit", F.row_number().over(Window.orderBy("depth", "place"))).drop("place")
 
 
+def restored_frontier(frontier: DataFrame, max_depth: int) -> DataFrame:
+    """A foreign frontier (url, parent_url, depth, score), made fit to go on with: bad URLs dropped, depth clamped, score 0 where it is none."""
+    score = F.when(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf")), 0.0).otherwise(F.col("score"))
+    depth = F.least(F.greatest(F.floor(F.coalesce("depth", F.lit(0))), F.lit(0)), F.lit(max_depth)).cast("int")
+    made = frontier.select(urls.normalized_alone(F.col("url")).alias("url"), urls.normalized_alone(F.col("parent_url")).alias("parent_url"), depth.alias("depth"), score.alias("score"))
+    return made.where("url is not null").withColumn("place", (F.col("depth").cast("long") * (1 << 40)) + F.monotonically_increasing_id() % (1 << 39))
+
+
 def save(state: State, folder: str, seed: str, s: Settings) -> None:
     """Frontier, visited and results as Parquet, and the plan beside them."""
     spark = state.results.sparkSession

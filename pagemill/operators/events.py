@@ -101,7 +101,8 @@ def last_latencies(events: DataFrame, value: str, ts: str = "ts", tie: str = "ev
 
 def latency_summary(events: DataFrame, value: str = "latency_ms", by: list[str] = ()) -> DataFrame:
     """count, avg (two digits), nearest-rank p50 and p95; zeros of nothing."""
-    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by {value})"), F.lit(0))
+    kind = dict(events.dtypes)[value]
+    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by {value})"), F.lit(0)).cast(kind)
     return events.groupBy(*by).agg(F.count(value).alias("count"), F.coalesce(classify.half_up(F.avg(value), 2), F.lit(0.0)).alias("avg"), rank(0.5).alias("p50"), rank(0.95).alias("p95"))
 
 

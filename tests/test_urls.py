@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls, whatwg
+from pagemill.functions.text import wrapped
+from pagemill.operators.crawl import restored_frontier
 
 SAFE = ["https://example.com/", "http://8.8.8.8/", "https://sub.example.co.uk:8443/a?b#c", "http://172.32.0.1/", "http://100.128.0.1/", "http://[2606:4700::1]/", "http://11.0.0.1/"]
 UNSAFE = ["http://localhost", "http://LOCALHOST./x", "http://127.0.0.1", "http://127.1", "http://0.0.0.0", "http://10.0.0.1", "http://172.16.0.1", "http://192.168.0.9", "http://169.254.169.254", "http://100.64.1.1", "http://[::1]", "http://[fc00::1]", "http://[fe80::2]", "http://[::ffff:127.0.0.1]", "http://[::ffff:a00:1]", "http://[::7f00:1]", "http://2130706433", "http://0x7f000001", "http://1.2.3.4.nip.io", "http://a.localtest.me", "http://x.internal", "http://printer.local", "http://home.arpa", "http://y.test", "ftp://example.com", "javascript:alert(1)", "", "no url"]
@@ -80,3 +82,16 @@ def test_scorer_and_domain(spark):
     df = spark.createDataFrame([("https://x.org/Guide-API", "the api", "www.bbc.co.uk"), ("https://x.org/", None, "a.b.c.org.")], "u string, a string, h string")
     r = df.select(urls.keyword_score(F.col("u"), F.col("a"), ["api", " Guide ", "zzz", ""], 2).alias("s"), urls.registrable(F.col("h")).alias("d")).collect()
     assert [(x.s, x.d) for x in r] == [(4.0, "bbc.co.uk"), (0.0, "c.org")]
+
+
+def test_small_parts(spark):
+    df = spark.createDataFrame([("/api/jobs/j1/run", "a=1; mm_session=x=y; b", [" a ", "b", "a", ""]), ("/api/other", None, [])], "p string, c string, l array<string>")
+    r = df.select(urls.job_path(F.col("p")).alias("j"), urls.cookie(F.col("c"), "mm_session").alias("c"), urls.string_list(F.col("l")).alias("l")).collect()
+    assert [(tuple(x.j), x.c, x.l) for x in r] == [(("j1", "run"), "x=y", ["a", "b"]), ((None, None), None, [])]
+    rows = spark.createDataFrame([("generic", "a.org"), ("generic", "www.paid.com"), ("generic", "no.org"), ("reddit", "b.org")], "adapter string, host string")
+    rules = spark.createDataFrame([("paid.com",)], "domain string")
+    assert [x.host for x in urls.provider_eligible(rows, rules, spark.createDataFrame([("no.org",)], "host string")).collect()] == ["a.org"]
+    assert spark.createDataFrame([("one two three four five",)], "t string").select(wrapped(F.col("t"), 9, 2)).first()[0] == ["one two", "three"]
+    f = spark.createDataFrame([("HTTP://A.org/x#y", None, 9.5, float("inf")), ("bad", None, 0.0, 1.0)], "url string, parent_url string, depth double, score double")
+    got = restored_frontier(f, 3).collect()
+    assert [(x.url, x.depth, x.score) for x in got] == [("http://a.org/x", 3, 0.0)]
