@@ -243,7 +243,7 @@ def cookie(header: Column, name: str) -> Column:
 
 def string_list(values: Column) -> Column:
     """Trimmed, distinct, in order, blanks dropped."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def provider_eligible(df: DataFrame, rules: DataFrame, blocked: DataFrame, host: str = "host", adapter: str = "adapter") -> DataFrame:
