@@ -16,6 +16,7 @@ from ..functions import urls
 from ..html.dom import parse, title_of
 from ..html.render import html_to_markdown
 from ..html.select import select
+from ..session import kept
 
 RESULT = T.StructType([T.StructField(x, T.StringType()) for x in ("markdown", "title", "content_html")])
 THIN = 500
@@ -194,7 +195,8 @@ def convert(pages: DataFrame, kind: str = "markdown", selector: str | None = Non
     else:
         ok = ok.withColumn("__old", F.lit(None).cast("string"))
     own = ["url", "__ld", "__wall", "__rule", "__old"]
-    ok = ok.select(*own, rendered(F.col("__clean"), F.col("url"), selector).alias("__m"))
+    # written once: both branches below read the rendering, and neither works the patterns out again
+    ok = kept(ok.select(*own, rendered(F.col("__clean"), F.col("url"), selector).alias("__m")))
     # only thin, walled pages are rendered again
     thin = F.col("__wall") & (F.length("__m.markdown") < THIN)
     usual = ok.where(~thin | F.col("__m.markdown").isNull()).select("url", "__wall", F.col("__m").alias("m"), F.array().cast("array<string>").alias("fallbacks"))
