@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import alike
 from .common import durable, texts
 
 #: Fingerprints of one bucket that a task compares by itself; larger buckets are cut
@@ -97,12 +98,6 @@ def exact_tables(radius: int = 4, spare: int = 2, bits: int = 64) -> list[np.nda
     return [np.concatenate(chosen) for chosen in combinations(chunks, spare)]
 
 
-def sampled_tables(tables: int, take: int, bits: int) -> list[np.ndarray]:
-    """``tables`` fixed random choices of ``take`` bit positions."""
-    rng = np.random.default_rng(7)
-    return [np.sort(rng.choice(bits, take, replace=False)) for _ in range(tables)]
-
-
 def bucket_keys(fps: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     """(rows, tables) keys: a fingerprint's bits at each table's positions, and the table."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
@@ -321,16 +316,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, longs: int = 2, radius: int = 24, tables: int = 48, take: int = 16) -> DataFrame:
-    """(doc_id, component_id): groups of texts about 0.8 alike or more in ``width``-word shingles.
+def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, component_id): groups of texts 0.8 alike or more in ``width``-word shingles.
 
-    Wider fingerprints tell 0.8 from chance where 64 bits and radius 4 see only far
-    closer copies. Buckets are ``tables`` fixed choices of ``take`` bits: a pair 0.8
-    alike shares one with probability 0.97, one 0.9 alike with 0.9999. Such a pair
-    differs in 19.4 of 128 bits on average (standard deviation 4), unrelated texts in
-    64 (5.7), so a radius of 24 keeps chance out.
+    A fingerprint's distance only estimates likeness, so here candidates come from a
+    prefix filter that misses no pair and every link is verified by exact Jaccard
+    index; texts of the same words are one. ``component_id`` is the least document id
+    of all that are reachable.
     """
-    return _grouped(docs, width, longs, radius, sampled_tables(tables, take, 64 * longs)).select("doc_id", "component_id")
+    marked = durable(alike.named(texts(docs)))
+    roots = components(alike.candidates(texts(docs), width))
+    roots = components(alike.verified(texts(docs), roots, _among, width))
+    counted = durable(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
+    grouped = counted.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = durable(grouped.join(least, "root").select("node", "component_id"))
+    return marked.join(of, "node", "left").select("doc_id", "component_id")
 
 
 #: Ids that are sent to every task at most (32 MB as longs); more are joined by a shuffle.

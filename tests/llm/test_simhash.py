@@ -98,3 +98,39 @@ def test_keep_one_drops_near_copies_only(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(30))
     assert simhash.keep_one(df.withColumn("n", F.lit(1))).columns == ["doc_id", "text", "n"]
+
+
+def edited(words, n, tag):
+    """A copy with ``n`` words changed, at places five apart or more."""
+    out = list(words)
+    for i in range(n):
+        out[3 + i * (len(words) // n)] = f"{tag}{i}"
+    return out
+
+
+def grouped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+
+
+def jaccard_groups(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_all_pairs_at_the_threshold_are_found(spark):
+    """Pairs just at 0.8, of short and long texts: each is linked."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for size in [60, 104, 204, 404, 1004] * 24:
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, size)]
+        texts += [" ".join(words), " ".join(edited(words, (size - 4) // 45, "c"))]
+    want = jaccard_groups(texts)
+    assert sum(want[i] == i for i in want) == len(texts) // 2
+    assert grouped(spark, texts) == want
