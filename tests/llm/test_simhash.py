@@ -134,3 +134,22 @@ def test_all_pairs_at_the_threshold_are_found(spark):
     want = jaccard_groups(texts)
     assert sum(want[i] == i for i in want) == len(texts) // 2
     assert grouped(spark, texts) == want
+
+
+def test_texts_below_the_threshold_stay_apart(spark, monkeypatch):
+    """Many texts of one template, 0.5 to 0.79 alike, and a chain of true copies among them."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts = []
+    for shared in (140, 155, 172, 178):
+        template = draw(shared)
+        texts += [" ".join(template + draw(200 - shared)) for _ in range(30)]
+    chain = draw(400)
+    for i in range(6):
+        texts.append(" ".join(chain))
+        chain = edited(chain, 7, f"e{i}_")
+    want = jaccard_groups(texts)
+    assert sum(want[i] == i for i in want) == 4 * 30 + 1
+    assert grouped(spark, texts) == want
+    monkeypatch.setattr(simhash.alike.verified, "__defaults__", (5, 4))  # groups cut into tiles
+    assert grouped(spark, texts) == want
