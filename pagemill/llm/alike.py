@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -52,6 +52,16 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
 
 
+def node(text: Column) -> Column:
+    """``node_of`` as a column; not run a second time for the filters that a join adds."""
+
+    @F.pandas_udf("long")
+    def run(text):
+        return text.map(lambda t: node_of(words_of(t.encode()))).astype("int64")
+
+    return run.asNondeterministic()(text)
+
+
 def named(docs: DataFrame) -> DataFrame:
     """(doc_id, node) of every row of (doc_id, text)."""
 
@@ -114,11 +124,14 @@ def _count(batches):
     keys, _ = _numbers(table, "y", np.uint32)
     tokens = np.repeat(table.column("p").to_numpy().astype(np.uint64) << np.uint64(32), sizes) | keys
     b = np.repeat(table.column("b").to_numpy(), sizes)
-    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    df = np.minimum(counts, 65535).astype(np.uint16)[inverse]
-    kept = np.flatnonzero(df > 1)
-    kept = kept[np.argsort(b[kept], kind="stable")]
-    tokens, b, rows, df = tokens[kept], b[kept], rows[kept], df[kept]
+    order = np.argsort(tokens)
+    at = np.flatnonzero(np.diff(tokens[order], prepend=tokens[order[:1]] + np.uint64(1)))
+    counts = np.diff(np.r_[at, len(order)])
+    kept = order[np.repeat(counts > 1, counts)]  # most occur once
+    df = np.repeat(np.minimum(counts, 65535).astype(np.uint16)[counts > 1], counts[counts > 1])
+    by = np.argsort(b[kept], kind="stable")
+    kept, df = kept[by], df[by]
+    tokens, b, rows = tokens[kept], b[kept], rows[kept]
     for i, j in zip(at := np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else [], [*at[1:], len(b)]):
         yield pa.RecordBatch.from_pydict({"p": pa.array([None], pa.int32()), "b": pa.array([b[i]], pa.int64()), "head": [False], "x": [rows[i:j].tobytes()], "y": [tokens[i:j].tobytes()], "z": [df[i:j].tobytes()]})
 
@@ -240,9 +253,6 @@ def verified(docs: DataFrame, roots: DataFrame, among, width: int = 5, most: int
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.xxhash64("root", F.least(o, "mine"), F.greatest(o, "mine")))
     groups = durable(mine.select("node", pairs.alias("g")))
 
-    @F.pandas_udf("long")
-    def node(text):
-        return text.map(lambda t: node_of(words_of(t.encode()))).astype("int64")
-
-    held = docs.withColumn("node", node("text")).join(among(groups), "node").select("g", "node", "text")
+    # written, so that no task keeps the workers of two Python steps at once
+    held = durable(docs.withColumn("node", node("text")).join(among(groups), "node").select("g", "node", "text"))
     return durable(held.mapInArrow(_sets(width), "g long, node long, sets binary").repartition("g").mapInArrow(_compare, "a long, b long"))

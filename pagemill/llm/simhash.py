@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import alike
@@ -316,6 +316,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _similar(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, node, root): the words' name and the group of every row."""
+    marked = durable(alike.named(texts(docs)))
+    roots = components(alike.candidates(texts(docs), width))
+    roots = components(alike.verified(texts(docs), roots, _among, width))
+    of = durable(marked.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    # both sides are plain scans: AQE splits the partition of a text that most rows share
+    return marked.join(of, "node", "left").select("doc_id", "node", "root")
+
+
 def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, component_id): groups of texts 0.8 alike or more in ``width``-word shingles.
 
@@ -324,14 +334,9 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     index; texts of the same words are one. ``component_id`` is the least document id
     of all that are reachable.
     """
-    marked = durable(alike.named(texts(docs)))
-    roots = components(alike.candidates(texts(docs), width))
-    roots = components(alike.verified(texts(docs), roots, _among, width))
-    counted = durable(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
-    grouped = counted.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = durable(grouped.join(least, "root").select("node", "component_id"))
-    return marked.join(of, "node", "left").select("doc_id", "component_id")
+    found = durable(_similar(docs, width))
+    least = durable(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return found.join(least, "root").select("doc_id", "component_id")
 
 
 #: Ids that are sent to every task at most (32 MB as longs); more are joined by a shuffle.
@@ -343,23 +348,31 @@ def _among(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
 
 
+def _mark(doc_id, node):
+    """One long for a document id, or none, and a text's name."""
+    return F.xxhash64(doc_id.isNull(), doc_id, node)
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies.
 
-    The row with the least id stays; of rows that repeat that id, one. Rows with a
-    null id cannot be told apart: they go, unless one of them is in a group without
-    any id. Texts are not shuffled unless more than SENT_IDS rows go.
+    The row with the least id stays (without any id, one without); of rows that repeat
+    that id, one. Rows are told apart by id and words, so ids need not be unique or
+    given. Texts are not shuffled unless more than SENT_IDS rows go.
     """
-    groups = durable(similar_groups(docs, **settings))
-    nameless = groups.where("doc_id is null and component_id is null").isEmpty()
-    gone = "component_id is not null and doc_id <> component_id" + (" or doc_id is null" if nameless else "")
-    drop = durable(groups.where(gone).select("doc_id").distinct())
-    kept = docs.join(_among(drop), docs.doc_id.eqNullSafe(drop.doc_id), "left_anti")
-    repeated = durable(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    groups = durable(_similar(docs, **settings))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("k"))
+    stays = durable(first.select(_mark(F.col("k.doc_id"), F.col("k.node")).alias("__mark")))
+    marks = durable(groups.groupBy(_mark(F.col("doc_id"), F.col("node")).alias("__mark")).count())
+    drop = durable(marks.join(stays, "__mark", "left_anti").select("__mark"))
+    repeated = durable(marks.where("count > 1").join(stays, "__mark", "left_semi").select("__mark"))
+    own = docs.withColumn("__mark", _mark(F.col("doc_id"), alike.node(F.coalesce("text", F.lit("")))))
+    kept = own.join(_among(drop), "__mark", "left_anti")
     if repeated.isEmpty():
-        return kept
+        return kept.select(docs.columns)
     side = _among(repeated)
-    once = kept.join(side, "doc_id", "left_anti").select(docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    chosen = kept.join(side, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return once.unionByName(chosen.select(docs.columns))
+    once = kept.join(side, "__mark", "left_anti").select(docs.columns)
+    # combined before the shuffle, so a text that many rows repeat is no large partition
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row")
+    chosen = kept.join(side, "__mark", "left_semi").groupBy("__mark").agg(one).select("__row.*")
+    return once.unionByName(chosen)

@@ -153,3 +153,12 @@ def test_texts_below_the_threshold_stay_apart(spark, monkeypatch):
     assert grouped(spark, texts) == want
     monkeypatch.setattr(simhash.alike.verified, "__defaults__", (5, 4))  # groups cut into tiles
     assert grouped(spark, texts) == want
+
+
+def test_keep_one_whatever_the_ids(spark):
+    """One id on several texts, and copies without any id: one row of each group stays."""
+    texts = [" ".join(f"{t}{i}" for i in range(60)) for t in "abcd"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[3]), *[(None, texts[3])] * 3, *[(None, "own " + texts[1][::-1])] * 4]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one(df).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[3]), (0, rows[-1][1])])
