@@ -18,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_digests import DIGESTS
+
 # --- fixed values: notices and short licence texts, as published -----------------
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -62,6 +64,8 @@ SPELLINGS = {
 # ----------------------------------------------------------------------------------
 #: A line that names a year or a mark of copyright; "copyright notice" in a sentence is none.
 COPYRIGHT = r"(^|\n)[ \t*#/]*(?:copyright[ \t]+(?:\(c\)|©|[0-9<{\[])|\(c\)|©|all rights reserved)[^\n]*"
+#: Any other line that starts as a copyright statement; a wrapped sentence that goes on so is none.
+STATEMENT = r"(^|\n)[ \t*#/]*copyright(?![a-z])(?![ \t]+(?:notices?|holders?|owners?|laws?|licen[cs]e[sd]?|interest|disclaimer|and|or|the|treaty|rights?|protection|permission|statements?|on|in|is|as|to|of|for|if|that|this|with|works?|status|act|infringement|material)(?![a-z]))[^\n]*"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F«»‘’“”„–—©•]+"
 
 
@@ -84,6 +88,15 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def bare(text: Column) -> Column:
+    """A text without any line that starts as a copyright statement."""
+    return F.regexp_replace(F.lower(text), STATEMENT, "$1")
+
+
+def bare_text(text: str) -> str:
+    return re.sub(STATEMENT, r"\1", text.lower())
+
+
 def canonical_sql(text: str) -> str:
     """``canonical`` as a DuckDB expression."""
     s = f"regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT}', '\\1', 'g'), '{PUNCTUATION}', ' ', 'g')"
@@ -103,26 +116,42 @@ def known_digests() -> dict[str, str]:
     return out
 
 
+def whole_digests() -> dict[str, str]:
+    """Digest to licence of all that an entire text can be: the fixed tables, with and without copyright statements, and the long licences."""
+    out = known_digests()
+    for name, key in [(n, hashlib.sha256(canonical_text(bare_text(f)).encode()).hexdigest()) for n, forms in TEXTS.items() for f in forms]:
+        out[key] = min(name, out.get(key, name))
+    for name, keys in DIGESTS.items():
+        for key in keys:
+            out[key] = min(name, out.get(key, name))
+    return out
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id and notice_ids of every row of ``docs``.
 
-    ``license_id`` is the licence that the entire text is, by a hash join on digests;
+    ``license_id`` is the licence that the entire text is, by a hash join on digests, of
+    the text or else of what is left without copyright statements of any form;
     ``notice_ids`` the sorted licences, comma-joined, that whole lines state.
     ``known`` (license_id, text) adds licences; the join's strategy is Spark's choice
     by their measured size.
     """
     spark = docs.sparkSession
     fixed = known_digests()
-    table = spark.createDataFrame(sorted(fixed.items()), "known string, license_id string")
+    table = spark.createDataFrame(sorted(whole_digests().items()), "known string, license_id string")
     if known is not None:
-        more = known.select(digest(F.coalesce("text", F.lit(""))).alias("known"), "license_id")
+        own = F.coalesce("text", F.lit(""))
+        more = known.select(F.explode(F.array(digest(own), digest(bare(own)))).alias("known"), "license_id")
         table = table.unionByName(more).groupBy("known").agg(F.min("license_id").alias("license_id"))
     lookup = F.create_map(*(F.lit(x) for pair in fixed.items() for x in pair))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike("licen[cs]e|dedicated to the public domain"))
     stated = F.array_compact(F.transform(lines, lambda x: lookup[digest(x)]))
-    made = docs.select("doc_id", digest(text).alias("digest"), F.array_join(F.array_sort(F.array_distinct(stated)), ",").alias("notice_ids"))
-    return made.join(table, made.digest == table.known, "left").select("doc_id", "digest", "license_id", "notice_ids")
+    stripped = F.when(F.lower(text).rlike(STATEMENT), digest(bare(text)))
+    made = docs.select("doc_id", digest(text).alias("digest"), stripped.alias("stripped"), F.array_join(F.array_sort(F.array_distinct(stated)), ",").alias("notice_ids"))
+    again = table.select(F.col("known").alias("bare"), F.col("license_id").alias("bare_id"))
+    found = made.join(table, made.digest == table.known, "left").join(again, F.col("stripped") == F.col("bare"), "left")
+    return found.select("doc_id", "digest", F.coalesce("license_id", "bare_id").alias("license_id"), "notice_ids")
 
 
 def scan_sql() -> str:
