@@ -178,11 +178,11 @@ class Index:
         if not best:
             return []
         held, own = shingles(words), set(words)
-        short = len(words) < 5
         out = []
         for item, score in sorted(best.items()):
             q, a = self.questions[item], self.answers[item]
-            held_q = held if not q or len(next(iter(q)).split()) == 5 or short else shingles(words, len(next(iter(q)).split()))
+            n = len(next(iter(q)).split()) if q else 5
+            held_q = held if n == 5 else shingles(words, n)
             in_q = len(q & held_q) / len(q) if q else 1.0
             in_a = len(a & own) / len(a) if a else 1.0
             if in_q >= QUESTION and in_a >= ANSWER:

@@ -67,3 +67,7 @@ def test_odd_rows(spark, monkeypatch):
         assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [1, 2, 4, 6, 7]
     assert decontam.contaminated(docs.limit(0), bench).collect() == []
     assert decontam.clean(docs, bench.where(F.lit(False))).count() == len(rows)
+
+
+def test_short_document_is_an_item():
+    assert [m[0] for m in decontam.Index([(1, "Capital of Peru? Lima.")]).matches("Capital of Peru? Lima.")] == [1]
