@@ -8,7 +8,8 @@ words lies whole in some window. Posting lists are cut into blocks with their
 maximum; WAND moves to the first part whose lists' maxima reach the threshold and
 skips blocks whose own maxima do not. Before that, a bound over each part's rarest
 words tells which windows can reach it at all. Retrieved pairs are then verified:
-the five-word shingles of the question and the words of the answer that occur.
+the five-word shingles of the question and the words of the answer that occur. A long
+question, or an indexed part, that is held nearly whole is enough without the answer.
 
 An item without a marked answer is split at its last sentence. Index statistics are
 those of one group of items; a benchmark beyond ``INDEX_BYTES`` is indexed in several
@@ -39,6 +40,8 @@ BLOCK = 32
 INDEX_BYTES = 32 << 20
 #: Share of the question's shingles, and of the answer's distinct words, that a document must hold.
 QUESTION, ANSWER = 0.5, 0.5
+#: Share of the shingles of a question, or of an indexed part, of at least LONG words that is enough without the answer.
+ALONE, LONG = 0.8, 13
 K1, B = 1.2, 0.75
 _CUT = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -69,8 +72,10 @@ class Index:
         self.threshold = threshold
         parts: list[dict[bytes, int]] = []
         self.item_of: list[int] = []
+        self.first_part: list[int] = []
         for n, (_, text) in enumerate(self.items):
             words = words_of(text)
+            self.first_part.append(len(parts))
             for at in range(0, len(words), PART):
                 tf: dict[bytes, int] = defaultdict(int)
                 for w in words[at : at + PART]:
@@ -167,14 +172,24 @@ class Index:
             lists = [x for x in lists if x[0] < len(x[2])]
         return found
 
+    def held(self, part: int, of: set[bytes]) -> bool:
+        """Whether the shingles of a document are, nearly all, those of an indexed part."""
+        item = self.item_of[part]
+        at = (part - self.first_part[item]) * PART
+        words = words_of(self.items[item][1])[at : at + PART]
+        own = shingles(words)
+        return len(words) >= LONG and len(own & of) >= ALONE * len(own)
+
     def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item id, best score, share of the question, share of the answer) of the verified items."""
         words = words_of(text)
         best: dict[int, float] = {}
+        found: dict[int, set[int]] = defaultdict(set)
         for w in self.windows(words):
             for part, score in self.search(set(words[w * STRIDE : w * STRIDE + WINDOW])):
                 item = self.item_of[part]
                 best[item] = max(best.get(item, 0.0), score)
+                found[item].add(part)
         if not best:
             return []
         held, own = shingles(words), set(words)
@@ -185,7 +200,8 @@ class Index:
             held_q = held if n == 5 else shingles(words, n)
             in_q = len(q & held_q) / len(q) if q else 1.0
             in_a = len(a & own) / len(a) if a else 1.0
-            if in_q >= QUESTION and in_a >= ANSWER:
+            alone = in_q >= ALONE and len(q) > LONG - 5 or any(self.held(part, held) for part in found[item])
+            if in_q >= QUESTION and in_a >= ANSWER or alone:
                 out.append((self.items[item][0], score, in_q, in_a))
         return out
 

@@ -71,3 +71,14 @@ def test_odd_rows(spark, monkeypatch):
 
 def test_short_document_is_an_item():
     assert [m[0] for m in decontam.Index([(1, "Capital of Peru? Lima.")]).matches("Capital of Peru? Lima.")] == [1]
+
+
+def test_partial_copies():
+    rng = random.Random(4)
+    words = vocabulary(rng, 3000)
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    question, long, short = draw(40), draw(300), draw(7)
+    index = decontam.Index([(1, f"{question}. B."), (2, long), (3, f"{short}? yes sure."), *((i, draw(60)) for i in range(4, 30))])
+    part = " ".join(long.split()[64:128])
+    for text, want in ((question, [1]), (f"{question}. Zzz.", [1]), (part, [2]), (" ".join(part.split()[:30]), []), (short, []), (draw(200), [])):
+        assert [m[0] for m in index.matches(f"{draw(100)} . {text}")] == want
