@@ -12,8 +12,8 @@ the five-word shingles of the question and the words of the answer that occur. A
 question, or an indexed part, that is held nearly whole is enough without the answer.
 
 An item without a marked answer is split at its last sentence. Index statistics are
-those of one group of items; a benchmark beyond ``INDEX_BYTES`` is indexed in several
-groups, each sent to the tasks in turn.
+those of all items; a benchmark beyond ``INDEX_BYTES`` is indexed in several groups,
+each sent to the tasks in turn.
 
 Defined results: null or empty texts and items match nothing; repeated rows each
 give their pairs; a null id stays null; empty tables give no rows.
@@ -64,10 +64,27 @@ def shingles(words: list[bytes], width: int = 5) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+class Stats:
+    """Parts, their words, and the parts that hold each word, over all items."""
+
+    def __init__(self):
+        self.df: dict[bytes, int] = defaultdict(int)
+        self.parts = self.words = 0
+
+    def add(self, items: list[str]) -> None:
+        for text in items:
+            words = words_of(text)
+            self.words += len(words)
+            for at in range(0, len(words), PART):
+                self.parts += 1
+                for w in set(words[at : at + PART]):
+                    self.df[w] += 1
+
+
 class Index:
     """Parts of items: postings by word, block maxima, and the words a match must hold."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, stats: Stats | None = None):
         self.items = [(i, t) for i, t in items if words_of(t)]
         self.threshold = threshold
         parts: list[dict[bytes, int]] = []
@@ -82,19 +99,18 @@ class Index:
                     tf[w] += 1
                 parts.append(tf)
                 self.item_of.append(n)
-        df: dict[bytes, int] = defaultdict(int)
-        for tf in parts:
-            for w in tf:
-                df[w] += 1
+        if stats is None:
+            stats = Stats()
+            stats.add([t for _, t in self.items])
+        df, mean = stats.df, stats.words / max(1, stats.parts)
         size = np.array([sum(tf.values()) for tf in parts], float)
-        mean = size.mean() if len(size) else 1.0
         self.postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         #: word -> parts it is an anchor of, with its weight; a part's other words can add ``rest`` at most.
         self.anchors: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         self.rest = np.zeros(len(parts))
         for n, tf in enumerate(parts):
             norm = K1 * (1 - B + B * size[n] / mean)
-            raw = {w: np.log((len(parts) + 1) / df[w]) * f * (K1 + 1) / (f + norm) for w, f in tf.items()}
+            raw = {w: np.log((stats.parts + 1) / df[w]) * f * (K1 + 1) / (f + norm) for w, f in tf.items()}
             own = sum(raw.values())
             for w in sorted(raw, key=lambda w: (-df[w], w)):
                 weight = raw[w] / own
@@ -211,9 +227,18 @@ def _indexes(benchmark: DataFrame):
     items = benchmark.where("text is not null").select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // INDEX_BYTES))
-    for g in range(groups):
+
+    def group(g: int) -> list[tuple[int, str]]:
         part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        yield Index(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.distinct().collect()))
+        return sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.distinct().collect())
+
+    stats = None
+    if groups > 1:
+        stats = Stats()
+        for g in range(groups):
+            stats.add([t for _, t in group(g)])
+    for g in range(groups):
+        yield Index(group(g), stats=stats)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

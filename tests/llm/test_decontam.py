@@ -82,3 +82,16 @@ def test_partial_copies():
     part = " ".join(long.split()[64:128])
     for text, want in ((question, [1]), (f"{question}. Zzz.", [1]), (part, [2]), (" ".join(part.split()[:30]), []), (short, []), (draw(200), [])):
         assert [m[0] for m in index.matches(f"{draw(100)} . {text}")] == want
+
+
+def test_scores_do_not_depend_on_groups(spark, monkeypatch):
+    rng = random.Random(6)
+    words = vocabulary(rng, 300)
+    draw = lambda n: [words[int(rng.random() ** 2 * 300)] for _ in range(n)]
+    items = [(i, " ".join(draw(40))) for i in range(40)]
+    texts = [(i, " ".join(t.split()[: rng.randint(20, 40)] + draw(20))) for i, t in items]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()}
+    want = found()
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 2000)
+    assert want and found() == pytest.approx(want)
