@@ -36,7 +36,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 def node_of(words: list[bytes]) -> int:
     """The name of all texts of the same words."""
-    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).view(np.int64))
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 42)).view(np.int64))
 
 
 def shingles(words: list[bytes], width: int) -> np.ndarray:
@@ -52,25 +52,18 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
 
 
-def node(text: Column) -> Column:
-    """``node_of`` as a column; not run a second time for the filters that a join adds."""
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-    @F.pandas_udf("long")
-    def run(text):
-        return text.map(lambda t: node_of(words_of(t.encode()))).astype("int64")
 
-    return run.asNondeterministic()(text)
+def node(text: Column | str) -> Column:
+    """``node_of`` as a column, in Spark's own functions; its hash is XXH64 with seed 42 too."""
+    words = F.regexp_replace(F.translate(text, _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+", " ")
+    return F.xxhash64(F.trim(words))
 
 
 def named(docs: DataFrame) -> DataFrame:
     """(doc_id, node) of every row of (doc_id, text)."""
-
-    def run(batches):
-        for b in batches:
-            nodes = [node_of(words_of(t)) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "node"])
-
-    return docs.mapInArrow(run, "doc_id long, node long")
+    return docs.select(F.col("doc_id").cast("long"), node("text").alias("node"))
 
 
 def _whole(batches) -> pa.Table | None:

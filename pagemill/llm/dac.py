@@ -9,6 +9,8 @@ Files: shard ``p`` holds the p-th range of document ids; a shard that grows past
 ``FILE_TOKENS`` goes on in a further file. Each is written under a private name and
 renamed when whole, so a task that runs twice, or is lost half way, leaves the same
 files. They are read back through Spark's binary source, from any store it reads.
+Texts are encoded where they lie; only their ids are dealt out by document id, as
+16-bit numbers where they fit.
 
 Layout, little-endian: magic ``DAC1``; unsigned 64-bit shard, ids before this file in
 its shard, documents, ids, levels; document ids (signed 64-bit, and a byte each that
@@ -26,6 +28,7 @@ import os
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -35,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, texts
+from .common import release, scratch_dir, texts
 from .tokens import BYTE, encoder, vocabulary
 
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 21
 RANK_BITS = 512
 _HEAD = struct.Struct("<4s5Q")
 
@@ -54,23 +57,22 @@ def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         rest = rest[more] >> 8
 
 
-def to_bytes(shard: int, before: int, doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file of documents that begin at ``starts`` (and end at its last entry)."""
+def to_parts(shard: int, before: int, doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
+    """One file, part by part, of documents that begin at ``starts`` (and end at its last entry)."""
     levels = encode_levels(ids)
-    out = [_HEAD.pack(b"DAC1", shard, before, len(doc_ids), len(ids), len(levels))]
-    out += [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), bytes(x is None for x in doc_ids), starts.astype("<u8").tobytes()]
+    yield _HEAD.pack(b"DAC1", shard, before, len(doc_ids), len(ids), len(levels))
+    yield np.array([x or 0 for x in doc_ids], "<i8").tobytes() + bytes(x is None for x in doc_ids) + starts.astype("<u8").tobytes()
     for k, (chunk, more) in enumerate(levels):
-        out += [struct.pack("<Q", len(chunk)), chunk.tobytes()]
+        yield struct.pack("<Q", len(chunk)) + chunk.tobytes()
         if k + 1 < len(levels):
             ranks = np.r_[0, np.cumsum(np.add.reduceat(more, np.arange(0, len(more), RANK_BITS), dtype=np.int64))[:-1]]
-            out += [np.packbits(more, bitorder="little").tobytes(), ranks.astype("<u8").tobytes()]
-    return b"".join(out)
+            yield np.packbits(more, bitorder="little").tobytes() + ranks.astype("<u8").tobytes()
 
 
 class Reader:
     """A file's documents and ids; ``token(i)`` reads one id in place."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         magic, self.shard, self.before, n, self.n_tokens, n_levels = _HEAD.unpack_from(data)
         if magic != b"DAC1":
             raise ValueError("not a DAC1 file")
@@ -120,45 +122,95 @@ def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder if urlparse(folder).scheme else f"file://{os.path.abspath(folder)}")
 
 
+def narrow(ids: bytes) -> bytes:
+    """Little-endian unsigned 32-bit ids as numbers of 2 bytes where they fit, after a byte that tells their size."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\4" + ids if len(wide) and wide.max() > 0xFFFF else b"\2" + wide.astype("<u2").tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    """The ids in what ``narrow`` made."""
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
+#: What stands for a null id where ranges are cut: nulls come first.
+_NULL = -(1 << 63)
+
+
+def _cuts(docs: DataFrame, shards: int) -> np.ndarray:
+    """Document ids that part the rows into about equal shards; one that many rows have occurs several times."""
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
+    found = docs.agg(F.percentile_approx(key, [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0]
+    return np.array(found or [], np.int64)
+
+
+def shard_of(keys: np.ndarray, ties: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The shard of each row, ascending in (key, tie); rows of a key that is cut more than once are spread by their ties."""
+    low, high = np.searchsorted(cuts, keys, "left"), np.searchsorted(cuts, keys, "right")
+    place = (ties.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+    return low + (place * (high - low + 1).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def encoded(docs: DataFrame, path: str, end: int, cuts: np.ndarray) -> DataFrame:
+    """(shard, doc_id, tie, ids) of every row: a hash of the text, and its ids and ``end`` as ``narrow`` has them."""
+
+    def run(batches):
+        encode, last = encoder(path), np.array([end], "<u4").tobytes()
+        for b in batches:
+            doc = b.column(0).cast(pa.int64())
+            shard = shard_of(doc.fill_null(_NULL).to_numpy(), b.column(1).to_numpy(), cuts)
+            ids = [narrow(x + last) for x in encode(b.column(2).cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), doc, b.column(1), pa.array(ids, pa.binary())], names=["shard", "doc_id", "tie", "ids"])
+
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(run, "shard int, doc_id long, tie long, ids binary")
+
+
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 0, file_tokens: int = FILE_TOKENS) -> list[int]:
     """Encode and write ``docs`` under ``folder`` in ascending document id; ids before each shard.
 
-    Ranges of ids are cut by sampling; repeated ids may fall into several ranges, in
-    order of their texts' hash. The driver receives one row a shard.
+    Ranges of ids are cut at quantiles of the ids; rows of one id may fall into several
+    ranges, in order of their texts' hash. The driver receives one row a shard.
     """
     path, spark = path or vocabulary(BYTE), docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("text")
-    dealt = texts(docs).withColumn("tie", tie).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    dealt = encoded(docs, path, end, _cuts(docs, shards)).repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie").select("shard", "doc_id", "ids")
     fs, at = _store(folder)
     fs.create_dir(at, recursive=True)
 
     def run(batches):
-        encode, last, shard = encoder(path), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
+        release()
         fs, at = _store(folder)
-        held, names, size, before, files = [], [], 0, 0, 0
+        held, names, size, before, files, own = [], [], 0, 0, 0, -1
 
         def close():
             nonlocal held, names, size, before, files
-            starts = np.r_[0, np.cumsum([len(x) // 4 for x in held])]
-            data = to_bytes(shard, before, names, starts, np.frombuffer(b"".join(held), "<u4"))
-            name = f"{at}/shard-{shard:06d}-{files:06d}.dac"
+            starts = np.r_[0, np.cumsum([len(x) for x in held])]
+            name = f"{at}/shard-{own:06d}-{files:06d}.dac"
             private = f"{at}/_{uuid.uuid4().hex}"
             with fs.open_output_stream(private) as f:
-                f.write(data)
+                for data in to_parts(own, before, names, starts, np.concatenate(held)):
+                    f.write(data)
             fs.move(private, name)
             held, names, size, before, files = [], [], 0, before + size, files + 1
 
+        totals = []
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                held.append(ids + last)
-                names.append(doc)
-                size += len(ids) // 4 + 1
-                if size >= file_tokens:
+            for shard, doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if held and (shard != own or size >= file_tokens):
                     close()
+                if shard != own:
+                    totals.append((own, before))
+                    own, before, files = shard, 0, 0
+                held.append(widened(data))
+                names.append(doc)
+                size += len(held[-1])
         if held:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([before], pa.int64())], names=["shard", "n"])
+        totals = [*totals, (own, before)][1:]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in totals], pa.int64()), pa.array([n for _, n in totals], pa.int64())], names=["shard", "n"])
 
     totals = dict(dealt.mapInArrow(run, "shard long, n long").collect())
     return np.r_[0, np.cumsum([totals.get(i, 0) for i in range(shards)])].tolist()
@@ -172,10 +224,11 @@ def read(spark, folder: str, bases: list[int]) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).select("content")
 
     def run(batches):
+        release()
         for b in batches:
             for data in b.column(0):
-                r = Reader(data.as_buffer().to_pybytes())
-                raw, cut = r.ids().astype("<u4").tobytes(), (r.starts * 4).tolist()
+                r = Reader(memoryview(data.as_buffer()))
+                raw, cut = memoryview(r.ids().astype("<u4", copy=False).view(np.uint8)), (r.starts * 4).tolist()
                 crc = [zlib.crc32(raw[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
                 start = r.starts + (bases[r.shard] + r.before)
                 yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, pa.int64()), pa.array(start[:-1]), pa.array(np.diff(r.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -20,14 +20,13 @@ from __future__ import annotations
 from itertools import chain, combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import alike
-from .common import durable, texts
+from .common import durable, gathered, texts
 
 #: Fingerprints of one bucket that a task compares by itself; larger buckets are cut
 #: into tiles of about half as many, and pairs of tiles are spread over tasks.
@@ -269,7 +268,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder. Nodes without edges have no row.
     """
-    stars = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    stars = durable(gathered(edges.distinct(), edges.count()))
     seen = None
     while True:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -277,33 +277,13 @@ def components(edges: DataFrame) -> DataFrame:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
         # large star: hang every larger neighbour on the least node around
-        least = stars.select(F.col("u").alias("v"), F.col("v").alias("m")).groupBy("v").agg(F.min("m").alias("m"))
-        large = stars.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("v").alias("was"))
+        least = durable(gathered(stars.select(F.col("u").alias("v"), F.col("v").alias("m")).groupBy("v").agg(F.min("m").alias("m")), state[0]))
+        large = stars.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         # small star: hang all smaller neighbours of a node on the least of them
-        large = durable(large.select("u", "v").distinct())
+        large = durable(gathered(large.distinct(), state[0]))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-
-
-def _grouped(docs: DataFrame, width: int, longs: int, radius: int, tables: list[np.ndarray]) -> DataFrame:
-    marked = durable(fingerprints(docs, width, longs))
-    names = long_names(longs)
-    node = F.col("f0")
-    if longs > 1:
-
-        @F.pandas_udf("long")
-        def named(*columns: pd.Series) -> pd.Series:
-            return pd.Series(nodes_of(np.stack([c.to_numpy() for c in columns], axis=1).view(np.uint64)))
-
-        node = named(*names)
-    counted = durable(marked.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node))
-    roots = components(links(counted.select(*names), radius, tables))
-    grouped = counted.join(roots, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = durable(grouped.join(least, "root").select(*names, "component_id"))
-    # both sides are plain scans: AQE splits the partition of a fingerprint that most rows share
-    return marked.join(of, names, "left").select("doc_id", *names, "component_id")
+        stars = durable(gathered(small.union(low.select("u", F.col("m").alias("v"))).distinct(), 2 * state[0]))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -312,7 +292,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     64-bit fingerprints at most ``radius`` bits apart are linked, without exception;
     ``component_id`` is the least document id of all that are reachable.
     """
-    found = _grouped(docs, width, 1, radius, exact_tables(radius))
+    marked = durable(fingerprints(docs, width))
+    counted = durable(gathered(marked.groupBy("f0").agg(F.min("doc_id").alias("least")), marked.count()))
+    rows = counted.count()
+    roots = components(links(counted.select("f0"), radius, exact_tables(radius)))
+    grouped = durable(gathered(counted.join(roots, F.col("f0") == F.col("node"), "left").select("f0", "least", F.coalesce("root", "f0").alias("root")), rows))
+    least = durable(gathered(grouped.groupBy("root").agg(F.min("least").alias("component_id")), rows))
+    # both sides of the joins are plain scans: AQE splits the partition of a group, or a fingerprint, that most rows share
+    of = durable(gathered(grouped.join(least, "root").select("f0", "component_id"), rows))
+    found = marked.join(of, "f0", "left")
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -10,18 +10,21 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
-from itertools import compress, count, islice
+from itertools import compress, count
 from operator import not_
 
 import numpy as np
 
+from .common import only
+
 #: Vocabulary files by kind; the folder is a parameter of the environment's package.
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: Pieces remembered by a worker; others are encoded again in each batch.
-CACHE = 700_000
+#: Bytes that a worker's dictionary of pieces may take; pieces beyond are encoded again in each batch.
+CACHE_BYTES = 32 << 20
+#: What an entry takes besides its piece and ids.
+ENTRY_BYTES = 200
 #: Slots of the table of short pieces that is looked up for a whole batch at once.
-SLOTS_BITS = 21
+SLOTS_BITS = 20
 
 
 def vocabulary(name: str) -> str:
@@ -66,11 +69,11 @@ class _Short:
         first, second, slot = self.keys(data, starts, lengths)
         return (self.length[slot] == lengths) & (self.a[slot] == first) & (self.b[slot] == second) & (lengths <= 16), slot
 
-    def add(self, pieces: dict[bytes, bytes]) -> None:
-        """Keep short pieces whose slots are free."""
+    def add(self, pieces: dict[bytes, bytes]) -> set[bytes]:
+        """Keep short pieces whose slots are free; those kept."""
         short = [(p, i) for p, i in pieces.items() if 0 < len(p) <= 16]
         if not short:
-            return
+            return set()
         data = b"".join(p for p, _ in short) + bytes(24)
         lengths = np.fromiter((len(p) for p, _ in short), np.int64, len(short))
         first, second, slot = self.keys(data, np.cumsum(lengths) - lengths, lengths)
@@ -87,6 +90,7 @@ class _Short:
         self.at[slot], self.n[slot] = self.used + np.cumsum(n) - n, n
         self.a[slot], self.b[slot], self.length[slot] = first[own], second[own], lengths[own]
         self.used += total
+        return {short[i][0] for i in own.tolist()}
 
 
 class Encoder:
@@ -101,6 +105,7 @@ class Encoder:
         #: The id of a newline, where the vocabulary has one that no word joins.
         self.newline = None if lower_words else self.library.token_to_id("Ċ")
         self.known: dict[bytes, bytes] = {}
+        self.room = CACHE_BYTES
         self.short = _Short()
         #: Pieces that may hold white space after their first character.
         self.odd: set[bytes] = {b"\n"}
@@ -117,10 +122,12 @@ class Encoder:
 
     _SIMPLE = staticmethod(re.compile(rb" ?[!-~]+").fullmatch)
 
-    def _spaced(self, text: bytes) -> list[bytes]:
+    def _spaced(self, text: bytes) -> bytes:
+        """Ids of a text whose white space is not plain, cut where a break is certain all the same."""
         pieces = [x.encode() for x in self._BREAK.split(text.decode())]
         self.odd.update(x for x in pieces if not self._SIMPLE(x))
-        return pieces
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return self._gathered(text, np.r_[0, ends[:-1]], ends)[1]
 
     @staticmethod
     def _odd(text: bytes) -> bool:
@@ -188,21 +195,25 @@ class Encoder:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         edges = np.r_[0, np.cumsum(sizes + 1)]  # the newlines around the texts
         starts, ends = self._bounds(np.frombuffer(joined, np.uint8), edges)
+        n, every = self._gathered(joined, starts, ends)
+        cut = np.r_[0, np.cumsum(n)][np.searchsorted(starts, edges)] * 4
+        return [every[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+
+    def _gathered(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """How many ids each piece of ``data`` has, and all of them in a row."""
         lengths = ends - starts
-        found, slot = self.short.find(joined + bytes(24), starts, lengths)
+        found, slot = self.short.find(data + bytes(24), starts, lengths)
         n, at = self.short.n[slot].astype(np.int64), self.short.at[slot]
         pool = self.short.pool[: self.short.used]
         rest = np.flatnonzero(~found)
         if len(rest):
-            pieces = [joined[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            pieces = [data[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
             ids = self._looked_up(pieces)
             own = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             n[rest], at[rest] = own, len(pool) + np.cumsum(own) - own
             pool = np.concatenate([pool, np.frombuffer(b"".join(ids), np.uint32)])
         upto = np.cumsum(n)
-        every = pool[np.repeat(at - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)].tobytes()
-        cut = np.r_[0, upto][np.searchsorted(starts, edges)] * 4
-        return [every[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+        return n, pool[np.repeat(at - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)].tobytes()
 
     def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces by the dictionary; new ones are encoded and remembered while there is room."""
@@ -213,20 +224,27 @@ class Encoder:
             fresh = self._encode(list({pieces[i] for i in gaps}))
             for i in gaps:
                 ids[i] = fresh[pieces[i]]
-            known.update(islice(fresh.items(), max(0, CACHE - len(known))))
-            self.short.add(fresh)
+            self._remember(fresh)
         return ids
 
+    def _remember(self, fresh: dict[bytes, bytes]) -> None:
+        """Keep new pieces: in the table of short ones, else in the dictionary while there is room."""
+        kept = self.short.add(fresh)
+        for p, ids in fresh.items():
+            size = len(p) + len(ids) + ENTRY_BYTES
+            if size <= self.room and p not in kept and p not in self.known:
+                self.known[p] = ids
+                self.room -= size
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         plain = [self._is_plain(t) for t in texts]
         done = iter(self._plain(list(compress(texts, plain))))
-        out = [next(done) if ok else b"".join(self._looked_up(self._spaced(t))) if t else b"" for t, ok in zip(texts, plain, strict=True)]
-        if len(self.odd) > CACHE:
+        out = [next(done) if ok else self._spaced(t) if t else b"" for t, ok in zip(texts, plain, strict=True)]
+        if len(self.odd) * ENTRY_BYTES > CACHE_BYTES:
             self.odd = {b"\n"}
         return out
 
 
-@lru_cache(4)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker and file."""
-    return Encoder(path, os.path.basename(path) == WORD)
+    """A worker's encoder of a file."""
+    return only(("encoder", path), lambda: Encoder(path, os.path.basename(path) == WORD))
