@@ -20,11 +20,11 @@ from .common import only
 #: Vocabulary files by kind; the folder is a parameter of the environment's package.
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Bytes that a worker's dictionary of pieces may take; pieces beyond are encoded again in each batch.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 64 << 20
 #: What an entry takes besides its piece and ids.
 ENTRY_BYTES = 200
-#: Slots of the table of short pieces that is looked up for a whole batch at once.
-SLOTS_BITS = 20
+#: Slots (of 23 bytes, and the ids) of the table of short pieces that is looked up for a whole batch at once.
+SLOTS_BITS = 22
 
 
 def vocabulary(name: str) -> str:
@@ -52,7 +52,7 @@ class _Short:
     def __init__(self):
         size = 1 << SLOTS_BITS
         self.a, self.b = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        self.length, self.n, self.at = np.zeros(size, np.uint8), np.zeros(size, np.uint16), np.zeros(size, np.int64)
+        self.length, self.n, self.at = np.zeros(size, np.uint8), np.zeros(size, np.uint16), np.zeros(size, np.uint32)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
     @staticmethod
@@ -71,26 +71,27 @@ class _Short:
 
     def add(self, pieces: dict[bytes, bytes]) -> set[bytes]:
         """Keep short pieces whose slots are free; those kept."""
-        short = [(p, i) for p, i in pieces.items() if 0 < len(p) <= 16]
+        short = [p for p in pieces if len(p) <= 16]
         if not short:
             return set()
-        data = b"".join(p for p, _ in short) + bytes(24)
-        lengths = np.fromiter((len(p) for p, _ in short), np.int64, len(short))
+        data = b"".join(short) + bytes(24)
+        lengths = np.fromiter(map(len, short), np.int64, len(short))
         first, second, slot = self.keys(data, np.cumsum(lengths) - lengths, lengths)
         slot, own = np.unique(slot, return_index=True)
         free = self.length[slot] == 0
         slot, own = slot[free], own[free]
-        ids = [np.frombuffer(short[i][1], np.uint32) for i in own.tolist()]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        kept = [short[i] for i in own.tolist()]
+        ids = [pieces[p] for p in kept]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         total = int(n.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         if total:
-            self.pool[self.used : self.used + total] = np.concatenate(ids)
+            self.pool[self.used : self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
         self.at[slot], self.n[slot] = self.used + np.cumsum(n) - n, n
         self.a[slot], self.b[slot], self.length[slot] = first[own], second[own], lengths[own]
         self.used += total
-        return {short[i][0] for i in own.tolist()}
+        return set(kept)
 
 
 class Encoder:
@@ -203,7 +204,7 @@ class Encoder:
         """How many ids each piece of ``data`` has, and all of them in a row."""
         lengths = ends - starts
         found, slot = self.short.find(data + bytes(24), starts, lengths)
-        n, at = self.short.n[slot].astype(np.int64), self.short.at[slot]
+        n, at = self.short.n[slot].astype(np.int64), self.short.at[slot].astype(np.int64)
         pool = self.short.pool[: self.short.used]
         rest = np.flatnonzero(~found)
         if len(rest):
@@ -229,11 +230,12 @@ class Encoder:
 
     def _remember(self, fresh: dict[bytes, bytes]) -> None:
         """Keep new pieces: in the table of short ones, else in the dictionary while there is room."""
-        kept = self.short.add(fresh)
-        for p, ids in fresh.items():
-            size = len(p) + len(ids) + ENTRY_BYTES
-            if size <= self.room and p not in kept and p not in self.known:
-                self.known[p] = ids
+        for p in fresh.keys() - self.short.add(fresh):
+            if self.room < ENTRY_BYTES:
+                break
+            size = len(p) + len(fresh[p]) + ENTRY_BYTES
+            if size <= self.room and p not in self.known:
+                self.known[p] = fresh[p]
                 self.room -= size
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
