@@ -25,8 +25,6 @@ from .common import durable
 #: Words of a repeated window.
 WINDOW = 5
 SPACE = r"[\x20\x09-\x0D]+"
-#: Temporary columns start so.
-T = "__q_"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SIGNALS = [*COUNTS, "n_lines", "n_distinct", "n_exclaims", "n_capitals", "n_stops"]
 
@@ -43,38 +41,37 @@ def _repeat_words(words: str, windows: str) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered["n"])
 
 
-def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and one long column for each of SIGNALS, named with the prefix ``__q_``."""
-    own = docs.columns
-    out = docs.withColumn(T + "text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn(T + "words", F.filter(F.split(T + "text", SPACE), lambda w: w != ""))
-    out = out.withColumn(T + "lines", F.filter(F.split(T + "text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    word = lambda i: F.get(F.col(T + "words"), i)
-    hashes = F.transform(F.sequence(F.lit(0), F.size(T + "words") - WINDOW), lambda i: F.xxhash64(*(word(i + k) for k in range(WINDOW))))
-    out = out.withColumn(T + "windows", F.when(F.size(T + "words") > WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
-    text_of = F.col(T + "text")
+def with_signals(docs: DataFrame, keep: Column) -> DataFrame:
+    """``keep`` as ``row``, and one long column for each of SIGNALS."""
+    out = docs.select(keep.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    out = out.withColumn("words", F.filter(F.split("text", SPACE), lambda w: w != ""))
+    out = out.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    word = lambda i: F.get(F.col("words"), i)
+    hashes = F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(word(i + k) for k in range(WINDOW))))
+    out = out.withColumn("windows", F.when(F.size("words") > WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
+    text_of = F.col("text")
     made = {
-        "n_words": F.size(T + "words"),
-        "word_chars": F.length(F.array_join(T + "words", "")),
+        "n_words": F.size("words"),
+        "word_chars": F.length(F.array_join("words", "")),
         "n_symbols": F.regexp_count(text_of, F.lit("[#*$%&|<>]")),
-        "n_dup_lines": F.size(T + "lines") - F.size(F.array_distinct(T + "lines")),
-        "n_repeat_words": _repeat_words(T + "words", T + "windows"),
-        "n_lines": F.size(T + "lines"),
-        "n_distinct": F.size(F.array_distinct(T + "words")),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": _repeat_words("words", "windows"),
+        "n_lines": F.size("lines"),
+        "n_distinct": F.size(F.array_distinct("words")),
         "n_exclaims": F.regexp_count(text_of, F.lit("!")),
         "n_capitals": F.regexp_count(text_of, F.lit(r"\p{Lu}")),
         "n_stops": F.regexp_count(text_of, F.lit(r"[.?](?=[\x09-\x20]|$)")),
     }
-    return out.select(*own, *(made[x].cast("long").alias(T + x) for x in SIGNALS))
+    return out.select("row", *(made[x].cast("long").alias(x) for x in SIGNALS))
 
 
-def rules(prefix: str = T) -> dict[str, Column]:
+def rules() -> dict[str, Column]:
     """The votes, from the signals: 1 good, -1 bad, 0 abstains.
 
     A missing fault is no merit, so fault rules only condemn or abstain. Each kind of
     fault is seen by two rules: agreement is what the estimate learns from.
     """
-    c = {x: F.col(prefix + x) for x in SIGNALS}
+    c = {x: F.col(x) for x in SIGNALS}
     bad = lambda x: F.when(x, -1).otherwise(0)
     vote = lambda x, good: F.when(x, -1).when(good, 1).otherwise(0)
     n, chars = c["n_words"], c["word_chars"]
@@ -92,8 +89,8 @@ def rules(prefix: str = T) -> dict[str, Column]:
     }
 
 
-def base_failed(prefix: str = T) -> Column:
-    return (F.col(prefix + "n_words") < 10) | (F.col(prefix + "n_repeat_words") * 100 > F.col(prefix + "n_words") * 20)
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
 #: Where the estimate starts, as shares of votes (bad, abstain, good): a rule condemns
@@ -137,22 +134,20 @@ def fitted(votes: DataFrame) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def voted(signals: DataFrame, prefix: str) -> DataFrame:
-    return signals.withColumns({f"{T}vote_{k}": v for k, v in rules(prefix).items()})
+def voted(docs: DataFrame, keep: Column) -> tuple[DataFrame, Column]:
+    """``keep`` as ``row``, SIGNALS and votes of every row, worked out once and written; and the posterior over them."""
+    votes = {f"vote_{k}": v for k, v in rules().items()}
+    made = durable(with_signals(docs, keep).withColumns(votes))
+    return made, fitted(made.select(*votes))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of SIGNALS, base_failed, quality (posterior) and kept of every row."""
-    made = with_signals(docs.select("doc_id", "text")).select("doc_id", *(F.col(T + x).alias(x) for x in SIGNALS))
-    signals = durable(voted(made, ""))
-    quality = fitted(signals.select(*(x for x in signals.columns if x.startswith(T + "vote_"))))
-    return signals.select("doc_id", *SIGNALS, base_failed("").alias("base_failed"), quality.alias("quality")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+    made, quality = voted(docs, F.col("doc_id"))
+    return made.select(F.col("row").alias("doc_id"), *SIGNALS, base_failed().alias("base_failed"), quality.alias("quality")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass; the texts are read twice and never shuffled."""
-    # a filter moved below the projections would work out every count anew for each use; the row id, which is not deterministic, holds it above
-    votes = voted(with_signals(docs).withColumn(T + "row", F.monotonically_increasing_id()), T)
-    names = [x for x in votes.columns if x.startswith(T + "vote_")]
-    quality = fitted(voted(with_signals(docs.select("text")), T).select(*names))
-    return votes.where(~base_failed() & (quality >= 0.5) & (F.col(T + "row") >= 0)).select(*docs.columns)
+    """The rows of ``docs`` that pass; each is written once beside its votes and never shuffled."""
+    made, quality = voted(docs, F.struct("*"))
+    return made.where(~base_failed() & (quality >= 0.5)).select("row.*")

@@ -1,6 +1,9 @@
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from pagemill.llm import quality
 
 
@@ -45,6 +48,8 @@ def test_odd_texts(spark, tmp_path):
     check(df)
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and set(kept.collect()) <= set(df.collect())
+    odd = df.select(F.col("doc_id"), F.col("text"), F.lit("a").alias("row"), F.lit(1).alias("words"), F.lit(2).alias("vote_lines"), F.lit(3).alias("__q_text"))
+    assert quality.keep_good(odd).columns == odd.columns and quality.keep_good(odd).count() == kept.count()
     assert quality.score(df.limit(0)).collect() == [] and quality.keep_good(df.limit(0)).collect() == []
 
 
@@ -70,3 +75,26 @@ def test_estimate_recovers_accuracies():
     base, each = quality.estimate(patterns, 4)
     assert 0.5 < base < 2.2
     assert all(e[-1] < -2 and e[0] > 0.3 for e in each)
+
+
+def test_estimate_equals_plain_em():
+    """Row by row, with the start kept as a share of the evidence, against the counts of patterns."""
+    rng = random.Random(4)
+    rows = [tuple(rng.choices((-1, 0, 1), (1, 6, 3) if rng.random() < 0.7 else (5, 4, 1))[0] for _ in range(3)) for _ in range(400)]
+    share, extra = 0.85, quality.PRIOR_SHARE * len(rows)
+    p = {k: [dict(zip((-1, 0, 1), quality.START[k])) for _ in range(3)] for k in ("good", "bad")}
+    for _ in range(60):
+        each = []
+        for x in rows:
+            g = share * math.prod(p["good"][j][v] for j, v in enumerate(x))
+            b = (1 - share) * math.prod(p["bad"][j][v] for j, v in enumerate(x))
+            each.append(g / (g + b))
+        share = (sum(each) + 0.85 * extra) / (len(rows) + extra)
+        for k, weights in (("good", each), ("bad", [1 - g for g in each])):
+            p[k] = [{v: (sum(w for w, x in zip(weights, rows) if x[j] == v) + extra * quality.START[k][i]) / (sum(weights) + extra) for i, v in enumerate((-1, 0, 1))} for j in range(3)]
+    patterns = {}
+    for x in rows:
+        patterns[x] = patterns.get(x, 0) + 1
+    base, found = quality.estimate(patterns, 3)
+    assert abs(base - math.log(share / (1 - share))) < 1e-9
+    assert all(abs(found[j][v] - math.log(p["good"][j][v] / p["bad"][j][v])) < 1e-9 for j in range(3) for v in (-1, 0, 1))
