@@ -10,9 +10,9 @@ The fit uses bounded samples (``POSITIVES``, ``UNLABELLED`` documents with the l
 hashes of their ids, both in training rows only) and returns at most ``FEATURES``
 weights; every whole text is then scored where it lies.
 
-Defined results: a null text is empty; rows that repeat, or whose label repeats,
-change nothing but their weight in the sample; null ids are never learned from; with
-no toxic label to learn from, every score is zero. An empty table gives no rows.
+Defined results: a null text is empty; each id is learned from once, however many rows
+or labels it has (any toxic label makes it toxic, and of its texts one is chosen by
+hash); null ids are never learned from; with no toxic label to learn from, every score is zero. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import durable, texts
 
 POSITIVES, UNLABELLED, FEATURES = 4000, 12_000, 512
 #: Dimensions that words are hashed to.
@@ -55,73 +55,111 @@ def is_held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def choose(pos: list[np.ndarray], unl: list[np.ndarray], most: int = FEATURES) -> np.ndarray:
-    """The hashed words that positives hold most clearly more often than unlabelled text does."""
-    p = np.bincount(np.concatenate([np.zeros(0, np.int64), *pos]).astype(np.int64), minlength=1 << BITS)
-    u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unl]).astype(np.int64), minlength=1 << BITS)
-    rate_p, rate_u = p / max(1, len(pos)), (u + 0.5) / (len(unl) + 1)
-    pooled = (p + u + 0.5) / (len(pos) + len(unl) + 1)
-    z = (rate_p - rate_u) / np.sqrt(pooled * (1 - pooled) * (1 / max(1, len(pos)) + 1 / max(1, len(unl))) + 1e-12)
+def choose(p: np.ndarray, u: np.ndarray, n_pos: int, n_unl: int, most: int = FEATURES) -> np.ndarray:
+    """The hashed words that positives hold most clearly more often than unlabelled text does, from how many rows hold each."""
+    rate_p, rate_u = p / max(1, n_pos), (u + 0.5) / (n_unl + 1)
+    pooled = (p + u + 0.5) / (n_pos + n_unl + 1)
+    z = (rate_p - rate_u) / np.sqrt(pooled * (1 - pooled) * (1 / max(1, n_pos) + 1 / max(1, n_unl)) + 1e-12)
     chosen = np.argsort(-z, kind="stable")[:most]
     return np.sort(chosen[z[chosen] > 4])
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
-    """(hashed words, their weights, bias) by Adam on the non-negative risk with the sigmoid loss."""
-    chosen = choose(pos, unl)
-    if not len(pos) or not len(chosen):
-        return np.zeros(0, np.int64), np.zeros(0), -np.inf
+def matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """A row of 0 and 1 for each text, by the chosen words it holds, and a last column of ones."""
+    x = np.zeros((len(rows), len(chosen) + 1), np.float32)
+    x[:, -1] = 1
+    for i, r in enumerate(rows):
+        x[i, np.searchsorted(chosen, np.intersect1d(r, chosen))] = 1
+    return x
 
-    def matrix(rows):
-        x = np.zeros((len(rows), len(chosen) + 1), np.float32)
-        x[:, -1] = 1
-        for i, r in enumerate(rows):
-            at = np.searchsorted(chosen, r)
-            at[at == len(chosen)] = 0
-            x[i, at[chosen[at] == r]] = 1
-        return x
 
-    xp, xu = matrix(pos), matrix(unl)
-    w = np.zeros(len(chosen) + 1)
+def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(positive part, negative part before it is held at zero) of the risk with the sigmoid loss."""
+    sp, su = 1 / (1 + np.exp(-xp @ w)), 1 / (1 + np.exp(-xu @ w))
+    return prior * float((1 - sp).mean()), float(su.mean()) - prior * float(sp.mean())
+
+
+def gradient(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """Of the sum of both parts; where the negative part is below zero, that which brings it back up."""
+    sp, su = 1 / (1 + np.exp(-xp @ w)), 1 / (1 + np.exp(-xu @ w))
+    of_p, of_u = (xp.T @ (sp * (1 - sp))) / len(xp), (xu.T @ (su * (1 - su))) / len(xu)
+    negative = of_u - prior * of_p
+    return -prior * of_p + negative if su.mean() >= prior * sp.mean() else -negative
+
+
+def descend(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """(weights, bias) by Adam."""
+    w = np.zeros(xp.shape[1])
     w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        sp, su = 1 / (1 + np.exp(-xp @ w)), 1 / (1 + np.exp(-xu @ w))
-        dp, du = sp * (1 - sp), su * (1 - su)
-        negative = su.mean() - prior * sp.mean()  # loss(-) is the sigmoid itself
-        grad = -prior * (xp.T @ dp) / len(xp)
-        rest = (xu.T @ du) / len(xu) - prior * (xp.T @ dp) / len(xp)
-        grad = grad + rest if negative >= 0 else -rest
-        grad += 1e-5 * w * (np.arange(len(w)) < len(chosen))
+        grad = gradient(w, xp, xu, prior)
+        grad[:-1] += 1e-5 * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return chosen, w[:-1], float(w[-1])
+    return w[:-1], float(w[-1])
+
+
+#: What a classifier is that has nothing to learn from.
+NOTHING = (np.zeros(0, np.int64), np.zeros(0), -np.inf)
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
+    """(positive, words): the hashed words of every text as 32-bit numbers."""
+
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashed(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["positive", "words"])
+            words = [hashed(t).astype("<i4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["positive", "words"])
+
+    return docs.mapInArrow(run, "positive boolean, words binary")
+
 
-    return docs.mapInArrow(run, "positive boolean, words array<long>")
+def _held(batches):
+    """How many positive and unlabelled rows hold each word, task by task."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for b in batches:
+        for positive, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            counts[int(not positive)][np.frombuffer(words, "<i4")] += 1
+    used = np.flatnonzero(counts.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0][used]), pa.array(counts[1][used])], names=["h", "p", "u"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
-    """The classifier, from training rows of ``labels`` (doc_id, toxic) and of ``docs``."""
+    """(hashed words, their weights, bias), from training rows of ``labels`` (doc_id, toxic) and of ``docs``.
+
+    The driver receives at most 2^BITS counts, and of every sampled text the chosen words alone.
+    """
     train = labels.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = train.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not prior:
-        return fit([], [], 0.0)
+        return NOTHING
     by_hash = F.xxhash64("doc_id")
     toxic = train.where("toxic = 1").select("doc_id").orderBy(by_hash).limit(positives)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).orderBy(by_hash).limit(unlabelled)
+    others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).distinct().orderBy(by_hash).limit(unlabelled)
     asked = toxic.select("doc_id", F.lit(True).alias("positive")).union(others.select("doc_id", F.lit(False)))
-    sample = texts(docs).join(F.broadcast(asked), "doc_id").select("positive", "text")  # at most positives + unlabelled ids
-    rows = _hashes(sample).toArrow()
-    flags = rows.column(0).to_pylist()
-    words = [np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64) for x in rows.column(1)]
-    pos, unl = ([x for x, f in zip(words, flags, strict=True) if f is k] for k in (True, False))
-    return fit(pos, unl, min(0.9, max(0.005, float(prior))))
+    found = texts(docs).join(F.broadcast(asked), "doc_id")  # at most positives + unlabelled ids
+    # of rows with one id, one text
+    sample = found.groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("positive", "text")
+    rows = durable(_hashes(sample))
+    counts = rows.mapInArrow(_held, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    totals = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
+    p, u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    h = counts.column("h").to_numpy()
+    p[h], u[h] = counts.column("p").to_numpy(), counts.column("u").to_numpy()
+    chosen = choose(p, u, totals.get(True, 0), totals.get(False, 0))
+    if not totals.get(True) or not totals.get(False) or not len(chosen):
+        return NOTHING
+
+    def reduce(batches):
+        for b in batches:
+            kept = [np.intersect1d(np.frombuffer(x, "<i4"), chosen).astype("<i4").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], names=["positive", "words"])
+
+    few = rows.mapInArrow(reduce, "positive boolean, words binary").toArrow()
+    flags, words = few.column(0).to_pylist(), [np.frombuffer(x, "<i4").astype(np.int64) for x in few.column(1).to_pylist()]
+    xp, xu = (matrix([x for x, f in zip(words, flags, strict=True) if f is k], chosen) for k in (True, False))
+    return chosen, *descend(xp, xu, min(0.9, max(0.005, float(prior))))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from pagemill.llm import toxicity
 
@@ -18,10 +21,44 @@ def test_hidden_positives_are_not_negatives():
     """Positives share a word; so do the tenth of unlabelled texts that are toxic."""
     rng = np.random.default_rng(1)
     text = lambda toxic: np.unique(np.r_[rng.integers(100, 400, 20), [7] if toxic else []]).astype(np.int64)
-    chosen, w, bias = toxicity.fit([text(True) for _ in range(300)], [text(rng.random() < 0.1) for _ in range(2000)], 0.1)
+    pos, unl = [text(True) for _ in range(300)], [text(rng.random() < 0.1) for _ in range(2000)]
+    held = lambda rows: np.bincount(np.concatenate(rows), minlength=1 << toxicity.BITS)
+    chosen = toxicity.choose(held(pos), held(unl), len(pos), len(unl))
+    w, bias = toxicity.descend(toxicity.matrix(pos, chosen), toxicity.matrix(unl, chosen), 0.1)
     assert chosen.tolist() == [7] and bias < 0 < bias + w[0]
 
 
+def test_risk_and_gradient_equal_the_plain_definition():
+    """Row by row with math.exp, and the gradient by differences, on either side of zero."""
+    rng = np.random.default_rng(3)
+    xp, xu = (np.c_[rng.integers(0, 2, (n, 4)), np.ones(n)].astype(float) for n in (30, 50))
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    sides = set()
+    for prior, scale in ((0.1, 1.0), (0.9, 1.0), (0.9, 3.0)):
+        for _ in range(6):
+            w = rng.normal(0, scale, 5)
+            positive = prior * sum(sigmoid(-float(x @ w)) for x in xp) / len(xp)
+            negative = sum(sigmoid(float(x @ w)) for x in xu) / len(xu) - prior * sum(sigmoid(float(x @ w)) for x in xp) / len(xp)
+            assert toxicity.risk(w, xp, xu, prior) == pytest.approx((positive, negative))
+            sides.add(negative >= 0)
+            wanted = (lambda v: sum(toxicity.risk(v, xp, xu, prior))) if negative >= 0 else (lambda v: -toxicity.risk(v, xp, xu, prior)[1])
+            steps = 1e-6 * np.eye(5)
+            slopes = [(wanted(w + d) - wanted(w - d)) / 2e-6 for d in steps]
+            assert toxicity.gradient(w, xp, xu, prior) == pytest.approx(slopes, abs=1e-6)
+    assert sides == {True, False}
+
+
+def test_an_id_counts_once(spark):
+    """One id that has 400 of 500 rows, and a repeated label, do not weigh more than others."""
+    rows = [(i, f"plain words {i}" + " villain" * (i % 4 == 0)) for i in range(100)] + [(1, "plain words 1")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)] + [(4, 1)] * 50, "doc_id long, toxic int")
+    once = toxicity.learn(df.distinct(), labels.distinct())
+    often = toxicity.learn(df, labels)
+    assert len(once[0]) and once[0].tolist() == often[0].tolist()
+    assert once[1] == pytest.approx(often[1]) and once[2] == pytest.approx(often[2])
+
+
 def test_odd_rows(spark):
     rows = [(i, f"the day {i} was fine" + " you utter villain" * (i % 3 == 0), 0) for i in range(300)] + [(900, None, 0), (None, "villain", 0), (901, "", 0), (902, "x " * 90000, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score int")
