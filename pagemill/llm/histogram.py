@@ -4,7 +4,8 @@ Documents are aggregated by encoded length first (a partial count in each task),
 all later work is on at most one row a distinct length. Suffix sums over the lengths
 then answer, for any limit, how many documents are longer, the total of tokens that
 remain when each document is cut there, and exact quantiles. The sums go in two
-levels, blocks of lengths and lengths in a block, so no task sees all lengths.
+levels, blocks of lengths and lengths in a block, so no task sees all lengths: a block
+is about as long as there are blocks, by the largest length that occurs.
 
 Defined results: a null text is empty, of length zero (plus the end id where one is
 asked for); repeated rows count as often as they occur; an empty table gives no rows.
@@ -12,6 +13,8 @@ asked for); repeated rows count as often as they occur; an empty table gives no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,10 +23,6 @@ from pyspark.sql import functions as F
 from .common import durable, texts
 from .tokens import BYTE, encoder, vocabulary
 
-#: Lengths of one block.
-BLOCK = 4096
-
-
 def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(length): the number of ids of every document's whole text."""
     path = path or vocabulary(BYTE)
@@ -47,7 +46,8 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     total_docs and total_tokens; truncated_tokens, what is left of the corpus when
     every document is cut to this length; and quantile, the share of documents at
     most this long."""
-    counts = counts.withColumn("block", F.expr(f"length div {BLOCK}")).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    block = math.isqrt(counts.agg(F.max("length")).first()[0] or 0) + 1
+    counts = counts.withColumn("block", F.expr(f"length div {block}")).withColumn("tokens", F.col("length") * F.col("n_docs"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

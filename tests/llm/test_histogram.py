@@ -6,7 +6,6 @@ from pagemill.llm.tokens import BYTE, vocabulary
 
 
 def test_equals_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(histogram, "BLOCK", 64)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     docs = docs.union(docs.limit(7)).union(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"))
     plain = Tokenizer.from_file(vocabulary(BYTE))
