@@ -133,25 +133,26 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     ``license_id`` is the licence that the entire text is, by a hash join on digests, of
     the text or else of what is left without copyright statements of any form;
     ``notice_ids`` the sorted licences, comma-joined, that whole lines state.
-    ``known`` (license_id, text) adds licences; the join's strategy is Spark's choice
-    by their measured size.
+    The fixed digests are looked up in a literal map, so nothing is exchanged for them.
+    ``known`` (license_id, text) adds licences; that join's strategy is Spark's choice by
+    their measured size.
     """
-    spark = docs.sparkSession
-    fixed = known_digests()
-    table = spark.createDataFrame(sorted(whole_digests().items()), "known string, license_id string")
-    if known is not None:
-        own = F.coalesce("text", F.lit(""))
-        more = known.select(F.explode(F.array(digest(own), digest(bare(own)))).alias("known"), "license_id")
-        table = table.unionByName(more).groupBy("known").agg(F.min("license_id").alias("license_id"))
-    lookup = F.create_map(*(F.lit(x) for pair in fixed.items() for x in pair))
+    as_map = lambda found: F.create_map(*(F.lit(x) for pair in sorted(found.items()) for x in pair))
+    lookup, whole = as_map(known_digests()), as_map(whole_digests())
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike("licen[cs]e|dedicated to the public domain"))
     stated = F.array_compact(F.transform(lines, lambda x: lookup[digest(x)]))
     stripped = F.when(F.lower(text).rlike(STATEMENT), digest(bare(text)))
     made = docs.select("doc_id", digest(text).alias("digest"), stripped.alias("stripped"), F.array_join(F.array_sort(F.array_distinct(stated)), ",").alias("notice_ids"))
+    first, second = whole[F.col("digest")], whole[F.col("stripped")]
+    if known is None:
+        return made.select("doc_id", "digest", F.coalesce(first, second).alias("license_id"), "notice_ids")
+    own = F.coalesce("text", F.lit(""))
+    table = known.select(F.explode(F.array(digest(own), digest(bare(own)))).alias("known"), "license_id").groupBy("known").agg(F.min("license_id").alias("license_id"))
     again = table.select(F.col("known").alias("bare"), F.col("license_id").alias("bare_id"))
     found = made.join(table, made.digest == table.known, "left").join(again, F.col("stripped") == F.col("bare"), "left")
-    return found.select("doc_id", "digest", F.coalesce("license_id", "bare_id").alias("license_id"), "notice_ids")
+    # of licences of one digest the least; the text itself comes before what is left of it
+    return found.select("doc_id", "digest", F.coalesce(F.least("license_id", first), F.least("bare_id", second)).alias("license_id"), "notice_ids")
 
 
 def scan_sql() -> str:
