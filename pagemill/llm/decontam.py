@@ -16,12 +16,13 @@ those of all items; a benchmark beyond ``INDEX_BYTES`` is indexed in several gro
 each sent to the tasks in turn.
 
 Defined results: null or empty texts and items match nothing; repeated rows each
-give their pairs; a null id stays null; empty tables give no rows.
+give their pairs, repeated items one; a null id, of a document or an item, stays null; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from functools import reduce
 
@@ -30,14 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .alike import shingles
+from .common import durable, texts
 
 PART, WINDOW, STRIDE = 64, 128, 64
 THRESHOLD = 0.5
 #: Postings of a block.
 BLOCK = 32
-#: Bytes of item text in one index: what a task may hold.
-INDEX_BYTES = 32 << 20
+#: Bytes of item text in one index, which takes about ten times as many where it is used.
+INDEX_BYTES = 8 << 20
+#: Words of a shingle that verifies.
+SHINGLE = 5
 #: Share of the question's shingles, and of the answer's distinct words, that a document must hold.
 QUESTION, ANSWER = 0.5, 0.5
 #: Share of the shingles of a question, or of an indexed part, of at least LONG words that is enough without the answer.
@@ -59,11 +63,6 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return every[: (len(every) + 1) // 2], every[(len(every) + 1) // 2 :]
 
 
-def shingles(words: list[bytes], width: int = 5) -> set[bytes]:
-    n = min(width, len(words))
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
-
-
 class Stats:
     """Parts, their words, and the parts that hold each word, over all items."""
 
@@ -81,156 +80,204 @@ class Stats:
                     self.df[w] += 1
 
 
+def _packed(kind: str, values: np.ndarray) -> array:
+    """A flat array whose items are read as plain numbers."""
+    out = array(kind)
+    out.frombytes(np.ascontiguousarray(values, kind).tobytes())
+    return out
+
+
+def _starts(of: np.ndarray, n: int) -> np.ndarray:
+    """Where the rows 0 to n - 1 of the sorted ``of`` begin, and the end."""
+    return np.searchsorted(of, np.arange(n + 1))
+
+
 class Index:
-    """Parts of items: postings by word, block maxima, and the words a match must hold."""
+    """Parts of items: postings by word, block maxima, and the words a match must hold.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, stats: Stats | None = None):
-        self.items = [(i, t) for i, t in items if words_of(t)]
+    All lists are slices of flat arrays; words are numbers, shingles 64-bit hashes.
+    Besides the words themselves that takes some 60 bytes for each word of an item.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, stats: Stats | None = None):
         self.threshold = threshold
-        parts: list[dict[bytes, int]] = []
-        self.item_of: list[int] = []
-        self.first_part: list[int] = []
-        for n, (_, text) in enumerate(self.items):
-            words = words_of(text)
-            self.first_part.append(len(parts))
-            for at in range(0, len(words), PART):
-                tf: dict[bytes, int] = defaultdict(int)
-                for w in words[at : at + PART]:
-                    tf[w] += 1
-                parts.append(tf)
-                self.item_of.append(n)
+        texts = [(i, t, w) for i, t in items if (w := words_of(t))]
+        self.ids = [i for i, _, _ in texts]
         if stats is None:
             stats = Stats()
-            stats.add([t for _, t in self.items])
-        df, mean = stats.df, stats.words / max(1, stats.parts)
-        size = np.array([sum(tf.values()) for tf in parts], float)
-        self.postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        #: word -> parts it is an anchor of, with its weight; a part's other words can add ``rest`` at most.
-        self.anchors: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        self.rest = np.zeros(len(parts))
-        for n, tf in enumerate(parts):
-            norm = K1 * (1 - B + B * size[n] / mean)
-            raw = {w: np.log((stats.parts + 1) / df[w]) * f * (K1 + 1) / (f + norm) for w, f in tf.items()}
-            own = sum(raw.values())
-            for w in sorted(raw, key=lambda w: (-df[w], w)):
-                weight = raw[w] / own
-                self.postings[w].append((n, weight))
-                if self.rest[n] + weight < threshold / 2:
-                    self.rest[n] += weight
-                else:
-                    self.anchors[w].append((n, weight))
-        self.postings, self.anchors = dict(self.postings), dict(self.anchors)
-        self.top = {w: max(x for _, x in p) for w, p in self.postings.items()}
-        self.blocks = {w: [(p[min(i + BLOCK, len(p)) - 1][0], max(x for _, x in p[i : i + BLOCK])) for i in range(0, len(p), BLOCK)] for w, p in self.postings.items()}
-        halves = [question_and_answer(t) for _, t in self.items]
-        self.questions = [shingles(q) for q, _ in halves]
-        self.answers = [set(a) for _, a in halves]
-
-    def windows(self, words: list[bytes]) -> set[int]:
+            stats.add([t for _, t, _ in texts])
+        self.rows: dict[bytes, int] = {}
+        numbers = [np.array([self.rows.setdefault(x, len(self.rows)) for x in w], np.int64) for _, _, w in texts]
+        n_parts = np.array([-(-len(w) // PART) for w in numbers], np.int64)
+        self.item_of = _packed("q", np.repeat(np.arange(len(texts)), n_parts))
+        first = np.cumsum(n_parts) - n_parts
+        self._weigh(numbers, first, int(n_parts.sum()), stats)
+        self._verify(texts, numbers)
+
+    def _weigh(self, numbers: list[np.ndarray], first: np.ndarray, n_parts: int, stats: Stats) -> None:
+        size = len(self.rows)
+        part = np.concatenate([np.zeros(0, np.int64), *(f + np.arange(len(w)) // PART for f, w in zip(first, numbers, strict=True))])
+        keys, tf = np.unique(part * max(1, size) + np.concatenate([np.zeros(0, np.int64), *numbers]), return_counts=True)
+        part, row = keys // max(1, size), keys % max(1, size)
+        df = np.array([stats.df[w] for w in self.rows], float)
+        length = np.bincount(part, tf, n_parts)
+        norm = K1 * (1 - B + B * length / (stats.words / max(1, stats.parts)))
+        raw = np.log((stats.parts + 1) / df[row]) * tf * (K1 + 1) / (tf + norm[part])
+        weight = raw / np.bincount(part, raw, n_parts)[part]
+        # the commonest words of a part that together stay below half of the threshold; the others are its anchors
+        order = np.lexsort((row, -df[row], part))
+        upto = np.cumsum(weight[order])
+        begin = _starts(part[order], n_parts)
+        upto -= np.r_[0, upto][begin[part[order]]]
+        common = np.zeros(len(order), bool)
+        common[order] = upto < self.threshold / 2
+        self.rest = _packed("d", np.bincount(part[common], weight[common], n_parts))
+        by = np.lexsort((part, row))
+        part, row, weight, common = part[by], row[by], weight[by], common[by]
+        start = _starts(row, size)
+        self.start, self.part, self.weight = _packed("q", start), _packed("i", part), _packed("d", weight)
+        own = ~common
+        self.anchor_start, self.anchor_part, self.anchor_weight = _packed("q", _starts(row[own], size)), _packed("i", part[own]), _packed("d", weight[own])
+        n_blocks = -(-np.diff(start) // BLOCK)
+        block_start = np.r_[0, np.cumsum(n_blocks)]
+        at = start[:-1].repeat(n_blocks) + (np.arange(int(block_start[-1])) - block_start[:-1].repeat(n_blocks)) * BLOCK
+        some = len(at) > 0
+        self.top = _packed("d", np.maximum.reduceat(weight, start[:-1]) if some else np.zeros(0))
+        self.block_start = _packed("q", block_start)
+        self.block_top = _packed("d", np.maximum.reduceat(weight, at) if some else np.zeros(0))
+        self.block_last = _packed("i", part[np.r_[at[1:], len(part)] - 1] if some else np.zeros(0))
+
+    def _verify(self, texts: list[tuple[int | None, str, list[bytes]]], numbers: list[np.ndarray]) -> None:
+        """What a retrieved pair is held against: hashes of shingles of questions and of parts, and words of answers."""
+        questions, answers, widths, parts = [], [], [], []
+        for (_, text, words), own in zip(texts, numbers, strict=True):
+            question, answer = question_and_answer(text)
+            questions.append(shingles(question, SHINGLE))
+            widths.append(min(SHINGLE, len(question)))
+            answers.append(np.unique(np.array([self.rows[w] for w in answer], np.int64)))
+            for at in range(0, len(own), PART):
+                parts.append(shingles(words[at : at + PART], SHINGLE) if len(own) - at >= LONG else np.zeros(0, np.uint64))
+        flat = lambda x, kind: (np.concatenate([np.zeros(0, kind), *x]), np.r_[0, np.cumsum([len(v) for v in x])].astype(np.int64))
+        self.question, self.question_at = flat(questions, np.uint64)
+        self.part_shingles, self.part_at = flat(parts, np.uint64)
+        self.answer, self.answer_at = flat(answers, np.int64)
+        self.width = widths
+
+    def postings(self, word: bytes) -> list[tuple[int, float]]:
+        """(part, weight) of a word."""
+        r = self.rows.get(word)
+        return [] if r is None else [(self.part[p], self.weight[p]) for p in range(self.start[r], self.start[r + 1])]
+
+    def windows(self, rows: list[int | None]) -> set[int]:
         """The windows in which some part could reach the threshold, by its anchors and its rest."""
-        hits = [(i, a) for i, a in enumerate(map(self.anchors.get, words)) if a is not None]
+        begin, anchor, weight = self.anchor_start, self.anchor_part, self.anchor_weight
+        hits = [(i, r) for i, r in enumerate(rows) if r is not None and begin[r] < begin[r + 1]]
         if not hits:
             return set()
-        last = max(0, -(-(len(words) - WINDOW) // STRIDE))
+        last = max(0, -(-(len(rows) - WINDOW) // STRIDE))
         reach: dict[tuple[int, int], float] = defaultdict(float)
         seen = set()
-        for i, parts in hits:
+        for i, r in hits:
             for w in range(max(0, -(-(i - WINDOW + 1) // STRIDE)), min(last, i // STRIDE) + 1):
-                if (w, words[i]) not in seen:
-                    seen.add((w, words[i]))
-                    for n, x in parts:
-                        reach[w, n] += x
+                if (w, r) not in seen:
+                    seen.add((w, r))
+                    for p in range(begin[r], begin[r + 1]):
+                        reach[w, anchor[p]] += weight[p]
         need = self.threshold - 1e-9
         return {w for (w, n), x in reach.items() if x + self.rest[n] >= need}
 
-    def search(self, words: set[bytes]) -> list[tuple[int, float]]:
+    def search(self, rows: set[int]) -> list[tuple[int, float]]:
         """All (part, score) with a score of at least the threshold, by block-max WAND."""
-        lists = [[0, w, self.postings[w]] for w in words if w in self.postings]
-        found, need, top, blocks = [], self.threshold - 1e-9, self.top, self.blocks
+        start, part, weight = self.start, self.part, self.weight
+        block_start, block_last, block_top = self.block_start, self.block_last, self.block_top
+        lists = [[start[r], start[r + 1], r] for r in rows]  # place, end, word
+        found, need, top = [], self.threshold - 1e-9, self.top
         while lists:
-            lists.sort(key=lambda x: x[2][x[0]][0])
+            lists.sort(key=lambda x: part[x[0]])
             bound, pivot = 0.0, -1
-            for k, (_, w, _) in enumerate(lists):
-                bound += top[w]
+            for k, (_, _, r) in enumerate(lists):
+                bound += top[r]
                 if bound >= need:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            at = lists[pivot][2][lists[pivot][0]][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][2][lists[pivot + 1][0]][0] == at:
+            at = part[lists[pivot][0]]
+            while pivot + 1 < len(lists) and part[lists[pivot + 1][0]] == at:
                 pivot += 1
             bound, skip = 0.0, 1 << 62
-            for p, w, posts in lists[: pivot + 1]:
-                b = p // BLOCK
-                while b < len(blocks[w]) and blocks[w][b][0] < at:
+            for p, _, r in lists[: pivot + 1]:
+                b = block_start[r] + (p - start[r]) // BLOCK
+                while b < block_start[r + 1] and block_last[b] < at:
                     b += 1
-                if b < len(blocks[w]):
-                    bound += blocks[w][b][1]
-                    skip = min(skip, blocks[w][b][0] + 1)
+                if b < block_start[r + 1]:
+                    bound += block_top[b]
+                    skip = min(skip, block_last[b] + 1)
             if bound < need:  # no part before the nearest block end can reach the threshold
                 if pivot + 1 < len(lists):
-                    skip = min(skip, lists[pivot + 1][2][lists[pivot + 1][0]][0])
+                    skip = min(skip, part[lists[pivot + 1][0]])
                 target = max(skip, at + 1)
                 moved = lists[: pivot + 1]
-            elif lists[0][2][lists[0][0]][0] == at:
-                score = sum(posts[p][1] for p, _, posts in lists[: pivot + 1])
+            elif part[lists[0][0]] == at:
+                score = sum(weight[p] for p, _, _ in lists[: pivot + 1])
                 if score >= need:
                     found.append((at, score))
                 target, moved = at + 1, lists[: pivot + 1]
             else:
                 target, moved = at, lists[:pivot]
             for x in moved:
-                p, _, posts = x
-                while p < len(posts) and posts[p][0] < target:
+                p, end, _ = x
+                while p < end and part[p] < target:
                     p += 1
                 x[0] = p
-            lists = [x for x in lists if x[0] < len(x[2])]
+            lists = [x for x in lists if x[0] < x[1]]
         return found
 
-    def held(self, part: int, of: set[bytes]) -> bool:
-        """Whether the shingles of a document are, nearly all, those of an indexed part."""
-        item = self.item_of[part]
-        at = (part - self.first_part[item]) * PART
-        words = words_of(self.items[item][1])[at : at + PART]
-        own = shingles(words)
-        return len(words) >= LONG and len(own & of) >= ALONE * len(own)
+    def held(self, part: int, of: np.ndarray) -> bool:
+        """Whether the shingles of an indexed part are, nearly all, those of a document."""
+        own = self.part_shingles[self.part_at[part] : self.part_at[part + 1]]
+        return len(own) > 0 and _share(own, of) >= ALONE
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
+    def matches(self, text: str | None) -> list[tuple[int | None, float, float, float]]:
         """(item id, best score, share of the question, share of the answer) of the verified items."""
         words = words_of(text)
+        rows = list(map(self.rows.get, words))
         best: dict[int, float] = {}
         found: dict[int, set[int]] = defaultdict(set)
-        for w in self.windows(words):
-            for part, score in self.search(set(words[w * STRIDE : w * STRIDE + WINDOW])):
+        for w in self.windows(rows):
+            for part, score in self.search(set(rows[w * STRIDE : w * STRIDE + WINDOW]) - {None}):
                 item = self.item_of[part]
                 best[item] = max(best.get(item, 0.0), score)
                 found[item].add(part)
         if not best:
             return []
-        held, own = shingles(words), set(words)
+        held, own = shingles(words, SHINGLE), np.unique(np.array([r for r in rows if r is not None], np.int64))
         out = []
         for item, score in sorted(best.items()):
-            q, a = self.questions[item], self.answers[item]
-            n = len(next(iter(q)).split()) if q else 5
-            held_q = held if n == 5 else shingles(words, n)
-            in_q = len(q & held_q) / len(q) if q else 1.0
-            in_a = len(a & own) / len(a) if a else 1.0
-            alone = in_q >= ALONE and len(q) > LONG - 5 or any(self.held(part, held) for part in found[item])
+            q = self.question[self.question_at[item] : self.question_at[item + 1]]
+            a = self.answer[self.answer_at[item] : self.answer_at[item + 1]]
+            in_q = _share(q, held if self.width[item] in (0, SHINGLE) else shingles(words, self.width[item]))
+            in_a = _share(a, own)
+            alone = in_q >= ALONE and len(q) > LONG - SHINGLE or any(self.held(part, held) for part in found[item])
             if in_q >= QUESTION and in_a >= ANSWER or alone:
-                out.append((self.items[item][0], score, in_q, in_a))
+                out.append((self.ids[item], score, in_q, in_a))
         return out
 
 
+def _share(own: np.ndarray, of: np.ndarray) -> float:
+    """The share of the distinct values ``own`` that are in ``of``; of none, all."""
+    return float(np.isin(own, of, assume_unique=True).mean()) if len(own) else 1.0
+
+
 def _indexes(benchmark: DataFrame):
-    """Indexes over all items, each of at most about INDEX_BYTES of text."""
-    items = benchmark.where("text is not null").select("item_id", "text")
+    """Indexes over all items, each of about INDEX_BYTES of text; the driver holds the items of one at a time."""
+    items = benchmark.where("text is not null").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // INDEX_BYTES))
 
-    def group(g: int) -> list[tuple[int, str]]:
+    def group(g: int) -> list[tuple[int | None, str]]:
         part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        return sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.distinct().collect())
+        return sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
     stats = None
     if groups > 1:
@@ -238,15 +285,18 @@ def _indexes(benchmark: DataFrame):
         for g in range(groups):
             stats.add([t for _, t in group(g)])
     for g in range(groups):
-        yield Index(group(g), stats=stats)
+        yield groups > 1, Index(group(g), stats=stats)
+
+
+_PAIR = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): verified pairs of rows of ``docs`` and items."""
-    return reduce(DataFrame.union, [_pairs(docs, x) for x in _indexes(benchmark)])
+    return reduce(DataFrame.union, [_pairs(docs, *x) for x in _indexes(benchmark)])
 
 
-def _pairs(docs: DataFrame, index: Index) -> DataFrame:
+def _pairs(docs: DataFrame, several: bool, index: Index) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -254,19 +304,28 @@ def _pairs(docs: DataFrame, index: Index) -> DataFrame:
         for b in batches:
             rows = [(doc, *m) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in own.matches(t)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], names=[x.split()[0] for x in _PAIR.split(", ")])
+
+    found = texts(docs).mapInArrow(run, _PAIR)
+    return _done(found, sent) if several else found
+
 
-    return texts(docs).mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+def _done(df: DataFrame, sent) -> DataFrame:
+    """Written, so that one of several indexes can go before the next is made."""
+    out = durable(df)
+    sent.destroy()
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; decided row by row, nothing is shuffled."""
-    for index in _indexes(benchmark):
+    for several, index in _indexes(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        @F.pandas_udf("boolean")
+        @F.arrow_udf("boolean")
         def free(text, sent=sent):
-            return text.map(lambda t: not sent.value.matches(t)).astype(bool)
+            return pa.array([not sent.value.matches(t) for t in text.to_pylist()], pa.bool_())
 
         docs = docs.where(free(F.coalesce("text", F.lit(""))))
+        docs = _done(docs, sent) if several else docs
     return docs

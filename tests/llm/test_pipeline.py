@@ -3,6 +3,7 @@ from collections import defaultdict
 import corpus_pipeline
 from pagemill.llm import decontam, pii, quality, simhash
 from pagemill.llm.common import durable, table
+from tests.llm.plain import shingles
 
 
 def test_stages_take_effect(spark, sf):
@@ -20,8 +21,8 @@ def test_stages_take_effect(spark, sf):
             for r in simhash.similar_groups(docs).collect():
                 groups[r.component_id].add(r.doc_id)
             keep = {min(g) for g in groups.values()}
-            shingles = {i: decontam.shingles(decontam.words_of(r.text)) for i, r in before.items()}
-            alike = lambda i, j: len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
+            held = {i: shingles(decontam.words_of(r.text)) for i, r in before.items()}
+            alike = lambda i, j: len(held[i] & held[j]) / len(held[i] | held[j])
             ids = sorted(before)
             assert all(any(alike(i, j) >= 0.4 for j in ids if j != i) for i in set(before) - set(after))
             assert not [(i, j) for i in after for j in after if i < j and alike(i, j) >= 0.9]
