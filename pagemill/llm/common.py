@@ -22,12 +22,17 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 #: Bytes of an Arrow batch, as far as its rows can be parted.
 ARROW_BYTES = 4 << 20
+#: Rows that Spark's Parquet reader holds at a time, for the same reason.
+READ_ROWS = 512
+#: Bytes of a row group of a scratch table: its writer holds as many.
+GROUP_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on; AQE splits skewed joins at run time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
@@ -56,7 +61,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

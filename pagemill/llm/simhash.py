@@ -307,9 +307,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
 def _similar(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, node, root): the words' name and the group of every row."""
     marked = durable(alike.named(texts(docs)))
-    roots = components(alike.candidates(texts(docs), width))
-    roots = components(alike.verified(texts(docs), roots, _among, width))
-    of = durable(marked.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    sizes = durable(marked.groupBy("node").agg(F.max("size").alias("size")))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    roots = components(alike.candidates(texts(docs), total, width))
+    roots = components(alike.verified(texts(docs), roots, sizes, _among, width))
+    of = durable(sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     # both sides are plain scans: AQE splits the partition of a text that most rows share
     return marked.join(of, "node", "left").select("doc_id", "node", "root")
 
@@ -350,17 +352,17 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """
     groups = durable(_similar(docs, **settings))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("k"))
-    stays = durable(first.select(_mark(F.col("k.doc_id"), F.col("k.node")).alias("__mark")))
-    marks = durable(groups.groupBy(_mark(F.col("doc_id"), F.col("node")).alias("__mark")).count())
-    drop = durable(marks.join(stays, "__mark", "left_anti").select("__mark"))
-    repeated = durable(marks.where("count > 1").join(stays, "__mark", "left_semi").select("__mark"))
-    own = docs.withColumn("__mark", _mark(F.col("doc_id"), alike.node(F.coalesce("text", F.lit("")))))
-    kept = own.join(_among(drop), "__mark", "left_anti")
+    stays = durable(first.select(_mark(F.col("k.doc_id"), F.col("k.node")).alias("mark")))
+    marks = durable(groups.groupBy(_mark(F.col("doc_id"), F.col("node")).alias("mark")).count())
+    drop = durable(marks.join(stays, "mark", "left_anti").select("mark"))
+    repeated = durable(marks.where("count > 1").join(stays, "mark", "left_semi").select("mark"))
+    # a row travels as one column, so that its own names meet no others
+    own = docs.select(F.struct("*").alias("row"), _mark(F.col("doc_id"), alike.node(F.coalesce("text", F.lit("")))).alias("mark"))
+    kept = own.join(_among(drop), "mark", "left_anti")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
+        return kept.select("row.*")
     side = _among(repeated)
-    once = kept.join(side, "__mark", "left_anti").select(docs.columns)
+    once = kept.join(side, "mark", "left_anti").select("row")
     # combined before the shuffle, so a text that many rows repeat is no large partition
-    one = F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row")
-    chosen = kept.join(side, "__mark", "left_semi").groupBy("__mark").agg(one).select("__row.*")
-    return once.unionByName(chosen)
+    chosen = kept.join(side, "mark", "left_semi").groupBy("mark").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
+    return once.unionByName(chosen).select("row.*")
