@@ -6,7 +6,7 @@ import re
 from typing import Any
 
 from .dom import Node, body_of, parse
-from .select import SelectorError, XPathError, select, xpath_css
+from .select import SelectorError, XPathError, select, select_path
 
 MAX_BYTES, MAX_PATTERNS, MAX_PATTERN, MAX_MATCHES = 2_000_000, 64, 4096, 1000
 
@@ -58,10 +58,9 @@ def _css(root: Node, selector: str) -> list[Node]:
 
 def _xpath(root: Node, path: str) -> list[Node]:
     try:
-        css = xpath_css(path)
-    except (XPathError, SelectorError) as e:
+        return select_path(root, path)
+    except XPathError as e:
         raise ExtractionError("UNSUPPORTED_XPATH", "Unsupported XPath expression. Use a simpler path with tag/predicate steps.", xpath=path) from e
-    return _css(root, css)
 
 
 def _value(node: Node, field: dict) -> str:

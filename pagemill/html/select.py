@@ -146,54 +146,74 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.walk() if any(_matches(n, steps, len(steps) - 1) for steps in groups)]
 
 
-_STEP = re.compile(r"([A-Za-z_][\w:-]*|\*)(?:\[(.+)\])?")
-_EQUAL = re.compile(r"""@([A-Za-z_][\w:-]*)\s*=\s*['"]([^'"]+)['"]""")
-_CONTAINS = re.compile(r"""contains\(\s*@([A-Za-z_][\w:-]*)\s*,\s*['"]([^'"]+)['"]\s*\)""")
-
-
-def _quoted(value: str) -> str:
-    return '"' + value.replace('"', '\\"') + '"'
-
-
-def _step_css(step: str) -> str | None:
-    m = _STEP.fullmatch(step)
-    if not m:
-        return None
-    css, predicate = m[1], (m[2] or "").strip()
-    if not predicate:
-        return css
-    if predicate.isdigit():
-        return f"{css}:nth-of-type({predicate})"
-    if e := _EQUAL.fullmatch(predicate):
-        name, value = e.groups()
-        safe = re.sub(r"([^A-Za-z0-9_-])", r"\\\1", value.strip())
-        if name == "id":
-            return f"{css}#{safe}"
-        if name == "class" and len(value.split()) == 1:
-            return f"{css}.{safe}"
-        return f"{css}[{name}={_quoted(value)}]"
-    if c := _CONTAINS.fullmatch(predicate):
-        return f"{css}[{c[1]}*={_quoted(c[2])}]"
-    return None
+# --- paths: read straight to the matcher's steps ----------------------------------------
+_WORDS = re.compile(r"""\s*(?:(?P<axis>//?)|(?P<step>\*|[A-Za-z_][\w:-]*(?:\(\))?)|\[(?P<test>(?:"[^"]*"|'[^']*'|[^\]"'])*)\])\s*""")
+_PREDICATE = re.compile(r"""\s*(@[A-Za-z_][\w:-]*|"[^"]+"|'[^']+'|[A-Za-z]+|[0-9]+|[(),=])\s*""")
+
+
+def _words(pattern: re.Pattern, text: str) -> list[re.Match]:
+    """The matches that make up all of a text."""
+    out, at = [], 0
+    while at < len(text):
+        m = pattern.match(text, at)
+        if m is None:
+            raise XPathError(text)
+        out.append(m)
+        at = m.end()
+    return out
+
+
+def _predicate(text: str):
+    """The test of what stands in brackets: a place, an attribute's value, or a part of it."""
+    match [m[1] for m in _words(_PREDICATE, text)]:
+        case [place] if place.isdigit():
+            return lambda n: n.parent is not None and _position(n, True) == int(place)
+        case [name, "=", value] if name[0] == "@" and value[0] in "\"'":
+            return _equals(name[1:], value[1:-1])
+        case ["contains", "(", name, ",", value, ")"] if name[0] == "@" and value[0] in "\"'":
+            return _attribute(name[1:].lower(), "*=", value[1:-1])
+    raise XPathError(text)
+
+
+def _equals(name: str, value: str):
+    """An id, one class of several, or a whole attribute."""
+    bare = value.strip()
+    if name == "id":
+        return _attribute("id", "=", bare)
+    if name == "class" and len(bare.split()) == 1:
+        return lambda n: bare in n.classes()
+    return _attribute(name.lower(), "=", value)
 
 
 @lru_cache(512)
-def xpath_css(xpath: str) -> str:
-    """The selector of a path; its first axis does not count, and ``text()`` steps are skipped."""
-    path, css = xpath.strip(), ""
-    path = path[1:] if path.startswith(".") else path
-    axis = ""
-    for mark, piece in _pieces(path, "/"):
-        axis = axis + mark if not piece.strip() else (axis + mark if axis else mark)
-        step = piece.strip()
-        if not step:
-            continue
-        if step != "text()":
-            one = _step_css(step)
-            if one is None:
-                raise XPathError(xpath)
-            css = one if not css else css + (" " if axis == "//" else " > ") + one
-        axis = ""
-    if not css:
-        raise XPathError(xpath)
-    return css
+def path_steps(path: str):
+    """Steps of a path; its first axis does not count, and ``text()`` is skipped."""
+    steps, axis, last = [], "", None  # an empty axis is the beginning, none a step that was read
+    for word in _words(_WORDS, path.strip().removeprefix(".")):
+        step = word["step"]
+        if word["axis"]:
+            if axis:
+                raise XPathError(path)
+            axis, last = word["axis"], None
+        elif step:
+            if axis is None or ("(" in step and step != "text()"):
+                raise XPathError(path)
+            last = None
+            if step != "text()":
+                last = [] if step == "*" else [lambda n, tag=step.lower(): n.tag == tag]
+                steps.append((">" if axis == "/" and steps else " ", last))
+            axis = None
+        else:
+            if last is None:
+                raise XPathError(path)
+            last.append(_predicate(word["test"]))
+            last = None
+    if not steps:
+        raise XPathError(path)
+    return steps
+
+
+def select_path(root: Node, path: str) -> list[Node]:
+    """Descendants of ``root`` that a path of the subset names, in document order."""
+    steps = path_steps(path)
+    return [n for n in root.walk() if _matches(n, steps, len(steps) - 1)]

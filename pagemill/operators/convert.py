@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import html as entities
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 from ..functions import pages as P
 from ..functions import text as X
 from ..functions import urls
-from ..html.dom import parse, title_of
+from ..functions.regex import first_case, has_any
+from ..html.blocks import leaf_blocks
 from ..html.render import html_to_markdown
-from ..html.select import select
 from ..session import kept
+from ..sources.pages import ARCHIVE_CHARS, reader_answer, scrape_answer
+from .adapters import ADAPTERS, Adapter, name_of, post_processed, site_url
 
 RESULT = T.StructType([T.StructField(x, T.StringType()) for x in ("markdown", "title", "content_html")])
 THIN = 500
@@ -46,109 +48,34 @@ def to_text(html: Column, url: Column, selector: str | None = None) -> Column:
     return X.stripped_text(rendered(html, url, selector)["markdown"])
 
 
-@F.pandas_udf(T.StringType())
-def social_article(html: pd.Series) -> pd.Series:
-    """One platform's article rebuilt: lazy images, title, author and time before the content; code snippets as ``pre``. Other pages stay as they are."""
-    return html.map(lambda h: h if h is None else _social_article(h))
-
-
-_SNIPPET = re.compile(r"""<(?:section|div)[^>]*class="[^"]*code-snippet__fix[^"]*"[^>]*>([\s\S]*?)</(?:section|div)>""", re.I)
-
-
-def _snippet(m: re.Match) -> str:
-    lang = re.search(r"""data-lang=["']([^"']+)["']""", m[1])
-    body = re.sub(r"""<[^>]*class="[^"]*code-snippet__line-index[^"]*"[^>]*>[\s\S]*?</[^>]+>""", "", m[1], flags=re.I)
-    bare = lambda x: entities.unescape(_TAGS.sub("", x)).replace("\xa0", " ")
-    lines = [bare(x) for x in re.findall(r"<code[^>]*>([\s\S]*?)</code>", body, re.I)]
-    lines = [x for x in lines if not re.match(r"[ce]?ounter\(line", x)]
-    code = entities.escape("\n".join(lines) if lines else bare(body).strip(), quote=False)
-    return f'<pre data-lang="{lang[1] if lang else ""}"><code>{code}</code></pre>'
-
-
-def _social_article(html: str) -> str:
-    html = _SNIPPET.sub(_snippet, html)
-    if "js_content" not in html:
-        return html
-    tree = parse(html)
-    content = next(iter(select(tree, "#js_content")), None)
-    if content is None:
-        return html
-    for img in select(content, "img[data-src]"):
-        img.attrs["src"] = img.attrs["data-src"] or img.attrs.get("src", "")
-
-    def text(selector: str) -> str:
-        node = next(iter(select(tree, selector)), None)
-        return " ".join(node.text_content().split()) if node else ""
-
-    og = next(iter(select(tree, "meta[property='og:title']")), None)
-    title = text("#activity-name") or " ".join((og.get("content") or "").split() if og else []) or title_of(tree)
-    safe = lambda x: entities.escape(x).replace("&#x27;", "&#039;")
-    author, when = text("#js_name"), text("[data-wechat-meta='publish_time']")
-    head = (f"<h1>{safe(title)}</h1>" if title else "") + (f'<p data-wechat-meta="author">作者: {safe(author)}</p>' if author else "") + (f'<p data-wechat-meta="publish_time">{safe(when)}</p>' if when else "")
-    return f'<html><head><title>{safe(title)}</title></head><body><article data-adapter="wechat">{head}{content.inner_html()}</article></body></html>'
-
-
-_HARVEST_BLOCKS = frozenset("div p h1 h2 h3 h4 h5 h6 li blockquote pre figure section article ul ol".split())
-
-
-def harvest_blocks(html: str | None) -> list[str]:
-    """The distinct texts of leaf blocks in document order: headings, items, quotes and code marked; images as {{IMG:url}}."""
-    from ..html.dom import body_of
-
-    out, seen = [], set()
-
-    def image(img):
-        sizes = [img.get(k) for k in ("width", "height")]
-        small = any(s and s.isdigit() and 0 < int(s) < 80 for s in sizes)
-        src = img.get("src") or img.get("data-src") or ""
-        odd = any(k in (img.get("class") or "").lower() for k in ("emoji", "reaction", "sticker", "icon", "avatar"))
-        key = "IMG:" + re.sub(r"^[a-z]+://[^/]+|[?#].*$", "", src)
-        if src and not src.startswith("data:") and not small and not odd and key not in seen:
-            seen.add(key)
-            out.append("{{IMG:" + src + "}}")
-
-    def ui(t):
-        short = len(t) < 30
-        return t in P.UI_STRINGS or short and any(s in t for s in P.UI_STRINGS) or len(t) < 20 and re.match(r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d", t) or short and re.match(r"\d{4}[-/]\d{2}[-/]\d{2}", t)
-
-    stack = body_of(parse(html or "")).elements()[::-1]
-    while stack:
-        n = stack.pop()
-        names = n.get("class") or ""
-        if n.tag == "img":
-            image(n)
-        elif n.tag == "figure" or "image" in names:
-            if img := n.find("img"):
-                image(img)
-            if (cap := n.find("figcaption")) and len(t := cap.text_content().strip()) >= 2 and t not in seen:
-                seen.add(t)
-                out.append(t)
-        elif any(c.tag in _HARVEST_BLOCKS for c in n.elements()):
-            stack.extend(n.elements()[::-1])
-        else:
-            for img in [x for x in n.walk() if x.tag == "img"]:
-                image(img)
-            t = n.text_content().strip()
-            if len(t) < 2 or t in seen or ui(t):
-                continue
-            seen.add(t)
-            head = n if re.fullmatch("h[1-6]", n.tag) else n.find("h1", "h2", "h3", "h4", "h5", "h6")
-            if head:
-                out.append("#" * int(head.tag[1]) + " " + t)
-            elif n.tag == "li":
-                out.append("- " + t)
-            elif n.tag == "blockquote" or "quote" in names:
-                out.append("> " + t)
-            elif n.tag == "pre" or "code" in names:
-                out.append(f"\n```\n{t}\n```\n")
-            else:
-                out.append(t)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def harvested(html: pd.Series) -> pd.Series:
-    return html.map(harvest_blocks)
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])))
+def leaves(html: pd.Series) -> pd.Series:
+    """Leaf blocks of every page, as they stand."""
+    return html.map(lambda h: [] if h is None else [{"kind": k, "value": v} for k, v in leaf_blocks(h)])
+
+
+#: How the text of a block is written, by its kind; others stay as they are.
+MARKS = {"image": ("{{IMG:", "}}"), "item": ("- ", ""), "quote": ("> ", ""), "code": ("\n```\n", "\n```\n"), **{f"h{n}": ("#" * n + " ", "") for n in range(1, 7)}}
+
+
+def harvested(blocks: Column) -> Column:
+    """The distinct texts of ``leaves`` in document order, marked by their kind, without boilerplate; a picture counts as repeated by its path."""
+    kind = lambda b: b["kind"]
+    said = lambda b: (F.length(b["value"]) > 1) & ((kind(b) == "caption") | ~P.is_ui_text(b["value"]))
+    shown = F.filter(blocks, lambda b: (kind(b) == "image") | said(b))
+    path = lambda b: F.regexp_replace(b["value"], r"^[a-z]+://[^/]+|[?#].*$", "")
+    keys = F.transform(shown, lambda b: F.when(kind(b) == "image", F.concat(F.lit("IMG:"), path(b))).otherwise(b["value"]))
+    first = F.filter(F.arrays_zip(shown.alias("b"), keys.alias("k"), F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1))).alias("n")), lambda x: F.array_position(keys, x["k"]) == x["n"])
+
+    def written(x):
+        return first_case([(kind(x["b"]) == k, F.concat(F.lit(a), x["b"]["value"], F.lit(z))) for k, (a, z) in MARKS.items()], x["b"]["value"])
+
+    return F.transform(first, written)
+
+
+def block_markdown(blocks: Column) -> Column:
+    """Harvested ``leaves`` as Markdown, pictures as such."""
+    return F.array_join(F.transform(harvested(blocks), lambda b: F.regexp_replace(b, r"^\{\{IMG:(.*)\}\}$", "![]($1)")), "\n\n")
 
 
 def fetch_errors(pages: DataFrame) -> DataFrame:
@@ -169,51 +96,127 @@ def fetch_errors(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"error_code": pick(1), "error": pick(2)})
 
 
-def convert(pages: DataFrame, kind: str = "markdown", selector: str | None = None, rules: DataFrame | None = None, archives: DataFrame | None = None, json_ld_raw: bool = True, timestamp: Column | None = None) -> DataFrame:
+def copies(archives: DataFrame) -> DataFrame:
+    """(url, wayback, archive) of archived pages (url, html[, source, at]): of either source the copy captured last, or the longest; short copies don't count.
+
+    Copies without a source are the archive's.
+    """
+    have = archives.columns
+    source = F.col("source") if "source" in have else F.lit("archive")
+    order = F.struct(*([F.col("at")] if "at" in have else []), F.length("html"), F.xxhash64("html"))
+    of = lambda name: F.max_by("html", F.when(source == name, order)).alias(name)
+    return archives.where(F.length("html") > ARCHIVE_CHARS).groupBy("url").agg(of("wayback"), of("archive"))
+
+
+def convert(
+    pages: DataFrame,
+    kind: str = "markdown",
+    selector: str | None = None,
+    rules: DataFrame | None = None,
+    archives: DataFrame | None = None,
+    json_ld_raw: bool = True,
+    timestamp: Column | None = None,
+    amp: DataFrame | None = None,
+    answers: DataFrame | None = None,
+    adapters: Sequence[Adapter] = ADAPTERS,
+    image_host: str | None = None,
+) -> DataFrame:
     """(url, content, title, method, fallbacks, paywall_detected, error_code, error) of every page.
 
     Faulty pages never reach Python: the table is split by the JVM's predicates first.
-    A thin page that looks paywalled is replaced by its JSON-LD article, or the copy in
-    ``archives`` (url, html), where that is longer. ``json_ld_raw`` reads JSON-LD
-    before scripts are stripped, which is what the fallback needs to find any.
+    Adapters say where a page lies and clean it. A walled page under one of ``rules`` is
+    replaced by its copy in ``amp`` (url, html) where that is open and at least half as
+    long. A thin page that looks paywalled is replaced by its JSON-LD article, or the
+    copies in ``archives``, where those are longer; a thin page without any of these by
+    what providers say in ``answers`` (url, scrape, reader: JSON). ``json_ld_raw`` reads
+    JSON-LD before scripts are stripped, which is what the fallback needs to find any.
+    ``image_host`` serves images of a host that refuses other pages.
+
+    Null or empty pages and pages of null status are errors; repeated rows are converted
+    as often as they occur; an empty table gives no rows.
     """
     made = fetch_errors(pages)
-    raw, stripped = F.col("html"), P.without_scripts(F.col("html"))
-    ok = made.where("error_code is null")
-    ok = urls.with_parts(ok, "url", "__p") if rules is not None else ok
-    ok = ok.withColumn("__site", P.adapter(F.col("url"), F.lit(""), F.lit("")))
-    body = F.when(F.col("__site") == "netease", P.without_news_noise(stripped)).when(F.col("__site") == "reddit", P.forum_post(stripped)).otherwise(stripped)
-    ok = ok.withColumn("__clean", P.without_paywall(body)).withColumn("__ld", P.json_ld_article(raw if json_ld_raw else F.col("__clean")))
-    ok = ok.withColumn("__wall", P.looks_paywalled(F.col("__clean")))
+    ok = made.where("error_code is null").withColumn("__site", name_of(F.col("url"), adapters)).withColumn("__base", site_url(F.col("url"), adapters))
+    raw = F.col("html")
+    body = post_processed(P.without_scripts(raw), F.col("__site"), adapters)
     if rules is not None:
-        ok = ok.withColumn("__host", F.col("__p.host"))
-        ok = P.with_paywall_rule(ok, rules, "__host").withColumn("__rule", F.col("domain").isNotNull())
+        own = sorted(r[0] for r in rules.select(F.explode("remove_selectors")).distinct().collect())  # a few a rule
+        ok = P.with_paywall_rule(ok.withColumn("__host", urls.plain_parts(F.col("__base"))[1]), rules, "__host").withColumn("__rule", F.col("domain").isNotNull())
+        clean = P.without_paywall(body, own, F.coalesce("remove_selectors", F.array().cast("array<string>")))
     else:
-        ok = ok.withColumn("__rule", F.lit(False))
-    if archives is not None:
-        ok = ok.join(archives.where(F.length("html") > 1000).groupBy("url").agg(F.max("html").alias("__old")), "url", "left")
-    else:
-        ok = ok.withColumn("__old", F.lit(None).cast("string"))
-    own = ["url", "__ld", "__wall", "__rule", "__old"]
+        ok, own, clean = ok.withColumn("__rule", F.lit(False)), [], P.without_paywall(body)
+    ok = ok.withColumn("__clean", clean).withColumn("__ruled", F.col("__rule") & P.looks_paywalled(F.col("__clean")))
+    ok = ok.withColumn("__amp", F.lit(None).cast("string")) if amp is None else _with_amp(ok, amp)
+    ok = ok.withColumn("__by_amp", F.col("__amp").isNotNull()).withColumn("__clean", F.coalesce("__amp", "__clean"))
+    ok = ok.withColumn("__ld", P.json_ld_article(raw if json_ld_raw else F.col("__clean"))).withColumn("__wall", P.looks_paywalled(F.col("__clean")))
+    ok = ok.withColumns({"wayback": F.lit(None).cast("string"), "archive": F.lit(None).cast("string")}) if archives is None else ok.join(copies(archives).withColumnRenamed("url", "__base"), "__base", "left")
+    cleaned = lambda c: P.without_paywall(P.without_scripts(F.col(c)), own, F.coalesce("remove_selectors", F.array().cast("array<string>")) if own else None)
+    ok = ok.withColumn("__blocks", leaves(F.when(F.col("__site") == "feishu", raw)))
+    blocks = block_markdown(F.col("__blocks"))
+    harvest = F.struct(blocks.alias("markdown"), F.lit("").alias("title"), X.basic_html(blocks).alias("content_html"))
+    ok = ok.withColumn("__m", rendered(F.when(F.col("__site") != "feishu", F.col("__clean")).otherwise(""), F.col("__base"), selector))
+    ok = ok.withColumn("__m", F.when(F.col("__site") == "feishu", harvest).otherwise(F.col("__m")))
     # written once: both branches below read the rendering, and neither works the patterns out again
-    ok = kept(ok.select(*own, rendered(F.col("__clean"), F.col("url"), selector).alias("__m")))
+    ok = kept(ok.select("url", "__base", "__ld", "__wall", "__ruled", "__rule", "__by_amp", F.length("__clean").alias("__size"), cleaned("wayback").alias("__w"), cleaned("archive").alias("__a"), "__m"))
     # only thin, walled pages are rendered again
-    thin = F.col("__wall") & (F.length("__m.markdown") < THIN)
-    usual = ok.where(~thin | F.col("__m.markdown").isNull()).select("url", "__wall", F.col("__m").alias("m"), F.array().cast("array<string>").alias("fallbacks"))
-    poor = ok.where(thin).withColumn("__j", rendered(F.col("__ld"), F.col("url"), selector)).withColumn("__o", rendered(P.without_paywall(P.without_scripts(F.col("__old"))), F.col("url"), selector))
-    size = lambda c: F.length(F.coalesce(F.col(f"{c}.markdown"), F.lit("")))
-    by_ld = size("__j") > size("__m")
-    by_old = F.col("__rule") & (F.greatest(size("__j"), size("__m")) < THIN) & (size("__o") > F.greatest(size("__j"), size("__m")))
-    rescued = poor.select("url", "__wall", F.when(by_old, F.col("__o")).when(by_ld, F.col("__j")).otherwise(F.col("__m")).alias("m"), F.array_compact(F.array(F.when(by_ld, "jsonld"), F.when(by_old, "archive_post_convert"))).alias("fallbacks"))
-    both = usual.unionByName(rescued)
+    thin = F.coalesce(F.col("__wall") & (F.length("__m.markdown") < THIN), F.lit(False))
+    every = ["url", "__base", "__size", (F.col("__wall") | F.col("__ruled")).alias("wall"), F.array_compact(F.array(F.when(F.col("__by_amp"), "amp"))).alias("fallbacks")]
+    usual = ok.where(~thin).select(*every, F.col("__m").alias("m"))
+    poor = ok.where(thin).select("__rule", *every, F.col("__m").alias("m"), *(rendered(F.col(c), F.col("__base"), selector).alias(c) for c in ("__ld", "__w", "__a")))
+    poor = _longer(poor, "__ld", "jsonld", F.lit(True))
+    poor = _longer(poor, "__w", "wayback_post_convert", F.col("__rule"))
+    poor = _longer(poor, "__a", "archive_post_convert", F.col("__rule"))
+    both = usual.unionByName(poor.select(usual.columns)).withColumn("method", F.lit("readability"))
+    if answers is not None:
+        both = _with_answers(both, answers)
+    given = F.col("method") != "readability"
     markdown, title = F.col("m.markdown"), F.col("m.title")
-    content = F.when(F.lit(kind == "html"), F.col("m.content_html")).otherwise(X.formatted(F.lit(kind), markdown, F.col("url"), title, F.lit("readability"), timestamp if timestamp is not None else F.lit("")))
-    empty = F.trim(markdown) == ""
-    good = both.select("url", F.when(~empty, content).alias("content"), "m.title", F.lit("readability").alias("method"), "fallbacks", F.col("__wall").alias("paywall_detected"), F.when(empty, 422).alias("error_code"), F.when(empty, "No Content").alias("error"))
+    formatted = X.formatted(F.lit(kind), markdown, F.col("url"), title, F.col("method"), timestamp if timestamp is not None else F.lit(""))
+    content = F.when(F.lit(kind == "html") & ~given, F.col("m.content_html")).otherwise(formatted)
+    if image_host and kind == "markdown":
+        guarded = has_any(F.col("__base"), ["mmbiz.qpic.cn", "mp.weixin.qq.com"])
+        content = F.when(guarded, X.proxied_images(content, image_host)).otherwise(content)
+    empty = F.trim(F.coalesce(markdown, F.lit(""))) == ""
+    good = both.select("url", F.when(~empty, content).alias("content"), "m.title", "method", "fallbacks", F.col("wall").alias("paywall_detected"), F.when(empty, 422).alias("error_code"), F.when(empty, "No Content").alias("error"))
     bad = made.where("error_code is not null").select("url", F.lit(None).cast("string").alias("content"), F.lit("").alias("title"), F.lit("").alias("method"), F.array().cast("array<string>").alias("fallbacks"), F.lit(False).alias("paywall_detected"), "error_code", "error")
     return good.unionByName(bad)
 
 
+def _with_amp(ok: DataFrame, amp: DataFrame) -> DataFrame:
+    """``__amp``: the AMP copy of a walled page under a rule, if it is open and at least half as long."""
+    link = urls.normalized(F.when(F.col("__ruled"), P.amp_link(F.col("__clean"))), F.col("__base"))
+    copies = amp.groupBy(F.col("url").alias("__link")).agg(P.without_amp_controls(F.max_by("html", F.struct(F.length("html"), F.xxhash64("html")))).alias("__copy"))
+    made = ok.withColumn("__link", link).join(copies, "__link", "left")
+    usable = ~P.looks_paywalled(F.col("__copy")) & (F.length("__copy") > F.length("__clean") / 2)
+    return made.withColumn("__amp", F.when(usable, F.col("__copy"))).drop("__copy", "__link")
+
+
+def _longer(rows: DataFrame, other: str, name: str, allowed: Column) -> DataFrame:
+    """``m`` replaced by a longer rendering while it is thin, with the fallback's name."""
+    size = lambda c: F.length(F.coalesce(F.col(f"{c}.markdown"), F.lit("")))
+    go = F.coalesce(allowed & (size("m") < THIN) & (size(other) > size("m")), F.lit(False))
+    titled = F.struct(F.col(f"{other}.markdown"), F.coalesce(F.nullif(F.col(f"{other}.title"), F.lit("")), "m.title").alias("title"), F.col(f"{other}.content_html"))
+    return rows.withColumns({"fallbacks": F.when(go, F.array_append("fallbacks", F.lit(name))).otherwise(F.col("fallbacks")), "m": F.when(go, titled).otherwise(F.col("m"))})
+
+
+def _with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Thin pages without any fallback, by the scrape service's longer answer, else the reader's."""
+    told = answers.select(F.col("url").alias("__base"), scrape_answer(F.col("scrape")).alias("__s"), reader_answer(F.col("reader")).alias("__r")).dropDuplicates(["__base"])
+    made = rows.join(told, "__base", "left")
+    size = lambda c: F.length(F.coalesce(F.col(f"{c}.markdown"), F.lit("")))
+    asks = (size("m") < THIN) & (F.size("fallbacks") == 0) & (F.col("__size") > 2000)
+    by_scrape = F.coalesce(asks & (size("__s") > size("m")), F.lit(False))
+    by_reader = F.coalesce(asks & ~by_scrape & (size("__r") > size("m")), F.lit(False))
+    told_by = lambda c: F.struct(F.col(f"{c}.markdown"), F.coalesce(F.nullif(F.col(f"{c}.title"), F.lit("")), "m.title").alias("title"), F.lit("").alias("content_html"))
+    return made.withColumns(
+        {
+            "method": F.when(by_scrape, "firecrawl").when(by_reader, "jina").otherwise(F.col("method")),
+            "fallbacks": F.when(by_scrape, F.array(F.lit("firecrawl_fallback"))).when(by_reader, F.array(F.lit("jina_fallback"))).otherwise(F.col("fallbacks")),
+            "m": F.when(by_scrape, told_by("__s")).when(by_reader, told_by("__r")).otherwise(F.col("m")),
+        }
+    ).drop("__s", "__r")
+
+
 def by_ladder(requests: DataFrame) -> DataFrame:
     """The first source that answers of cached, scrape, reader, provider and page columns (Markdown or null), and its method.
 

@@ -392,7 +392,7 @@ def page_regex_extract(spark, sf_dir):
 
 @query()
 def page_links(spark, sf_dir):
-    return links.edges(table(spark, sf_dir, "pages").repartition("page_id"))
+    return links.edges(table(spark, sf_dir, "pages"))
 
 
 CSS_SCHEMA = {"fields": [{"name": "heading", "selector": "article h1"}, {"name": "links", "selector": "nav a", "type": "attribute", "attribute": "href", "multiple": True}, {"name": "lead", "selector": "article > p:nth-of-type(1)"}]}
@@ -401,34 +401,35 @@ XPATH_SCHEMA = {"baseXPath": "//article", "fields": [{"name": "heading", "xpath"
 
 @query()
 def page_css_extract(spark, sf_dir):
-    return extract.extract_rows(table(spark, sf_dir, "pages").repartition("page_id"), "css", CSS_SCHEMA)
+    return extract.extract_rows(table(spark, sf_dir, "pages"), "css", CSS_SCHEMA)
 
 
 @query()
 def page_xpath_extract(spark, sf_dir):
-    return extract.extract_rows(table(spark, sf_dir, "pages").repartition("page_id"), "xpath", XPATH_SCHEMA)
+    return extract.extract_rows(table(spark, sf_dir, "pages"), "xpath", XPATH_SCHEMA)
 
 
 @query()
 def page_regex_strategy(spark, sf_dir):
-    return extract.extract_pages(table(spark, sf_dir, "pages").repartition("page_id"), "regex", {"patterns": {"href": 'href="([^"]+)"', "title": "<title>([^<]*)</title>"}}, {"dedupe": True})
+    return extract.extract_pages(table(spark, sf_dir, "pages"), "regex", {"patterns": {"href": 'href="([^"]+)"', "title": "<title>([^<]*)</title>"}}, {"dedupe": True})
 
 
 @query()
 def page_markdown(spark, sf_dir):
-    return convert.convert(table(spark, sf_dir, "pages").repartition("page_id").select("url", "html"))
+    return convert.convert(table(spark, sf_dir, "pages").select("url", "html"))
 
 
 @query()
 def page_text_content(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").repartition("page_id")
+    p = table(spark, sf_dir, "pages")
     return p.select("page_id", convert.to_text(F.col("html"), F.col("url")).alias("text"))
 
 
 @query()
 def page_blocks(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").repartition("page_id")
-    return p.select("page_id", F.posexplode(convert.harvested(F.col("html"))).alias("pos", "block"))
+    p = table(spark, sf_dir, "pages")
+    made = p.select("page_id", convert.leaves("html").alias("leaves"))
+    return made.select("page_id", F.posexplode(convert.harvested(F.col("leaves"))).alias("pos", "block"))
 
 
 # --- texts ------------------------------------------------------------------------------

@@ -49,7 +49,16 @@ def test_bad_selectors(bad):
     [("//article[@class='post']", "article.post"), (".//h1", "h1"), ("/html/body//p", "html > body p"), ("//a[2]", "a:nth-of-type(2)"), ("//*[@id='m n']", "*#m\\ n"), ("//a[contains(@href,'x/y')]/text()", 'a[href*="x/y"]'), ("//p[@class='a b']", 'p[class="a b"]')],
 )
 def test_xpath(path, css):
-    assert select.xpath_css(path) == css
+    """A path finds what the selector of the same meaning finds."""
+    tree = dom.parse("<html><head></head><body><article class='post new'><h1>One</h1><p class='a b'>x</p><p class='b a'>y</p><a href='/x/y'>1</a><a href='/x'>2</a></article><div id='m n'><h1>Two</h1><p>z</p></div></body></html>")
+    found = select.select_path(tree, path)
+    assert found and found == select.select(tree, css)
+
+
+@pytest.mark.parametrize("path", ["", "//", "text()", "//a[", "//a[1][2]", "//a b", "//a[last()]", "//a[@x=1]", "a()", "///a", "//a[.='x']", "//p[@a='1' and @b='2']"])
+def test_paths_beyond_the_subset(path):
+    with pytest.raises(select.XPathError):
+        select.path_steps(path)
 
 
 CARDS = "<div class='card'><h2>Alpha</h2><a href='/a'>x</a></div><div class='card'><h2> Beta </h2><a href='/b'>y</a></div>"

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import pages
-from pagemill.operators import convert
+from pagemill.html import social
+from pagemill.operators import adapters, convert
 
 
 def one(spark, f, html):
@@ -76,13 +77,58 @@ def test_amp_and_sites(spark):
     assert [r[0] for r in df.select(pages.adapter(F.col("u"), F.col("h"), F.col("p"))).collect()] == ["feishu", "generic", "zhihu", "twitter", "generic"]
 
 
-def test_social_article_and_harvest():
+def test_social_article_and_harvest(spark):
     page = "<html><head><title>T</title></head><body><h1 id='activity-name'> Name </h1><a id='js_name'>Me</a><div id='js_content'><img data-src='r.png'><section class=\"code-snippet__fix\" data-lang='js'><ul class=\"code-snippet__line-index\"><li></li></ul><pre data-lang=\"js\"><code>a &lt; b</code><code>ounter(line</code></pre></section></div></body></html>"
-    got = convert._social_article(page)
-    assert "<h1>Name</h1>" in got and "作者: Me" in got and 'src="r.png"' in got and "a &lt; b" in got and "ounter" not in got
-    assert convert._social_article("<p>x</p>") == "<p>x</p>"
-    blocks = convert.harvest_blocks("<div><h2>Head</h2><p>text one</p><p>text one</p><p>Share</p><ul><li>item</li></ul><blockquote>said</blockquote><pre>x=1</pre><figure><img src='/i.png'><figcaption>cap</figcaption></figure><img src='s.png' width=20></div>")
-    assert blocks == ["## Head", "text one", "- item", "> said", "\n```\nx=1\n```\n", "{{IMG:/i.png}}", "cap"]
+    got = social.article(page)
+    assert "<h1>Name</h1>" in got and "作者: Me" in got and 'src="r.png"' in got and '<pre data-lang="js"><code>a &lt; b</code></pre>' in got and "ounter" not in got
+    assert social.article("<p>x</p>") == "<p>x</p>"
+    html = "<div><h2>Head</h2><p>text one</p><p>text one</p><p>Share</p><ul><li>item</li></ul><blockquote>said</blockquote><pre>x=1</pre><figure><img src='/i.png'><figcaption>cap</figcaption></figure><img src='s.png' width=20><img src='https://o.org/i.png?x=1'></div>"
+    df = spark.createDataFrame([(html,), ("",), (None,), ("<p>ab</p><img src='/x.png'>",)], "h string").select(convert.leaves("h").alias("b"))
+    got = df.select(convert.harvested(F.col("b")), convert.block_markdown(F.col("b"))).collect()
+    assert got[0][0] == ["## Head", "text one", "- item", "> said", "\n```\nx=1\n```\n", "{{IMG:/i.png}}", "cap"]
+    assert got[1][0] == got[2][0] == [] and got[3][1] == "ab\n\n![](/x.png)"
+
+
+def test_adapters(spark):
+    own = adapters.scaffold("mine", ["mine.org/"], transform_url=lambda u: F.concat(u, F.lit("?print=1")), post_process=lambda h: F.replace(h, F.lit("ad"), F.lit("")))
+    every = adapters.register(own)
+    df = spark.createDataFrame([("https://mine.org/a", "x ad y"), ("https://www.reddit.com/r/x", "z"), ("https://b.org/", None)], "url string, html string")
+    u, h = F.col("url"), F.col("html")
+    got = df.select(adapters.name_of(u, every).alias("n"), adapters.site_url(u, every).alias("at"), adapters.post_processed(h, adapters.name_of(u, every), every).alias("h")).collect()
+    assert [tuple(r) for r in got] == [("mine", "https://mine.org/a?print=1", "x  y"), ("reddit", "https://old.reddit.com/r/x", "z"), ("generic", "https://b.org/", None)]
+    there = spark.createDataFrame([("https://old.reddit.com/r/x", "post")], "url string, html string")
+    assert {r.url: r.html for r in adapters.fetched(df.select("url"), there, every).collect()} == {"https://mine.org/a": None, "https://www.reddit.com/r/x": "post", "https://b.org/": None}
+    for bad in (("", ["x"]), ("generic", ["x"]), ("a", [])):
+        with pytest.raises(ValueError):
+            adapters.scaffold(*bad)
+
+
+def test_convert_amp_rules_providers_and_sites(spark):
+    text = "<p>Enough text, with commas, to be the main content of a page.</p>" * 30
+    wall = "<div class='own-wall'>x</div><p>subscribe to read</p>" + "<i></i>" * 400
+    rows = [
+        ("https://www.ft.com/amp", '<link rel="amphtml" href="/amp/1">' + wall),
+        ("https://www.ft.com/shut", '<link rel="amphtml" href="/amp/2">' + wall),
+        ("https://www.ft.com/own", "<article><h1>T</h1><p class='own-wall'>pay now please</p>" + text + "</article>"),
+        ("https://b.org/own", "<article><h1>T</h1><p class='own-wall'>pay now please</p>" + text + "</article>"),
+        ("https://b.org/thin", "<p>thin</p>" + "<i></i>" * 400),
+        ("https://t.feishu.cn/wiki/a", "<div><h1>Doc</h1><p>first block</p><img src='/p.png'></div>"),
+        ("https://mp.weixin.qq.com/s/1", f"<h1 id='activity-name'>Name</h1><div id='js_content'>{text}<img data-src='https://mmbiz.qpic.cn/a b'></div>"),
+    ]
+    df = spark.createDataFrame(rows, "url string, html string")
+    rules = pages.paywall_rules(spark, [{"domains": ["ft.com"], "removeSelectors": [".own-wall"]}])
+    amp = spark.createDataFrame([("https://www.ft.com/amp/1", f"<article><p amp-access-hide>open</p>{text}</article>"), ("https://www.ft.com/amp/2", wall)], "url string, html string")
+    old = spark.createDataFrame([("https://www.ft.com/shut", f"<article>older{text}{text}</article>", "wayback", 1), ("https://www.ft.com/shut", f"<article>newer{text}</article>", "wayback", 2)], "url string, html string, source string, at int")
+    told = spark.createDataFrame([("https://b.org/thin", None, json.dumps({"data": {"content": "what the reader says " * 3, "title": "Told"}}))], "url string, scrape string, reader string")
+    got = {r.url: r for r in convert.convert(df, rules=rules, amp=amp, archives=old, answers=told, image_host="i.org").collect()}
+    amped, shut, own, other, thin, doc, social_page = (got[u] for u, _ in rows)
+    assert "Enough text" in amped.content and amped.fallbacks == ["amp"] and amped.paywall_detected
+    assert "newer" in shut.content and shut.fallbacks == ["wayback_post_convert"]
+    assert "pay now" not in own.content and "pay now" in other.content
+    assert thin.content.startswith("what the reader") and (thin.title, thin.method, thin.fallbacks) == ("Told", "jina", ["jina_fallback"])
+    assert doc.content == "# Doc\n\nfirst block\n\n![](/p.png)"
+    assert social_page.content.startswith("# Name") and "https://i.org/img/" in social_page.content
+    assert convert.convert(df.limit(0), rules=rules, amp=amp, archives=old, answers=told).collect() == []
 
 
 def test_convert(spark):
