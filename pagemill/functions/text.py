@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .regex import replace_all
 
-#: Ordered: each step sees what the one before it left.
+# --- fixed values: marks of Markdown, in order: each step sees what the one before left ---
 PLAIN_STEPS = [
     ("\r\n?", "\n"),
     (r"(?md)^#{1,6}\s+", ""),
@@ -51,6 +51,7 @@ STRIP_STEPS = [
     (r"(?md)^>\s", ""),
 ]
 MAX_CHARS, MAX_LINE = 2_000_000, 20_000
+# -------------------------------------------------------------------------------------
 
 
 def strip(text: Column) -> Column:

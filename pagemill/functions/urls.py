@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from . import whatwg
 from .regex import ends_any, first_case, has_any, literal
+from .text import strip
 
 MAX_URL = 4096
 # --- fixed values ------------------------------------------------------------------
@@ -20,6 +21,22 @@ OWN_PARAMETERS = ["raw", "force_browser", "no_cache", "format", "selector", "tok
 TWO_PART_SUFFIXES = ["co.uk", "com.au", "co.jp", "co.kr", "com.br", "com.cn"]
 LONG_TTL_MARKS = ["mp.weixin.qq.com", ".feishu.cn/", ".larksuite.com/"]
 SHORT_TTL_MARKS = ["zhihu.com", "juejin.cn", "twitter.com", "x.com"]
+PLATFORM_HOSTS = [
+    # label, hosts, ends of hosts
+    ("wechat", ["mp.weixin.qq.com"], []),
+    ("zhihu", [], ["zhihu.com"]),
+    ("juejin", [], ["juejin.cn"]),
+    ("xiaohongshu", [], ["xiaohongshu.com", "xhslink.com"]),
+    ("weibo", [], ["weibo.com"]),
+    ("x", ["x.com"], [".x.com", "twitter.com"]),
+    ("github", [], ["github.com"]),
+    ("linkedin", [], ["linkedin.com"]),
+    ("youtube", ["youtu.be"], ["youtube.com"]),
+    ("medium", [], ["medium.com"]),
+    ("substack", [], ["substack.com"]),
+    ("notion", [], ["notion.site", "notion.so"]),
+    ("google_docs", [], ["docs.google.com"]),
+]
 # -----------------------------------------------------------------------------------
 
 PARTS = T.StructType([T.StructField(x, T.StringType()) for x in ("url", "scheme", "host", "netloc", "path", "query", "canonical")])
@@ -92,11 +109,22 @@ def is_safe_host(scheme: Column, host: Column) -> Column:
     return F.coalesce(~reduce(lambda a, b: a | b, unsafe), F.lit(False))
 
 
+#: URLs that every parser reads alike: lower-case names ending in letters, and encoded paths.
+_CLEAN = r"^https?://(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,63}(?:[/?#][A-Za-z0-9/?#&=%._~+,;:@!$*()-]*)?$"
+
+
+def is_safe(url: Column, parts: Column) -> Column:
+    """Valid and not internal, by the struct of the URL's parts."""
+    return is_http(url, parts["scheme"]) & is_safe_host(parts["scheme"], parts["host"])
+
+
 def safe_pages(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL is valid and safe to fetch; the parsing UDF runs once a row, the rules in the JVM."""
-    made = with_parts(pages, url, "__parts")
-    ok = is_http(F.col(url), F.col("__parts.scheme")) & is_safe_host(F.col("__parts.scheme"), F.col("__parts.host"))
-    return made.where(ok).drop("__parts")
+    """Rows whose URL is valid and safe to fetch. Clean URLs are read in the JVM; the parsing UDF sees only the others."""
+    clean = F.coalesce(F.col(url).rlike(_CLEAN), F.lit(False))
+    scheme, host = plain_parts(F.col(url))
+    made = pages.withColumn("__parts", parsed(F.when(~clean, F.col(url))))
+    made = made.withColumn("__parts", F.struct(F.when(clean, scheme).otherwise(F.col("__parts.scheme")).alias("scheme"), F.when(clean, host).otherwise(F.col("__parts.host")).alias("host")))
+    return made.where(is_safe(F.col(url), F.col("__parts"))).drop("__parts")
 
 
 def _parameters(search: Column) -> Column:
@@ -190,6 +218,11 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def composite_score(*scores: Column) -> Column:
+    """The sum of scorers' Columns; nothing scores zero."""
+    return reduce(lambda a, b: a + b, scores, F.lit(0.0))
+
+
 def keyword_score(url: Column, anchor: Column, keywords: list[str], weight: float = 1.0) -> Column:
     """``weight`` for each distinct-position keyword in the URL or its anchor text."""
     words = [k.strip().lower() for k in keywords if k.strip()]
@@ -203,25 +236,9 @@ def ttl_seconds(url: Column) -> Column:
 
 def platform(host: Column, path: Column) -> Column:
     """The target platform by the first host rule that holds; null hosts are invalid."""
-    ends = lambda *x: ends_any(host, list(x))
-    rules = [
-        (host.isNull(), "invalid_url"),
-        (host == "mp.weixin.qq.com", "wechat"),
-        (ends("zhihu.com"), "zhihu"),
-        (ends("juejin.cn"), "juejin"),
-        (ends("xiaohongshu.com", "xhslink.com"), "xiaohongshu"),
-        (ends("weibo.com"), "weibo"),
-        ((host == "x.com") | ends(".x.com", "twitter.com"), "x"),
-        (ends("github.com"), "github"),
-        (ends("linkedin.com"), "linkedin"),
-        (ends("youtube.com") | (host == "youtu.be"), "youtube"),
-        (ends("medium.com"), "medium"),
-        (ends("substack.com"), "substack"),
-        (ends("notion.site", "notion.so"), "notion"),
-        (ends("docs.google.com"), "google_docs"),
-        (F.lower(path).endswith(".pdf"), "pdf"),
-    ]
-    return first_case(rules, "generic")
+    named = lambda exact, ends: reduce(lambda a, b: a | b, [*(host == x for x in exact), *(host.endswith(x) for x in ends)])
+    rules = [(named(exact, ends), label) for label, exact, ends in PLATFORM_HOSTS]
+    return first_case([(host.isNull(), "invalid_url"), *rules, (F.lower(path).endswith(".pdf"), "pdf")], "generic")
 
 
 def pacing_domain(netloc: Column) -> Column:
@@ -241,9 +258,19 @@ def cookie(header: Column, name: str) -> Column:
     return F.trim(F.regexp_replace(F.get(pairs, F.lit(0)), "^[^=]*=", ""))
 
 
-def string_list(values: Column) -> Column:
-    """Trimmed, distinct, in order, blanks dropped."""
-    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""))
+MAX_ITEM = 512
+
+
+def string_list(values: Column, field: str, most: int, longest: int = MAX_ITEM) -> Column:
+    """struct(items, error): trimmed and distinct, in order; or the first reason to reject a list. Null is an empty list."""
+    trimmed = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: strip(v))
+    error = F.coalesce(
+        F.when(F.size(trimmed) > most, f"{field} supports at most {most} items."),
+        F.when(F.exists(trimmed, lambda v: v.isNull()), f"{field} must only contain strings."),
+        F.when(F.exists(trimmed, lambda v: v == ""), f"{field} must only contain non-empty strings."),
+        F.when(F.exists(trimmed, lambda v: F.length(v) > longest), f"{field} items must be at most {longest} characters."),
+    )
+    return F.struct(F.when(error.isNull(), F.array_distinct(trimmed)).alias("items"), error.alias("error"))
 
 
 def provider_eligible(df: DataFrame, rules: DataFrame, blocked: DataFrame, host: str = "host", adapter: str = "adapter") -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -73,73 +74,100 @@ class State:
     stats: dict = field(default_factory=dict)
 
 
-def page_filter(url: Column, host: Column, content_type: Column, s: Settings) -> Column:
-    """Pattern, domain and content-type filters, in that order."""
-    return urls.all_of(urls.matches_glob(url, list(s.patterns)), urls.passes_domains(host, s.allow, s.block), urls.passes_content_type(content_type, list(s.content_types)))
+#: A caller's own rule or score: a Column of a URL and of its anchor text (null for a page).
+Rule = Callable[[Column, Column], Column]
 
 
-def prepared_edges(edges: DataFrame, seed: str, s: Settings) -> DataFrame:
-    """Edges that may be followed, with the score of their target: all per-edge rules as Columns, before any level."""
-    seed_url = whatwg.parse(seed)
-    made = urls.with_parts(edges, "dst", "p")
-    keep = page_filter(F.col("dst"), F.col("p.host"), F.lit(None).cast("string"), s)
-    if not s.include_external:
-        keep = keep & (F.col("p.netloc") == (seed_url.netloc if seed_url else ""))
-    score = urls.keyword_score(F.col("dst"), F.col("anchor"), list(s.keywords), s.weight)
-    return made.withColumn("score", score).where(keep & (F.col("score") >= s.threshold)).select("src", "pos", "dst", "anchor", "score")
+def page_filter(url: Column, parts: Column, content_type: Column, s: Settings) -> Column:
+    """Validity and safety, then patterns, domains and content types."""
+    return urls.all_of(urls.is_safe(url, parts), urls.matches_glob(url, list(s.patterns)), urls.passes_domains(parts["host"], s.allow, s.block), urls.passes_content_type(content_type, list(s.content_types)))
 
 
-def breadth_first(pages: DataFrame, edges: DataFrame, seed: str, s: Settings, state: State | None = None, on_level: Callable[[State], None] | None = None) -> State:
-    """Crawl ``pages`` (url[, content_type]) along ``edges``; ``on_level`` sees the state after each level.
+def target_score(s: Settings, scorers: Sequence[Rule] = ()) -> Column:
+    """The keyword score of an edge's target and all scorers of the caller, added up."""
+    url, anchor = F.col("dst"), F.col("anchor")
+    return urls.composite_score(urls.keyword_score(url, anchor, list(s.keywords), s.weight), *(f(url, anchor).cast("double") for f in scorers))
 
-    Failed and filtered pages count as pages; the seed is exempt from link rules.
+
+def prepared_edges(edges: DataFrame, s: Settings, filters: Sequence[Rule] = (), scorers: Sequence[Rule] = ()) -> DataFrame:
+    """Edges that may be followed, with the ``score`` of their target and its ``to_host``; other columns stay."""
+    made = urls.with_parts(edges, "dst", "__p")
+    keep = page_filter(F.col("dst"), F.col("__p"), F.lit(None).cast("string"), s)
+    keep = urls.all_of(keep, *(F.coalesce(f(F.col("dst"), F.col("anchor")), F.lit(False)) for f in filters))
+    return made.withColumns({"score": target_score(s, scorers), "to_host": F.col("__p.netloc")}).where(keep & (F.col("score") >= s.threshold)).drop("__p")
+
+
+def breadth_first(
+    pages: DataFrame,
+    edges: DataFrame,
+    seed: str,
+    s: Settings,
+    state: State | None = None,
+    on_level: Callable[[State], None] | None = None,
+    every: int = 0,
+    on_results: Callable[[DataFrame], None] | None = None,
+    filters: Sequence[Rule] = (),
+    scorers: Sequence[Rule] = (),
+) -> State:
+    """Crawl ``pages`` (url[, content_type]) along ``edges``.
+
+    ``on_level`` sees the state at the end of each level, or with ``every`` of each
+    level in which that many more pages were visited, and at the end; ``on_results`` the
+    rows of each level. A level takes one write: its new links. What was visited is at
+    most ``max_pages`` rows, which the driver holds; links to choose from stay tables.
+
+    Failed and filtered pages count as pages; the seed is exempt from link rules, not
+    from page rules. Null targets and pages without links lead nowhere; of repeated
+    pages the least content type counts; without pages the seed is not found.
     """
     spark, start = pages.sparkSession, whatwg.normalize(seed)
     if start is None:
         raise ValueError("Invalid seed URL")
-    types = pages.select("url", (F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string")).alias("content_type")).dropDuplicates(["url"])
-    usable = prepared_edges(edges, start, s)
+    types = pages.select("url", (F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string")).alias("content_type"))
+    home, any_page = whatwg.parse(start).netloc, F.lit(None).cast("string")
+    results_of = lambda rows: spark.createDataFrame(rows, NODE + ", place long")
     if state is None:
         frontier = spark.createDataFrame([(start, None, 0, 0.0, 0)], FRONTIER)
-        results, visited, enqueued = spark.createDataFrame([], NODE + ", place long"), spark.createDataFrame([(start,)], "url string"), 1
+        rows, visited, enqueued = [], spark.createDataFrame([(start,)], "url string"), 1
     else:
-        results, frontier, visited, enqueued = state.results, state.frontier, state.visited, state.enqueued
-    done = results.count()
-    while done < s.max_pages:
+        rows, frontier, visited, enqueued = [tuple(r) for r in state.results.collect()], state.frontier, state.visited, state.enqueued
+    begun = len(rows)
+    while len(rows) < s.max_pages:
         depth = frontier.agg(F.min("depth")).first()[0]
         if depth is None:
             break
         level, later = frontier.where(F.col("depth") == depth), frontier.where(F.col("depth") > depth)
-        # at most max_pages rows are ever ranked
-        taken = kept(level.orderBy("place").limit(s.max_pages - done).withColumn("rank", F.row_number().over(Window.orderBy("place"))))
-        left = level.join(taken.select("url"), "url", "left_anti").select(frontier.columns)
-        found = urls.with_parts(taken.join(types.withColumn("there", F.lit(True)), "url", "left"), "url", "p")
-        passes = page_filter(F.col("url"), F.col("p.host"), F.col("content_type"), s)
-        ok = F.coalesce(F.col("there"), F.lit(False))
-        found = kept(found.select("url", "parent_url", "depth", "score", "place", "rank", (ok & passes).alias("success"), F.when(~ok, NOT_FOUND).when(~passes, FILTERED).alias("error")))
-        if depth < s.max_depth:
+        taken = level.orderBy("place").limit(s.max_pages - len(rows)).collect()  # at most max_pages rows
+        left = level.where(F.col("place") > taken[-1].place)
+        asked = F.broadcast(spark.createDataFrame([(r.url,) for r in taken], "url string"))  # as many
+        there = urls.with_parts(types.join(asked, "url").groupBy("url").agg(F.min("content_type").alias("content_type")), "url", "p")
+        passes = urls.all_of(page_filter(F.col("url"), F.col("p"), F.col("content_type"), s), *(F.coalesce(f(F.col("url"), any_page), F.lit(False)) for f in filters))
+        passed = {r.url: r.ok for r in there.select("url", passes.alias("ok")).collect()}
+        found: dict[str, int] = {}
+        frontier = later.unionByName(left)
+        if depth < s.max_depth and any(passed.values()):
             # the last page that the crawl has room for still follows its links: it is counted after
-            out = found.where("success").select(F.col("url").alias("src"), "rank").join(usable, "src")
+            sources = spark.createDataFrame([(r.url, n) for n, r in enumerate(taken, 1) if passed.get(r.url)], "src string, rank int")
+            out = prepared_edges(edges.join(F.broadcast(sources), "src"), s, filters, scorers)
+            out = out if s.include_external else out.where(F.col("to_host") == home)
             out = out.join(visited.withColumnRenamed("url", "dst"), "dst", "left_anti")
-            first = Window.partitionBy("dst").orderBy("rank", "pos")
-            fresh = out.withColumn("n", F.row_number().over(first)).where("n = 1")
-            base = (depth + 1) << 40
-            new = kept(fresh.select(F.col("dst").alias("url"), F.col("src").alias("parent_url"), F.lit(depth + 1).alias("depth"), "score", (F.lit(base) + (F.col("rank").cast("long") + done) * (1 << 20) + F.col("pos")).alias("place")))
-            counts = new.groupBy(F.col("parent_url").alias("url")).agg(F.count("*").cast("int").alias("links_discovered"))
-            found = found.join(counts, "url", "left")
-            frontier = kept(later.unionByName(left).unionByName(new))
-            visited = kept(visited.union(new.select("url")).distinct())
-            enqueued += new.count()
-        else:
-            found = found.withColumn("links_discovered", F.lit(0))
-            frontier = kept(later.unionByName(left))
-        rows = found.select("url", "parent_url", "depth", "score", "success", F.coalesce("links_discovered", F.lit(0)).alias("links_discovered"), "error", F.col("place"))
-        results = kept(results.unionByName(rows))
-        done = results.count()
-        state = State(results, frontier, visited, enqueued, False)
-        if on_level:
-            on_level(state)
-    state = State(results, frontier, visited, enqueued, True)
+            # the first link to a target, in the order of the pages and of their links
+            link = F.struct("rank", "pos")
+            fresh = out.groupBy("dst").agg(F.min_by(F.struct("src", "rank", "pos", "score"), link).alias("x"))
+            place = F.lit((depth + 1) << 40) + (F.col("x.rank").cast("long") + len(rows)) * (1 << 20) + F.col("x.pos")
+            new = kept(fresh.select(F.col("dst").alias("url"), F.col("x.src").alias("parent_url"), F.lit(depth + 1).alias("depth"), F.col("x.score").alias("score"), place.alias("place")))
+            found = {r.parent_url: r["count"] for r in new.groupBy("parent_url").count().collect()}  # a row a page taken
+            frontier, visited = frontier.unionByName(new), visited.union(new.select("url"))
+            enqueued += sum(found.values())
+        fault = {None: NOT_FOUND, False: FILTERED, True: None}
+        fresh_rows = [(r.url, r.parent_url, r.depth, r.score, bool(passed.get(r.url)), found.get(r.url, 0), fault[passed.get(r.url)], r.place) for r in taken]
+        crossed = not every or (len(rows) - begun) // every < (len(rows) + len(fresh_rows) - begun) // every
+        rows += fresh_rows
+        if on_results:
+            on_results(results_of(fresh_rows))
+        if on_level and crossed:
+            on_level(State(results_of(rows), frontier, visited, enqueued, False))
+    state = State(results_of(rows), frontier, visited, enqueued, True)
     state.stats = crawl_stats(state)
     if on_level:
         on_level(state)
@@ -173,6 +201,13 @@ def save(state: State, folder: str, seed: str, s: Settings) -> None:
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
 
 
+def resumed(frontier: DataFrame, visited: DataFrame, results: DataFrame, enqueued: int, max_depth: int) -> State:
+    """A state from stored parts of any age: the frontier made fit to go on with, and as many enqueued as were stored, visited or are there, whichever is most."""
+    fit = restored_frontier(frontier, max_depth)
+    here = fit.count() + results.count()
+    return State(results, fit, visited, max(enqueued, visited.count(), here, 1), False)
+
+
 class Conflict(ValueError):
     """A stored crawl that belongs to another seed or plan."""
 
@@ -187,37 +222,48 @@ def load(spark: SparkSession, folder: str, seed: str, s: Settings) -> State:
     return State(read("results"), read("frontier"), read("visited"), meta["enqueued"], meta["completed"])
 
 
+#: Signs of addresses in the order of the root collation, before digits and letters.
+_SIGNS = "_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+
+
+def collation_key(text: str) -> tuple:
+    """A key that orders addresses as the root locale does: signs, digits, letters; then accents; then small letters before capitals."""
+    plain = unicodedata.normalize("NFD", text)
+    base = [c for c in plain if not unicodedata.combining(c)]
+    weight = [(0, _SIGNS.find(c), "") if c in _SIGNS else (1, int(c), "") if c in "0123456789" else (2, 0, c.lower()) for c in base]
+    return weight, [c for c in plain if unicodedata.combining(c)], [c != c.lower() for c in base], text
+
+
 def best_first_one(seed: str, out: dict[str, list[tuple[str, float]]], pages: dict[str, bool], s: Settings) -> list[tuple]:
-    """One seed's visits in order: highest score, then least depth, then URL. ``pages``: known URLs, and whether they pass the filters."""
-    heap: list[tuple[float, int, str, str | None, float]] = [(-math.inf, 0, seed, None, 0.0)]
+    """One seed's visits in order: highest score, then least depth, then URL in the root locale's order. ``pages``: known URLs, and whether they pass the filters."""
+    heap: list[tuple] = [(-math.inf, 0, (), seed, None, 0.0)]
     seen, rows = {seed}, []
     while heap and len(rows) < s.max_pages:
-        _, depth, url, parent, score = heapq.heappop(heap)
+        _, depth, _, url, parent, score = heapq.heappop(heap)
         ok, count = pages.get(url), 0
         if ok and depth < s.max_depth:
             for dst, points in out.get(url, ()):
                 if dst not in seen:
                     seen.add(dst)
                     count += 1
-                    heapq.heappush(heap, (-points, depth + 1, dst, url, points))
+                    heapq.heappush(heap, (-points, depth + 1, collation_key(dst), dst, url, points))
         rows.append((len(rows) + 1, url, parent, depth, score, bool(ok), count, None if ok else NOT_FOUND if ok is None else FILTERED))
     return rows
 
 
-def best_first(pages: DataFrame, edges: DataFrame, seeds: DataFrame, s: Settings) -> DataFrame:
+def best_first(pages: DataFrame, edges: DataFrame, seeds: DataFrame, s: Settings, filters: Sequence[Rule] = (), scorers: Sequence[Rule] = ()) -> DataFrame:
     """(seed, visit, url, parent_url, depth, score, success, links_discovered, error) for each seed of ``seeds`` (seed).
 
     A crawl sees at most ``max_pages`` pages, so only edges within ``max_depth`` steps
-    of a seed are gathered for it.
+    of a seed are gathered for it. A task holds the edges of one seed that are that near.
     """
     has_type = F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string")
-    known = urls.with_parts(pages.select("url", has_type.alias("content_type")).dropDuplicates(["url"]), "url", "p")
-    known = known.select("url", page_filter(F.col("url"), F.col("p.host"), F.col("content_type"), s).alias("ok"))
+    known = urls.with_parts(pages.groupBy("url").agg(F.min(has_type).alias("content_type")), "url", "p")
+    any_page = F.lit(None).cast("string")
+    passes = urls.all_of(page_filter(F.col("url"), F.col("p"), F.col("content_type"), s), *(F.coalesce(f(F.col("url"), any_page), F.lit(False)) for f in filters))
+    known = known.select("url", passes.alias("ok"))
     start = seeds.select("seed", urls.normalized_alone(F.col("seed")).alias("url")).where("url is not null")
-    made = urls.with_parts(edges, "dst", "p")
-    score = urls.keyword_score(F.col("dst"), F.col("anchor"), list(s.keywords), s.weight)
-    keep = page_filter(F.col("dst"), F.col("p.host"), F.lit(None).cast("string"), s) & (score >= s.threshold)
-    usable = kept(made.select("src", "pos", "dst", score.alias("score"), F.col("p.netloc").alias("to_host")).where(keep))
+    usable = kept(prepared_edges(edges, s, filters, scorers).select("src", "pos", "dst", "score", "to_host"))
     reach = start.select("seed", "url")
     level = reach
     home = urls.with_parts(start, "url", "p").select("seed", F.col("p.netloc").alias("home"))

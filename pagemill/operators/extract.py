@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import collapse
 from ..html.extract import MAX_BYTES, ExtractionError, count_matches, extract, regex_schema, structured_schema
+from .adapters import fetched
+from .convert import RESULT as MARKDOWN
+from .convert import convert, rendered
 
 RESULT = T.StructType(
     [
@@ -72,6 +75,27 @@ def extract_pages(pages: DataFrame, strategy: str, schema: dict, options: dict |
     return made.select(*(c for c in pages.columns if c != html), "__x.*")
 
 
+def extract_sources(items: DataFrame, pages: DataFrame, strategy: str, schema: dict, options: dict | None = None, selector: str | None = None, with_markdown: bool = False, **settings) -> DataFrame:
+    """``items`` (url, html; either may be null) with the result's columns, title and, if asked for, markdown.
+
+    An item without HTML is its URL's page in ``pages``, converted to reduced HTML first
+    (``settings`` go to ``convert``); what conversion says is wrong is the item's error.
+    Items without any source, and those whose page is not there, have errors too.
+    """
+    blank = F.trim(F.coalesce("html", F.lit(""))) == ""
+    asked = items.where(blank & (F.trim(F.coalesce("url", F.lit(""))) != "")).select("url").distinct()
+    read = convert(fetched(asked, pages.withColumn("__there", F.lit(True))).withColumn("status", F.when(F.col("__there"), F.lit(200))).drop("__there"), "html", selector, **settings)
+    read = read.select("url", F.col("content").alias("__html"), F.col("title").alias("__title"), F.col("error").alias("__fault"))
+    made = items.join(read, "url", "left").withColumn("__by_url", blank).withColumn("__source", F.when(blank, F.col("__html")).otherwise(F.col("html")))
+    made = made.withColumn("__x", extracted(F.when(F.col("__source").isNotNull(), F.col("__source")).otherwise(""), strategy, checked_schema(strategy, schema), checked_options(options), selector))
+    fault = F.when(F.col("__by_url") & F.col("__fault").isNotNull(), "UPSTREAM_FETCH_FAILED")
+    out = [F.coalesce(fault, F.col("__x.error_code")).alias("error_code"), F.when(fault.isNotNull(), F.col("__fault")).otherwise(F.col("__x.error_message")).alias("error_message")]
+    text = rendered(F.coalesce("__source", F.lit("")), F.coalesce("url", F.lit("https://example.invalid/")), selector)
+    made = made.withColumn("__m", text) if with_markdown else made.withColumn("__m", F.lit(None).cast(MARKDOWN))
+    title = F.coalesce(F.nullif("__title", F.lit("")), "__m.title", F.lit(""))
+    return made.select(*(c for c in items.columns if c != "html"), F.octet_length("__source").alias("html_bytes"), "__x.data", "__x.item_count", "__x.matches", *out, title.alias("title"), *([F.col("__m.markdown").alias("markdown")] if with_markdown else []))
+
+
 def extract_rows(pages: DataFrame, strategy: str, schema: dict, options: dict | None = None, selector: str | None = None, html: str = "html") -> DataFrame:
     """One row for each extracted item, a column for each field; ``row`` is its place on the page.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from .ratelimit import anchored_window
 
 # --- fixed values --------------------------------------------------------------------
 MAX_TASKS, MAX_SELECTOR, MAX_RESULT_BYTES = 100, 256, 16_000
@@ -145,6 +147,57 @@ def outcomes(attempts: DataFrame, most: Column | int, task: str = "task_id") ->
     return done.select(task, x["attempt"].alias("attempts"), F.coalesce(x["success"], F.lit(False)).alias("success"), x["status_code"].alias("status_code"))
 
 
+def settled(items: DataFrame, run: Callable[[dict], str | None], limit: int = 5, place: str = "place") -> DataFrame:
+    """``items`` with status (fulfilled, rejected), value and reason of running each, at most ``limit`` at a time, whatever the others do.
+
+    ``place`` tells an item's order; results are rows, so it is kept, not awaited.
+    """
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in items.schema)}, status string, value string, reason string"
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ends = []
+            for row in b.to_dict("records"):
+                try:
+                    ends.append(("fulfilled", run(row), None))
+                except Exception as e:  # an item's failure is its result
+                    ends.append(("rejected", None, str(e)))
+            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(ends, columns=["status", "value", "reason"], dtype=object)], axis=1)
+
+    return items.repartition(limit, place).mapInPandas(step, schema)
+
+
+def attempted(tasks: DataFrame, execute: Callable[[dict], tuple[int, str | None]], most: int = 2, limit: int = 5, task: str = "task_id") -> DataFrame:
+    """(task, attempt, success, status_code, error, result) of running every task by ``execute``, which gives a status code and a result or fails.
+
+    A code below 400 is a success; failures without a code, and those worth it, are tried
+    again up to ``most`` times. The rows are what ``outcomes`` reads.
+    """
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for row in b.to_dict("records"):
+                for n in range(1, most + 2):
+                    try:
+                        code, result, error = *execute(row), None
+                    except Exception as e:  # a failure without a code
+                        code, result, error = None, None, str(e)
+                    good = code is not None and code < 400
+                    rows.append((row[task], n, good, code, error if code is None else None if good else f"HTTP {code}", result if good else None))
+                    if good or (code is not None and code not in RATE_LIMIT_STATUSES):
+                        break
+            yield pd.DataFrame(rows, columns=[task, "attempt", "success", "status_code", "error", "result"]).astype({"status_code": "Int32"})
+
+    kind = dict(tasks.dtypes)[task]
+    return tasks.repartition(limit, task).mapInPandas(step, f"`{task}` {kind}, attempt int, success boolean, status_code int, error string, result string")
+
+
+def claims(requests: DataFrame, seconds: int = 60, job: str = "job_id", run: str = "run_id", at: str = "ts") -> DataFrame:
+    """(job, run, ts, granted) of requests to run a job: one run holds it for ``seconds``, others are refused meanwhile."""
+    return anchored_window(requests, job, at, 1, seconds, run).select(job, run, at, (F.col("hit") == 1).alias("granted"))
+
+
 def merged(tasks: DataFrame, results: DataFrame, task: str = "task_id") -> DataFrame:
     """Tasks with the outcomes of a run: status, retries, error, and the result unless it is too large."""
     r = results.select(task, F.col("attempts").alias("__n"), F.col("success").alias("__ok"), F.col("error").alias("__e"), F.col("result").alias("__r"))

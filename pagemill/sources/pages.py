@@ -68,16 +68,30 @@ def scrape_answer(body: Column) -> Column:
 
 
 def first_accepted(attempts: DataFrame) -> DataFrame:
-    """Of attempts (url, proxy, variant, accepted, ...), the first accepted of each url in order of proxy, then variant, and the errors before it."""
-    order = F.struct("proxy", "variant")
-    rest = [c for c in attempts.columns if c not in ("url", "accepted")]
-    top = attempts.where("accepted").groupBy("url").agg(F.min_by(F.struct(*rest), order).alias("a"))
-    return attempts.select("url").distinct().join(top, "url", "left").select("url", "a.*", F.col("a").isNotNull().alias("accepted"))
+    """Of attempts (url, proxy, variant, accepted[, status, bytes, error], ...), the first accepted of each url in order of proxy, then variant.
+
+    Adds ``attempts``, how many were made, and ``errors``, what was said of those before
+    it: an attempt's own error, or that its answer was rejected. Null counts as not
+    accepted; a url without an accepted attempt has all errors and nulls.
+    """
+    have, order = attempts.columns, F.struct("proxy", "variant")
+    rest = [c for c in have if c not in ("url", "accepted")]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
+    rejected = F.concat(F.lit("rejected status="), text("status"), F.lit(" body_bytes="), text("bytes"))
+    said = F.coalesce(F.nullif(text("error"), F.lit("")), rejected)
+    line = F.concat(F.lit("proxy["), F.col("proxy").cast("string"), F.lit("]/"), F.col("variant").cast("string"), F.lit(": "), said)
+    won = F.coalesce("accepted", F.lit(False))
+    made = attempts.groupBy("url").agg(F.min_by(F.struct(*rest), F.when(won, order)).alias("a"), F.array_sort(F.collect_list(F.struct(order.alias("at"), line.alias("line")))).alias("every"))
+    mine = F.struct(F.col("a.proxy").alias("proxy"), F.col("a.variant").alias("variant"))
+    before = F.filter("every", lambda x: F.col("a").isNull() | (x["at"] < mine))
+    n = F.size(before) + F.col("a").isNotNull().cast("int")
+    return made.select("url", "a.*", F.col("a").isNotNull().alias("accepted"), n.alias("attempts"), F.transform(before, lambda x: x["line"]).alias("errors"))
 
 
 def with_archives(table: DataFrame, snapshots: DataFrame, newest: DataFrame) -> DataFrame:
-    """Pages with the archived HTML of either source (url, html), first one first; short copies don't count."""
-    one = lambda d, n: d.where(F.length("html") > ARCHIVE_CHARS).groupBy("url").agg(F.max("html").alias(n))
+    """Pages with the archived HTML of either source (url, html[, at]), first one first; of a source the copy captured last, or the longest. Short copies don't count."""
+    order = lambda d: F.struct(*([F.col("at")] if "at" in d.columns else []), F.length("html"), F.xxhash64("html"))
+    one = lambda d, n: d.where(F.length("html") > ARCHIVE_CHARS).groupBy("url").agg(F.max_by("html", order(d)).alias(n))
     made = table.join(one(snapshots, "__a"), "url", "left").join(one(newest, "__b"), "url", "left")
     source = F.when(F.col("__a").isNotNull(), "wayback").when(F.col("__b").isNotNull(), "archive")
     return made.withColumns({"archive_html": F.coalesce("__a", "__b"), "archive_source": source}).drop("__a", "__b")

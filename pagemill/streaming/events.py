@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,26 +36,102 @@ def first_of_key(creates: DataFrame, key: str, late: str = "24 hours") -> DataFr
     return creates.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_into(table: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink for update mode: each batch replaces the rows of its keys in a Parquet table.
+def _folders(spark: SparkSession, path: str, mark: str) -> list[tuple[int, str]]:
+    """(number, path) of the folders ``mark=<number>`` under a path, in any store Spark reads; versions only where they are complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    inside = [x.getPath() for x in store.listStatus(at) if x.isDirectory() and x.getPath().getName().startswith(f"{mark}=")]
+    whole = [x for x in inside if mark != "v" or store.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted((int(x.getName().split("=")[1]), x.toString()) for x in whole)
 
-    The batch number names what it writes, so a batch that runs again leaves the same.
+
+def upserted(spark: SparkSession, table: str, below: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+    """What ``upsert_into`` has written: of each bucket its last complete version; None of nothing."""
+    last: dict[int, str] = {}
+    for number, path in _folders(spark, table, "v"):
+        if below is None or number < below:
+            last |= dict(_folders(spark, path, "bucket"))
+    paths = [p for b, p in last.items() if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def upsert_into(table: str, keys: list[str], buckets: int = 16, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for update mode: each batch replaces the rows of its keys in a Parquet table, or ``merge(old, fresh)`` says what they become.
+
+    Keys are dealt into buckets; batch n writes, as version n, only the buckets it
+    touches, from the last complete version of each. A batch that runs again leaves the
+    same. Where a later version is there, the stream began anew over an old table, and
+    the batch fails instead of hiding rows. An empty batch changes nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = f"{table}/v={number:08d}"
+        if any(n > number for n, _ in _folders(spark, table, "v")):
+            raise ValueError(f"{table} holds versions after {number}: another stream has written it")
+        fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
         try:
-            old = spark.read.parquet(f"{table}/v={number - 1:08d}")
-        except Exception as e:
-            if number and "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        old.join(batch.select(*keys), keys, "left_anti").unionByName(batch).write.mode("overwrite").parquet(new)
+            touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}  # at most ``buckets``
+            data = fresh.drop("bucket")
+            old = upserted(spark, table, number, touched)
+            if old is not None:
+                data = merge(old, data) if merge else old.join(data.select(*keys), keys, "left_anti").unionByName(data)
+            made = data.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            made.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={number:08d}")
+        finally:
+            fresh.unpersist()
 
     return write
 
 
+def sums_into(table: str, keys: list[str], sums: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that adds each batch's sums to those stored, once however often a batch runs."""
+    add = lambda old, fresh: old.unionByName(fresh).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+    once = upsert_into(table, keys, buckets, add)
+    return lambda batch, number: once(batch.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums)), number)
+
+
+def latency_window(events: DataFrame, key: str, value: str = "duration_ms", at: str = "ts", most: int = 1024) -> DataFrame:
+    """(key, count, avg, p50, p95) of each key's last ``most`` samples, after every batch; the samples are the state."""
+    kinds = dict(events.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(at, kind="stable")
+        fresh = [max(0, math.floor(x + 0.5)) for x in rows[value].fillna(0)]
+        held = [*(state.get[0] if state.exists else []), *fresh][-most:]
+        state.update((held,))
+        rank = lambda p: sorted(held)[math.ceil(p * len(held)) - 1]
+        yield pd.DataFrame([(k[0], len(held), math.floor(sum(held) / len(held) * 100 + 0.5) / 100, rank(0.5), rank(0.95))], columns=[key, "count", "avg", "p50", "p95"])
+
+    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, count long, avg double, p50 long, p95 long", "samples array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def creates(requests: DataFrame, key: str, payload: str, at: str = "ts", hours: int = 24) -> DataFrame:
+    """(key, request_id, outcome): the first request of a key within ``hours`` is created, later ones are replayed or, of another payload, in conflict."""
+    kinds, life = dict(requests.dtypes), hours * 3_600_000
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows, outcomes = pd.concat(list(batches)).sort_values([at, "request_id"], kind="stable"), []
+        first, end = state.get if state.exists else (None, -1)
+        for t, p in zip(rows[at].astype("datetime64[ms]").astype("int64"), rows[payload], strict=True):
+            if t >= end:
+                first, end = p, int(t) + life
+                outcomes.append("created")
+            else:
+                outcomes.append("replayed" if p == first else "conflict")
+        state.update((first, end))
+        if end > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
+        yield pd.DataFrame({key: [k[0]] * len(rows), "request_id": rows["request_id"].to_numpy(), "outcome": outcomes})
+
+    made = requests.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, "1 hour")
+    return made.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, request_id {kinds['request_id']}, outcome string", f"first {kinds[payload]}, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def anchored(requests: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
     """(key, event_id, hit, blocked): windows that begin at a first hit, kept as state and dropped when they have passed.
 
@@ -84,21 +162,45 @@ def anchored(requests: DataFrame, key: str, limit: int, seconds: int) -> DataFra
     return made.groupBy(key).applyInPandasWithState(step, schema, "n long, end long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def status_changes(history: DataFrame, key: str, at: str = "ts") -> DataFrame:
-    """(key, ts, status) whenever a key's status differs from the last one seen."""
+TERMINAL = ("succeeded", "failed", "canceled")
+
+
+def status_changes(history: DataFrame, key: str, at: str = "ts", terminal: tuple[str, ...] = (), seconds: int | None = None) -> DataFrame:
+    """(key, ts, status) whenever a key's status differs from the last one seen.
+
+    A key's changes end after a status of ``terminal``, or ``seconds`` after its first.
+    """
     kinds = dict(history.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(at, kind="stable")
-        last = state.get[0] if state.exists else None
+        last, began, ended = state.get if state.exists else (None, None, False)
         keep = []
-        for s in rows["status"]:
-            keep.append(s != last)
+        for t, s in zip(rows[at].astype("datetime64[ms]").astype("int64"), rows["status"], strict=True):
+            began = int(t) if began is None else began
+            ended = ended or (seconds is not None and t > began + seconds * 1000)
+            keep.append(not ended and s != last)
+            ended = ended or s in terminal
             last = s
-        state.update((last,))
+        state.update((last, began, ended))
         yield rows[keep][[key, at, "status"]]
 
-    return history.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, status string", "status string", "append", GroupStateTimeout.NoTimeout)
+    return history.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, status string", "status string, began long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs started inside carry ``tag``; ``cancel`` ends them wherever they run."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """End the jobs of a tag, whichever thread started them."""
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:

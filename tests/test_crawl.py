@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import crawl, links
 
-S = "https://s.test/"
+S = "https://s.example/"
 
 
 def graph(spark, edges, extra=()):
@@ -29,12 +29,12 @@ def test_breadth_first_order(spark):
 
 
 def test_links_of_a_page():
-    html = '<a href="/p#x">one</a><a href="/p">again</a><a href="https://o.test/">out</a><a href="mailto:a@b.c">m</a><a href="javascript:x()">j</a><a>none</a>'
-    assert links.links_of(html, S) == [(S + "p", "one"), (S + "p", "again"), ("https://o.test/", "out")]
+    html = '<a href="/p#x">one</a><a href="/p">again</a><a href="https://o.example/">out</a><a href="mailto:a@b.c">m</a><a href="javascript:x()">j</a><a>none</a>'
+    assert links.links_of(html, S) == [(S + "p", "one"), (S + "p", "again"), ("https://o.example/", "out")]
 
 
 def test_external_and_duplicate_links(spark):
-    df = spark.createDataFrame([(S, '<a href="/p#x">1</a><a href="/p">2</a><a href="https://o.test/">3</a>'), (S + "p", "")], "url string, html string")
+    df = spark.createDataFrame([(S, '<a href="/p#x">1</a><a href="/p">2</a><a href="https://o.example/">3</a>'), (S + "p", "")], "url string, html string")
     state = crawl.breadth_first(df.select("url"), links.edges(df), S, crawl.Settings(max_depth=1))
     assert [u for u, _ in order(state)] == ["", "p"] and state.enqueued == 2
     both = crawl.breadth_first(df.select("url"), links.edges(df), S, crawl.Settings(max_depth=1, include_external=True))
@@ -116,3 +116,41 @@ def test_images(spark):
     asked = spark.createDataFrame([(1, "https://c.org/a/1.png?x=1"), (2, "https://o.org/b/2.png"), (3, "deep/3.png"), (4, "none.png")], "id int, src string")
     assert {r.id: r.key for r in links.resolve_images(asked, known).collect()} == {1: "k1", 2: "k2", 3: "k3", 4: None}
     assert asked.where(F.col("id") == 9).count() == 0
+
+
+def test_internal_addresses_are_never_followed(spark):
+    df = spark.createDataFrame([(S, '<a href="http://127.0.0.1/">x</a><a href="http://db.internal/">y</a><a href="https://o.example/">z</a>'), ("http://127.0.0.1/", ""), ("https://o.example/", "")], "url string, html string")
+    s = crawl.Settings(max_depth=1, include_external=True)
+    assert [r.url for r in crawl.ordered(crawl.breadth_first(df.select("url"), links.edges(df), S, s)).orderBy("visit").collect()] == [S, "https://o.example/"]
+    inside = crawl.breadth_first(df.select("url"), links.edges(df), "http://127.0.0.1/", s).results.collect()
+    assert [(r.success, r.error) for r in inside] == [(False, crawl.FILTERED)]
+    seeds = spark.createDataFrame([(S,)], "seed string")
+    assert {r.url for r in crawl.best_first(df.select("url"), links.edges(df), seeds, s).collect()} == {S, "https://o.example/"}
+
+
+def test_own_filters_scorers_and_callbacks(spark):
+    pages, edges = graph(spark, [("a", "b"), ("a", "c"), ("a", "d"), ("c", "e"), ("d", "f")])
+    mine = {"filters": [lambda url, anchor: ~url.endswith("/b")], "scorers": [lambda url, anchor: F.when(anchor == "d", 5).otherwise(1), lambda url, anchor: F.lit(0.5)]}
+    seen, states = [], []
+    state = crawl.breadth_first(pages, edges, S + "a", crawl.Settings(max_depth=2), on_results=seen.append, on_level=states.append, every=3, **mine)
+    assert [u for u, _ in order(state)] == ["a", "c", "d", "e", "f"]
+    assert {r.url.removeprefix(S): r.score for r in state.results.collect()} == {"a": 0.0, "c": 1.5, "d": 5.5, "e": 1.5, "f": 1.5}
+    assert [x.count() for x in seen] == [1, 2, 2] and [x.results.count() for x in states] == [3, 5]
+    best = crawl.best_first(pages, edges, spark.createDataFrame([(S + "a",)], "seed string"), crawl.Settings(max_depth=2), **mine).orderBy("visit").collect()
+    assert [r.url.removeprefix(S) for r in best] == ["a", "d", "c", "e", "f"]
+
+
+def test_ties_follow_the_root_locale():
+    every = ["https://a.example/_x", "https://a.example/-x", "https://a.example/1", "https://a.example/a", "https://a.example/A", "https://a.example/ä", "https://a.example/b", "https://a.example/B"]
+    assert sorted(every[::-1], key=crawl.collation_key) == every
+
+
+def test_resumed_counts(spark):
+    pages, edges = graph(spark, [("a", "b"), ("b", "c")])
+    state = crawl.breadth_first(pages, edges, S + "a", crawl.Settings(max_depth=2, max_pages=1))
+    assert crawl.resumed(state.frontier, state.visited, state.results, 0, 2).enqueued == 2
+    assert crawl.resumed(state.frontier, state.visited, state.results, 9, 2).enqueued == 9
+    rest = crawl.breadth_first(pages, edges, S + "a", crawl.Settings(max_depth=2), crawl.resumed(state.frontier, state.visited, state.results, 0, 2))
+    assert [u for u, _ in order(rest)] == ["a", "b", "c"]
+    empty = crawl.breadth_first(pages.limit(0), edges, S + "a", crawl.Settings())
+    assert [r.error for r in empty.results.collect()] == [crawl.NOT_FOUND]

@@ -171,7 +171,10 @@ def test_sources(spark, tmp_path):
     p = spark.createDataFrame([("u:p@h:80,bad; u:p@H:80\nx:y@[::1]:9,u:p@h:99999",)], "raw string")
     assert [(x.username, x.host, x.port) for x in sources.proxies(p).orderBy("place").collect()] == [("u", "h", 80), ("x", "::1", 9)]
     a = spark.createDataFrame([("u", 0, 1, False, "x"), ("u", 1, 0, True, "y"), ("u", 1, 1, True, "z"), ("v", 0, 0, False, "w")], "url string, proxy int, variant int, accepted boolean, body string")
-    assert {x.url: x.body for x in sources.first_accepted(a).collect()} == {"u": "y", "v": None}
+    got = {x.url: x for x in sources.first_accepted(a.withColumns({"status": F.lit(403), "error": F.when(F.col("url") == "v", "timed out")})).collect()}
+    assert {u: x.body for u, x in got.items()} == {"u": "y", "v": None}
+    assert got["u"].errors == ["proxy[0]/1: rejected status=403 body_bytes="] and got["u"].attempts == 2
+    assert got["v"].errors == ["proxy[0]/0: timed out"] and not got["v"].accepted and sources.first_accepted(a.limit(0)).collect() == []
     spark.createDataFrame([("a", "small"), ("b", "x" * 100)], "url string, html string").write.parquet(str(tmp_path / "p"))
     ok, bad = sources.read_pages(spark, str(tmp_path / "p"), 50)
     assert [x.url for x in ok.collect()] == ["a"] and bad.first().bytes == 100
@@ -179,6 +182,8 @@ def test_sources(spark, tmp_path):
     arch = spark.createDataFrame([("a", "s" * 999), ("b", "o" * 2000)], "url string, html string")
     new = spark.createDataFrame([("a", "n" * 1500)], "url string, html string")
     assert {x.url: x.archive_source for x in sources.with_archives(pages, arch, new).collect()} == {"a": "archive", "b": "wayback"}
+    timed = spark.createDataFrame([("a", "z" * 1200, 1), ("a", "a" * 1100, 2)], "url string, html string, at int")
+    assert sources.with_archives(pages.limit(1), timed, new).first().archive_html == "a" * 1100
     got = spark.createDataFrame([("s", 1, "full", at(0)), ("s", 0, None, at(0)), ("m", 0, None, at(-4000))], "host string, candidate int, text string, fetched_at timestamp")
     sites = {x.host: (x.text, x.known) for x in sources.site_summaries(spark.createDataFrame([("s",), ("m",)], "host string"), got, F.lit(at(10))).collect()}
     assert sites == {"s": ("full", True), "m": (None, False)}
@@ -212,3 +217,41 @@ def test_plans(spark, sf):
     assert "Python" not in plan(catalog.QUERIES["page_url_parts"](spark, sf)) and "ArrowEvalPython" not in plan(catalog.QUERIES["doc_redact"](spark, sf))
     e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error'").select(classify.duration_bucket(F.col("value")))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan(e)
+
+
+def test_settled_and_attempted_tasks(spark):
+    def run(row):
+        if row["place"] % 3 == 0:
+            raise ValueError(f"bad {row['place']}")
+        return f"done {row['url']}"
+
+    items = spark.createDataFrame([(i, f"u{i}") for i in range(7)], "place long, url string")
+    got = jobs.settled(items, run, limit=2).orderBy("place").collect()
+    assert [(r.status, r.value, r.reason) for r in got] == [("rejected", None, f"bad {i}") if i % 3 == 0 else ("fulfilled", f"done u{i}", None) for i in range(7)]
+    assert jobs.settled(items.limit(0), run).collect() == []
+
+    def execute(row):
+        if row["url"] == "down":
+            raise TimeoutError("timed out")
+        return {"ok": (200, "r"), "gone": (404, None), "busy": (503, None)}[row["url"]]
+
+    tasks = spark.createDataFrame([(n,) * 2 for n in ("ok", "gone", "busy", "down")], "task_id string, url string")
+    tried = jobs.attempted(tasks, execute, most=1)
+    assert {(r.task_id, r.attempt, r.success, r.status_code, r.error) for r in tried.collect()} == {("ok", 1, True, 200, None), ("gone", 1, False, 404, "HTTP 404"), ("busy", 1, False, 503, "HTTP 503"), ("busy", 2, False, 503, "HTTP 503"), ("down", 1, False, None, "timed out"), ("down", 2, False, None, "timed out")}
+    assert {(r.task_id, r.attempts, r.success) for r in jobs.outcomes(tried, 1).collect()} == {("ok", 1, True), ("gone", 1, False), ("busy", 2, False), ("down", 2, False)}
+
+
+def test_run_lock(spark):
+    rows = [("j", "a", 0), ("j", "b", 30), ("j", "c", 60), ("j", "d", 119), ("k", "e", 5)]
+    df = spark.createDataFrame(rows, "job_id string, run_id string, s long").select("job_id", "run_id", F.timestamp_seconds("s").alias("ts"))
+    assert {r.run_id for r in jobs.claims(df, 60).where("granted").collect()} == {"a", "c", "e"}
+
+
+def test_extraction_of_urls(spark):
+    pages = spark.createDataFrame([("https://a.org/1", "<article><h1>One</h1>" + "<p>long enough text, with commas, for the main content.</p>" * 9 + "</article>"), ("https://a.org/2", " ")], "url string, html string")
+    items = spark.createDataFrame([(1, "https://a.org/1", None), (2, "https://a.org/2", None), (3, "https://a.org/none", None), (4, None, "<h1>Own</h1>"), (5, None, None)], "id int, url string, html string")
+    schema = {"fields": [{"name": "p", "selector": "p", "multiple": True}]}
+    got = {r.id: r for r in extract.extract_sources(items, pages, "css", schema, with_markdown=True).collect()}
+    assert got[1].error_code is None and got[1].matches == 9 and "long enough" in got[1].markdown
+    assert [(got[i].error_code, got[i].error_message) for i in (2, 3)] == [("UPSTREAM_FETCH_FAILED", "Fetch Failed"), ("UPSTREAM_FETCH_FAILED", "Timeout")]
+    assert got[4].error_code is None and got[4].matches == 0 and got[5].error_code == "INVALID_REQUEST"

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import jobs, ratelimit
+from pagemill.operators import events, jobs, ratelimit
 from pagemill.plans import catalog
 from pagemill.streaming import events as streaming
 
@@ -29,11 +29,31 @@ def test_hourly_stream_equals_batch(spark, log):
 
 def test_upsert_sink(spark, log, tmp_path):
     folder, batch = log
-    stream = streaming.read_events(spark, folder, batch.schema).groupBy("event_type").agg(F.count("*").alias("n"))
-    sink = streaming.upsert_into(str(tmp_path / "t"), ["event_type"])
-    stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    last = sorted((tmp_path / "t").iterdir())[-1]
-    assert rows(spark.read.parquet(str(last))) == rows(batch.groupBy("event_type").agg(F.count("*").alias("n")))
+    table = str(tmp_path / "t")
+
+    def run(checkpoint, sink):
+        stream = streaming.read_events(spark, folder, batch.schema).groupBy("event_type").agg(F.count("*").alias("n"))
+        stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+
+    run("c", streaming.upsert_into(table, ["event_type"]))
+    want = rows(batch.groupBy("event_type").agg(F.count("*").alias("n")))
+    assert rows(streaming.upserted(spark, table)) == want
+    with pytest.raises(Exception, match="another stream"):
+        run("other", streaming.upsert_into(table, ["event_type"]))  # a new checkpoint begins at 0 over the old table
+    assert rows(streaming.upserted(spark, table)) == want
+
+
+def test_upserts_replace_only_their_keys(spark, tmp_path):
+    table, made = str(tmp_path / "t"), lambda *r: spark.createDataFrame(list(r), "k string, n long")
+    assert streaming.upserted(spark, table) is None
+    write, add = streaming.upsert_into(table, ["k"], 4), streaming.sums_into(str(tmp_path / "s"), ["k"], ["n"], 4)
+    for number, batch in enumerate([made(("a", 1), ("b", 1)), made(("b", 2), ("c", 2)), made(("d", 3)).limit(0), made(("a", 5))]):
+        for _ in range(2):  # a batch that runs again leaves the same
+            write(batch, number)
+            add(batch, number)
+    assert rows(streaming.upserted(spark, table)) == rows(made(("a", 5), ("b", 2), ("c", 2)))
+    assert rows(streaming.upserted(spark, str(tmp_path / "s"))) == rows(made(("a", 6), ("b", 3), ("c", 2)))
+    assert rows(streaming.upserted(spark, table, below=1)) == rows(made(("a", 1), ("b", 1)))
 
 
 def test_first_of_key_and_counts(spark, log):
@@ -58,3 +78,52 @@ def test_status_change_stream_equals_batch(spark, log):
     got = streaming.run_to_end(streaming.status_changes(s, "user_id"), "changed")
     want = jobs.changes(batch.select("user_id", "ts", F.col("event_type").alias("status")), "user_id", "ts").select("user_id", "ts", "status")
     assert rows(got) == rows(want)
+
+
+def test_changes_end_with_a_job(spark, tmp_path):
+    seen = [("j", 0, "queued"), ("j", 1, "running"), ("j", 2, "running"), ("j", 3, "failed"), ("j", 4, "queued"), ("k", 0, "queued"), ("k", 61, "running")]
+    df = spark.createDataFrame(seen, "job string, s long, status string").select("job", F.timestamp_seconds("s").alias("ts"), "status")
+    df.coalesce(1).write.parquet(str(tmp_path / "h"))
+    stream = streaming.status_changes(streaming.read_events(spark, str(tmp_path / "h"), df.schema), "job", terminal=streaming.TERMINAL, seconds=60)
+    got = streaming.run_to_end(stream, "job_stream")
+    assert sorted((r.job, r.status) for r in got.collect()) == [("j", "failed"), ("j", "queued"), ("j", "running"), ("k", "queued")]
+
+
+def test_latency_window_equals_batch(spark, log):
+    folder, batch = log
+    made = batch.withColumn("service", F.lit("s"))
+    stream = streaming.read_events(spark, folder, batch.schema, 10).withColumn("service", F.lit("s"))
+    got = streaming.run_to_end(streaming.latency_window(stream, "service", most=300), "latencies", "update").collect()
+    last = events.latency_summary(events.last_latencies(made, "duration_ms", most=300)).first()
+    assert (last["count"], last["avg"], last["p50"], last["p95"]) in {(r["count"], r["avg"], r["p50"], r["p95"]) for r in got}
+
+
+def test_creates_tell_conflicts(spark, tmp_path):
+    hour = 3600
+    made = [("a", 1, 0, "x"), ("a", 2, hour, "x"), ("a", 3, 2 * hour, "y"), ("a", 4, 30 * hour, "y"), ("b", 5, 0, "z")]
+    df = spark.createDataFrame(made, "idem string, request_id long, s long, hash string").select("idem", "request_id", F.timestamp_seconds(F.col("s") + 10**6).alias("ts"), "hash")
+    df.coalesce(1).write.parquet(str(tmp_path / "r"))
+    got = streaming.run_to_end(streaming.creates(streaming.read_events(spark, str(tmp_path / "r"), df.schema), "idem", "hash"), "creates")
+    assert {r.request_id: r.outcome for r in got.collect()} == {1: "created", 2: "replayed", 3: "conflict", 4: "created", 5: "created"}
+
+
+def test_cancelled_jobs_end(spark):
+    import threading
+    import time
+
+    failed = []
+
+    def work():
+        try:
+            with streaming.cancellable(spark, "long"):
+                spark.range(4).mapInPandas(lambda it: (time.sleep(30) or b for b in it), "id long").count()
+        except Exception as e:
+            failed.append(e)
+
+    thread = threading.Thread(target=work)
+    began = time.time()
+    thread.start()
+    while thread.is_alive() and time.time() - began < 20:
+        streaming.cancel(spark, "long")
+        thread.join(0.3)
+    assert failed and time.time() - began < 25

@@ -86,8 +86,8 @@ def test_scorer_and_domain(spark):
 
 def test_small_parts(spark):
     df = spark.createDataFrame([("/api/jobs/j1/run", "a=1; mm_session=x=y; b", [" a ", "b", "a", ""]), ("/api/other", None, [])], "p string, c string, l array<string>")
-    r = df.select(urls.job_path(F.col("p")).alias("j"), urls.cookie(F.col("c"), "mm_session").alias("c"), urls.string_list(F.col("l")).alias("l")).collect()
-    assert [(tuple(x.j), x.c, x.l) for x in r] == [(("j1", "run"), "x=y", ["a", "b"]), ((None, None), None, [])]
+    r = df.select(urls.job_path(F.col("p")).alias("j"), urls.cookie(F.col("c"), "mm_session").alias("c"), urls.string_list(F.col("l"), "tags", 4).alias("l")).collect()
+    assert [(tuple(x.j), x.c, tuple(x.l)) for x in r] == [(("j1", "run"), "x=y", (None, "tags must only contain non-empty strings.")), ((None, None), None, ([], None))]
     rows = spark.createDataFrame([("generic", "a.org"), ("generic", "www.paid.com"), ("generic", "no.org"), ("reddit", "b.org")], "adapter string, host string")
     rules = spark.createDataFrame([("paid.com",)], "domain string")
     assert [x.host for x in urls.provider_eligible(rows, rules, spark.createDataFrame([("no.org",)], "host string")).collect()] == ["a.org"]
