@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, pages, privacy, text, urls
 from ..functions.regex import has_any
-from ..operators import cache, convert, crawl, events, extract, jobs, links, ratelimit, threads, usage
-from ..session import configured, table
+from ..operators import cache, convert, crawl, events, extract, jobs, links, ratelimit, usage
+from ..session import table
 from ..sources import pages as sources
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-SALT = "pepper"
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return configured(spark).createDataFrame(rows, schema)
-
-
-def q(value) -> str:
-    """A SQL literal."""
-    return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
-
-
-def rows_sql(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
-
+from .registry import ORACLE_SQL, QUERIES, SALT, q, query, rows_sql, values  # noqa: F401
 
 # --- events as a request log -----------------------------------------------------------
 OUTCOME_SQL = "CASE WHEN event_type = 'error' THEN 'convert_error' ELSE 'success' END"
@@ -246,31 +215,6 @@ def idempotent_first_wins(spark, sf_dir):
     return jobs.idempotent(d).select("doc_id", "outcome")
 
 
-PAYLOADS = [
-    ("crawl_ok", '{"type":"crawl","tasks":["https://a.test/1",{"url":" https://a.test/2 ","format":"text"}],"priority":1000,"maxRetries":3.6}'),
-    ("no_object", "[1]"),
-    ("bad_json", "{"),
-    ("bad_type", '{"type":"x","tasks":[1]}'),
-    ("no_tasks", '{"type":"crawl","tasks":[]}'),
-    ("blank_url", '{"type":"crawl","tasks":["https://a.test","  "]}'),
-    ("odd_field", '{"type":"crawl","tasks":[{"url":"https://a.test","foo":1}]}'),
-    ("bad_format", '{"type":"crawl","tasks":[{"url":"https://a.test","format":"pdf"}]}'),
-    ("extract_text", '{"type":"extract","tasks":["https://a.test"]}'),
-    ("extract_no_source", '{"type":"extract","tasks":[{"strategy":"css","schema":{"fields":[]}}]}'),
-    ("extract_ok", '{"type":"extract","tasks":[{"strategy":"css","schema":{"fields":[{"name":"t"}]},"input":{"html":"<p>x"}}]}'),
-]
-
-
-@query()
-def job_validation(spark, sf_dir):
-    return jobs.validate(values(spark, PAYLOADS, "job_id string, json string")).drop("json")
-
-
-@query()
-def job_records(spark, sf_dir):
-    return jobs.records(values(spark, PAYLOADS, "job_id string, json string"))
-
-
 @query()
 def job_pacing(spark, sf_dir):
     a = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).cast("string").alias("domain"), F.col("conv_id") * 1000 + F.col("turn"), (F.length("text") % 3 != 0).alias("success")).toDF("domain", "seq", "success")
@@ -367,13 +311,13 @@ def page_cache_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", privacy.cache_key(F.col("url"), F.lit("markdown"), none, none).alias("key"), urls.ttl_seconds(F.col("url")).alias("ttl"))
 
 
-def _hmac_sql(value: str) -> str:
+def hmac_sql(value: str) -> str:
     key = SALT.encode().ljust(64, b"\0")
     blob = lambda pad: "'" + "".join(f"\\x{b ^ pad:02X}" for b in key) + "'::BLOB"
     return f"left(sha256({blob(0x5C)} || unhex(sha256({blob(0x36)} || encode({value})))), 32)"
 
 
-@query(f"SELECT page_id, {_hmac_sql(HOST_SQL)} AS host_hash FROM pages")
+@query(f"SELECT page_id, {hmac_sql(HOST_SQL)} AS host_hash FROM pages")
 def host_hmac(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", privacy.hmac_sha256(SALT, urls.plain_parts(F.col("url"))[1]).alias("host_hash"))
 
@@ -390,48 +334,6 @@ def page_regex_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").alias("emails"), n("[0-9]{3}").alias("triples"))
 
 
-@query()
-def page_links(spark, sf_dir):
-    return links.edges(table(spark, sf_dir, "pages"))
-
-
-CSS_SCHEMA = {"fields": [{"name": "heading", "selector": "article h1"}, {"name": "links", "selector": "nav a", "type": "attribute", "attribute": "href", "multiple": True}, {"name": "lead", "selector": "article > p:nth-of-type(1)"}]}
-XPATH_SCHEMA = {"baseXPath": "//article", "fields": [{"name": "heading", "xpath": ".//h1"}, {"name": "paragraphs", "xpath": ".//p", "multiple": True}]}
-
-
-@query()
-def page_css_extract(spark, sf_dir):
-    return extract.extract_rows(table(spark, sf_dir, "pages"), "css", CSS_SCHEMA)
-
-
-@query()
-def page_xpath_extract(spark, sf_dir):
-    return extract.extract_rows(table(spark, sf_dir, "pages"), "xpath", XPATH_SCHEMA)
-
-
-@query()
-def page_regex_strategy(spark, sf_dir):
-    return extract.extract_pages(table(spark, sf_dir, "pages"), "regex", {"patterns": {"href": 'href="([^"]+)"', "title": "<title>([^<]*)</title>"}}, {"dedupe": True})
-
-
-@query()
-def page_markdown(spark, sf_dir):
-    return convert.convert(table(spark, sf_dir, "pages").select("url", "html"))
-
-
-@query()
-def page_text_content(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", convert.to_text(F.col("html"), F.col("url")).alias("text"))
-
-
-@query()
-def page_blocks(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    made = p.select("page_id", convert.leaves("html").alias("leaves"))
-    return made.select("page_id", F.posexplode(convert.harvested(F.col("leaves"))).alias("pos", "block"))
-
-
 # --- texts ------------------------------------------------------------------------------
 PLAIN_SQL = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 for pattern, replacement in text.PLAIN_STEPS[1:]:
@@ -490,20 +392,6 @@ def cache_latest_wins(spark, sf_dir):
     return cache.latest(d.where("written_at % 2 = 0"), d.where("written_at % 2 = 1"))
 
 
-OVERLAYS = [(1, '<div class="x paywall y">a</div>b'), (2, '<p data-piano>q</p><p>kept</p>'), (3, '<section id="piano-offer">z</section>t'), (4, '<div data-testid="paywall">m</div>n'), (5, '<div class="article-body" style="overflow: hidden">text</div>'), (6, "<p>plain</p>"), (7, '<div class="not-paywallish">stays</div>')]
-LD = [(1, '<script type="application/ld+json">{"@type":"Article","headline":"H & M","articleBody":"' + "word " * 60 + '\\n\\nnext"}</script>'), (2, '<script type="application/ld+json">[{"@type":["X","NewsArticle"],"articleBody":"' + "long " * 90 + '"},{"@type":"Article","articleBody":"short"}]</script>'), (3, '<script type="application/ld+json">{bad</script>'), (4, '<script type="application/ld+json">{"@graph":[{"@type":"Report","headline":"G","articleBody":"' + "graph " * 50 + '"}]}</script>'), (5, "<p>none</p>")]
-
-
-@query()
-def doc_overlay_strip(spark, sf_dir):
-    return values(spark, OVERLAYS, "id int, html string").select("id", pages.without_paywall(F.col("html")).alias("html"))
-
-
-@query()
-def jsonld_article(spark, sf_dir):
-    return values(spark, LD, "id int, html string").select("id", pages.json_ld_article(F.col("html")).alias("article"))
-
-
 # --- link graph -------------------------------------------------------------------------
 def derived_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A graph on the page ids: each links to three others by a fixed rule."""
@@ -522,12 +410,6 @@ def crawl_bfs_depth(spark, sf_dir):
     return state.results.select("url", "depth")
 
 
-@query()
-def crawl_bfs_ranked(spark, sf_dir):
-    p, e = derived_graph(spark, sf_dir)
-    return crawl.ordered(crawl.breadth_first(p, e, "https://graph.example/0", crawl.Settings(max_depth=4, max_pages=30, keywords=("1", "3"), threshold=1.0)))
-
-
 @query()
 def crawl_best_first(spark, sf_dir):
     p, e = derived_graph(spark, sf_dir)
@@ -545,43 +427,6 @@ def fetch_retry_outcome(spark, sf_dir):
     return sources.with_retries(a)
 
 
-@query()
-def redirect_closure(spark, sf_dir):
-    moves = [("https://a.org/", "https://b.org/", 301), ("https://b.org/", "https://c.org/", 302), ("https://d.org/", "http://127.0.0.1/", 307), ("https://e.org/", "https://f.org/", 304), *((f"https://l.org/{i}", f"https://l.org/{i + 1}", 301) for i in range(9))]
-    starts = values(spark, [(u,) for u in ("https://a.org/", "https://d.org/", "https://e.org/", "https://l.org/0", "https://z.org/")], "url string")
-    return sources.final_urls(starts, values(spark, moves, "src string, dst string, status int"))
-
-
-@query()
-def thread_assembly(spark, sf_dir):
-    p = table(spark, sf_dir, "conversations")
-    ident = F.concat(F.col("conv_id"), F.lpad(F.col("turn").cast("string"), 3, "0"))
-    before = F.concat(F.col("conv_id"), F.lpad((F.col("turn") - 1).cast("string"), 3, "0"))
-    posts = p.select(ident.alias("id"), F.concat(F.lit("u"), F.col("conv_id")).alias("author"), F.when(F.col("turn") > 0, F.concat(F.lit("U"), F.col("conv_id"))).alias("replying_to"), F.when(F.col("turn") > 0, before).alias("replying_to_status"), F.concat(F.col("conv_id"), F.lit("000")).alias("conversation_id"))
-    last = posts.groupBy("author").agg(F.max("id").alias("id")).select("id")
-    return threads.threads(posts, last)
-
-
 @query("SELECT list_any, count(*) AS n FROM (SELECT contains(lower(text), 'token') OR contains(lower(text), 'license') AS list_any FROM documents) GROUP BY 1")
 def doc_marker_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(has_any(F.lower("text"), ["token", "license"]).alias("list_any")).agg(F.count("*").alias("n"))
-
-
-@query()
-def events_sanitized(spark, sf_dir):
-    e = log(spark, sf_dir)
-    s = lambda x: F.lit(x).cast("string")
-    b = F.col("event_type")
-    r = e.select("ts", F.concat(F.lit("request-"), "event_id").alias("request_id"), F.lit("convert").alias("route"), "outcome", F.when(b == "error", 502).otherwise(200).alias("status_code"), F.when(b == "error", "Fetch-Failed").alias("error_title"), F.when(b == "purchase", "pro").alias("auth_tier"), F.col("user_id").cast("string").alias("account_id"), F.when(b != "view", F.col("user_id").cast("string")).alias("key_id"), F.concat(F.lit("https://h"), F.col("user_id") % 7, F.lit(".example.com/p?q=1#f")).alias("target_url"), F.when(b == "click", "curl/8").otherwise("Mozilla/5.0").alias("user_agent"), s("US").alias("country"), s("SJC 1").alias("colo"), s(None).alias("format"), F.when(b == "signup", "weird").otherwise("jina").alias("engine"), s("readability").alias("method"), (b == "signup").alias("no_cache"), (b == "view").alias("cache_hit"), F.lit(False).alias("browser_rendered"), F.lit(False).alias("paywall_detected"), F.array(F.lit("AMP"), F.lit(" ")).alias("fallbacks"), F.col("duration_ms").cast("double").alias("latency_ms"), F.col("duration_ms").alias("output_chars"), s(None).alias("selector"), F.lit(False).alias("force_browser"), "credit_cost", F.lit(50).alias("quota_remaining"))
-    return events.sanitized(r, SALT)
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Safe pages to Markdown, sized, counted by registrable domain."""
-    p = urls.safe_pages(table(spark, sf_dir, "pages").select("url", "html"))
-    made = convert.convert(p)
-    host = urls.plain_parts(F.col("url"))[1]
-    return made.groupBy(urls.registrable(host).alias("domain"), classify.size_bucket(F.length("content")).alias("size_bucket"), F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("pages"), F.sum(F.length("content")).alias("chars"))
-
-
-QUERIES["page_flagship"] = flagship

@@ -1,12 +1,13 @@
 import pytest
 
-from pagemill.plans import catalog
+from pagemill.plans import details  # noqa: F401
+from pagemill.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import compare
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, name):
-    if name in catalog.ORACLE_SQL:
-        compare(spark, sf, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
+    if name in ORACLE_SQL:
+        compare(spark, sf, QUERIES[name], ORACLE_SQL[name])
     else:
-        assert catalog.QUERIES[name](spark, sf).count() > 0
+        assert QUERIES[name](spark, sf).count() > 0
