@@ -7,6 +7,7 @@ text that stands in paragraphs decides, marks follow the common ATX, fenced styl
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 from .dom import Node, body_of, parse, title_of
@@ -92,9 +93,30 @@ def _table(node: Node) -> str:
     return "\n\n" + "\n".join([*lines[:1], f"| {' | '.join('---' for _ in rows[0])} |", *lines[1:]]) + "\n\n" if rows else ""
 
 
+def _image(node: Node, writer: _Writer) -> str:
+    src = writer.link(node.attrs.get("src") or node.attrs.get("data-src"))
+    title = f' "{node.attrs["title"]}"' if node.attrs.get("title") else ""
+    return f"![{re.sub(chr(10), ' ', node.attrs.get('alt', ''))}]({src}{title})" if src else ""
+
+
+def _struck(node: Node, writer: _Writer) -> str:
+    return f"~~{writer.children(node)}~~"
+
+
+#: How elements are written that have a rule of their own: tag to a function of the node and the writer.
+Rule = Callable[[Node, "_Writer"], str]
+RULES: dict[str, Rule] = {
+    "pre": lambda node, _: _code(node, node.attrs.get("data-lang", "")),
+    "table": lambda node, _: _table(node),
+    "img": _image,
+    "del": _struck,
+    "s": _struck,
+}
+
+
 class _Writer:
-    def __init__(self, base: str):
-        self.base = base
+    def __init__(self, base: str, rules: dict[str, Rule] | None = None):
+        self.base, self.rules = base, RULES | (rules or {})
 
     def children(self, node: Node) -> str:
         out = ""
@@ -119,25 +141,17 @@ class _Writer:
             return _inline(node.text)
         if tag in _DROP or tag in ("head", "title", "meta", "link"):
             return ""
-        if tag == "pre":
-            return _code(node, node.attrs.get("data-lang", ""))
-        if tag == "table":
-            return _table(node)
+        if tag in self.rules:
+            return self.rules[tag](node, self)
         if tag == "br":
             return "  \n"
         if tag == "hr":
             return "\n\n* * *\n\n"
-        if tag == "img":
-            src = self.link(node.attrs.get("src") or node.attrs.get("data-src"))
-            title = f' "{node.attrs["title"]}"' if node.attrs.get("title") else ""
-            return f"![{re.sub(chr(10), ' ', node.attrs.get('alt', ''))}]({src}{title})" if src else ""
         if tag == "code":
             text = node.text_content()
             tick = "``" if "`" in text else "`"
             return f"{tick}{text}{tick}" if text else ""
         inner = self.children(node)
-        if tag in ("del", "s"):
-            return f"~~{inner}~~"
         if tag in ("strong", "b"):
             return _wrapped("**", inner)
         if tag in ("em", "i"):
@@ -168,8 +182,9 @@ class _Writer:
         return inner
 
 
-def markdown_of(node: Node, base: str = "") -> str:
-    text = _Writer(base).children(node)
+def markdown_of(node: Node, base: str = "", rules: dict[str, Rule] | None = None) -> str:
+    """Markdown of what a node holds; ``rules`` add to RULES, or replace them by tag."""
+    text = _Writer(base, rules).children(node)
     return re.sub(r"[ \t]+$", "", re.sub(r"\n{3,}", "\n\n", text), flags=re.M).strip()
 
 
@@ -182,7 +197,7 @@ def fallback(html: str) -> str:
     return text or raw
 
 
-def html_to_markdown(html: str | None, url: str = "", selector: str | None = None) -> tuple[str, str, str]:
+def html_to_markdown(html: str | None, url: str = "", selector: str | None = None, rules: dict[str, Rule] | None = None) -> tuple[str, str, str]:
     """(markdown, title, content HTML): of a selector's element, or of the main content."""
     source = html or ""
     if not source.strip():
@@ -207,7 +222,7 @@ def html_to_markdown(html: str | None, url: str = "", selector: str | None = Non
     head = re.sub(r"[\r\n]+", " ", title).strip()
     if not content.strip():
         return (f"# {head}" if head else ""), title, ""
-    markdown = markdown_of(node, url)
+    markdown = markdown_of(node, url, rules)
     if not markdown.strip():
         markdown = fallback(content)
     if head and not (markdown + "\n").startswith(f"# {head}\n"):

@@ -24,14 +24,14 @@ RESULT = T.StructType([T.StructField(x, T.StringType()) for x in ("markdown", "t
 THIN = 500
 
 
-def rendered(html: Column, url: Column, selector: str | None = None) -> Column:
-    """struct(markdown, title, content_html): of a selector's element, or of the main content."""
+def rendered(html: Column, url: Column, selector: str | None = None, rules: dict | None = None) -> Column:
+    """struct(markdown, title, content_html): of a selector's element, or of the main content; ``rules`` write elements by tag."""
 
     @F.pandas_udf(RESULT)
     def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
         def one(h, u):
             try:
-                return html_to_markdown(h, u or "", selector)
+                return html_to_markdown(h, u or "", selector, rules)
             except RecursionError:  # far too deep a tree: its text is all there is
                 return _TAGS.sub(" ", h).strip(), "", h
 

@@ -133,18 +133,18 @@ def breadth_first(
         rows, frontier, visited, enqueued = [tuple(r) for r in state.results.collect()], state.frontier, state.visited, state.enqueued
     begun = len(rows)
     while len(rows) < s.max_pages:
-        depth = frontier.agg(F.min("depth")).first()[0]
-        if depth is None:
+        # a place begins with its depth, so the first are of one level, or end it; at most max_pages rows
+        near = frontier.orderBy("place").limit(s.max_pages - len(rows)).collect()
+        if not near:
             break
-        level, later = frontier.where(F.col("depth") == depth), frontier.where(F.col("depth") > depth)
-        taken = level.orderBy("place").limit(s.max_pages - len(rows)).collect()  # at most max_pages rows
-        left = level.where(F.col("place") > taken[-1].place)
+        depth = near[0].depth
+        taken = [r for r in near if r.depth == depth]
         asked = F.broadcast(spark.createDataFrame([(r.url,) for r in taken], "url string"))  # as many
         there = urls.with_parts(types.join(asked, "url").groupBy("url").agg(F.min("content_type").alias("content_type")), "url", "p")
         passes = urls.all_of(page_filter(F.col("url"), F.col("p"), F.col("content_type"), s), *(F.coalesce(f(F.col("url"), any_page), F.lit(False)) for f in filters))
         passed = {r.url: r.ok for r in there.select("url", passes.alias("ok")).collect()}
         found: dict[str, int] = {}
-        frontier = later.unionByName(left)
+        frontier = frontier.where(F.col("place") > taken[-1].place)
         if depth < s.max_depth and any(passed.values()):
             # the last page that the crawl has room for still follows its links: it is counted after
             sources = spark.createDataFrame([(r.url, n) for n, r in enumerate(taken, 1) if passed.get(r.url)], "src string, rank int")

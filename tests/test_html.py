@@ -24,6 +24,11 @@ def test_tables_selector_and_fallbacks():
     assert md("<p>" * 300 + "deep").endswith("deep")
 
 
+def test_own_markdown_rules():
+    own = {"mark": lambda node, writer: f"=={writer.children(node)}==", "s": lambda node, writer: writer.children(node)}
+    assert md("<p>a <mark>b <b>c</b></mark> <s>d</s> <del>e</del></p>", rules=own) == "a ==b **c**== d ~~e~~"
+
+
 def test_title_not_repeated():
     page = "<html><head><title>T</title></head><body><article><h1>T</h1><p>" + "long enough text, with commas, for the main content rule. " * 4 + "</p></article></body></html>"
     assert md(page).count("# T") == 1
