@@ -73,16 +73,22 @@ def matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     return x
 
 
+def _sigmoid(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of every row; in the matrix's own precision, so that it is not copied."""
+    return 1 / (1 + np.exp(-(x @ w.astype(x.dtype)).astype(float)))
+
+
 def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
     """(positive part, negative part before it is held at zero) of the risk with the sigmoid loss."""
-    sp, su = 1 / (1 + np.exp(-xp @ w)), 1 / (1 + np.exp(-xu @ w))
+    sp, su = _sigmoid(xp, w), _sigmoid(xu, w)
     return prior * float((1 - sp).mean()), float(su.mean()) - prior * float(sp.mean())
 
 
 def gradient(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
     """Of the sum of both parts; where the negative part is below zero, that which brings it back up."""
-    sp, su = 1 / (1 + np.exp(-xp @ w)), 1 / (1 + np.exp(-xu @ w))
-    of_p, of_u = (xp.T @ (sp * (1 - sp))) / len(xp), (xu.T @ (su * (1 - su))) / len(xu)
+    sp, su = _sigmoid(xp, w), _sigmoid(xu, w)
+    slope = lambda x, p: x.T @ (p * (1 - p)).astype(x.dtype) / len(x)
+    of_p, of_u = slope(xp, sp), slope(xu, su)
     negative = of_u - prior * of_p
     return -prior * of_p + negative if su.mean() >= prior * sp.mean() else -negative
 
