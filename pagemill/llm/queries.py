@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, dac, decontam, histogram, licenses, packing, pii, quality, simhash, toxicity
+from . import ctw, dac, decontam, histogram, licenses, linededup, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -67,6 +67,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and digest of what stays of every document."""
+    found = linededup.drop_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -78,8 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.scan_sql(),
+    "op13_line_dedup": linededup.line_dedup_sql(),
 }

@@ -20,9 +20,10 @@ FIXED = {
     "op8_decontamination": {"doc_id": "bigint", "item_id": "bigint", "score": "double"},
     "op9_token_files": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op10_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op13_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
 }
 #: Those with a row for every document.
-EACH = ["op1_simhash", "op2_license_scan", "op3_pii", "op6_context_tree", "op7_toxicity", "op9_token_files", "op10_quality_rules"]
+EACH = ["op1_simhash", "op2_license_scan", "op3_pii", "op6_context_tree", "op7_toxicity", "op9_token_files", "op10_quality_rules", "op13_line_dedup"]
 LONG = " ".join(f"word{i}" + "." * (i % 9 == 8) for i in range(400))
 ROWS = [(1, LONG), (2, LONG), (2, None), (3, ""), (4, " \t\n"), (None, "write to a@b.co or call +49 30 1234567 now, it is urgent my friend"), (5, "x " * 30_000), (6, LONG.replace("word200", "other")), (7, "What is the capital of Atlantis? The capital is Poseidonis."), (7, "What is the capital of Atlantis? The capital is Poseidonis.")]
 CLASH = ", row string, mark int, node long, words int, size int, key string, f0 long, shard int, tie int, n_chars int, lang string, source string"
