@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, dac, decontam, histogram, licenses, linededup, packing, pii, quality, simhash, toxicity
+from . import align, ctw, dac, decontam, histogram, licenses, linededup, negatives, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -67,6 +67,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and counts of the two tokenizations of every document."""
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, dropped lines and digest of what stays of every document."""
     found = linededup.drop_lines(table(spark, sf_dir, "documents"))
@@ -84,10 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.scan_sql(),
+    "op12_hard_negatives": negatives.hard_negatives_sql(),
     "op13_line_dedup": linededup.line_dedup_sql(),
 }
