@@ -20,10 +20,12 @@ FIXED = {
     "op8_decontamination": {"doc_id": "bigint", "item_id": "bigint", "score": "double"},
     "op9_token_files": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op10_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op11_token_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
+    "op12_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
     "op13_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
 }
 #: Those with a row for every document.
-EACH = ["op1_simhash", "op2_license_scan", "op3_pii", "op6_context_tree", "op7_toxicity", "op9_token_files", "op10_quality_rules", "op13_line_dedup"]
+EACH = ["op1_simhash", "op2_license_scan", "op3_pii", "op6_context_tree", "op7_toxicity", "op9_token_files", "op10_quality_rules", "op11_token_alignment", "op13_line_dedup"]
 LONG = " ".join(f"word{i}" + "." * (i % 9 == 8) for i in range(400))
 ROWS = [(1, LONG), (2, LONG), (2, None), (3, ""), (4, " \t\n"), (None, "write to a@b.co or call +49 30 1234567 now, it is urgent my friend"), (5, "x " * 30_000), (6, LONG.replace("word200", "other")), (7, "What is the capital of Atlantis? The capital is Poseidonis."), (7, "What is the capital of Atlantis? The capital is Poseidonis.")]
 CLASH = ", row string, mark int, node long, words int, size int, key string, f0 long, shard int, tie int, n_chars int, lang string, source string"
@@ -34,6 +36,8 @@ def tables(spark, folder, rows):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, 0, 0), (None, 1, 1), (6, 1, 1), (6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "What is the capital of Atlantis? The capital is Poseidonis."), (None, "Nobody asks this."), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    vectors = [(i, [0.1 * (i % 7), 0.5], i % 3, "x", 1) for i in range(0, 210, 10)] + [(None, [1.0], 1, "x", 1), (5, None, 1, "x", 1), (6, [None], 1, "x", 1)] if rows else []
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, own string, block int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
