@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..frames import one_each
 from ..functions import pages as P
 from ..functions import text as X
 from ..functions import urls
@@ -133,9 +134,10 @@ def convert(
     ``image_host`` serves images of a host that refuses other pages.
 
     Null or empty pages and pages of null status are errors; repeated rows are converted
-    as often as they occur; an empty table gives no rows.
+    as often as they occur; an empty table gives no rows. Other columns are ignored,
+    whatever their names; of several answers or copies of a page the choice is always the same.
     """
-    made = fetch_errors(pages)
+    made = fetch_errors(pages.select(*(c for c in ("url", "html", "status", "content_type") if c in pages.columns)))
     ok = made.where("error_code is null").withColumn("__site", name_of(F.col("url"), adapters)).withColumn("__base", site_url(F.col("url"), adapters))
     raw = F.col("html")
     body = post_processed(P.without_scripts(raw), F.col("__site"), adapters)
@@ -201,8 +203,8 @@ def _longer(rows: DataFrame, other: str, name: str, allowed: Column) -> DataFram
 
 def _with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Thin pages without any fallback, by the scrape service's longer answer, else the reader's."""
-    told = answers.select(F.col("url").alias("__base"), scrape_answer(F.col("scrape")).alias("__s"), reader_answer(F.col("reader")).alias("__r")).dropDuplicates(["__base"])
-    made = rows.join(told, "__base", "left")
+    told = answers.select(F.col("url").alias("__base"), scrape_answer(F.col("scrape")).alias("__s"), reader_answer(F.col("reader")).alias("__r"))
+    made = rows.join(one_each(told, "__base"), "__base", "left")
     size = lambda c: F.length(F.coalesce(F.col(f"{c}.markdown"), F.lit("")))
     asks = (size("m") < THIN) & (F.size("fallbacks") == 0) & (F.col("__size") > 2000)
     by_scrape = F.coalesce(asks & (size("__s") > size("m")), F.lit(False))

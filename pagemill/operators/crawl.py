@@ -2,8 +2,8 @@
 
 Breadth-first runs in levels: one join of a level to the edges, an anti-join against
 what was visited, and a rank by the place of the parent and of the link give the
-very order that a queue would. Best-first depends on every step before it, so it
-runs per seed, in parallel across seeds, over edges that Spark has prepared.
+very order that a queue would. Best-first depends on every step before it, so all
+seeds go on in rounds, each of which fetches the links of the pages next in every queue.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import time
 import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import folders
+from ..frames import numbered
 from ..functions import urls, whatwg
 from ..session import kept
 
@@ -185,20 +188,45 @@ def ordered(state: State) -> DataFrame:
 
 
 def restored_frontier(frontier: DataFrame, max_depth: int) -> DataFrame:
-    """A foreign frontier (url, parent_url, depth, score), made fit to go on with: bad URLs dropped, depth clamped, score 0 where it is none."""
+    """A foreign frontier (url, parent_url, depth, score), made fit to go on with: bad URLs dropped, depth clamped, score 0 where it is none.
+
+    Within a depth its rows keep the order they lie in; each has a place of its own.
+    """
     score = F.when(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf")), 0.0).otherwise(F.col("score"))
     depth = F.least(F.greatest(F.floor(F.coalesce("depth", F.lit(0))), F.lit(0)), F.lit(max_depth)).cast("int")
     made = frontier.select(urls.normalized_alone(F.col("url")).alias("url"), urls.normalized_alone(F.col("parent_url")).alias("parent_url"), depth.alias("depth"), score.alias("score"))
-    return made.where("url is not null").withColumn("place", (F.col("depth").cast("long") * (1 << 40)) + F.monotonically_increasing_id() % (1 << 39))
+    return numbered(made.where("url is not null"), "place").withColumn("place", F.col("depth").cast("long") * (1 << 40) + F.col("place"))
+
+
+#: How long a stored crawl lives, in seconds: unless said otherwise, at least, at most.
+TTL_SECONDS, MIN_TTL, MAX_TTL = 7 * 86_400, 60, 30 * 86_400
+
+
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, object]]:
+    """The whole versions stored in ``folder``, oldest first: those whose plan, written last, is complete."""
+    found = folders.inside(spark, folder, "v")
+    return [(n, path) for n, path in found if folders.whole(spark, f"{path}/meta")]
+
 
+def save(state: State, folder: str, seed: str, s: Settings, ttl_seconds: int = TTL_SECONDS, now: float | None = None) -> None:
+    """Frontier, visited and results as Parquet, and the plan, written last, beside them.
 
-def save(state: State, folder: str, seed: str, s: Settings) -> None:
-    """Frontier, visited and results as Parquet, and the plan beside them."""
+    Every save is a new version; until its plan is complete the one before it counts, so
+    a crash between the writes leaves the older state whole. A version two older is removed.
+    """
+    if not MIN_TTL <= ttl_seconds <= MAX_TTL:
+        raise ValueError(f"ttl_seconds must be {MIN_TTL} to {MAX_TTL}.")
     spark = state.results.sparkSession
+    number = max((n for n, _ in folders.inside(spark, folder, "v")), default=0) + 1
+    path = f"{folder}/v={number:08d}"
     for name in ("results", "frontier", "visited"):
-        getattr(state, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    meta = json.dumps({"seed": seed, "enqueued": state.enqueued, "completed": state.completed, "settings": asdict(s)}, sort_keys=True)
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
+        getattr(state, name).write.parquet(f"{path}/{name}")
+    until = (time.time() if now is None else now) + ttl_seconds
+    meta = json.dumps({"seed": seed, "enqueued": state.enqueued, "completed": state.completed, "settings": asdict(s), "until": until}, sort_keys=True)
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/meta")
+    for n, old in folders.inside(spark, folder, "v"):
+        if n < number - 1:
+            folders.remove(spark, old)
 
 
 def resumed(frontier: DataFrame, visited: DataFrame, results: DataFrame, enqueued: int, max_depth: int) -> State:
@@ -212,9 +240,32 @@ class Conflict(ValueError):
     """A stored crawl that belongs to another seed or plan."""
 
 
-def load(spark: SparkSession, folder: str, seed: str, s: Settings) -> State:
-    """A saved crawl, if it has this seed and plan (depth and pages may differ)."""
-    meta = json.loads(spark.read.text(f"{folder}/meta").first()[0])
+class NotStored(LookupError):
+    """No crawl is stored there, or its time has passed."""
+
+
+def _plan(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
+def expire(spark: SparkSession, folder: str, now: float | None = None) -> bool:
+    """Remove a stored crawl whose time has passed; whether there was one."""
+    versions = _versions(spark, folder)
+    gone = bool(versions) and _plan(spark, versions[-1][1])["until"] <= (time.time() if now is None else now)
+    if gone:
+        folders.remove(spark, folder)
+    return gone
+
+
+def load(spark: SparkSession, folder: str, seed: str, s: Settings, now: float | None = None) -> State:
+    """The last whole version of a saved crawl, if it lives and has this seed and plan (depth and pages may differ)."""
+    versions = _versions(spark, folder)
+    if not versions:
+        raise NotStored(f"No crawl is stored in {folder}.")
+    folder = versions[-1][1]
+    meta = _plan(spark, folder)
+    if meta["until"] <= (time.time() if now is None else now):
+        raise NotStored("The stored crawl has expired.")
     old = Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta["settings"].items()})
     if meta["seed"] != seed or not old.same_plan(s):
         raise Conflict("The stored crawl has another seed or configuration.")
@@ -234,58 +285,121 @@ def collation_key(text: str) -> tuple:
     return weight, [c for c in plain if unicodedata.combining(c)], [c != c.lower() for c in base], text
 
 
-def best_first_one(seed: str, out: dict[str, list[tuple[str, float]]], pages: dict[str, bool], s: Settings) -> list[tuple]:
-    """One seed's visits in order: highest score, then least depth, then URL in the root locale's order. ``pages``: known URLs, and whether they pass the filters."""
-    heap: list[tuple] = [(-math.inf, 0, (), seed, None, 0.0)]
-    seen, rows = {seed}, []
-    while heap and len(rows) < s.max_pages:
-        _, depth, _, url, parent, score = heapq.heappop(heap)
-        ok, count = pages.get(url), 0
-        if ok and depth < s.max_depth:
-            for dst, points in out.get(url, ()):
-                if dst not in seen:
-                    seen.add(dst)
-                    count += 1
-                    heapq.heappush(heap, (-points, depth + 1, collation_key(dst), dst, url, points))
-        rows.append((len(rows) + 1, url, parent, depth, score, bool(ok), count, None if ok else NOT_FOUND if ok is None else FILTERED))
-    return rows
+def collation_bytes(text: str) -> bytes:
+    """``collation_key`` as bytes that sort alike: every part ends in a byte below all others."""
+    weight, accents, capitals, plain = collation_key(text)
+    code = lambda w: bytes([1, 1 + w[1]]) if w[0] == 0 else bytes([2, 1 + w[1]]) if w[0] == 1 else b"\x03" + b"".join((ord(c) + 1).to_bytes(3, "big") for c in w[2]) + b"\x00"
+    signs = lambda cs: b"".join((ord(c) + 1).to_bytes(3, "big") for c in cs)
+    return b"".join(map(code, weight)) + b"\x00\x00" + signs(accents) + b"\x00\x00\x00" + bytes(1 + c for c in capitals) + b"\x00" + plain.encode()
+
+
+#: Pages of a seed whose links are fetched ahead in a round, the next ones of its queue.
+AHEAD = 8
+#: Rounds after which the tables of links seen are put together.
+COMPACT = 16
+_QUEUED = "seed string, url string, parent_url string, depth int, score double"
+_VISITED = "seed string, visit int, url string, parent_url string, depth int, score double, success boolean, links_discovered int, error string"
+_ROUND = f"kind string, {_VISITED}"
+
+
+def _visits(s: Settings):
+    """One seed's round: visits from its queue, as long as the links of the next page are at hand.
+
+    Its rows are its queue (at most ``max_pages``), of which ``ready`` pages have links at
+    hand, and those links, without any that it has seen.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        none = lambda v: None if v is None or pd.isna(v) else v
+        done = int(rows["done"].iloc[0])
+        queue = [(-r.score, r.depth, collation_key(r.url), r.url, none(r.parent_url), bool(r.ready), none(r.ok)) for r in rows[~rows["link"]].itertuples()]
+        heapq.heapify(queue)
+        out: dict[str, list[tuple[str, float]]] = {}
+        for r in rows[rows["link"]].sort_values(["parent_url", "pos"]).itertuples():
+            out.setdefault(r.parent_url, []).append((r.url, r.score))
+        fresh, made = set(), []
+        while queue and done < s.max_pages and queue[0][5]:
+            score, depth, _, url, parent, _, ok = heapq.heappop(queue)
+            count = 0
+            if ok and depth < s.max_depth:
+                for dst, points in out.get(url, ()):
+                    if dst not in fresh:
+                        fresh.add(dst)
+                        count += 1
+                        heapq.heappush(queue, (-points, depth + 1, collation_key(dst), dst, url, False, None))
+            done += 1
+            made.append(("visit", key[0], done, url, parent, depth, -score, bool(ok), count, None if ok else NOT_FOUND if ok is None else FILTERED))
+        # what cannot be visited any more leaves the queue, but stays among what was seen
+        made += [("queue", key[0], done, url, parent, depth, -score, None, None, None) for score, depth, _, url, parent, *_ in heapq.nsmallest(s.max_pages - done, queue)]
+        made += [("seen", key[0], done, url, None, None, None, None, None, None) for url in fresh]
+        return pd.DataFrame(made, columns=_ROUND_NAMES).astype({"depth": "Int32", "links_discovered": "Int32"})
+
+    return run
+
+
+_ROUND_NAMES = [c.split()[0] for c in _ROUND.split(", ")]
 
 
 def best_first(pages: DataFrame, edges: DataFrame, seeds: DataFrame, s: Settings, filters: Sequence[Rule] = (), scorers: Sequence[Rule] = ()) -> DataFrame:
     """(seed, visit, url, parent_url, depth, score, success, links_discovered, error) for each seed of ``seeds`` (seed).
 
-    A crawl sees at most ``max_pages`` pages, so only edges within ``max_depth`` steps
-    of a seed are gathered for it. A task holds the edges of one seed that are that near.
+    Highest score first, then least depth, then URL in the root locale's order. All
+    seeds go on in rounds: the next pages of every queue meet the links in one join, and
+    each seed visits on until it needs links it has not got; a round visits one page a
+    seed at least. A queue keeps no more than can still be visited, so a task holds at most
+    ``max_pages`` pages of a seed and the unseen links of ``AHEAD`` pages, never its neighbourhood.
+
+    Seeds that are no URLs have no rows, repeated seeds count once; null targets lead
+    nowhere; of repeated pages the least content type counts.
     """
     has_type = F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string")
     known = urls.with_parts(pages.groupBy("url").agg(F.min(has_type).alias("content_type")), "url", "p")
     any_page = F.lit(None).cast("string")
     passes = urls.all_of(page_filter(F.col("url"), F.col("p"), F.col("content_type"), s), *(F.coalesce(f(F.col("url"), any_page), F.lit(False)) for f in filters))
-    known = known.select("url", passes.alias("ok"))
-    start = seeds.select("seed", urls.normalized_alone(F.col("seed")).alias("url")).where("url is not null")
-    usable = kept(prepared_edges(edges, s, filters, scorers).select("src", "pos", "dst", "score", "to_host"))
-    reach = start.select("seed", "url")
-    level = reach
-    home = urls.with_parts(start, "url", "p").select("seed", F.col("p.netloc").alias("home"))
-    for _ in range(s.max_depth):
-        step = level.join(usable, level.url == usable.src).join(home, "seed")
-        step = step.where("to_host = home") if not s.include_external else step
-        level = kept(step.select("seed", F.col("dst").alias("url")).distinct().join(reach, ["seed", "url"], "left_anti"))
-        reach = kept(reach.union(level))
-    mine = reach.join(known, "url", "left").select("seed", "url", F.lit(None).cast("string").alias("dst"), F.lit(-1).alias("pos"), F.lit(0.0).alias("score"), "ok")
-    own = reach.join(usable, reach.url == usable.src).join(home, "seed")
-    own = own.where("to_host = home") if not s.include_external else own
-    own = own.select("seed", "url", "dst", "pos", "score", F.lit(None).cast("boolean").alias("ok"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = rows["pos"] < 0
-        there = {u: bool(o) for u, o in zip(rows[at]["url"], rows[at]["ok"], strict=True) if o is not None and not pd.isna(o)}
-        out: dict[str, list[tuple[str, float]]] = {}
-        for r in rows[~at].sort_values(["url", "pos"]).itertuples():
-            out.setdefault(r.url, []).append((r.dst, r.score))
-        first = whatwg.normalize(key[0])
-        found = best_first_one(first, out, there, s)
-        return pd.DataFrame([(key[0], *f) for f in found], columns=["seed", "visit", "url", "parent_url", "depth", "score", "success", "links_discovered", "error"])
-
-    schema = "seed string, visit int, url string, parent_url string, depth int, score double, success boolean, links_discovered int, error string"
-    return mine.unionByName(own).groupBy("seed").applyInPandas(run, schema)
+    known = kept(known.select("url", passes.alias("ok")))
+    usable = kept(prepared_edges(edges, s, filters, scorers).where("dst is not null").select("src", "pos", "dst", "score", "to_host"))
+    start = seeds.select("seed", urls.normalized_alone(F.col("seed")).alias("url")).where("url is not null").distinct()
+    home = kept(urls.with_parts(start, "url", "p").select("seed", F.col("p.netloc").alias("home")))
+    queue = kept(start.select("seed", "url", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.lit(0).alias("done")))
+    seen = [queue.select("seed", "url")]
+    visits: list[DataFrame] = []
+    while not queue.isEmpty():
+        # the next of each queue: its own order by score, depth and, near enough, URL; the visits follow the exact order
+        by = Window.partitionBy("seed").orderBy(F.desc("score"), "depth", collated(F.col("url")))
+        heads = kept(queue.withColumn("__n", F.row_number().over(by)))
+        ahead = heads.where(F.col("__n") <= AHEAD).join(known, "url", "left").join(home, "seed")
+        met = ahead.where(F.col("ok") & (F.col("depth") < s.max_depth)).withColumnRenamed("url", "src").select("seed", "src", "done", "home").join(usable, "src")
+        met = met if s.include_external else met.where("to_host = home")
+        new = met.groupBy("seed", "src", "dst", "done").agg(F.min_by(F.struct("pos", "score"), "pos").alias("x"))
+        every = seen[0]
+        for part in seen[1:]:
+            every = every.union(part)
+        new = new.join(every.withColumnRenamed("url", "dst"), ["seed", "dst"], "left_anti")
+        none = lambda kind: F.lit(None).cast(kind)
+        links = new.select("seed", F.col("dst").alias("url"), F.col("src").alias("parent_url"), none("int").alias("depth"), F.col("x.score").alias("score"), "done", F.lit(True).alias("link"), F.col("x.pos").alias("pos"), F.lit(False).alias("ready"), none("boolean").alias("ok"))
+        own = heads.join(ahead.select("seed", "url", "ok", F.lit(True).alias("ready")), ["seed", "url"], "left")
+        own = own.select("seed", "url", "parent_url", "depth", "score", "done", F.lit(False).alias("link"), none("int").alias("pos"), F.coalesce("ready", F.lit(False)).alias("ready"), "ok")
+        moved = kept(own.unionByName(links).groupBy("seed").applyInPandas(_visits(s), _ROUND))
+        visits.append(moved.where("kind = 'visit'").drop("kind"))
+        seen.append(moved.where("kind = 'seen'").select("seed", "url"))
+        queue = moved.where("kind = 'queue'").select("seed", "url", "parent_url", "depth", "score", F.col("visit").alias("done"))
+        if len(visits) % COMPACT == 0:
+            seen, visits = [kept(_together(seen))], [kept(_together(visits))]
+    return _together(visits) if visits else pages.sparkSession.createDataFrame([], _VISITED)
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def collated(url: Column) -> Column:
+    """Bytes in the order of ``collation_key``."""
+
+    @F.pandas_udf("binary")
+    def keys(values: pd.Series) -> pd.Series:
+        return values.map(collation_bytes)
+
+    return keys(url)

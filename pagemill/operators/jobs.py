@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-import random
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from ..session import kept
+from .folds import Fold, State, folded
 from .ratelimit import anchored_window
 
 # --- fixed values --------------------------------------------------------------------
@@ -245,40 +247,67 @@ def payload_hash(text: Column) -> Column:
     return F.sha2(ordered(text), 256)
 
 
-def idempotent(creates: DataFrame, key: str = "idem_key", at: str = "ts", payload: str = "payload_hash") -> DataFrame:
+def idempotent(creates: DataFrame, key: str = "idem_key", at: str = "ts", payload: str = "payload_hash", tie: str | None = None) -> DataFrame:
     """Each create with ``outcome``: created (first of its key), replayed (same payload) or conflict (another payload).
 
     The first of every key is found by a partial aggregation, not by ordering all
-    creates of a key in one task.
+    creates of a key in one task. Of creates of one time the least ``tie`` is first, then
+    the least payload; of rows equal in all that, exactly one is created and the others
+    are replayed. Creates without a key are all created; null payloads equal each other.
     """
-    first = creates.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(at, payload)).alias("__first"))
-    made = creates.join(first, key, "left")
-    same_row = (F.col(at) == F.col("__first")[at]) & (F.col(payload) == F.col("__first")[payload])
-    outcome = F.when(F.col(key).isNull() | same_row, "created").when(F.col(payload) == F.col("__first")[payload], "replayed").otherwise("conflict")
+    marked = kept(creates.withColumn("__row", F.monotonically_increasing_id()))
+    order = F.struct(F.col(at).alias("at"), *([F.col(tie).alias("tie")] if tie else []), F.col(payload).alias("payload"), "__row")
+    first = marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__first"))
+    made = marked.join(first, key, "left")
+    same_row, same = F.col("__row") == F.col("__first.__row"), F.col(payload).eqNullSafe(F.col("__first.payload"))
+    outcome = F.when(F.col(key).isNull() | same_row, "created").when(same, "replayed").otherwise("conflict")
     return made.withColumn("outcome", outcome).select(*creates.columns, "outcome")
 
 
+def _pacing(base_ms: int, most_ms: int) -> Fold:
+    """The delay is the state; an attempt maps it to another, and more delay before never means less after."""
+
+    def moved(delay: np.ndarray, ok: bool, jitter: float) -> np.ndarray:
+        return np.maximum(base_ms, np.floor(delay * 0.75)) if ok else np.minimum(most_ms, np.floor(delay * 2 * jitter))
+
+    def summed(rows: pd.DataFrame) -> list[np.ndarray]:
+        """The block as a step function: from which delay on, which delay comes out."""
+        starts = np.arange(base_ms, most_ms + 1)
+        delay = starts.astype(float)
+        for ok, jitter in zip(rows["success"].to_numpy(), rows["__jitter"].to_numpy(), strict=True):
+            delay = moved(delay, ok, jitter)
+            if len(delay) > 1:
+                own = np.r_[True, delay[1:] != delay[:-1]]
+                starts, delay = starts[own], delay[own]
+        return [starts, delay.astype(np.int64)]
+
+    def passed(state: State, arrays: list[np.ndarray], n: int) -> State:
+        starts, delay = arrays
+        return (int(delay[np.searchsorted(starts, state[0], side="right") - 1]),)
+
+    def stepped(state: State, rows: pd.DataFrame) -> tuple[State, dict[str, np.ndarray]]:
+        delay, out = state[0], np.empty(len(rows), np.int64)
+        for i, (ok, jitter) in enumerate(zip(rows["success"].to_numpy(), rows["__jitter"].to_numpy(), strict=True)):
+            delay = max(base_ms, int(delay * 0.75)) if ok else min(most_ms, int(delay * 2 * jitter))
+            out[i] = delay
+        ok = rows["success"].to_numpy(bool)
+        return (delay,), {"delay_ms": out, "wait_ms": np.where(ok, np.minimum(base_ms, out), out)}
+
+    return Fold((base_ms,), ["success", "__jitter"], summed, passed, stepped, "delay_ms long, wait_ms long")
+
+
 def paced(attempts: DataFrame, base_ms: int = 1000, most_ms: int = 30_000, seed: int = 0) -> DataFrame:
     """Delays of each domain after each attempt (domain, seq, success): shrunk by a quarter after a success, doubled with jitter after a failure.
 
-    A fold in order of ``seq`` for each domain; the jitter is drawn from ``seed``, the
-    domain and the place, so a run can be repeated. Adds delay_ms and wait_ms.
+    A fold in order of ``seq`` for each domain, failures first among equals, in blocks
+    (see ``folds``), so a domain of any number of attempts splits. The jitter, 0.75 to
+    1.25, is a digest of ``seed``, the domain and ``seq``, so a run can be repeated. Adds
+    delay_ms and wait_ms. A null success is a failure; null domains are one domain.
     """
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, delay, out = rows.sort_values("seq", kind="stable"), base_ms, []
-        for n, ok in enumerate(rows["success"]):
-            if ok:
-                delay = max(base_ms, int(delay * 0.75))
-                out.append((delay, min(base_ms, delay)))
-            else:
-                jitter = 0.75 + random.Random(f"{seed}:{key[0]}:{n}").random() * 0.5
-                delay = min(most_ms, int(delay * 2 * jitter))
-                out.append((delay, delay))
-        rows[["delay_ms", "wait_ms"]] = pd.DataFrame(out, index=rows.index, columns=["delay_ms", "wait_ms"])
-        return rows[["domain", "seq", "success", "delay_ms", "wait_ms"]]
-
-    return attempts.select("domain", "seq", "success").groupBy("domain").applyInPandas(run, "domain string, seq long, success boolean, delay_ms long, wait_ms long")
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("domain"), F.col("seq").cast("string")))
+    jitter = 0.75 + F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 33))
+    rows = attempts.select("domain", F.col("seq").cast("long").alias("seq"), F.coalesce("success", F.lit(False)).alias("success"), jitter.alias("__jitter"))
+    return folded(rows, "domain", ["seq", "success"], _pacing(max(50, base_ms), max(50, base_ms, most_ms))).drop("__jitter")
 
 
 def changes(history: DataFrame, key: str, at: str, status: str = "status") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import one_each
 from ..functions.text import escape_html
 from ..session import kept
 
@@ -37,19 +38,23 @@ def reshaped(body: Column) -> Column:
 def threads(posts: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, id, place) of every target's thread: replies of its author to itself upward, then the rest of the conversation.
 
-    ``posts``: id, author, replying_to, replying_to_status, conversation_id. The walk
-    up is a join a step, all targets at once, until no chain grows or MAX_ANCESTORS.
+    ``posts``: id, author, replying_to, replying_to_status, conversation_id. A post
+    points at the one it replies to; pointers along replies to one name are doubled, so
+    all targets' walks of up to MAX_ANCESTORS steps take six joins. Of posts of one id
+    the least counts; a walk that comes round ends.
     """
-    p = posts.select("id", "author", "replying_to", "replying_to_status", "conversation_id").dropDuplicates(["id"])
-    at = targets.select(F.col("id").alias("target")).join(p, F.col("target") == p.id).select("target", "id", F.col("author").alias("who"), "replying_to", "replying_to_status")
-    found = at.select("target", "id", F.lit(0).alias("step"))
-    for step in range(1, MAX_ANCESTORS + 1):
-        up = at.where(F.lower("replying_to") == F.lower("who")).select("target", "who", F.col("replying_to_status").alias("id")).join(p, "id").select("target", "id", "who", "replying_to", "replying_to_status")
-        at = up.join(found.select("target", "id"), ["target", "id"], "left_anti")
-        at = kept(at)
-        if at.isEmpty():
-            break
-        found = kept(found.union(at.select("target", "id", F.lit(step))))
+    p = one_each(posts.select("id", "author", "replying_to", "replying_to_status", "conversation_id"), "id")
+    whom = F.lower("replying_to")
+    links = p.where("replying_to is not null").select(F.col("id").alias("x"), whom.alias("whom"), F.col("replying_to_status").alias("y"))
+    jump = kept(links.join(p.select(F.col("id").alias("y")), "y").select("x", "whom", "y"))  # to a post that is there
+    at = targets.select(F.col("id").alias("target")).distinct().join(p, F.col("target") == p.id)
+    found = at.select("target", "id", F.lower("author").alias("who"), F.lit(0).alias("step"))
+    for power in range(MAX_ANCESTORS.bit_length()):
+        up = found.join(jump, (F.col("id") == F.col("x")) & (F.col("who") == F.col("whom")))
+        found = found.union(up.select("target", F.col("y").alias("id"), "who", (F.col("step") + (1 << power)).alias("step")))
+        far = jump.select(F.col("x").alias("y"), F.col("whom").alias("next"), F.col("y").alias("z"))
+        jump = kept(jump.join(far, "y").where("whom = next").select("x", "whom", F.col("z").alias("y")))
+    found = kept(found.where(F.col("step") <= MAX_ANCESTORS).groupBy("target", "id").agg(F.min("step").alias("step")))
     roots = found.groupBy("target").agg(F.max_by("id", "step").alias("root"))
     below = roots.join(p, roots.root == p.conversation_id).select("target", "id").join(found.select("target", "id"), ["target", "id"], "left_anti")
     every = found.select("target", "id").union(below)

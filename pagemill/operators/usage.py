@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import one_each
 from ..functions import classify
 
 # --- fixed values --------------------------------------------------------------------
@@ -34,7 +35,7 @@ def resolved_keys(requests: DataFrame, keys: DataFrame, accounts: DataFrame, now
 
 def resolved_sessions(requests: DataFrame, sessions: DataFrame, accounts: DataFrame, now: Column) -> DataFrame:
     """Requests (token_hash) that belong to a live session, with its account."""
-    live = sessions.where(F.col("expires_at") >= now).dropDuplicates(["token_hash"])
+    live = one_each(sessions.where(F.col("expires_at") >= now), "token_hash")
     return requests.join(live, "token_hash").join(accounts, "account_id")
 
 

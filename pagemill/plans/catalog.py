@@ -215,7 +215,11 @@ def idempotent_first_wins(spark, sf_dir):
     return jobs.idempotent(d).select("doc_id", "outcome")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT CAST(conv_id % 20 AS VARCHAR) AS domain, conv_id * 1000 + turn AS seq, coalesce(length(text) % 3 <> 0, false) AS success FROM conversations),
+o AS (SELECT *, 0.75::DOUBLE + CAST('0x' || left(md5('0:' || domain || ':' || seq), 8) AS BIGINT) / 8589934592::DOUBLE AS jitter, row_number() OVER (PARTITION BY domain ORDER BY seq, success) AS n FROM a),
+w AS (SELECT domain, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BOOLEAN AS success, 1000::BIGINT AS delay FROM (SELECT DISTINCT domain FROM a)
+UNION ALL SELECT o.domain, o.n, o.seq, o.success, CASE WHEN o.success THEN greatest(1000, CAST(floor(w.delay * 0.75::DOUBLE) AS BIGINT)) ELSE least(30000, CAST(floor(w.delay * 2 * o.jitter) AS BIGINT)) END FROM w JOIN o ON o.domain = w.domain AND o.n = w.n + 1)
+SELECT domain, seq, success, delay AS delay_ms, CASE WHEN success THEN least(1000, delay) ELSE delay END AS wait_ms FROM w WHERE n > 0""")
 def job_pacing(spark, sf_dir):
     a = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).cast("string").alias("domain"), F.col("conv_id") * 1000 + F.col("turn"), (F.length("text") % 3 != 0).alias("success")).toDF("domain", "seq", "success")
     return jobs.paced(a)

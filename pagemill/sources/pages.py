@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..frames import one_each
 from ..functions import classify, pages, urls
 
 REDIRECTS = (301, 302, 303, 307, 308)
@@ -27,7 +28,7 @@ def final_urls(starts: DataFrame, redirects: DataFrame, hops: int = MAX_HOPS) ->
     """(url, final_url, hops, error) along redirects (src, dst, status): each hop must be safe, and there are at most ``hops``."""
     moves = urls.with_parts(redirects.where(F.col("status").isin(*REDIRECTS)), "dst", "p")
     safe = urls.is_http(F.col("dst"), F.col("p.scheme")) & urls.is_safe_host(F.col("p.scheme"), F.col("p.host"))
-    moves = moves.select("src", "dst", safe.alias("safe")).dropDuplicates(["src"])
+    moves = one_each(moves.select("src", "dst", safe.alias("safe")), "src")
     at = starts.select("url").distinct().select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("error"))
     for hop in range(1, hops + 2):
         go = F.col("dst").isNotNull() & F.col("error").isNull()

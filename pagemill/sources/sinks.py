@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import one_each
 from ..functions import privacy
 
 CONTENT_TYPES = {"html": "text/html; charset=utf-8", "text": "text/plain; charset=utf-8", "json": "application/json; charset=utf-8"}
@@ -31,7 +32,7 @@ def log_lines(rows: DataFrame, event: str) -> DataFrame:
 
 def stored_images(images: DataFrame) -> DataFrame:
     """(key, content_type, data) of images (url, content_type, data), one row a key."""
-    return images.select(privacy.image_key(F.col("url"), F.col("content_type")).alias("key"), "content_type", "data").dropDuplicates(["key"])
+    return one_each(images.select(privacy.image_key(F.col("url"), F.col("content_type")).alias("key"), "content_type", "data"), "key")
 
 
 def images_by_key(requests: DataFrame, store: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import heapq
+import math
 import random
 
 import pytest
@@ -111,11 +113,106 @@ def test_best_first(spark):
     assert len({r.url for r in rows}) == 4
 
 
+def plain_best_first(seed: str, out: dict[str, list[tuple[str, float]]], pages: dict[str, bool], s) -> list[tuple]:
+    """One seed's visits in order: highest score, then least depth, then URL in the root locale's order. ``pages``: known URLs, and whether they pass the filters."""
+    heap: list[tuple] = [(-math.inf, 0, (), seed, None, 0.0)]
+    seen, rows = {seed}, []
+    while heap and len(rows) < s.max_pages:
+        _, depth, _, url, parent, score = heapq.heappop(heap)
+        ok, count = pages.get(url), 0
+        if ok and depth < s.max_depth:
+            for dst, points in out.get(url, ()):
+                if dst not in seen:
+                    seen.add(dst)
+                    count += 1
+                    heapq.heappush(heap, (-points, depth + 1, crawl.collation_key(dst), dst, url, points))
+        rows.append((len(rows) + 1, url, parent, depth, score, bool(ok), count, None if ok else crawl.NOT_FOUND if ok is None else crawl.FILTERED))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_best_first_equals_a_queue(spark, seed):
+    """Rounds of fetched links visit what one queue a seed visits: ties, cycles, pages that fail, more links than a queue keeps."""
+    r = random.Random(seed)
+    names = [f"{c}{i}" for c in "aBé-_" for i in range(12)]
+    rows = sorted({(r.choice(names), r.choice(names)) for _ in range(420)})
+    pos = [(S + a, i, S + b, "key " * (b[1:] in ("3", "7")) + b) for i, (a, b) in enumerate(rows)]
+    edges = spark.createDataFrame(pos, "src string, pos int, dst string, anchor string")
+    pages = spark.createDataFrame([(S + n,) for n in names if n[1:] != "5"], "url string")
+    s = crawl.Settings(max_depth=4, max_pages=25, keywords=("key", "B"))
+    starts = [S + "a0", S + "B1", S + "é2", "no url", S + "a0"]
+    got = crawl.best_first(pages, edges, spark.createDataFrame([(x,) for x in starts], "seed string"), s).collect()
+    scored = crawl.prepared_edges(edges, s).orderBy("src", "pos").collect()
+    out = {}
+    for e in scored:
+        out.setdefault(e.src, []).append((e.dst, e.score))
+    known = {p.url: True for p in pages.collect()}
+    want = [(x, *row) for x in starts[:3] for row in plain_best_first(crawl.whatwg.normalize(x), {k: v for k, v in out.items()}, known, s)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_collation_bytes_sort_as_the_key_does():
+    words = ["a", "A", "á", "ab", "a-b", "a_b", "a1", "a10", "a2", "b", "", "é", "z", "Z", "ß", "日", "/", "a/", "a//b"]
+    assert sorted(words, key=crawl.collation_bytes) == sorted(words, key=crawl.collation_key)
+
+
 def test_images(spark):
     known = spark.createDataFrame([("https://c.org/a/1.png?x=1", "k1"), ("/b/2.png", "k2"), ("https://c.org/deep/3.png", "k3")], "src string, key string")
     asked = spark.createDataFrame([(1, "https://c.org/a/1.png?x=1"), (2, "https://o.org/b/2.png"), (3, "deep/3.png"), (4, "none.png")], "id int, src string")
     assert {r.id: r.key for r in links.resolve_images(asked, known).collect()} == {1: "k1", 2: "k2", 3: "k3", 4: None}
-    assert asked.where(F.col("id") == 9).count() == 0
+    inside = spark.createDataFrame([(1, "https://h.org/b/2.png/640"), (2, "/b/2"), (3, None), (4, "https://x.org"), (4, "https://x.org"), (5, "/z"), (6, "https://q.org/cdn/https://c.org/deep/3.png/")], "id int, src string")
+    got = sorted((r.id, r.key) for r in links.resolve_images(inside, known).collect())
+    assert got == [(1, "k2"), (2, "k2"), (3, None), (4, None), (4, None), (5, None), (6, "k3")]
+
+
+def test_containing_equals_trying_all(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("ab/") for _ in range(n))
+    texts, patterns = sorted({word(r.randrange(30)) for _ in range(150)}), sorted({word(r.randrange(14)) for _ in range(150)} - {""})
+    frame = lambda xs, n: spark.createDataFrame([(x,) for x in xs], f"{n} string")
+    got = sorted(map(tuple, links.containing(frame([*texts, None], "text"), frame([*patterns, "", None], "pattern")).collect()))
+    assert got == sorted((x, p) for x in texts for p in patterns if p in x)
+
+
+def test_stored_crawls_are_whole_and_end(spark, tmp_path):
+    """A crash between the writes leaves the older version; a crawl ends with its time."""
+    pages, edges = graph(spark, [("a", "b"), ("b", "c")])
+    s, folder = crawl.Settings(max_depth=2, max_pages=1), str(tmp_path / "crawl")
+    state = crawl.breadth_first(pages, edges, S + "a", s)
+    with pytest.raises(crawl.NotStored):
+        crawl.load(spark, folder, S + "a", s)
+    crawl.save(state, folder, S + "a", s, ttl_seconds=60, now=1000.0)
+    later = crawl.breadth_first(pages, edges, S + "a", crawl.Settings(max_depth=2, max_pages=2))
+
+    class Stop(Exception):
+        pass
+
+    class Broken:
+        def __getattr__(self, name):
+            if name == "visited":
+                raise Stop
+            return getattr(later, name)
+
+    with pytest.raises(Stop):
+        crawl.save(Broken(), folder, S + "a", s, ttl_seconds=60, now=1001.0)
+    assert crawl.load(spark, folder, S + "a", s, now=1059.0).results.count() == 1
+    crawl.save(later, folder, S + "a", s, ttl_seconds=60, now=1002.0)
+    assert crawl.load(spark, folder, S + "a", s, now=1061.0).results.count() == 2
+    with pytest.raises(crawl.NotStored):
+        crawl.load(spark, folder, S + "a", s, now=1062.0)
+    assert not crawl.expire(spark, folder, now=1061.0) and crawl.expire(spark, folder, now=1062.0) and not crawl.expire(spark, folder, now=1063.0)
+    for bad in (59, 30 * 86_400 + 1):
+        with pytest.raises(ValueError):
+            crawl.save(state, folder, S + "a", s, ttl_seconds=bad)
+
+
+def test_a_foreign_frontier_of_many_partitions_keeps_all_rows(spark):
+    rows = spark.range(1300).repartition(130).select(F.concat(F.lit(S), "id").alias("url"), F.lit(None).cast("string").alias("parent_url"), F.lit(1.0).alias("depth"), F.lit(0.0).alias("score"))
+    made = crawl.restored_frontier(rows, 3)
+    assert made.select("place").distinct().count() == 1300
+    state = crawl.resumed(rows, rows.select("url"), crawl.breadth_first(*graph(spark, [("a", "b")]), S + "a", crawl.Settings(max_depth=0)).results, 0, 3)
+    more = crawl.breadth_first(rows.select("url"), spark.createDataFrame([], links.EDGES), S + "a", crawl.Settings(max_depth=3, max_pages=6), state)
+    assert more.results.count() == 6 and more.frontier.count() == 1295
 
 
 def test_internal_addresses_are_never_followed(spark):
