@@ -1,26 +1,31 @@
 """Two tokenizations of one text cut into the groups on whose ends both agree.
 
 A worker encodes space+text with a byte-level vocabulary (A) and a piece vocabulary
-(B) and gives back ids and the byte offsets where tokens end. All else is Spark's own
-functions: ``array_intersect`` of the two end arrays gives the ends of the groups, a
-merge of each end array with them gives the last token of every group, ``sequence``
-and ``transform`` build the groups, their digest and the links (every A token of a
-group with every B token of it). An id pair's count is the number of documents that
-hold it linked: distinct links of a document are made in its own row by
-``array_distinct`` and added up in each task before they are exchanged. The counts
-are written; links are joined with them by broadcast or by shuffle, as their written
-size says, and summed per document.
+(B). Both always break before a single space between words, so it encodes the distinct
+words of a batch of documents only and gives back, a row a batch, their ids and end
+offsets, and each document as a list of words. All else is Spark's own functions:
+``array_intersect`` of the two end arrays gives the ends of a word's groups, a merge
+of each end array with them gives the last token of every group, ``sequence`` and
+``transform`` build groups and links (every A token of a group with every B token of
+it), ``aggregate`` and ``transform`` put documents together from their words. An id
+pair's count is the number of documents that hold it linked: distinct links of a document are
+made in its own row by ``array_distinct`` and added up in each task before they are
+exchanged. Links meet the counts by broadcast up to ``SMALL_PAIRS`` counted pairs, by
+shuffle beyond, and are summed per document.
 
 Defined results: a null or empty text, and one whose A or B tokens do not spell
 space+text byte for byte, has no tokens: zeros and an empty digest; every row is a
 document, so repeated rows count as often as they occur; null ids are ids like others;
 an empty table gives no rows; other columns are ignored, whatever their names. Texts
-are read whole; a row's arrays take some 100 bytes a token while it is worked on.
+are read whole; a batch is about ``common.ARROW_BYTES`` of text, or one longer text.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import durable, only, texts
-from .tokens import BYTE, Encoder, vocabulary
+from .tokens import BYTE, vocabulary
 
 PIECE = "piece_bpe_32k.model"
-GROUPS = "array<struct<a:array<int>,b:array<int>>>"
+#: Id pairs that are sent to every executor, at some 50 bytes each; more are joined by a shuffle.
+SMALL_PAIRS = 1 << 20
 _INTS = T.ArrayType(T.IntegerType(), False)
-ENDS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, _INTS, False) for n in ("a_ids", "a_ends", "b_ids", "b_ends"))])
+SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
+_WORD = T.StructType([T.StructField(n, _INTS, False) for n in SIDES])
+_DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_a", T.LongType(), False), T.StructField("n_b", T.LongType(), False), T.StructField("words", _INTS, False)])
+BATCH = T.StructType([T.StructField("words", T.ArrayType(_WORD, False), False), T.StructField("docs", T.ArrayType(_DOC, False), False)])
 
 
 def _byte_tokens(path: str) -> list[bytes]:
@@ -48,184 +57,254 @@ def _byte_tokens(path: str) -> list[bytes]:
     return [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for _, t in entries]
 
 
-class _Vocabulary:
-    """Where the bytes of each id lie, to spell many tokens at once."""
+class _Side:
+    """One vocabulary: ids of many words at a time, and where their tokens end."""
 
     def __init__(self, tokens: list[bytes]):
         self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.at = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def ends(self, ids: np.ndarray, text: bytes, step: int = 1 << 18) -> np.ndarray | None:
-        """Offsets where tokens end, if they spell ``text``."""
-        sizes = self.size[ids]
-        ends = np.cumsum(sizes)
-        if int(ends[-1]) != len(text):
-            return None
-        own = np.frombuffer(text, np.uint8)
+    def whole(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word by itself."""
+        raise NotImplementedError
+
+    def lines(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words that hold no white space but the space they begin with, by one call for many."""
+        raise NotImplementedError
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many ids each word has, all ids, how many bytes each id has)."""
+        simple = [_SIMPLE(w) is not None for w in words]
+        easy = iter(self.lines([w for w, ok in zip(words, simple, strict=True) if ok]))
+        hard = iter(self.whole([w for w, ok in zip(words, simple, strict=True) if not ok]))
+        ids = [np.asarray(next(easy if ok else hard), np.int32) for ok in simple]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        every = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        return n, every, self.size[every]
+
+    def spells(self, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+        """Of each byte of ``text``, whether the tokens, laid over it in a row, have the same; they are as long."""
+        ends, out = np.cumsum(sizes), []
         for k in range(0, len(ids), step):
             n, e = sizes[k : k + step], ends[k : k + step]
             start = int(e[0] - n[0])
-            spelt = np.repeat(self.at[ids[k : k + step]] - (e - n), n) + np.arange(start, int(e[-1]))
-            if not np.array_equal(self.bytes[spelt], own[start : int(e[-1])]):
-                return None
-        return ends.astype(np.int32)
+            out.append(self.bytes[np.repeat(self.at[ids[k : k + step]] - (e - n), n) + np.arange(start, int(e[-1]))] == text[start : int(e[-1])])
+        return np.concatenate(out) if out else np.empty(0, bool)
 
 
-class _Spaced(Encoder):
-    """Byte-level ids of space+text: every word carries its space, the first one too."""
+_SIMPLE = re.compile(rb" [^\x00-\x20\x7f]+").fullmatch
+#: Lead bytes of white space beyond ASCII, as in U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000, and U+2581, which stands for a space.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xe2\x96\x81").search
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        plain = [self._is_plain(t) for t in texts]
-        done = iter(self._plain([b" " + t for t, ok in zip(texts, plain, strict=True) if ok]))
-        return [next(done) if ok else self._spaced(b" " + t) for t, ok in zip(texts, plain, strict=True)]
 
-    def _bounds(self, buffer: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        line = np.flatnonzero(buffer == 10)
-        starts = np.unique(np.concatenate([np.flatnonzero(buffer == 32), line, line[:-1] + 1]))
-        own = np.ones(len(starts), bool)
-        own[np.searchsorted(starts, edges)] = False
-        return starts[own], np.r_[starts[1:], len(buffer)][own]
+class _Bytes(_Side):
+    """The byte-level vocabulary, whose words carry the space before them."""
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(_byte_tokens(path))
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.newline = self.library.token_to_id("Ċ")
+
+    def whole(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def lines(self, words: list[bytes]) -> list[np.ndarray]:
+        """As lines of one text, cut at the newlines, which no word joins."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(words), 4096):
+            text = b"\n".join([*words[at : at + 4096], b""]).decode()
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(ids == self.newline).tolist()
+            out += [ids[a + 1 : b] for a, b in pairwise([-1, *marks])]
+        return out
 
-class _Pieces(Encoder):
-    """Ids of a piece vocabulary, which puts a space before every text.
 
-    Its merges join a run of spaces and what follows, never a word and the space after
-    it, and no piece but its own holds a newline: so a text falls apart before each run
-    of spaces and each newline, and distinct parts are encoded once.
+class _Pieces(_Side):
+    """The piece vocabulary, which puts a space before every text.
+
+    Its merges join a run of spaces and what follows, never a word and the space after it.
     """
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self._start()
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        first = [t[:1] for t in self.tokens()]
-        #: Ids that begin with a space, or are a newline: the first of a part and no other.
-        self.spaced, self.turned = (np.array([f == x for f in first]) for x in (b" ", b"\n"))
-
-    def _encode(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        words = [p for p in pieces if p[0] == 32 and len(p) > 1 and p[1] != 32]
-        turns = [p for p in pieces if p[0] == 10]
-        blank = [p for p in pieces if p[0] == 32 and (len(p) == 1 or p[1] == 32)]
-        out = self._together(words, 1, self.spaced, False) | self._together(turns, 0, self.turned, True)
-        for p in blank:  # a newline after it keeps a last space; its own id goes again
-            ids = self.library.encode((p[1:] + b"\n").decode(), num_threads=1)
-            out[p] = np.array(ids[:-1], np.uint32).tobytes()
+        self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
+        every = ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))
+        tokens = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace("▁", " ").encode() for i, t in every]
+        super().__init__(tokens)
+        self.spaced = np.array([t[:1] == b" " for t in tokens])
+
+    def whole(self, words: list[bytes]) -> list[list[int]]:
+        """A last space is kept by a newline after it, whose id goes again."""
+        found = self.library.encode([w[1:].decode() + "\n" for w in words], num_threads=1)
+        return [ids[:-1] for ids in found]
+
+    def lines(self, words: list[bytes]) -> list[np.ndarray]:
+        """As words of one text, cut before the ids that begin with a space."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(words), 4096):
+            own = words[at : at + 4096]
+            ids = np.array(self.library.encode(b"".join(own)[1:].decode(), num_threads=1), np.int32)
+            marks = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(marks) == len(own):
+                out += [ids[a:b] for a, b in pairwise([*marks, len(ids)])]
+            else:  # a word holds the sign that stands for a space
+                out += [np.asarray(x, np.int32) for x in self.whole(own)]
         return out
 
-    def _together(self, parts: list[bytes], lead: int, opens: np.ndarray, skip: bool) -> dict[bytes, bytes]:
-        """Ids of parts encoded as one text, which is cut before the ids that only begin a part; ``skip``: the space put before it is none of theirs."""
-        out: dict[bytes, bytes] = {}
-        for at in range(0, len(parts), 1024):
-            own = parts[at : at + 1024]
-            ids = np.array(self.library.encode(b"".join(own)[lead:].decode(), num_threads=1)[skip:], np.uint32)
-            cut = (np.flatnonzero(opens[ids]) * 4).tolist()
-            data = ids.tobytes()
-            if len(cut) != len(own):  # a part spells a space by another sign: each by itself, then
-                each = self.library.encode([p[lead:].decode() for p in own], num_threads=1)
-                out.update((p, np.array(x[skip:], np.uint32).tobytes()) for p, x in zip(own, each, strict=True))
-            else:
-                out.update(zip(own, (data[a:b] for a, b in zip(cut, [*cut[1:], len(data)], strict=True)), strict=True))
-        return out
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        joined = b"".join(b" " + t for t in texts)
-        edges = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        buffer = np.frombuffer(joined, np.uint8)
-        space = buffer == 32
-        first = space.copy()
-        first[1:] &= ~space[:-1]
-        first |= buffer == 10
-        first[np.r_[0, edges[:-1]]] = True
-        starts = np.flatnonzero(first)
-        n, ids = self._gathered(joined, starts, np.r_[starts[1:], len(joined)])
-        cut = np.r_[0, np.cumsum(n)][np.searchsorted(starts, np.r_[0, edges])] * 4
-        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
-
-    def tokens(self) -> list[bytes]:
-        """The bytes of each id: U+2581 is a space, byte pieces are their byte."""
-        model = self.library
-        every = ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))
-        return [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace("▁", " ").encode() for i, t in every]
+def _cuts(text: bytes) -> np.ndarray:
+    """Where the words of space+text begin: at a single space between characters that are none, where both vocabularies break for certain."""
+    b = np.frombuffer(text, np.uint8)
+    solid = (b > 32) & (b < 127) if _WIDE(text) else (b > 32) & (b != 127)
+    at = np.flatnonzero(b[1:-1] == 32) + 1
+    return np.r_[0, at[solid[at - 1] & solid[at + 1]]]
 
 
 class Pair:
-    """Both encoders of a worker."""
+    """Both vocabularies of a worker."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = _Spaced(a_path, False), _Pieces(b_path)
-        self.a_tokens, self.b_tokens = _Vocabulary(_byte_tokens(a_path)), _Vocabulary(self.b.tokens())
-
-    def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, ...] | None]:
-        """(a ids, a ends, b ids, b ends) of each text, or None where there are no tokens."""
-        full = [t for t in texts if t]
-        found = iter(zip(self.a(full), self.b(full), strict=True) if full else ())
-        return [self._own(t, *next(found)) if t else None for t in texts]
-
-    def _own(self, text: bytes, a: bytes, b: bytes) -> tuple[np.ndarray, ...] | None:
-        a_ids, b_ids = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        spelt = b" " + text
-        a_ends = self.a_tokens.ends(a_ids, spelt)
-        b_ends = self.b_tokens.ends(b_ids, spelt)
-        return None if a_ends is None or b_ends is None else (a_ids.view(np.int32), a_ends, b_ids.view(np.int32), b_ends)
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
+        self.a, self.b = _Bytes(a_path), _Pieces(b_path)
+
+    def __call__(self, texts: list[bytes]) -> tuple[list[tuple[np.ndarray, ...]], list[np.ndarray]]:
+        """Of the distinct words (how many ids, ids, ends) of each side, and each text's words by number; none where it has no tokens."""
+        number: dict[bytes, int] = {}
+        docs = []
+        for t in texts:
+            spelt = b" " + t
+            cut = [*_cuts(spelt).tolist(), len(spelt)] if t else []
+            words = [spelt[x:y] for x, y in pairwise(cut)]
+            docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        words = list(number)
+        joined = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        sides, good = [], np.ones(len(words), bool)
+        for side in (self.a, self.b):
+            n, ids, sizes = side(words)
+            first, upto = np.cumsum(n) - n, np.r_[0, np.cumsum(sizes)]
+            good &= upto[first + n] - upto[first] == lengths
+            begin = np.repeat(upto[first], n)
+            sides.append((n, ids, (upto[1:] - begin).astype(np.int32), sizes))
+        for side, (n, ids, _, sizes) in zip((self.a, self.b), sides, strict=True):
+            held = np.repeat(good, n)
+            own = np.repeat(good, lengths)
+            same = side.spells(ids[held], sizes[held], joined[own])
+            wrong = np.r_[0, np.cumsum(~same)]
+            start = np.cumsum(np.where(good, lengths, 0)) - np.where(good, lengths, 0)
+            good &= wrong[np.minimum(start + lengths, len(same))] == wrong[np.minimum(start, len(same))]
+        # words that are not spelt have no ids, as the texts that hold them
+        made = [(np.where(good, n, 0), ids[np.repeat(good, n)], ends[np.repeat(good, n)]) for n, ids, ends, _ in sides]
+        return made, [d if good[d].all() else d[:0] for d in docs]
+
+
+def _lists(n: np.ndarray, values: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
+
+
+def _one(rows: pa.StructArray) -> pa.Array:
+    """All rows as one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows, type=pa.list_(pa.field("element", rows.type, nullable=False)))
 
 
 def token_ends(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """doc_id, and ids and end offsets of both tokenizations of space+text; empty where a text has no tokens."""
+    """A row a batch of documents: ``words``, the distinct ones with ids and end offsets of both sides; ``docs``, with their
+    numbers of tokens and their words by number, none where a text has no tokens."""
     a_path, b_path = a_path or vocabulary(BYTE), b_path or vocabulary(PIECE)
-    none = (np.empty(0, np.int32),) * 4
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pair = only(("pair", a_path, b_path), lambda: Pair(a_path, b_path))
         for batch in batches:
-            found = [x or none for x in pair(batch.column(1).cast(pa.binary()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists([x[i] for x in found]) for i in range(4))], names=ENDS.names)
+            sides, own = pair(batch.column(1).cast(pa.binary()).to_pylist())
+            arrays = [_lists(n, values) for n, ids, ends in sides for values in (ids, ends)]
+            words = pa.StructArray.from_arrays(arrays, fields=[pa.field(c, x.type, nullable=False) for c, x in zip(SIDES, arrays, strict=True)])
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            every = np.concatenate(own) if own else np.empty(0, np.int32)
+            doc = np.repeat(np.arange(len(own)), n)
+            counts = [pa.array(np.bincount(doc, s[0][every], len(own)).astype(np.int64)) for s in sides]
+            columns = [batch.column(0), *counts, _lists(n, every)]
+            made = pa.StructArray.from_arrays(columns, fields=[pa.field("doc_id", pa.int64()), *(pa.field(c, pa.int64(), nullable=False) for c in ("n_a", "n_b")), pa.field("words", columns[3].type, nullable=False)])
+            yield pa.RecordBatch.from_arrays([_one(words), _one(made)], names=["words", "docs"])
+
+    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BATCH)
 
-    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENDS)
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _last_tokens(ends: str, common: str, merged: str) -> Column:
-    """Of each common end, how many tokens end there or before.
 
-    ``merged`` is ``ends`` and ``common`` in one order, so the k-th common end stands
-    twice in a row, after the tokens up to it and the k common ends before it.
+def _last_tokens(ends: Column, common: Column) -> Column:
+    """Of each common end, how many tokens end there or before; 0 comes first.
+
+    In ``ends`` and ``common`` merged, the k-th common end stands twice in a row, after
+    the tokens up to it and the k common ends before it.
     """
-    twice = F.filter(F.sequence(F.lit(1), F.greatest(F.size(merged) - 1, F.lit(1))), lambda j: F.get(F.col(merged), j) == F.get(F.col(merged), j - 1))
-    return F.transform(twice, lambda j, k: j - k)
 
+    def places(merged: Column) -> Column:
+        twice = F.filter(F.sequence(F.lit(1), F.size(merged) - 1), lambda j: merged[j] == merged[j - 1])
+        return F.concat(F.array(F.lit(0)), F.transform(twice, lambda j, k: j - k))
+
+    return let(F.sort_array(F.concat(ends, common)), places)
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """``row`` (one number a row), doc_id, n_a, n_b, and ``groups``: the A ids and B ids of each group, in order."""
-    out = token_ends(docs).withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    for s in "ab":
-        out = out.withColumn(f"{s}_merged", F.sort_array(F.concat(f"{s}_ends", "common")))
-    out = out.withColumns({f"{s}_cut": F.concat(F.array(F.lit(0)), _last_tokens(f"{s}_ends", "common", f"{s}_merged")) for s in "ab"})
 
-    def side(s: str, k: Column) -> Column:
-        """Only plain columns stand in it, as it is worked out once a group."""
-        start = F.get(F.col(f"{s}_cut"), k - 1)
-        return F.slice(F.col(f"{s}_ids"), start + 1, F.get(F.col(f"{s}_cut"), k) - start).alias(s)
+def _sides(w: Column) -> Column:
+    """The groups of one word: an array of the A ids and B ids of each."""
 
-    groups = F.transform(F.sequence(F.lit(1), F.size("a_cut") - 1), lambda k: F.struct(side("a", k), side("b", k)))
-    groups = F.when(F.size("a_ids") == 0, F.array().cast(GROUPS)).otherwise(groups)
-    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(F.size(f"{s}_ids").cast("long").alias(f"n_{s}") for s in "ab"), groups.alias("groups"))
+    def cut(c: Column) -> Column:
+        side = lambda s, k: F.slice(w[f"{s}_ids"], c[s][k - 1] + 1, c[s][k] - c[s][k - 1]).alias(s)
+        return F.transform(F.sequence(F.lit(1), F.size(c["a"]) - 1), lambda k: F.struct(side("a", k), side("b", k)))
+
+    return let(F.array_intersect(w["a_ends"], w["b_ends"]), lambda common: let(F.struct(*(_last_tokens(w[f"{s}_ends"], common).alias(s) for s in "ab")), cut))
+
+
+def _listed(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
+def _word(w: Column) -> Column:
+    """struct(text, n, a, b): a word's groups as ``a1,a2|b1;a3|b2,b3``, their number, and the two sides of its links.
+
+    Where both sides end alike, which is the most common, the groups are the pairs of tokens.
+    """
+    plain = F.struct(
+        F.array_join(F.zip_with(w["a_ids"], w["b_ids"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";").alias("text"),
+        F.size(w["a_ids"]).alias("n"),
+        w["a_ids"].alias("a"),
+        w["b_ids"].alias("b"),
+    )
+
+    def linked(g: Column) -> Column:
+        """Each A token of a group with each B token."""
+        side = lambda own, other, take: F.flatten(F.transform(own, lambda x: F.transform(other, lambda y: take(x, y))))
+        return F.struct(side(g["a"], g["b"], lambda x, _: x).alias("a"), side(g["a"], g["b"], lambda _, y: y).alias("b"))
+
+    def built(groups: Column) -> Column:
+        text = F.array_join(F.transform(groups, lambda g: F.concat(_listed(g["a"]), F.lit("|"), _listed(g["b"]))), ";")
+        pairs = F.transform(groups, linked)
+        return F.struct(text.alias("text"), F.size(groups).alias("n"), F.flatten(pairs["a"]).alias("a"), F.flatten(pairs["b"]).alias("b"))
+
+    return F.when(w["a_ends"] == w["b_ends"], plain).otherwise(let(_sides(w), built))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """A row a batch: ``batch``, its number; ``links``, the sides of every distinct word's links; and
+    ``docs``: doc_id, n_a, n_b, n_groups, groups_sha256 and words of each."""
 
+    def of(d: Column, words: Column) -> Column:
+        text = F.array_join(F.transform(d["words"], lambda i: words[i]["text"]), ";")
+        digest = F.when(F.size(d["words"]) == 0, "").otherwise(F.sha2(text, 256))
+        n = F.aggregate(d["words"], F.lit(0).cast("long"), lambda s, i: s + words[i]["n"])
+        return F.struct(d["doc_id"], d["n_a"], d["n_b"], n.alias("n_groups"), digest.alias("groups_sha256"), d["words"])
 
-def groups_text() -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the groups in order, each A ids and B ids; an empty string without tokens."""
-    text = F.col("groups").cast("string")  # [{[a1, a2], [b1]}, {[a3], [b2, b3]}]
-    for old, new in ((" ", ""), ("]},{[", ";"), ("],[", "|"), ("[{[", ""), ("]}]", ""), ("[]", "")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+    made = let(F.transform("words", _word), lambda words: F.struct(F.transform("docs", lambda d: of(d, words)).alias("docs"), F.transform(words, lambda w: F.struct(w["a"], w["b"])).alias("links")))
+    return token_ends(docs).select(F.monotonically_increasing_id().alias("batch"), made.alias("made")).select("batch", "made.docs", "made.links")
 
 
 def _pair(a: Column, b: Column) -> Column:
@@ -234,24 +313,25 @@ def _pair(a: Column, b: Column) -> Column:
 
 
 def distinct_links() -> Column:
-    """Every linked id pair of a row once; a group of one token a side, the most common, takes the short way."""
+    """Of each document of a batch, every linked id pair once."""
 
-    def of(g: Column) -> Column:
-        each = F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y))))
-        return F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), F.array(_pair(g["a"][0], g["b"][0]))).otherwise(each)
+    def of(codes: Column) -> Column:
+        return F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["words"]), lambda i: codes[i]))))
 
-    return F.array_distinct(F.flatten(F.transform("groups", of)))
+    return let(F.transform("links", lambda w: F.zip_with(w["a"], w["b"], _pair)), of)
 
 
 def links(made: DataFrame) -> DataFrame:
-    """(row, link): every link of every row, each A token of a group with each B token of it."""
-    sides = made.select("row", F.explode("groups").alias("g")).select("row", F.explode("g.a").alias("a"), F.col("g.b").alias("b"))
-    return sides.select("row", "a", F.explode("b").alias("b")).select("row", _pair(F.col("a"), F.col("b")).alias("link"))
+    """(batch, place, link): every link of every document."""
+    each = made.select("batch", "links", F.posexplode("docs").alias("place", "d")).select("batch", "place", "links", F.explode("d.words").alias("i"))
+    sides = each.select("batch", "place", F.get("links", F.col("i")).alias("w")).select("batch", "place", F.explode(F.arrays_zip("w.a", "w.b")).alias("x"))
+    return sides.select("batch", "place", _pair(F.col("x.a"), F.col("x.b")).alias("link"))
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
     """(link, n_docs, best): documents that hold each linked id pair, and whether that is the most of its A id."""
-    counts = durable(made.select(F.explode(distinct_links()).alias("link")).groupBy("link").agg(F.count("*").alias("n_docs")))
+    each = made.select(F.explode(distinct_links()).alias("own")).select(F.explode("own").alias("link"))
+    counts = durable(each.groupBy("link").agg(F.count("*").alias("n_docs")))
     a_id = F.shiftright("link", 32)
     most = counts.groupBy(a_id.alias("a_id")).agg(F.max("n_docs").alias("most"))
     return counts.join(most, a_id == F.col("a_id")).select("link", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
@@ -260,9 +340,9 @@ def pair_counts(made: DataFrame) -> DataFrame:
 def align(docs: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs``."""
     made = durable(grouped(docs))
-    linked = links(made).join(durable(pair_counts(made)), "link")
-    sums = linked.groupBy("row").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
-    digest = F.when(F.size("groups") == 0, "").otherwise(F.sha2(groups_text(), 256))
-    own = made.select("row", "doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), digest.alias("groups_sha256"))
+    counts = durable(pair_counts(made))
+    counts = F.broadcast(counts) if counts.count() <= SMALL_PAIRS else counts
+    sums = links(made).join(counts, "link").groupBy("batch", "place").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
+    own = made.select("batch", F.posexplode("docs").alias("place", "d")).select("batch", "place", *(f"d.{c}" for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")))
     zero = (F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_best", "count_sum"))
-    return own.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", *zero, "groups_sha256")
+    return own.join(sums, ["batch", "place"], "left").select("doc_id", "n_a", "n_b", "n_groups", *zero, "groups_sha256")

@@ -105,10 +105,6 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         #: The id of a newline, where the vocabulary has one that no word joins.
         self.newline = None if lower_words else self.library.token_to_id("Ċ")
-        self._start()
-
-    def _start(self) -> None:
-        """Nothing remembered yet."""
         self.known: dict[bytes, bytes] = {}
         self.room = CACHE_BYTES
         self.short = _Short()

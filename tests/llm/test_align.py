@@ -70,7 +70,7 @@ def found(docs):
 
 
 def test_odd_rows(spark, libraries):
-    docs = spark.createDataFrame([(*r, 1, "g", 2) for r in ODD], "doc_id long, text string, row int, groups string, link int")
+    docs = spark.createDataFrame([(*r, 1, "g", 2) for r in ODD], "doc_id long, text string, batch int, words string, link int")
     got = found(docs)
     assert got == plain(ODD, *libraries)
     assert [r for r in got if r[0] in (2, 3, 5)] == [(i, 0, 0, 0, 0, 0, 0, "") for i in (2, 3, 5)]
@@ -92,12 +92,18 @@ def test_words_by_parts_are_whole_texts_ids(libraries):
     signs = ["a", "b", " ", "  ", "\n", "\n\n", " \n", "\t", "é", "▁", "<s>", "<0x41>", "<|endoftext|>", "日本", "　", "\r\n", "x1", "'s", ".", "\0", "🙂", "12345", "    ", "\xa0"]
     texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 30))) for _ in range(1500)]
     pair = align.Pair(vocabulary(BYTE), vocabulary(align.PIECE))
-    for text, x in zip(texts, pair([t.encode() for t in texts]), strict=True):
-        if x is not None:
-            assert x[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids
-            assert x[2].tolist() == b.encode(text, num_threads=1)
+    sides, docs = pair([t.encode() for t in texts])
+    for text, words in zip(texts, docs, strict=True):
+        want = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text, num_threads=1)
+        got = []
+        for n, ids, _ in sides:
+            at = n.cumsum() - n
+            got.append([i for w in words.tolist() for i in ids[at[w] : at[w] + n[w]].tolist()])
+        if len(words):
+            assert tuple(got) == want
         else:
-            assert "▁" in text or "<unk>" in text or "\0" in text or b.decode(b.encode(text)) != text
+            spelt = b"".join(bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in want[1])
+            assert spelt != (" " + text).encode()
 
 
 def test_long_text_takes_time_in_proportion(spark):
