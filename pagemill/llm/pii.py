@@ -10,7 +10,8 @@ span is added. Weights are trained here, by the field's likelihood on made-up
 sentences; documents and labels play no part.
 
 The field reads no spelled-out address whose local part or a label is beyond 64 or 63
-characters (what mail allows), no run of under 7 digits, and no group of over 19.
+characters (what mail allows), and no group of over 19 digits; an entity has 7 digits or
+more. Runs of any length are read a unit at a time, so memory follows the spans found.
 
 Defined results: a null text is empty; offsets are code points, ends exclusive;
 repeated rows each get a row; an empty table gives no rows.
@@ -21,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +39,7 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match begins with its run of digits
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")  # nothing follows, so nothing is given back
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -91,8 +94,11 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 #: Units that one entity can span.
 SPAN = 12
 LABELS = ("none", *KINDS)
-_RUN = re.compile(r"[+(]{0,2}(?<![0-9A-Za-z])[0-9]{1,19}(?:[ ().+/-]{1,3}[0-9]{1,19})*(?![0-9A-Za-z])")
-_GROUP = re.compile(r"[+(]*[0-9]+")
+_GROUP = re.compile(r"[0-9]+")
+#: What may stand between two groups of a run, and digits of a group.
+_BETWEEN, LONGEST = re.compile(r"[ ().+/-]{1,3}").fullmatch, 19
+#: Digits of an entity.
+FEWEST = 7
 _SPELLED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?| at | @ ?|@ )[A-Za-z0-9-]{1,63}"
     r"(?:(?: ?[\[({<] ?(?:dot|DOT|\.) ?[\])}>] ?| dot |\.)[A-Za-z0-9-]{2,63}){1,4}(?![A-Za-z0-9])"
@@ -106,17 +112,58 @@ _CUES = {
 }
 
 
-def stretches(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """What the field reads: (kind of stretch, its units as code-point spans)."""
-    out = []
+def digit_units(text: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, first, last) of the digit groups that the field reads, run by run, one at a time.
+
+    A run is groups of at most ``LONGEST`` digits with 1 to 3 marks between; letters
+    touch neither its first group's start nor its last one's end. A group's signs
+    before it, two at most where it is the first, are its own.
+    """
+    size, held, end, run = len(text), None, 0, False
+    letter = lambda c: "a" <= c <= "z" or "A" <= c <= "Z"
+    for m in _GROUP.finditer(text):
+        a, b = m.span()
+        if b - a > LONGEST:
+            linked = fits = False
+        else:
+            linked = held is not None and a - end <= 3 and _BETWEEN(text[end:a]) is not None
+            fits = linked or a == 0 or not letter(text[a - 1])
+        if held is not None and not linked:
+            yield (*held, run, True)
+            held, run = None, False
+        if not fits:
+            continue
+        closes = b < size and letter(text[b])
+        if closes:  # it cannot end a run, nor can a letter stand inside one
+            if held is not None:
+                yield (*held, run, True)
+                held, run = None, False
+            continue
+        start, least = a, end if linked else max(end, a - 2)
+        while start > least and text[start - 1] in "+(":
+            start -= 1
+        if linked:
+            yield (*held, run, False)
+        run, held, end = not linked, (start, b), b
+    if held is not None:
+        yield (*held, run, True)
+
+
+def spelled(text: str) -> list[tuple[int, int]]:
+    """Addresses that may be spelled out."""
     if "@" in text or " at " in text or "at]" in text or "at)" in text or "AT]" in text or "AT)" in text:
-        out += [("spelled", [m.span()]) for m in _SPELLED.finditer(text)]
-    for m in _RUN.finditer(text):
-        if m.end() - m.start() >= 7:
-            units = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
-            if sum(b - a for a, b in units) >= 7:
-                out.append(("digits", units))
-    return out
+        return [m.span() for m in _SPELLED.finditer(text)]
+    return []
+
+
+def stretches(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """What the field reads of a short text, whole: (kind of stretch, its units as code-point spans)."""
+    out = [("spelled", [x]) for x in spelled(text)]
+    for a, b, first, _ in digit_units(text):
+        if first:
+            out.append(("digits", []))
+        out[-1][1].append((a, b))
+    return [(way, units) for way, units in out if way == "spelled" or (units[-1][1] - units[0][0] >= FEWEST and sum(b - a for a, b in units) >= FEWEST)]
 
 
 def features(text: str, way: str, units: list[tuple[int, int]], i: int, j: int, label: str) -> list[str] | None:
@@ -307,8 +354,8 @@ def made_up_data(sentences: int) -> tuple[_Sentences, dict[str, int]]:
 
 
 @lru_cache(1)
-def trained(sentences: int = 700, rounds: int = 60) -> tuple[dict[str, float], np.ndarray]:
-    """(weight of each feature, moves between labels), by gradient ascent on the log likelihood."""
+def trained(sentences: int = 700, rounds: int = 60) -> Field:
+    """The field, by gradient ascent on the log likelihood."""
     data, names = made_up_data(sentences)
     size, k = len(names), len(LABELS)
     w, g2 = np.zeros(size + k * k), np.full(size + k * k, 1e-6)
@@ -317,31 +364,200 @@ def trained(sentences: int = 700, rounds: int = 60) -> tuple[dict[str, float], n
         grad = np.r_[slope, moves.ravel()] - 2e-4 * len(data.first) * w
         g2 += grad**2
         w += 0.5 * grad / np.sqrt(g2)
-    return {f: float(w[i]) for f, i in names.items()}, w[size:].reshape(k, k)
+    return Field({f: float(w[i]) for f, i in names.items()}, w[size:].reshape(k, k))
+
+
+#: Units after which the dynamic program gives out what is settled.
+SETTLE = 2048
+#: Patterns of spans whose scores are remembered.
+PATTERNS = 20_000
+_TO_ZERO = str.maketrans("123456789", "000000000")
+_NO_MARKS = str.maketrans("", "", " ().+/-")
+_DOUBLED = bytes.maketrans(b"0123456789", bytes([0, 2, 4, 6, 8, 1, 3, 5, 7, 9]))
+_SINGLE = bytes.maketrans(b"0123456789", bytes(range(10)))
 
 
-def added_spans(text: str, base: dict[str, list[tuple[int, int]]], model: tuple[dict[str, float], np.ndarray]) -> list[tuple[str, int, int]]:
+def _checks(span: str) -> bool:
+    """``luhn`` of the digits of a span of the field."""
+    digits = span.translate(_NO_MARKS).encode()[::-1]
+    return (sum(digits[::2].translate(_SINGLE)) + sum(digits[1::2].translate(_DOUBLED))) % 10 == 0
+
+
+_LETTER = re.compile("[A-Za-z]").search
+
+
+class Field:
+    """The trained field: weights of features, moves between labels."""
+
+    def __init__(self, weights: dict[str, float], moves: np.ndarray):
+        self.weights, self.moves = weights, moves
+        self.into = moves.T.tolist()
+        self.whole = [[self.weight(f"{label} whole {x}") for x in (False, True)] for label in LABELS]
+        self.known: dict[str, list[tuple[int, float, float, str]]] = {}
+
+    def weight(self, feature: str) -> float:
+        return self.weights.get(feature, -0.5)
+
+    def pattern(self, text: str) -> list[tuple[int, float, float, str]]:
+        """(label, score, score where the test holds, test) of the types that a span of this pattern can be, by all that
+        its digits' values don't change; the test is the one that they do."""
+        if (out := self.known.get(text)) is None:
+            out, groups, n = [], _GROUP.findall(text), text.count("0")
+            for y, label in enumerate(LABELS):
+                names = None if label in ("none", "email") else features(text, "digits", [(0, len(text))], 0, 1, label)
+                if names is None:
+                    continue
+                fixed = sum(self.weight(f) for f in names if f.split(" ")[1:2] not in (["after"], ["whole"], ["check"], ["parts"], ["year"]))
+                name, test = {
+                    "card": (f"card check {{}} {n in (13, 15, 16, 19)}", "check"),
+                    "ip": (f"ip parts {{}} {set(text) == {'0', '.'}}", "parts" if len(groups) == 4 else ""),
+                    "phone": ("phone year {}", "year" if re.match("0000[-./]", text) else ""),
+                }[label]
+                no, yes = (fixed + self.weight(name.format(x)) for x in (False, True))
+                out.append((y, no, yes, test))
+            if len(self.known) >= PATTERNS:
+                self.known.clear()
+            self.known[text] = out
+        return out
+
+    def scored(self, span: str, cued: dict[int, float], whole: bool) -> list[tuple[int, float]]:
+        """(label, score) of a digit span as every type it can be; ``cued``: what the words before it add to each."""
+        out = []
+        for y, no, yes, test in self.pattern(span.translate(_TO_ZERO)):
+            if test == "check":
+                holds = _checks(span)
+            elif test == "parts":
+                holds = all(map(_small, _GROUP.findall(span)))
+            else:
+                holds = test == "year" and span[:2] in ("19", "20")
+            out.append((y, (yes if holds else no) + self.whole[y][whole] + cued.get(y, 0.0)))
+        return out
+
+    def cued(self, text: str, at: int) -> dict[int, float]:
+        """What the words before a span add to each type."""
+        before = text[max(0, at - 24) : at]
+        if not _LETTER(before):
+            return {}
+        held = [k for k, cue in _CUES.items() if cue.search(before)]
+        return {y: sum(self.weight(f"{label} after {k}") for k in held) for y, label in enumerate(LABELS)} if held else {}
+
+    def addresses(self, text: str) -> list[tuple[int, int]]:
+        """Spelled-out addresses: stretches of one unit."""
+        out = []
+        for unit in spelled(text):
+            found = [(i, j, y, sum(map(self.weight, fs))) for i, j, y, fs in segments(text, "spelled", [unit])]
+            out += [unit for _, _, y in decode(1, found, self.moves) if y]
+        return out
+
+    def numbers(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(label, start, end) of the entities in runs of digit groups, as ``decode`` over all of a run's candidates would find them.
+
+        Units come one at a time; candidates are scored as they are made, and only the
+        last ``SPAN`` units' scores are kept. Every ``SETTLE`` units, the part of the
+        path that all live paths share is given out and forgotten.
+        """
+        labels = range(len(LABELS))
+        none = [self.weight("none digits") + self.weight(f"none length {n}") for n in range(10)]
+        low = float("-inf")
+        for a, b, first, last in digit_units(text):
+            if first:
+                t, row = 0, [0.0] + [low] * (len(LABELS) - 1)
+                starts, ends, back = {}, {}, {}
+                #: Of the units that an entity can begin at: place, start, digits before, score and label it is entered from, cues.
+                live: list[tuple[int, int, int, list[float], list[int], dict[int, float]]] = []
+                total = 0
+            starts[t], ends[t] = a, b
+            came, reached = [], []
+            for into in self.into:
+                k = 0
+                top = row[0] + into[0]
+                for x in labels:
+                    if row[x] + into[x] > top:
+                        k, top = x, row[x] + into[x]
+                came.append(k)
+                reached.append(top)
+            live.append((t, a, total, reached, came, self.cued(text, a)))
+            total += b - a - text.count("+", a, b) - text.count("(", a, b)
+            while len(live) > SPAN or (len(live) > 1 and total - live[0][2] > LONGEST):
+                live.pop(0)
+            row = [low] * len(LABELS)
+            t += 1
+            for i, start, before, reach, via, cued in live:
+                n = total - before
+                found = self.scored(text[start:b], cued, i == 0 and last) if FEWEST <= n <= LONGEST else ()
+                if i == t - 1:
+                    found = [(0, none[min(b - a, 9)]), *found]
+                for y, s in found:
+                    if reach[y] + s > row[y]:
+                        row[y] = reach[y] + s
+                        back[t, y] = (i, via[y])
+            if last:
+                yield from self._path(back, (t, max(labels, key=lambda k, row=row: row[k])), starts, ends)
+            elif t % SETTLE == 0:
+                # nodes that a later segment can begin at
+                node = self._shared(back, [(j, y) for j in range(t + 1 - SPAN, t + 1) for y in labels if (j, y) in back])
+                if node and node in back:
+                    yield from self._path(back, node, starts, ends)
+                    # the path up to there is told: a node without a way back ends a path
+                    back = {at: x for at, x in back.items() if at[0] > node[0]}
+                    starts, ends = ({k: x for k, x in old.items() if k >= min(node[0], t - SPAN)} for old in (starts, ends))
+
+    @staticmethod
+    def _shared(back: dict, nodes: list[tuple[int, int]]) -> tuple[int, int] | None:
+        """The last node that the paths to all of ``nodes`` go through."""
+        live = set(nodes)
+        while len(live) > 1:
+            far = max(live)
+            live.remove(far)
+            if far not in back:
+                return None
+            live.add(back[far])
+        return next(iter(live), None)
+
+    @staticmethod
+    def _path(back: dict, node: tuple[int, int], spans: dict[int, int], ends: dict[int, int]) -> list[tuple[int, int, int]]:
+        out = []
+        while node in back:
+            before = back[node]
+            if node[1]:
+                out.append((node[1], spans[before[0]], ends[node[0] - 1]))
+            node = before
+        return out[::-1]
+
+
+class _Taken:
+    """Spans, to ask whether another meets one."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
+
+
+def added_spans(text: str, base: dict[str, list[tuple[int, int]]], field: Field) -> list[tuple[str, int, int]]:
     """Spans that the field finds and no base span touches."""
-    weights, moves = model
-    taken = [s for spans in base.values() for s in spans]
-    out: list[tuple[str, int, int]] = []
-    for way, units in stretches(text):
-        if any(a <= units[0][0] and units[-1][1] <= b for a, b in taken):
-            continue
-        scored = [(i, j, y, sum(weights.get(f, -0.5) for f in fs)) for i, j, y, fs in segments(text, way, units)]
-        for i, j, y in decode(len(units), scored, moves):
-            a, b = units[i][0], units[j - 1][1]
-            if y and not any(a < d and c < b for c, d in taken) and not any(a < d and c < b for _, c, d in out):
-                out.append((LABELS[y], a, b))
-    return out
+    taken = _Taken([s for spans in base.values() for s in spans])
+    mails = [(a, b) for a, b in field.addresses(text) if not taken.meets(a, b)]
+    own = _Taken(mails)
+    found = [(LABELS[y], a, b) for y, a, b in field.numbers(text) if not taken.meets(a, b) and not own.meets(a, b)]
+    return [*(("email", a, b) for a, b in mails), *found]
 
 
-def find(text: str, model: tuple[dict[str, float], np.ndarray]) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
+def find(text: str, field: Field) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
     """(base spans by kind, all spans sorted by kind as listed, then start)."""
     base = base_spans(text)
     every = [(k, a, b) for k in KINDS for a, b in base[k]]
-    if any(base.values()) or re.search(r"[0-9]{2}| at | @|@ |[\[({<] ?(?:at|AT|@)", text):
-        every += added_spans(text, base, model)
+    if re.search(r"[0-9]| at | @|@ |[\[({<] ?(?:at|AT|@)", text):
+        every += added_spans(text, base, field)
     return base, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

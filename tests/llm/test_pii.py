@@ -142,3 +142,45 @@ def test_field_on_sentences_written_by_hand():
         got = {f"{k}:{text[a:b]}" for k, a, b in pii.find(text, model())[1]}
         hit, total, wrong = hit + len(got & set(spans)), total + len(spans), wrong + len(got - set(spans))
     assert total == 6 and hit >= 5 and wrong <= 1, (hit, wrong)
+
+
+def whole(text):
+    """The field's spans by one dynamic program over all candidates of each stretch."""
+    field, out = model(), []
+    for way, units in pii.stretches(text):
+        scored = [(i, j, y, sum(map(field.weight, fs))) for i, j, y, fs in pii.segments(text, way, units)]
+        out += [(way, y, units[i][0], units[j - 1][1]) for i, j, y in pii.decode(len(units), scored, field.moves) if y]
+    return [("email", a, b) for way, _, a, b in out if way == "spelled"], [(y, a, b) for way, y, a, b in out if way == "digits"]
+
+
+@pytest.mark.parametrize("settle", [13, 40, 2048])
+def test_runs_a_unit_at_a_time_give_what_whole_runs_give(monkeypatch, settle):
+    monkeypatch.setattr(pii, "SETTLE", settle)
+    rng = random.Random(settle)
+    made = ["".join(rng.choice("0123456789 .-()+/a") for _ in range(rng.randint(5, 150))) for _ in range(400)]
+    made += [" ".join(str(rng.randint(0, 10 ** rng.randint(1, 8))) for _ in range(rng.randint(2, 90))) for _ in range(60)]
+    made += [" ".join(pii._made_up(rng)[0] for _ in range(3)) for _ in range(60)]
+    made += [" ".join(rng.choice("0123456789") for _ in range(200)), "call 555 867 5309 " + "12.5 " * 300 + "4111/1111/1111/1111"]
+    for text in made:
+        mails, numbers = whole(text)
+        assert list(model().numbers(text)) == numbers, text[:90]
+        assert [("email", a, b) for a, b in model().addresses(text)] == mails
+
+
+def test_a_long_table_of_numbers_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    text = " ".join(f"{rng.randint(100, 999)}.{rng.randint(10, 99)}" for _ in range(6_000))
+    tracemalloc.start()
+    assert sum(1 for _ in model().numbers(text)) == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+
+
+def test_numbers_in_single_digits_are_read():
+    assert any(True for _ in pii.digit_units("5 5 5 8 6 7 5 3 0 9"))
+    field = pii.Field({"phone after phone": 50.0}, model().moves)
+    text = "call 5 5 5 8 6 7 5 3 0 9 now"
+    assert pii.find(text, field)[1] == [("phone", 5, 24)]
