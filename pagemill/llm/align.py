@@ -17,7 +17,7 @@ Defined results: a null or empty text, and one whose A or B tokens do not spell
 space+text byte for byte, has no tokens: zeros and an empty digest; every row is a
 document, so repeated rows count as often as they occur; null ids are ids like others;
 an empty table gives no rows; other columns are ignored, whatever their names. Texts
-are read whole; a batch is about ``common.ARROW_BYTES`` of text, or one longer text.
+are read whole; a batch is about ``TEXT_BYTES`` of text, or one longer text.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from .tokens import BYTE, vocabulary
 PIECE = "piece_bpe_32k.model"
 #: Id pairs that are sent to every executor, at some 50 bytes each; more are joined by a shuffle.
 SMALL_PAIRS = 1 << 20
+#: Bytes of text in a row of documents, about; a longer text has a row of its own.
+TEXT_BYTES = 1 << 20
 _INTS = T.ArrayType(T.IntegerType(), False)
 SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
 _WORD = T.StructType([T.StructField(n, _INTS, False) for n in SIDES])
@@ -221,16 +223,23 @@ def token_ends(docs: DataFrame, a_path: str | None = None, b_path: str | None =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pair = only(("pair", a_path, b_path), lambda: Pair(a_path, b_path))
         for batch in batches:
-            sides, own = pair(batch.column(1).cast(pa.binary()).to_pylist())
-            arrays = [_lists(n, values) for n, ids, ends in sides for values in (ids, ends)]
-            words = pa.StructArray.from_arrays(arrays, fields=[pa.field(c, x.type, nullable=False) for c, x in zip(SIDES, arrays, strict=True)])
-            n = np.fromiter(map(len, own), np.int64, len(own))
-            every = np.concatenate(own) if own else np.empty(0, np.int32)
-            doc = np.repeat(np.arange(len(own)), n)
-            counts = [pa.array(np.bincount(doc, s[0][every], len(own)).astype(np.int64)) for s in sides]
-            columns = [batch.column(0), *counts, _lists(n, every)]
-            made = pa.StructArray.from_arrays(columns, fields=[pa.field("doc_id", pa.int64()), *(pa.field(c, pa.int64(), nullable=False) for c in ("n_a", "n_b")), pa.field("words", columns[3].type, nullable=False)])
-            yield pa.RecordBatch.from_arrays([_one(words), _one(made)], names=["words", "docs"])
+            every = batch.column(1).cast(pa.binary()).to_pylist()
+            upto = np.cumsum(np.fromiter(map(len, every), np.int64, len(every)))
+            cut = [0, *(np.flatnonzero(np.diff(upto // TEXT_BYTES)) + 1).tolist(), len(every)]
+            for x, y in pairwise(cut):
+                yield row(pair, batch.column(0).slice(x, y - x), every[x:y])
+
+    def row(pair: Pair, ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        sides, own = pair(texts)
+        arrays = [_lists(n, values) for n, ids, ends in sides for values in (ids, ends)]
+        words = pa.StructArray.from_arrays(arrays, fields=[pa.field(c, x.type, nullable=False) for c, x in zip(SIDES, arrays, strict=True)])
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        every = np.concatenate(own) if own else np.empty(0, np.int32)
+        doc = np.repeat(np.arange(len(own)), n)
+        counts = [pa.array(np.bincount(doc, s[0][every], len(own)).astype(np.int64)) for s in sides]
+        columns = [ids, *counts, _lists(n, every)]
+        made = pa.StructArray.from_arrays(columns, fields=[pa.field("doc_id", pa.int64()), *(pa.field(c, pa.int64(), nullable=False) for c in ("n_a", "n_b")), pa.field("words", columns[3].type, nullable=False)])
+        return pa.RecordBatch.from_arrays([_one(words), _one(made)], names=["words", "docs"])
 
     return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BATCH)
 
