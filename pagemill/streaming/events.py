@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .store import sums_into, upsert_into, upserted
+
+__all__ = ["anchored", "cancel", "cancellable", "creates", "first_of_key", "hourly", "job_events", "latency_window", "live_values", "minute_counts", "read_events", "run_to_end", "status_changes", "sums_into", "upsert_into", "upserted"]
+
 
 def read_events(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
     """New Parquet files of a folder as they come."""
@@ -36,62 +40,6 @@ def first_of_key(creates: DataFrame, key: str, late: str = "24 hours") -> DataFr
     return creates.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def _folders(spark: SparkSession, path: str, mark: str) -> list[tuple[int, str]]:
-    """(number, path) of the folders ``mark=<number>`` under a path, in any store Spark reads; versions only where they are complete."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(at):
-        return []
-    inside = [x.getPath() for x in store.listStatus(at) if x.isDirectory() and x.getPath().getName().startswith(f"{mark}=")]
-    whole = [x for x in inside if mark != "v" or store.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-    return sorted((int(x.getName().split("=")[1]), x.toString()) for x in whole)
-
-
-def upserted(spark: SparkSession, table: str, below: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
-    """What ``upsert_into`` has written: of each bucket its last complete version; None of nothing."""
-    last: dict[int, str] = {}
-    for number, path in _folders(spark, table, "v"):
-        if below is None or number < below:
-            last |= dict(_folders(spark, path, "bucket"))
-    paths = [p for b, p in last.items() if buckets is None or b in buckets]
-    return spark.read.parquet(*paths) if paths else None
-
-
-def upsert_into(table: str, keys: list[str], buckets: int = 16, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink for update mode: each batch replaces the rows of its keys in a Parquet table, or ``merge(old, fresh)`` says what they become.
-
-    Keys are dealt into buckets; batch n writes, as version n, only the buckets it
-    touches, from the last complete version of each. A batch that runs again leaves the
-    same. Where a later version is there, the stream began anew over an old table, and
-    the batch fails instead of hiding rows. An empty batch changes nothing.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if any(n > number for n, _ in _folders(spark, table, "v")):
-            raise ValueError(f"{table} holds versions after {number}: another stream has written it")
-        fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        try:
-            touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}  # at most ``buckets``
-            data = fresh.drop("bucket")
-            old = upserted(spark, table, number, touched)
-            if old is not None:
-                data = merge(old, data) if merge else old.join(data.select(*keys), keys, "left_anti").unionByName(data)
-            made = data.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-            made.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={number:08d}")
-        finally:
-            fresh.unpersist()
-
-    return write
-
-
-def sums_into(table: str, keys: list[str], sums: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that adds each batch's sums to those stored, once however often a batch runs."""
-    add = lambda old, fresh: old.unionByName(fresh).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
-    once = upsert_into(table, keys, buckets, add)
-    return lambda batch, number: once(batch.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums)), number)
-
-
 def latency_window(events: DataFrame, key: str, value: str = "duration_ms", at: str = "ts", most: int = 1024) -> DataFrame:
     """(key, count, avg, p50, p95) of each key's last ``most`` samples, after every batch; the samples are the state."""
     kinds = dict(events.dtypes)
@@ -165,27 +113,101 @@ def anchored(requests: DataFrame, key: str, limit: int, seconds: int) -> DataFra
 TERMINAL = ("succeeded", "failed", "canceled")
 
 
-def status_changes(history: DataFrame, key: str, at: str = "ts", terminal: tuple[str, ...] = (), seconds: int | None = None) -> DataFrame:
+def status_changes(history: DataFrame, key: str, at: str = "ts", terminal: tuple[str, ...] = (), seconds: int | None = None, late: str = "1 hour") -> DataFrame:
     """(key, ts, status) whenever a key's status differs from the last one seen.
 
     A key's changes end after a status of ``terminal``, or ``seconds`` after its first.
+    The state of a key that has ended is dropped once the watermark, which is ``late``
+    behind, has passed its end, so what is kept follows the keys that live; rows behind
+    the watermark are too late to count. Without either, a key never ends.
     """
     kinds = dict(history.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(at, kind="stable")
-        last, began, ended = state.get if state.exists else (None, None, False)
+        last, began, ended, until = state.get if state.exists else (None, None, False, None)
         keep = []
         for t, s in zip(rows[at].astype("datetime64[ms]").astype("int64"), rows["status"], strict=True):
             began = int(t) if began is None else began
             ended = ended or (seconds is not None and t > began + seconds * 1000)
             keep.append(not ended and s != last)
             ended = ended or s in terminal
+            until = int(t) if s in terminal and until is None else until
             last = s
-        state.update((last, began, ended))
+        state.update((last, began, ended, until))
+        ends = until if until is not None else began + seconds * 1000 + 1 if seconds is not None else None
+        if ends is not None:
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield rows[keep][[key, at, "status"]]
 
-    return history.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, status string", "status string, began long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+    made = history.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    return made.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{at}` timestamp, status string", "status string, began long, ended boolean, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def job_events(history: DataFrame, key: str, at: str = "ts", seconds: int = 60, late: str = "1 second") -> DataFrame:
+    """(key, ts, event, status) for those who watch jobs: ``status`` for each change, ``done`` at a terminal status, or
+    ``timeout`` when the watermark passes ``seconds`` after a job's first row without one. After either a job is silent,
+    until the watermark has passed its time and its state is dropped."""
+    kinds = dict(history.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, began, ended = state.get if state.exists else (None, None, False)
+        out = []
+        if state.hasTimedOut:
+            if not ended:
+                out.append((k[0], pd.Timestamp(began + seconds * 1000, unit="ms"), "timeout", last))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(at, kind="stable")
+            for t, s in zip(rows[at].astype("datetime64[ms]"), rows["status"], strict=True):
+                ms = int(t.value // 10**6)
+                began = ms if began is None else began
+                if ended or ms > began + seconds * 1000:
+                    continue
+                if s != last:
+                    out.append((k[0], t, "status", s))
+                if s in TERMINAL:
+                    out.append((k[0], t, "done", s))
+                    ended = True
+                last = s
+            state.update((last, began, ended))
+            state.setTimeoutTimestamp(max(began + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, at, "event", "status"])
+
+    made = history.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    return made.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{at}` timestamp, event string, status string", "status string, began long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_values(updates: DataFrame, key: str, value: str, at: str = "ts", seconds: int = 15, late: str = "1 second") -> DataFrame:
+    """(key, ts, value, hit): each request's value, taken from the state while that lives and from the request beyond.
+
+    What a request brings is kept for ``seconds`` from when it was taken in (15 for hot
+    content, 10 for sessions, 120 for retry tokens) and dropped after it.
+    """
+    kinds = dict(updates.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, until = state.get if state.exists else (None, -1)
+        out = []
+        rows = pd.concat(list(batches)).sort_values([at, value], kind="stable")
+        for t, v in zip(rows[at].astype("datetime64[ms]"), rows[value], strict=True):
+            ms = int(t.value // 10**6)
+            hit = ms < until
+            if not hit:
+                held, until = v, ms + seconds * 1000
+            out.append((k[0], t, held, hit))
+        state.update((held, until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, at, value, "hit"])
+
+    made = updates.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    return made.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{at}` timestamp, `{value}` {kinds[value]}, hit boolean", f"held {kinds[value]}, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 @contextmanager

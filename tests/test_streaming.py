@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import folders
 from pagemill.operators import events, jobs, ratelimit
 from pagemill.plans import catalog
 from pagemill.streaming import events as streaming
+from pagemill.streaming import store
 
 
 @pytest.fixture(scope="module")
@@ -46,14 +48,97 @@ def test_upsert_sink(spark, log, tmp_path):
 def test_upserts_replace_only_their_keys(spark, tmp_path):
     table, made = str(tmp_path / "t"), lambda *r: spark.createDataFrame(list(r), "k string, n long")
     assert streaming.upserted(spark, table) is None
-    write, add = streaming.upsert_into(table, ["k"], 4), streaming.sums_into(str(tmp_path / "s"), ["k"], ["n"], 4)
+    write, add = streaming.upsert_into(table, ["k"]), streaming.sums_into(str(tmp_path / "s"), ["k"], ["n"])
     for number, batch in enumerate([made(("a", 1), ("b", 1)), made(("b", 2), ("c", 2)), made(("d", 3)).limit(0), made(("a", 5))]):
         for _ in range(2):  # a batch that runs again leaves the same
             write(batch, number)
             add(batch, number)
     assert rows(streaming.upserted(spark, table)) == rows(made(("a", 5), ("b", 2), ("c", 2)))
     assert rows(streaming.upserted(spark, str(tmp_path / "s"))) == rows(made(("a", 6), ("b", 3), ("c", 2)))
-    assert rows(streaming.upserted(spark, table, below=1)) == rows(made(("a", 1), ("b", 1)))
+    assert rows(streaming.upserted(spark, table, below=3)) == rows(made(("a", 1), ("b", 2), ("c", 2)))
+
+
+def test_a_batch_writes_its_own_size_and_old_files_go(spark, tmp_path):
+    """Small batches over a large table: each writes little, storage stays near the table, and all keys are right."""
+    table, n = str(tmp_path / "t"), 20_000
+    big = spark.range(n).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    write = streaming.upsert_into(table, ["k"])
+    write(big, 0)
+    whole = folders.size(spark, table)
+    want = dict.fromkeys(range(n), 0)
+    for number in range(1, 24):
+        before = {p for _, p in folders.inside(spark, table, "v")}
+        fresh = big.where(F.col("k") % 997 == number).withColumn("n", F.lit(number).cast("long"))
+        write(fresh, number)
+        want |= {k: number for k in range(n) if k % 997 == number}
+        added = sum(folders.size(spark, p) for _, p in folders.inside(spark, table, "v") if p not in before)
+        assert added < whole / 4
+        assert folders.size(spark, table) < 2 * whole
+    assert {r.k: r.n for r in streaming.upserted(spark, table).collect()} == want
+    assert len(store._plans(spark, table)[-1]["deltas"]) <= store.MOST_DELTAS
+    write(big.withColumn("n", F.lit(99).cast("long")), 30)  # as large as the table: merged into a new base
+    write(big.limit(1).withColumn("n", F.lit(100).cast("long")), 31)
+    write(big.limit(1).withColumn("n", F.lit(101).cast("long")), 32)
+    assert folders.size(spark, table) < 2 * whole
+    assert streaming.upserted(spark, table).groupBy("n").count().count() == 2
+
+
+@pytest.mark.parametrize("step", ["put_text", "size"])
+def test_a_crash_leaves_the_last_table(spark, tmp_path, monkeypatch, step):
+    table, made = str(tmp_path / "t"), lambda *r: spark.createDataFrame(list(r), "k string, n long")
+    write = streaming.sums_into(table, ["k"], ["n"])
+    write(made(("a", 1), ("b", 1)), 0)
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.folders, step, crash)
+        with pytest.raises(OSError, match="lost"):
+            write(made(("a", 5)), 1)
+    assert rows(streaming.upserted(spark, table)) == rows(made(("a", 1), ("b", 1)))
+    write(made(("a", 5)), 1)
+    assert rows(streaming.upserted(spark, table)) == rows(made(("a", 6), ("b", 1)))
+
+
+def test_cleanup_removes_once(spark, tmp_path):
+    table = str(tmp_path / "t")
+    write = streaming.upsert_into(table, ["k"])
+    made = lambda *r: spark.createDataFrame(list(r), "k string, until long")
+    write(made(("a", 5), ("b", 50), ("c", None)), 0)
+    write(made(("d", 6)), 1)
+    assert [store.cleanup(spark, table, "until", F.lit(t), "k") for t in (6, 6, 60)] == [2, 0, 1]
+    assert rows(streaming.upserted(spark, table)) == rows(made(("c", None)))
+    write(made(("a", 99)), 2)
+    assert rows(streaming.upserted(spark, table)) == rows(made(("c", None), ("a", 99)))
+
+
+def stated(spark, checkpoint):
+    """Keys in the state store."""
+    return spark.read.format("statestore").load(checkpoint).count()
+
+
+def test_jobs_end_and_leave_the_state(spark, tmp_path):
+    df = lambda *r: spark.createDataFrame(list(r), "job string, s long, status string").select("job", F.timestamp_seconds(F.col("s") + 10**6).alias("ts"), "status").coalesce(1)
+    folder, point = str(tmp_path / "h"), str(tmp_path / "c")
+    first = df(("j", 0, "queued"), ("j", 1, "running"), ("k", 0, "queued"), ("j", 2, "running"), ("j", 3, "succeeded"), ("j", 4, "queued"))
+    for b in (first, df(("z", 90, "queued"))):
+        b.write.mode("append").parquet(folder)
+    got = streaming.run_to_end(streaming.job_events(streaming.read_events(spark, folder, first.schema), "job"), "job_events", checkpoint=point)
+    told = sorted((r.job, r.event, r.status) for r in got.collect())
+    assert told == [("j", "done", "succeeded"), ("j", "status", "queued"), ("j", "status", "running"), ("j", "status", "succeeded"), ("k", "status", "queued"), ("k", "timeout", "queued"), ("z", "status", "queued")]
+    assert stated(spark, point) == 1  # only z is left
+
+
+def test_values_live_for_their_time(spark, tmp_path):
+    df = lambda *r: spark.createDataFrame(list(r), "k string, s long, v string").select("k", F.timestamp_seconds(F.col("s") + 10**6).alias("ts"), "v").coalesce(1)
+    folder, point = str(tmp_path / "h"), str(tmp_path / "c")
+    first = df(("a", 0, "x"), ("a", 14, "y"), ("a", 15, "z"), ("b", 0, "q"))
+    for b in (first, df(("c", 100, "w"))):
+        b.write.mode("append").parquet(folder)
+    got = streaming.run_to_end(streaming.live_values(streaming.read_events(spark, folder, first.schema), "k", "v"), "live", checkpoint=point)
+    assert sorted((r.k, r.v, r.hit) for r in got.collect()) == [("a", "x", False), ("a", "x", True), ("a", "z", False), ("b", "q", False), ("c", "w", False)]
+    assert stated(spark, point) == 1  # a and b are gone
 
 
 def test_first_of_key_and_counts(spark, log):
@@ -82,7 +167,7 @@ def test_status_change_stream_equals_batch(spark, log):
 
 def test_changes_end_with_a_job(spark, tmp_path):
     seen = [("j", 0, "queued"), ("j", 1, "running"), ("j", 2, "running"), ("j", 3, "failed"), ("j", 4, "queued"), ("k", 0, "queued"), ("k", 61, "running")]
-    df = spark.createDataFrame(seen, "job string, s long, status string").select("job", F.timestamp_seconds("s").alias("ts"), "status")
+    df = spark.createDataFrame(seen, "job string, s long, status string").select("job", F.timestamp_seconds(F.col("s") + 10**6).alias("ts"), "status")
     df.coalesce(1).write.parquet(str(tmp_path / "h"))
     stream = streaming.status_changes(streaming.read_events(spark, str(tmp_path / "h"), df.schema), "job", terminal=streaming.TERMINAL, seconds=60)
     got = streaming.run_to_end(stream, "job_stream")
