@@ -366,7 +366,7 @@ def best_first(pages: DataFrame, edges: DataFrame, seeds: DataFrame, s: Settings
     while not queue.isEmpty():
         # the next of each queue: its own order by score, depth and, near enough, URL; the visits follow the exact order
         by = Window.partitionBy("seed").orderBy(F.desc("score"), "depth", collated(F.col("url")))
-        heads = kept(queue.withColumn("__n", F.row_number().over(by)))
+        heads = queue.withColumn("__n", F.row_number().over(by))
         ahead = heads.where(F.col("__n") <= AHEAD).join(known, "url", "left").join(home, "seed")
         met = ahead.where(F.col("ok") & (F.col("depth") < s.max_depth)).withColumnRenamed("url", "src").select("seed", "src", "done", "home").join(usable, "src")
         met = met if s.include_external else met.where("to_host = home")

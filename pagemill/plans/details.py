@@ -547,13 +547,20 @@ def post_sections(spark, sf_dir):
     return made.select("post.id", F.col("post.videos")[0]["url"].alias("video"), threads.section(F.col("post")).alias("html"))
 
 
-@query("""WITH p AS (SELECT page_id, 'https://c.org/d' || page_id % 7 || '/' || page_id || '.png' AS src FROM pages) SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN src || '?x=1' WHEN 1 THEN 'https://o.org' || substr(src, 14) WHEN 2 THEN page_id || '.png' ELSE 'none' || page_id END AS src, CASE WHEN page_id % 4 < 3 THEN 'k' || page_id END AS key FROM p""")
+@query("""WITH n AS (SELECT page_id AS n, '/d' || page_id % 7 || '/' || page_id || '.png' AS p FROM pages),
+known AS (SELECT CASE n % 4 WHEN 0 THEN 'https://c.org' || p || '?x=1' WHEN 3 THEN '/other/' || n ELSE 'https://c.org' || p END AS src, 'k' || n AS key FROM n),
+asked AS (SELECT n AS id, CASE n % 8 WHEN 0 THEN 'https://c.org' || p || '?x=1' WHEN 4 THEN 'https://h.org/cdn' || p || '/640' WHEN 1 THEN 'https://o.org' || p WHEN 5 THEN 'https://o.org' || p WHEN 2 THEN n || '.png' WHEN 6 THEN n || '.png' WHEN 3 THEN 'none' || n ELSE 'https://h.org/other/' || n || '/640' END AS src FROM n),
+k AS (SELECT *, regexp_replace(regexp_replace(src, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') AS path FROM known),
+a AS (SELECT *, regexp_replace(regexp_replace(src, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') AS path FROM asked)
+SELECT id, src, coalesce((SELECT min(key) FROM k WHERE k.src = a.src), (SELECT min(key) FROM k WHERE k.path = a.path), (SELECT min(key) FROM k WHERE (k.path <> '' AND contains(a.src, k.path)) OR (a.path <> '' AND contains(k.src, a.path)))) AS key FROM a""")
 def image_lookup(spark, sf_dir):
-    """Images found by their address, by its path, or by a part of it."""
+    """Images found by their address, by its path, or by either containing the other."""
     p, n = table(spark, sf_dir, "pages"), F.col("page_id")
-    path = F.concat(F.lit("/d"), (n % 7).cast("string"), F.lit("/"), n.cast("string"), F.lit(".png"))
-    known = p.select(F.when(n % 4 == 0, F.concat(F.lit("https://c.org"), path, F.lit("?x=1"))).when(n % 4 == 3, F.concat(F.lit("/other/"), n.cast("string"))).otherwise(F.concat(F.lit("https://c.org"), path)).alias("src"), F.concat(F.lit("k"), n.cast("string")).alias("key")).where("src is not null")
-    asked = F.when(n % 4 == 0, F.concat(F.lit("https://c.org"), path, F.lit("?x=1"))).when(n % 4 == 1, F.concat(F.lit("https://o.org"), path)).when(n % 4 == 2, F.concat(n.cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("none"), n.cast("string")))
+    number, path = n.cast("string"), F.concat(F.lit("/d"), (n % 7).cast("string"), F.lit("/"), n.cast("string"), F.lit(".png"))
+    whole = F.concat(F.lit("https://c.org"), path, F.lit("?x=1"))
+    known = p.select(F.when(n % 4 == 0, whole).when(n % 4 == 3, F.concat(F.lit("/other/"), number)).otherwise(F.concat(F.lit("https://c.org"), path)).alias("src"), F.concat(F.lit("k"), number).alias("key"))
+    inside = F.when(n % 8 == 0, whole).when(n % 8 == 4, F.concat(F.lit("https://h.org/cdn"), path, F.lit("/640"))).when(n % 8 == 7, F.concat(F.lit("https://h.org/other/"), number, F.lit("/640")))
+    asked = inside.when(n % 4 == 1, F.concat(F.lit("https://o.org"), path)).when(n % 4 == 2, F.concat(number, F.lit(".png"))).otherwise(F.concat(F.lit("none"), number))
     return links.resolve_images(p.select(n.alias("id"), asked.alias("src")), known)
 
 

@@ -258,3 +258,35 @@ def test_extraction_of_urls(spark):
     assert got[1].error_code is None and got[1].matches == 9 and "long enough" in got[1].markdown
     assert [(got[i].error_code, got[i].error_message) for i in (2, 3)] == [("UPSTREAM_FETCH_FAILED", "Fetch Failed"), ("UPSTREAM_FETCH_FAILED", "Timeout")]
     assert got[4].error_code is None and got[4].matches == 0 and got[5].error_code == "INVALID_REQUEST"
+
+
+def test_equal_creates_make_one(spark):
+    rows = [("k", 1, "h"), ("k", 1, "h"), ("k", 1, "h"), ("k", 2, "x"), (None, 1, "h"), (None, 1, "h"), ("n", 3, None), ("n", 3, None)]
+    df = spark.createDataFrame(rows, "idem_key string, ts int, payload_hash string").repartition(3)
+    got = sorted((str(r.idem_key), r.ts, r.outcome) for r in jobs.idempotent(df).collect())
+    assert got == sorted([("k", 1, "created"), ("k", 1, "replayed"), ("k", 1, "replayed"), ("k", 2, "conflict"), ("None", 1, "created"), ("None", 1, "created"), ("n", 3, "created"), ("n", 3, "replayed")])
+    tied = df.withColumn("n", F.when(F.col("payload_hash") == "x", 0).otherwise(1)).withColumn("ts", F.lit(1))
+    assert {(r.payload_hash, r.outcome) for r in jobs.idempotent(tied, tie="n").where("idem_key = 'k'").collect()} == {("x", "created"), ("h", "conflict")}
+
+
+def test_one_of_several_is_always_the_same(spark):
+    from pagemill.frames import numbered, one_each
+    from pagemill.sources import sinks
+
+    images = spark.createDataFrame([("https://a.org/x.png", "image/webp", b"2"), ("https://a.org/x.png", "image/webp", b"1")], "url string, content_type string, data binary")
+    assert [bytes(r.data) for r in sinks.stored_images(images).collect()] == [b"1"]
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (None, "z", 1), (None, None, 1)], "k int, a string, b int")
+    assert sorted(map(str, one_each(rows, "k").collect())) == ["Row(k=1, a='a', b=3)", "Row(k=None, a=None, b=1)"]
+    made = numbered(spark.range(1000).repartition(90), "n")
+    assert sorted(r.n for r in made.collect()) == list(range(1000))
+    assert numbered(rows.where("false"), "n").collect() == []
+
+
+def test_convert_takes_any_columns(spark):
+    from pagemill.operators import convert
+
+    html = "<html><head><title>T</title></head><body><article><p>" + "Some words of text here. " * 30 + "</p></article></body></html>"
+    pages = spark.createDataFrame([("https://a.org/1", html, "d", "w", "x", 1)], "url string, html string, domain string, wayback string, archive string, __rule int")
+    rules = spark.createDataFrame([("a.org", [".ad"])], "domain string, remove_selectors array<string>")
+    (row,) = convert.convert(pages, rules=rules).collect()
+    assert row.error_code is None and "Some words" in row.content
