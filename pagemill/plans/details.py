@@ -629,3 +629,42 @@ def proxy_lists(spark, sf_dir):
     port = F.when(F.col("user_id") % 7 == 0, F.lit(99999)).otherwise(1000 + F.col("user_id") % 60000).cast("string")
     entry = F.concat(F.lit("u"), n, F.lit(":p:"), n, F.lit("@"), host, F.lit(":"), port)
     return sources.proxies(u.select(F.concat(entry, F.lit(" ; bad,"), entry).alias("raw"))).drop("place")
+
+
+# --- stored images, log lines, added usage, articles ----------------------------------------------
+@query("""WITH i AS (SELECT page_id, url, html, CASE page_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/svg+xml; charset=utf-8' ELSE '' END AS t, CASE page_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'svg+xml' ELSE 'bin' END AS ext FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'images/none' || page_id ELSE 'images/' || sha256(url) || '.' || ext END AS key, CASE WHEN page_id % 5 <> 0 AND html IS NOT NULL THEN t END AS content_type, CASE WHEN page_id % 5 <> 0 THEN strlen(html) END AS bytes FROM i""")
+def image_store(spark, sf_dir):
+    """Images stored under their keys, each given twice, and read back by key."""
+    p, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    images = p.select("page_id", "url", F.when(n % 3 == 0, "image/png").when(n % 3 == 1, "image/svg+xml; charset=utf-8").otherwise("").alias("content_type"), F.encode("html", "UTF-8").alias("data"))
+    store = sinks.stored_images(images.unionByName(images).drop("page_id"))
+    asked = images.select("page_id", F.when(n % 5 == 0, F.concat(F.lit("images/none"), n.cast("string"))).otherwise(privacy.image_key(F.col("url"), F.col("content_type"))).alias("key"))
+    return sinks.images_by_key(asked, store).select("page_id", "key", "content_type", F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query("""SELECT '{"event":"request","event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS value FROM events""")
+def event_log_lines(spark, sf_dir):
+    """Every request as a JSON log line."""
+    return sinks.log_lines(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "request")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS requests, CAST(sum(CASE WHEN event_type = 'purchase' THEN 3 ELSE 1 END) AS BIGINT) AS credits,
+count(*) FILTER (event_type = 'signup') AS browser_calls, count(*) FILTER (event_type = 'view') AS cache_hits FROM events GROUP BY ALL""")
+def usage_added(spark, sf_dir):
+    """Daily usage of one half of the requests, added to that of the other."""
+    e = log(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("key_id"), "ts", "credit_cost", (F.col("event_type") == "signup").alias("browser"), (F.col("event_type") == "view").alias("cache_hit"))
+    first = F.col("event_id") % 2 == 0
+    return usage.added(usage.daily(e.where(first)), usage.daily(e.where(~first)))
+
+
+@query("""WITH b AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'header-two' WHEN 'assistant' THEN 'ordered-list-item' ELSE 'unstyled' END AS type, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS text FROM conversations),
+n AS (SELECT *, count(*) FILTER (type = 'ordered-list-item') OVER (PARTITION BY conv_id ORDER BY turn) AS o FROM b)
+SELECT conv_id AS article, '<article>' || string_agg(CASE type WHEN 'header-two' THEN '<h3>' || text || '</h3>' WHEN 'ordered-list-item' THEN '<p>' || o || '. ' || text || '</p>' ELSE '<p>' || text || '</p>' END, '' ORDER BY turn) || '</article>' AS html FROM n GROUP BY conv_id""")
+def article_pages(spark, sf_dir):
+    """Conversations as articles: questions as headings, answers as a numbered list."""
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "header-two").when(F.col("role") == "assistant", "ordered-list-item").otherwise("unstyled")
+    blocks = c.select(F.col("conv_id").alias("article"), F.col("turn").alias("pos"), kind.alias("type"), "text", F.lit(None).cast("string").alias("entity_key"))
+    none = values(spark, [], "article long, entity_key string, url string")
+    return threads.article_html(blocks, none)
