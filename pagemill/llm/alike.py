@@ -11,8 +11,9 @@ are links.
 Shingles are 64-bit hashes (XXH64, seed 42). Counts are taken of their upper 42 bits: any
 fixed order of shingles is right, so a chance collision there costs time only.
 
-Every Python step reads its rows sorted and holds one group of them at a time: a part of
-the shingles, a batch of texts, or a tile of a group, each of bounded size.
+Every Python step reads its rows sorted and holds one group of them at a time. A batch of
+texts and a tile of a group are of bounded size; a part of the shingles is not where one
+shingle is very common: it takes some 90 bytes for each distinct text that holds it.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ level in constant time, so any token of a file is read without decoding others.
 Files: shard ``p`` holds the p-th range of document ids; a shard that grows past
 ``FILE_TOKENS`` goes on in a further file. Each is written under a private name and
 renamed when whole, so a task that runs twice, or is lost half way, leaves the same
-files. They are read back through Spark's binary source, from any store it reads.
+files. They are written through pyarrow, to the stores whose addresses it knows (file,
+hdfs, s3, gs; not s3a), and read back through Spark's binary source.
 Texts are encoded where they lie; only their ids are dealt out by document id, as
 16-bit numbers where they fit.
 
@@ -19,7 +20,7 @@ then for each level its length (unsigned 64-bit), its bytes, and below the last
 its bitmap in bytes and its rank directory (unsigned 64-bit).
 
 Defined results: a null or empty text is its end id alone; null document ids come
-first; repeated ids are ordered by text; an empty table gives no files and no rows.
+first; repeated ids are ordered by a hash of their texts; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
