@@ -348,7 +348,7 @@ def pair_counts(made: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs``."""
-    made = durable(grouped(docs))
+    made = durable(grouped(docs), rows=1)  # a reader takes a whole row group's arrays at once
     counts = durable(pair_counts(made))
     counts = F.broadcast(counts) if counts.count() <= SMALL_PAIRS else counts
     sums = links(made).join(counts, "link").groupBy("batch", "place").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
