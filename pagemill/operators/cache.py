@@ -55,8 +55,11 @@ def profile_key(scope: Column, scheme: Column, host: Column, prefix: str = "sess
 
 def clipped(value: Column, most: int = MAX_VALUE) -> Column:
     """At most ``most`` bytes of UTF-8; a cut character reads as the replacement character."""
-    data = F.encode(value, "UTF-8")
-    return F.when(F.octet_length(value) <= most, value).otherwise(F.make_valid_utf8(F.substring(data, 1, most).cast("string")))
+    data = value.cast("binary")
+    cut = F.substring(data, 1, most).cast("string")
+    # the next byte says whether a character is cut; only then are the bytes looked at
+    inside = F.substring(data, most + 1, 1).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    return F.when(F.octet_length(value) <= most, value).when(inside, F.make_valid_utf8(cut)).otherwise(cut)
 
 
 def snapshot(profiles: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return configured(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over spark.sql.shuffle.partitions tasks, whatever its bytes: for little data that each row makes much of."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
     spark = df.sparkSession

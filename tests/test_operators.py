@@ -290,3 +290,10 @@ def test_convert_takes_any_columns(spark):
     rules = spark.createDataFrame([("a.org", [".ad"])], "domain string, remove_selectors array<string>")
     (row,) = convert.convert(pages, rules=rules).collect()
     assert row.error_code is None and "Some words" in row.content
+
+
+def test_session_snapshots_use_every_core(spark, sf):
+    made = QUERIES["session_snapshots"](spark, sf)  # one small file, much to do for each row
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    cut = lambda text, most: spark.createDataFrame([(text,)], "t string").select(cache.clipped(F.col("t"), most)).first()[0]
+    assert [cut("aé€😀z", n) for n in range(1, 12)] == ["a", "a�", "aé", "aé�", "aé�", "aé€", "aé€�", "aé€�", "aé€�", "aé€😀", "aé€😀z"]
