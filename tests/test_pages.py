@@ -156,3 +156,9 @@ def test_convert(spark):
 def test_ladder(spark):
     df = spark.createDataFrame([(None, "f", "j", None, "p", ""), (" ", "f", "j", None, "p", "jina"), ("c", "f", None, None, "p", "firecrawl")], "cached string, firecrawl string, jina string, cf string, page string, engine string")
     assert [(r.content, r.method) for r in convert.by_ladder(df).collect()] == [("p", "readability"), ("j", "jina"), ("c", "cached")]
+
+
+def test_json_ld_is_read_once(spark):
+    made = spark.createDataFrame([("",)], "html string").select(pages.json_ld_article(F.col("html")).alias("x"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1, plan.count("regexp_extract_all(")
