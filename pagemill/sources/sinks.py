@@ -30,11 +30,11 @@ def log_lines(rows: DataFrame, event: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit(event).alias("event"), *rows.columns)).alias("value"))
 
 
-def stored_images(images: DataFrame) -> DataFrame:
-    """(key, content_type, data) of images (url, content_type, data), one row a key."""
-    return one_each(images.select(privacy.image_key(F.col("url"), F.col("content_type")).alias("key"), "content_type", "data"), "key")
+def stored_images(images: DataFrame, *owner: str) -> DataFrame:
+    """(key, content_type, data) of images (url, content_type, data), one row a key; with columns ``owner``, of each owner one."""
+    return one_each(images.select(*owner, privacy.image_key(F.col("url"), F.col("content_type")).alias("key"), "content_type", "data"), *owner, "key")
 
 
-def images_by_key(requests: DataFrame, store: DataFrame) -> DataFrame:
-    """Requests (key) with their image; a missing type is PNG."""
-    return requests.join(store, "key", "left").withColumn("content_type", F.when(F.col("data").isNotNull(), F.coalesce("content_type", F.lit("image/png"))))
+def images_by_key(requests: DataFrame, store: DataFrame, *owner: str) -> DataFrame:
+    """Requests (key[, *owner]) with their image; a missing type is PNG."""
+    return requests.join(store, [*owner, "key"], "left").withColumn("content_type", F.when(F.col("data").isNotNull(), F.coalesce("content_type", F.lit("image/png"))))

@@ -13,6 +13,6 @@ def check(spark, folder, name, rows):
     compare(spark, str(folder), QUERIES[name], ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["archive_copies"])
+@pytest.mark.parametrize("name", ["archive_copies", "image_store"])
 def test_pages_of_one_address(spark, tmp_path, name):
     check(spark, tmp_path, name, [(i, f"https://a.org/{i // 20}", "x" * i) for i in range(60)])
