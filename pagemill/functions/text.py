@@ -85,9 +85,8 @@ def clamp_lines(text: Column, most: int = MAX_CHARS, line: int = MAX_LINE) -> Co
 
 
 def stripped_text(markdown: Column) -> Column:
-    """Rendered Markdown as plain text, from a clamped input; blank stays empty."""
-    bounded = clamp_lines(markdown)
-    return F.when(strip(bounded) == "", "").otherwise(replace_all(bounded, STRIP_STEPS))
+    """Rendered Markdown as plain text, whole; blank stays empty."""
+    return F.when(strip(markdown) == "", "").otherwise(replace_all(markdown, STRIP_STEPS))
 
 
 def snippet(markdown: Column, most: int = 160) -> Column:
