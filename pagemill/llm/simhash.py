@@ -304,12 +304,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _fingerprint_links(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): links between names of texts that connect those of all groups of ``near_duplicates``."""
+    named = docs.select(alike.node("text").alias("doc_id"), "text")
+    marked = durable(fingerprints(named))  # texts of the same words have one name and one fingerprint
+    of = durable(gathered(marked.distinct(), marked.count()))
+    rows = of.count()
+    roots = components(links(of.select("f0").distinct(), radius, exact_tables(radius)))
+    found = of.join(roots, F.col("f0") == F.col("node"), "left").select(F.col("doc_id").alias("a"), F.coalesce("root", "f0").alias("root"))
+    grouped = durable(gathered(found, rows))
+    least = durable(gathered(grouped.groupBy("root").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most"), rows))
+    return durable(gathered(grouped.join(least.select("root", "b"), "root").where("a <> b").select("a", "b"), rows))
+
+
 def _similar(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, node, root): the words' name and the group of every row."""
     marked = durable(alike.named(texts(docs)))
     sizes = durable(marked.groupBy("node").agg(F.max("size").alias("size")))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    roots = components(alike.candidates(texts(docs), total, width))
+    near = _fingerprint_links(texts(docs))
+    roots = components(near.unionByName(alike.candidates(texts(docs), total, width)))
     roots = components(alike.verified(texts(docs), roots, sizes, _among, width))
     of = durable(sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     # both sides are plain scans: AQE splits the partition of a text that most rows share
@@ -319,10 +333,10 @@ def _similar(docs: DataFrame, width: int = 5) -> DataFrame:
 def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, component_id): groups of texts 0.8 alike or more in ``width``-word shingles.
 
-    A fingerprint's distance only estimates likeness, so here candidates come from a
-    prefix filter that misses no pair and every link is verified by exact Jaccard
-    index; texts of the same words are one. ``component_id`` is the least document id
-    of all that are reachable.
+    Candidates are the groups of near fingerprints. A fingerprint's distance only
+    estimates likeness, so a prefix filter adds what they miss and every link is
+    verified by exact Jaccard index; texts of the same words are one. ``component_id``
+    is the least document id of all that are reachable.
     """
     found = durable(_similar(docs, width))
     least = durable(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))

@@ -162,3 +162,16 @@ def test_keep_one_whatever_the_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.keep_one(df).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[3]), (0, rows[-1][1])])
+
+
+def test_fingerprints_find_near_copies_by_themselves(spark, monkeypatch):
+    """Without the pairs that the prefix filter adds, near fingerprints are still candidates; links are verified all the same."""
+    rng = np.random.default_rng(17)
+    base = [[f"w{x}" for x in rng.integers(0, 1 << 40, 2000)] for _ in range(4)]
+    near = [edited(w, 1, "c") for w in base[:3]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base + near)] + [(20, "one two"), (21, "")]
+    bits = [int(simhash.fingerprint(t.encode())[0]) for _, t in rows]
+    assert all((bits[i] ^ bits[4 + i]).bit_count() <= 4 for i in range(3))
+    monkeypatch.setattr(simhash.alike, "candidates", lambda docs, size, width: spark.createDataFrame([], "a long, b long"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 1, 2, 3, 20, 21]
