@@ -2,36 +2,39 @@
 
 A worker encodes space+text with a byte-level vocabulary (A) and a piece vocabulary
 (B). Both always break before a single space between words, so it encodes the distinct
-words of a batch of documents only and gives back, a row a batch, their ids and end
-offsets, and each document as a list of words. All else is Spark's own functions:
-``array_intersect`` of the two end arrays gives the ends of a word's groups, a merge
-of each end array with them gives the last token of every group, ``sequence`` and
-``transform`` build groups and links (every A token of a group with every B token of
-it), ``aggregate`` and ``transform`` put documents together from their words. An id
-pair's count is the number of documents that hold it linked: distinct links of a document are
-made in its own row by ``array_distinct`` and added up in each task before they are
-exchanged. Links meet the counts by broadcast up to ``SMALL_PAIRS`` counted pairs, by
-shuffle beyond, and are summed per document.
+words of ``SHELF_BYTES`` of text only, cuts them into groups by their common token ends,
+in one pass of numpy over all words, and puts each document together from its words: a
+row with its numbers, its digest and every id pair that it holds linked, once, with how
+often. All else is Spark's: a pair's count is the number of rows that hold it, added up in each
+task before they are exchanged, the highest of an A id is joined to it, and the pairs of
+all documents meet the counts by broadcast up to ``SMALL_PAIRS`` counted pairs, by shuffle
+beyond, and are summed per document.
+
+Simple words (ASCII signs and Latin letters) get their A ids from tiktoken, with ranks
+read from the vocabulary's own file, all others from the tokenizers library; where that
+file's merges are no ranks, all do.
 
 Defined results: a null or empty text, and one whose A or B tokens do not spell
 space+text byte for byte, has no tokens: zeros and an empty digest; every row is a
 document, so repeated rows count as often as they occur; null ids are ids like others;
 an empty table gives no rows; other columns are ignored, whatever their names. Texts
-are read whole; a batch is about ``TEXT_BYTES`` of text, or one longer text.
+are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
-from collections.abc import Callable
-from itertools import pairwise
+from collections import defaultdict
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import durable, only, texts
 from .tokens import BYTE, vocabulary
@@ -39,13 +42,17 @@ from .tokens import BYTE, vocabulary
 PIECE = "piece_bpe_32k.model"
 #: Id pairs that are sent to every executor, at some 50 bytes each; more are joined by a shuffle.
 SMALL_PAIRS = 1 << 20
-#: Bytes of text in a row of documents, about; a longer text has a row of its own.
-TEXT_BYTES = 1 << 20
-_INTS = T.ArrayType(T.IntegerType(), False)
-SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
-_WORD = T.StructType([T.StructField(n, _INTS, False) for n in SIDES])
-_DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_a", T.LongType(), False), T.StructField("n_b", T.LongType(), False), T.StructField("words", _INTS, False)])
-BATCH = T.StructType([T.StructField("words", T.ArrayType(_WORD, False), False), T.StructField("docs", T.ArrayType(_DOC, False), False)])
+#: Bytes of text whose distinct words are encoded together, about.
+SHELF_BYTES = 4 << 20
+#: Tokens of the words that are cut into groups at a time, or those of one word.
+WORD_TOKENS = 1 << 19
+#: Links, repeats included, of the documents that are put together at a time, or those of one document.
+ROW_LINKS = 1 << 19
+#: Words in a call of a library.
+CALL_WORDS = 4096
+#: Bytes of a scratch file's dictionary: its pairs are written as places there, in some 2 bytes.
+PAIR_BYTES = 4 << 20
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<long>, times array<int>"
 
 
 def _byte_tokens(path: str) -> list[bytes]:
@@ -59,6 +66,18 @@ def _byte_tokens(path: str) -> list[bytes]:
     return [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for _, t in entries]
 
 
+def _ranks(path: str, tokens: list[bytes]) -> dict[bytes, int] | None:
+    """Ids by bytes, if the vocabulary file's merges go by the ids that they make and its words are those of ``public_tokenizers.PATTERN``; else None."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, own = spec["model"], {t["id"] for t in spec["added_tokens"]}
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    split = spec["pre_tokenizer"] or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec["normalizer"] and not model.get("ignore_merges")
+    ranked = made == sorted(made) and len({*made}) == len(made) == len(model["vocab"]) - 256
+    return {t: i for i, t in enumerate(tokens) if i not in own} if plain and ranked and len(tokens) == len(model["vocab"]) + len(own - {*model["vocab"].values()}) else None
+
+
 class _Side:
     """One vocabulary: ids of many words at a time, and where their tokens end."""
 
@@ -66,24 +85,37 @@ class _Side:
         self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.at = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.spaced = np.array([t[:1] == b" " for t in tokens])
 
     def whole(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word by itself."""
+        """Ids of each word, with a space before it, by itself."""
         raise NotImplementedError
 
-    def lines(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words that hold no white space but the space they begin with, by one call for many."""
+    def joined(self, words: list[bytes]) -> np.ndarray:
+        """Ids of simple words, with a space before each, in a row."""
         raise NotImplementedError
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(how many ids each word has, all ids, how many bytes each id has)."""
-        simple = [_SIMPLE(w) is not None for w in words]
-        easy = iter(self.lines([w for w, ok in zip(words, simple, strict=True) if ok]))
-        hard = iter(self.whole([w for w, ok in zip(words, simple, strict=True) if not ok]))
-        ids = [np.asarray(next(easy if ok else hard), np.int32) for ok in simple]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        every = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        return n, every, self.size[every]
+    def __call__(self, words: list[bytes], simple: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many ids each word has, all ids, how many bytes each id has); the first ``simple`` words are simple."""
+        n, every = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for at in range(0, simple, CALL_WORDS):
+            own = words[at : min(at + CALL_WORDS, simple)]
+            ids = self.joined(own)
+            marks = np.flatnonzero(self.spaced[ids])
+            if len(marks) == len(own):  # cut before the ids that begin with a space
+                n.append(np.diff(marks, append=len(ids)))
+                every.append(ids)
+            else:
+                self._add(self.whole(own), n, every)
+        if simple < len(words):
+            self._add(self.whole(words[simple:]), n, every)
+        ids = np.concatenate(every)
+        return np.concatenate(n), ids, self.size[ids]
+
+    @staticmethod
+    def _add(found: list[list[int]], n: list[np.ndarray], every: list[np.ndarray]) -> None:
+        n.append(np.fromiter(map(len, found), np.int64, len(found)))
+        every.append(np.fromiter(chain.from_iterable(found), np.int32))
 
     def spells(self, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, step: int = 1 << 18) -> np.ndarray:
         """Of each byte of ``text``, whether the tokens, laid over it in a row, have the same; they are as long."""
@@ -95,7 +127,8 @@ class _Side:
         return np.concatenate(out) if out else np.empty(0, bool)
 
 
-_SIMPLE = re.compile(rb" [^\x00-\x20\x7f]+").fullmatch
+#: A word of ASCII signs and Latin letters (U+00C0 to U+024F).
+_SIMPLE = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+").fullmatch
 #: Lead bytes of white space beyond ASCII, as in U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000, and U+2581, which stands for a space.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xe2\x96\x81").search
 
@@ -106,23 +139,24 @@ class _Bytes(_Side):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(_byte_tokens(path))
+        super().__init__(tokens := _byte_tokens(path))
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.newline = self.library.token_to_id("Ċ")
+        self.fast = None
+        if ranks := _ranks(path, tokens):
+            import public_tokenizers
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast([" " + w.decode() for w in words], add_special_tokens=False)]
 
-    def lines(self, words: list[bytes]) -> list[np.ndarray]:
-        """As lines of one text, cut at the newlines, which no word joins."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(words), 4096):
-            text = b"\n".join([*words[at : at + 4096], b""]).decode()
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            marks = np.flatnonzero(ids == self.newline).tolist()
-            out += [ids[a + 1 : b] for a, b in pairwise([-1, *marks])]
-        return out
+    def joined(self, words: list[bytes]) -> np.ndarray:
+        text = (b" " + b" ".join(words)).decode()
+        if self.fast:
+            return self.fast.encode_to_numpy(text).astype(np.int32)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
 
 class _Pieces(_Side):
@@ -136,27 +170,17 @@ class _Pieces(_Side):
 
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
         every = ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))
-        tokens = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace("▁", " ").encode() for i, t in every]
-        super().__init__(tokens)
-        self.spaced = np.array([t[:1] == b" " for t in tokens])
+        super().__init__([bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace("▁", " ").encode() for i, t in every])
 
     def whole(self, words: list[bytes]) -> list[list[int]]:
         """A last space is kept by a newline after it, whose id goes again."""
-        found = self.library.encode([w[1:].decode() + "\n" for w in words], num_threads=1)
+        found = self.library.encode([w.decode() + "\n" for w in words], num_threads=1)
         return [ids[:-1] for ids in found]
 
-    def lines(self, words: list[bytes]) -> list[np.ndarray]:
-        """As words of one text, cut before the ids that begin with a space."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(words), 4096):
-            own = words[at : at + 4096]
-            ids = np.array(self.library.encode(b"".join(own)[1:].decode(), num_threads=1), np.int32)
-            marks = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(marks) == len(own):
-                out += [ids[a:b] for a, b in pairwise([*marks, len(ids)])]
-            else:  # a word holds the sign that stands for a space
-                out += [np.asarray(x, np.int32) for x in self.whole(own)]
-        return out
+    def joined(self, words: list[bytes], step: int = 16) -> np.ndarray:
+        """A few words a text, as the time of one grows faster than its length."""
+        own = [b" ".join(words[k : k + step]).decode() for k in range(0, len(words), step)]
+        return np.fromiter(chain.from_iterable(self.library.encode(own, num_threads=1)), np.int32)
 
 
 def _cuts(text: bytes) -> np.ndarray:
@@ -167,6 +191,15 @@ def _cuts(text: bytes) -> np.ndarray:
     return np.r_[0, at[solid[at - 1] & solid[at + 1]]]
 
 
+def _words(text: bytes) -> list[bytes]:
+    """The words of space+text, each without the space that it begins with."""
+    spelt = b" " + text
+    cut = _cuts(spelt)
+    if len(cut) - 1 == text.count(b" "):
+        return text.split(b" ")
+    return [spelt[x + 1 : y] for x, y in pairwise([*cut.tolist(), len(spelt)])]
+
+
 class Pair:
     """Both vocabularies of a worker."""
 
@@ -175,19 +208,19 @@ class Pair:
 
     def __call__(self, texts: list[bytes]) -> tuple[list[tuple[np.ndarray, ...]], list[np.ndarray]]:
         """Of the distinct words (how many ids, ids, ends) of each side, and each text's words by number; none where it has no tokens."""
-        number: dict[bytes, int] = {}
-        docs = []
-        for t in texts:
-            spelt = b" " + t
-            cut = [*_cuts(spelt).tolist(), len(spelt)] if t else []
-            words = [spelt[x:y] for x, y in pairwise(cut)]
-            docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-        words = list(number)
-        joined = np.frombuffer(b"".join(words), np.uint8)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        docs = [np.fromiter(map(number.__getitem__, _words(t) if t else []), np.int32) for t in texts]
+        simple = np.fromiter((_SIMPLE(w) is not None for w in number), bool, len(number))
+        order = np.argsort(~simple, kind="stable")  # simple ones first
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        docs, words = [place[d] for d in docs], list(number)
+        words = [words[i] for i in order.tolist()]
+        joined = np.frombuffer(b"".join([b" " + w for w in words]), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         sides, good = [], np.ones(len(words), bool)
         for side in (self.a, self.b):
-            n, ids, sizes = side(words)
+            n, ids, sizes = side(words, int(simple.sum()))
             first, upto = np.cumsum(n) - n, np.r_[0, np.cumsum(sizes)]
             good &= upto[first + n] - upto[first] == lengths
             begin = np.repeat(upto[first], n)
@@ -204,143 +237,112 @@ class Pair:
         return made, [d if good[d].all() else d[:0] for d in docs]
 
 
-def _lists(n: np.ndarray, values: np.ndarray) -> pa.Array:
-    offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
-
-
-def _one(rows: pa.StructArray) -> pa.Array:
-    """All rows as one list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows, type=pa.list_(pa.field("element", rows.type, nullable=False)))
-
-
-def token_ends(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """A row a batch of documents: ``words``, the distinct ones with ids and end offsets of both sides; ``docs``, with their
-    numbers of tokens and their words by number, none where a text has no tokens."""
+def _lists(n: np.ndarray, values: np.ndarray | pa.Array) -> pa.Array:
+    """Lists of so many values each."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(values))
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of so many members each: every member's list, and its place there."""
+    return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _portions(weights: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Cuts of a row of weights into stretches of about ``most`` together, or one heavier member."""
+    upto = np.cumsum(weights)
+    return list(pairwise([0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(weights)]))
+
+
+def _grouped(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some words: the text of each one's groups, their number, the number of its links; and all links, as places in their distinct codes."""
+    n, ids = [s[0] for s in (a, b)], [s[1] for s in (a, b)]
+    length = np.zeros(len(n[0]), np.int64)
+    length[n[0] > 0] = a[2][(np.cumsum(n[0]) - 1)[n[0] > 0]]
+    base = np.cumsum(length) - length
+    ends = [s[2] + np.repeat(base, s[0]) for s in (a, b)]  # of all words in a row; both agree at a word's end
+    met = np.searchsorted(ends[1], ends[0])
+    common = np.flatnonzero(ends[1][met] == ends[0])
+    last = [common, met[common]]
+    size = [np.diff(x, prepend=-1) for x in last]
+    a_text, b_text = (pc.binary_join(_lists(k, pa.array(i).cast(pa.string())), ",") for k, i in zip(size, ids, strict=True))
+    own = np.bincount(np.repeat(np.arange(len(n[0])), n[0])[common], minlength=len(n[0]))
+    text = pc.binary_join(_lists(own, pc.binary_join_element_wise(a_text, b_text, "|")), ";").cast(pa.binary()).to_pylist()
+    linked = size[0] * size[1]
+    group, place = _spread(linked)
+    first = [x - k + 1 for x, k in zip(last, size, strict=True)]
+    a_ids = ids[0][first[0][group] + place // size[1][group]].astype(np.int64)
+    codes, link = np.unique(a_ids << 32 | ids[1][first[1][group] + place % size[1][group]], return_inverse=True)
+    upto, groups = np.r_[0, np.cumsum(linked)], np.r_[0, np.cumsum(own)]
+    return text, own, np.diff(upto[groups]), codes, link.astype(np.int32)
+
+
+class Groups:
+    """The groups of each word: ``text`` (``a1,a2|b1;a3|b2,b3``), ``n``, and its links, every A token of a group with every B
+    token of it: ``n_links``, from ``at`` on, as places ``link`` in ``codes``, which are the A id times 2^32 plus the B id."""
+
+    def __init__(self, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]):
+        upto = [np.r_[0, np.cumsum(s[0])] for s in (a, b)]
+        some = lambda x, y: ((s[0][x:y], *(v[u[x] : u[y]] for v in s[1:])) for s, u in zip((a, b), upto, strict=True))
+        text, n, n_links, codes, link = zip(*(_grouped(*some(x, y)) for x, y in _portions(a[0] + b[0], WORD_TOKENS)), strict=True)
+        self.text, self.n, self.n_links = list(chain.from_iterable(text)), np.concatenate(n), np.concatenate(n_links)
+        self.codes = np.unique(np.concatenate(codes))
+        self.link = np.concatenate([np.searchsorted(self.codes, c).astype(np.int32)[i] for c, i in zip(codes, link, strict=True)])
+        self.at = np.cumsum(self.n_links) - self.n_links
+
+
+def _rows(sides: list[tuple[np.ndarray, ...]], groups: Groups, ids: pa.Array, docs: list[np.ndarray]) -> pa.RecordBatch:
+    """A row of ALIGNED for each document."""
+    words = np.concatenate(docs)
+    doc, _ = _spread(np.fromiter(map(len, docs), np.int64, len(docs)))
+    counts = [np.bincount(doc, n[words], len(docs)).astype(np.int64) for n in (*(s[0] for s in sides), groups.n, groups.n_links)]
+    word, place = _spread(groups.n_links[words])
+    keys = np.sort(doc[word] * len(groups.codes) + groups.link[groups.at[words][word] + place])
+    start = np.flatnonzero(np.diff(keys, prepend=-1))
+    owner, link = np.divmod(keys[start], max(1, len(groups.codes)))
+    held = np.bincount(owner, minlength=len(docs))
+    text = groups.text.__getitem__
+    digests = [hashlib.sha256(b";".join(map(text, d.tolist()))).hexdigest() if len(d) else "" for d in docs]
+    times = np.diff(start, append=len(keys)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([ids, *map(pa.array, counts), pa.array(digests, pa.string()), _lists(held, groups.codes[link]), _lists(held, times)], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "times"])
+
+
+def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    """ALIGNED, with ``row``, a number: a row a document; ``links``, the id pairs that it holds linked, ascending, each as the A id times 2^32 plus the B id, and ``times``, how often."""
     a_path, b_path = a_path or vocabulary(BYTE), b_path or vocabulary(PIECE)
 
+    def shelves(batches):
+        """(ids, texts) of about SHELF_BYTES each."""
+        ids, every, size = [], [], 0
+        for batch in batches:
+            own = batch.column(1).cast(pa.binary()).to_pylist()
+            weights = np.fromiter(map(len, own), np.int64, len(own)) + 100  # a text without words takes room too
+            for x, y in _portions(weights, SHELF_BYTES):
+                ids.append(batch.column(0).slice(x, y - x))
+                every += own[x:y]
+                size += int(weights[x:y].sum())
+                if size >= SHELF_BYTES:
+                    yield pa.concat_arrays(ids), every
+                    ids, every, size = [], [], 0
+        if every:
+            yield pa.concat_arrays(ids), every
+
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pair = only(("pair", a_path, b_path), lambda: Pair(a_path, b_path))
-        for batch in batches:
-            every = batch.column(1).cast(pa.binary()).to_pylist()
-            upto = np.cumsum(np.fromiter(map(len, every), np.int64, len(every)))
-            cut = [0, *(np.flatnonzero(np.diff(upto // TEXT_BYTES)) + 1).tolist(), len(every)]
-            for x, y in pairwise(cut):
-                yield row(pair, batch.column(0).slice(x, y - x), every[x:y])
-
-    def row(pair: Pair, ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-        sides, own = pair(texts)
-        arrays = [_lists(n, values) for n, ids, ends in sides for values in (ids, ends)]
-        words = pa.StructArray.from_arrays(arrays, fields=[pa.field(c, x.type, nullable=False) for c, x in zip(SIDES, arrays, strict=True)])
-        n = np.fromiter(map(len, own), np.int64, len(own))
-        every = np.concatenate(own) if own else np.empty(0, np.int32)
-        doc = np.repeat(np.arange(len(own)), n)
-        counts = [pa.array(np.bincount(doc, s[0][every], len(own)).astype(np.int64)) for s in sides]
-        columns = [ids, *counts, _lists(n, every)]
-        made = pa.StructArray.from_arrays(columns, fields=[pa.field("doc_id", pa.int64()), *(pa.field(c, pa.int64(), nullable=False) for c in ("n_a", "n_b")), pa.field("words", columns[3].type, nullable=False)])
-        return pa.RecordBatch.from_arrays([_one(words), _one(made)], names=["words", "docs"])
-
-    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BATCH)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it stands there."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _last_tokens(ends: Column, common: Column) -> Column:
-    """Of each common end, how many tokens end there or before; 0 comes first.
-
-    In ``ends`` and ``common`` merged, the k-th common end stands twice in a row, after
-    the tokens up to it and the k common ends before it.
-    """
-
-    def places(merged: Column) -> Column:
-        twice = F.filter(F.sequence(F.lit(1), F.size(merged) - 1), lambda j: merged[j] == merged[j - 1])
-        return F.concat(F.array(F.lit(0)), F.transform(twice, lambda j, k: j - k))
-
-    return let(F.sort_array(F.concat(ends, common)), places)
-
-
-def _sides(w: Column) -> Column:
-    """The groups of one word: an array of the A ids and B ids of each."""
-
-    def cut(c: Column) -> Column:
-        side = lambda s, k: F.slice(w[f"{s}_ids"], c[s][k - 1] + 1, c[s][k] - c[s][k - 1]).alias(s)
-        return F.transform(F.sequence(F.lit(1), F.size(c["a"]) - 1), lambda k: F.struct(side("a", k), side("b", k)))
-
-    return let(F.array_intersect(w["a_ends"], w["b_ends"]), lambda common: let(F.struct(*(_last_tokens(w[f"{s}_ends"], common).alias(s) for s in "ab")), cut))
-
-
-def _listed(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
-
-
-def _word(w: Column) -> Column:
-    """struct(text, n, a, b): a word's groups as ``a1,a2|b1;a3|b2,b3``, their number, and the two sides of its links.
-
-    Where both sides end alike, which is the most common, the groups are the pairs of tokens.
-    """
-    plain = F.struct(
-        F.array_join(F.zip_with(w["a_ids"], w["b_ids"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";").alias("text"),
-        F.size(w["a_ids"]).alias("n"),
-        w["a_ids"].alias("a"),
-        w["b_ids"].alias("b"),
-    )
-
-    def linked(g: Column) -> Column:
-        """Each A token of a group with each B token."""
-        side = lambda own, other, take: F.flatten(F.transform(own, lambda x: F.transform(other, lambda y: take(x, y))))
-        return F.struct(side(g["a"], g["b"], lambda x, _: x).alias("a"), side(g["a"], g["b"], lambda _, y: y).alias("b"))
-
-    def built(groups: Column) -> Column:
-        text = F.array_join(F.transform(groups, lambda g: F.concat(_listed(g["a"]), F.lit("|"), _listed(g["b"]))), ";")
-        pairs = F.transform(groups, linked)
-        return F.struct(text.alias("text"), F.size(groups).alias("n"), F.flatten(pairs["a"]).alias("a"), F.flatten(pairs["b"]).alias("b"))
-
-    return F.when(w["a_ends"] == w["b_ends"], plain).otherwise(let(_sides(w), built))
-
-
-def grouped(docs: DataFrame) -> DataFrame:
-    """A row a batch: ``batch``, its number; ``links``, the sides of every distinct word's links; and
-    ``docs``: doc_id, n_a, n_b, n_groups, groups_sha256 and words of each."""
-
-    def of(d: Column, words: Column) -> Column:
-        text = F.array_join(F.transform(d["words"], lambda i: words[i]["text"]), ";")
-        digest = F.when(F.size(d["words"]) == 0, "").otherwise(F.sha2(text, 256))
-        n = F.aggregate(d["words"], F.lit(0).cast("long"), lambda s, i: s + words[i]["n"])
-        return F.struct(d["doc_id"], d["n_a"], d["n_b"], n.alias("n_groups"), digest.alias("groups_sha256"), d["words"])
-
-    made = let(F.transform("words", _word), lambda words: F.struct(F.transform("docs", lambda d: of(d, words)).alias("docs"), F.transform(words, lambda w: F.struct(w["a"], w["b"])).alias("links")))
-    return token_ends(docs).select(F.monotonically_increasing_id().alias("batch"), made.alias("made")).select("batch", "made.docs", "made.links")
-
-
-def _pair(a: Column, b: Column) -> Column:
-    """A link as one number: the A id times 2^32 plus the B id."""
-    return F.shiftleft(a.cast("long"), 32) + b
-
-
-def distinct_links() -> Column:
-    """Of each document of a batch, every linked id pair once."""
-
-    def of(codes: Column) -> Column:
-        return F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["words"]), lambda i: codes[i]))))
-
-    return let(F.transform("links", lambda w: F.zip_with(w["a"], w["b"], _pair)), of)
-
+        for ids, own in shelves(batches):
+            sides, words = pair(own)
+            groups = Groups(*sides)
+            linked = np.fromiter((int(groups.n_links[w].sum()) for w in words), np.int64, len(words))
+            for x, y in _portions(linked, ROW_LINKS):
+                yield _rows(sides, groups, ids.slice(x, y - x), words[x:y])
 
-def links(made: DataFrame) -> DataFrame:
-    """(batch, place, link): every link of every document."""
-    each = made.select("batch", "links", F.posexplode("docs").alias("place", "d")).select("batch", "place", "links", F.explode("d.words").alias("i"))
-    sides = each.select("batch", "place", F.get("links", F.col("i")).alias("w")).select("batch", "place", F.explode(F.arrays_zip("w.a", "w.b")).alias("x"))
-    return sides.select("batch", "place", _pair(F.col("x.a"), F.col("x.b")).alias("link"))
+    rows = texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ALIGNED)
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
     """(link, n_docs, best): documents that hold each linked id pair, and whether that is the most of its A id."""
-    each = made.select(F.explode(distinct_links()).alias("own")).select(F.explode("own").alias("link"))
-    counts = durable(each.groupBy("link").agg(F.count("*").alias("n_docs")))
+    counts = durable(made.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("n_docs")))
     a_id = F.shiftright("link", 32)
     most = counts.groupBy(a_id.alias("a_id")).agg(F.max("n_docs").alias("most"))
     return counts.join(most, a_id == F.col("a_id")).select("link", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
@@ -348,10 +350,11 @@ def pair_counts(made: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs``."""
-    made = durable(grouped(docs), rows=1)  # a reader takes a whole row group's arrays at once
+    made = durable(aligned(docs), **{"parquet.dictionary.page.size": str(PAIR_BYTES)})
     counts = durable(pair_counts(made))
     counts = F.broadcast(counts) if counts.count() <= SMALL_PAIRS else counts
-    sums = links(made).join(counts, "link").groupBy("batch", "place").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
-    own = made.select("batch", F.posexplode("docs").alias("place", "d")).select("batch", "place", *(f"d.{c}" for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")))
-    zero = (F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_best", "count_sum"))
-    return own.join(sums, ["batch", "place"], "left").select("doc_id", "n_a", "n_b", "n_groups", *zero, "groups_sha256")
+    each = made.select("row", F.inline(F.arrays_zip("links", "times"))).withColumnRenamed("links", "link")
+    sums = each.join(counts, "link").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n_docs") * F.col("times")).alias("count_sum"))
+    own = made.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    zero = (F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum"))
+    return own.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")

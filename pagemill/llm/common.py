@@ -58,14 +58,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/pagemill/{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors.
-
-    ``rows``: of a row group at most, for rows so large that a reader should hold few.
-    """
+def durable(df: DataFrame, **options: str) -> DataFrame:
+    """Write to the shared folder, with the writer's ``options``, and read back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    write = df.write.option("parquet.block.size", str(GROUP_BYTES))
-    (write.option("parquet.block.row.count.limit", str(rows)) if rows else write).parquet(path)
+    df.write.options(**{"parquet.block.size": str(GROUP_BYTES)} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -111,3 +111,42 @@ def test_long_text_takes_time_in_proportion(spark):
     docs = spark.createDataFrame([(1, "thirty or so words that go on and on. " * 50_000)], "doc_id long, text string")
     (row,) = align.align(docs).select("n_a", "n_b", "n_groups", F.col("n_links") >= F.col("n_groups")).collect()
     assert row[0] > 400_000 and row[3]
+
+
+def test_simple_words_need_no_slow_library(libraries):
+    """Words of ASCII signs and Latin letters have the tokenizers library's ids without a call of it."""
+    a, b = libraries
+    r = random.Random(5)
+    signs = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x250)]]
+    own = [t.decode(errors="ignore").strip() for t in align._byte_tokens(vocabulary(BYTE))]
+    words = ["".join(r.choice(signs) for _ in range(r.randint(1, 20))) for _ in range(5000)] + ["".join(r.choice(own) for _ in range(r.randint(1, 5))) for _ in range(5000)]
+    words += [r.choice(signs) * r.randint(1, 200) for _ in range(500)]
+    words = [w for w in words if align._SIMPLE(w.encode())]
+    want = [i for e in a.encode_batch_fast([" " + w for w in words], add_special_tokens=False) for i in e.ids]
+    pair = align.Pair(vocabulary(BYTE), vocabulary(align.PIECE))
+    pair.a.library = None
+    assert pair.a([w.encode() for w in words], len(words))[1].tolist() == want
+    (sides, docs), text = pair([b"plain words, no other signs"]), "plain words, no other signs"
+    assert [i for w in docs[0].tolist() for i in sides[1][1][sides[1][0][:w].sum() :][: sides[1][0][w]].tolist()] == b.encode(text, num_threads=1)
+
+
+def test_no_lambda_is_interpreted_per_token(spark):
+    """Groups and links are made in bulk: Spark's part is joins and sums of whole columns."""
+    made = align.aligned(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
+    plans = [x._jdf.queryExecution().toString() for x in (made, made.groupBy("doc_id").count())]
+    assert not any("lambda" in p for p in plans)
+
+
+def test_portions_do_not_matter(libraries, monkeypatch):
+    """Words cut and documents put together a few at a time give the same as all at once."""
+    import pyarrow as pa
+
+    texts = [(t or "").encode() for _, t in ODD]
+    sides, docs = align.Pair(vocabulary(BYTE), vocabulary(align.PIECE))(texts)
+    ids = pa.array([i for i, _ in ODD], pa.int64())
+    whole = align._rows(sides, align.Groups(*sides), ids, docs).to_pylist()
+    monkeypatch.setattr(align, "WORD_TOKENS", 5)
+    groups = align.Groups(*sides)
+    linked = [int(groups.n_links[d].sum()) for d in docs]
+    parts = align._portions(linked, 7)
+    assert len(parts) > 3 and [r for x, y in parts for r in align._rows(sides, groups, ids.slice(x, y - x), docs[x:y]).to_pylist()] == whole
