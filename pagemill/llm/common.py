@@ -95,6 +95,11 @@ def release() -> None:
         return
     _held.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free in this worker to the system; the allocators keep tens of MB of it otherwise."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

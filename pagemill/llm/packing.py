@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, texts
+from .common import durable, release, texts, trim
 from .tokens import WORD, encoder, vocabulary
 
 LENGTH = 4096
@@ -93,13 +93,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _encoded(batches, path: str, length: int, end: int) -> Iterator[tuple[int, tuple]]:
-    encode, last = encoder(path), np.array([end], "<u4").tobytes()
+    encode, last = encoder(path, lean=True), np.array([end], "<u4").tobytes()
     for b in batches:
         for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
             ids += last
             for piece, at in enumerate(range(0, len(ids), 4 * length)):
                 part = ids[at : at + 4 * length]
                 yield len(part) // 4, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))
+        trim()
 
 
 def packed(docs: DataFrame, length: int = LENGTH, most: int = OPEN, path: str | None = None, end: int = 1, per_round: int = ROUND) -> DataFrame:
@@ -118,6 +119,7 @@ def packed(docs: DataFrame, length: int = LENGTH, most: int = OPEN, path: str |
         tasks = max(1, min(-(-n // per_round), tasks // 2))  # fewer each round, whatever the pieces are
 
         def again(batches, number=number, final=tasks == 1):
+            release()
             items = ((r["length"], tuple(r.values())[:5]) for b in batches for r in b.to_pylist())
             bins = pack(items, length, most)
             return _rows(((b, still_open and not final) for b, still_open in bins), number)

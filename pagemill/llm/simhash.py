@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import alike
-from .common import durable, gathered, texts
+from .common import durable, gathered, release, texts
 
 #: Fingerprints of one bucket that a task compares by itself; larger buckets are cut
 #: into tiles of about half as many, and pairs of tiles are spread over tasks.
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, width: int = 4, longs: int = 1) -> DataFrame:
     """(doc_id, f0, ...): one row per document, the fingerprint as signed longs."""
 
     def run(batches):
+        release()
         for b in batches:
             found = [fingerprint(t, width, longs) for t in b.column(1).cast(pa.binary()).to_pylist()]
             fps = np.array(found, np.uint64).reshape(-1, longs).view(np.int64)

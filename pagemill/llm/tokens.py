@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import compress, count
 from operator import not_
 
@@ -19,12 +20,16 @@ from .common import only
 
 #: Vocabulary files by kind; the folder is a parameter of the environment's package.
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: Bytes that a worker's dictionary of pieces may take; pieces beyond are encoded again in each batch.
+#: Bytes that a worker's dictionary of pieces may take; pieces beyond are encoded again in each portion of texts.
 CACHE_BYTES = 64 << 20
 #: What an entry takes besides its piece and ids.
 ENTRY_BYTES = 200
-#: Slots (of 23 bytes, and the ids) of the table of short pieces that is looked up for a whole batch at once.
+#: Slots (of 23 bytes, and the ids) of the table of short pieces that is looked up for many pieces at once.
 SLOTS_BITS = 22
+#: Bytes of texts that are encoded at a time, and pieces that are looked up at a time: each takes some 100 bytes meanwhile.
+PORTION_BYTES, PIECES = 1 << 20, 1 << 17
+#: Pieces that the library encodes in one call, which holds about 1 kB for each.
+ENCODED = 1024
 
 
 def vocabulary(name: str) -> str:
@@ -49,20 +54,19 @@ class _Short:
     lookup says so and the caller's dictionary answers.
     """
 
-    def __init__(self):
-        size = 1 << SLOTS_BITS
+    def __init__(self, bits: int):
+        self.bits, size = bits, 1 << bits
         self.a, self.b = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.length, self.n, self.at = np.zeros(size, np.uint8), np.zeros(size, np.uint16), np.zeros(size, np.uint32)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
-    @staticmethod
-    def keys(data: bytes, starts: np.ndarray, lengths: np.ndarray):
+    def keys(self, data: bytes, starts: np.ndarray, lengths: np.ndarray):
         """(first word, second word, slot); ``data`` has 16 bytes to spare."""
         words = np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
         first = words[starts] & _MASK[np.minimum(lengths, 8)]
         second = words[starts + 8] & _MASK[np.clip(lengths - 8, 0, 8)]
         h = (first * np.uint64(0x9E3779B97F4A7C15) ^ second * np.uint64(0xC2B2AE3D27D4EB4F) ^ lengths.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        return first, second, (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
+        return first, second, (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, data: bytes, starts: np.ndarray, lengths: np.ndarray):
         """(found, slot) of each piece."""
@@ -95,9 +99,12 @@ class _Short:
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, as the tokenizer file ``path`` gives them."""
+    """Texts to little-endian unsigned 32-bit ids, as the tokenizer file ``path`` gives them.
+
+    ``lean``: with a quarter of the slots and less of a dictionary, where a worker's memory counts for more than its time.
+    """
 
-    def __init__(self, path: str, lower_words: bool):
+    def __init__(self, path: str, lower_words: bool, lean: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,8 +113,8 @@ class Encoder:
         #: The id of a newline, where the vocabulary has one that no word joins.
         self.newline = None if lower_words else self.library.token_to_id("Ċ")
         self.known: dict[bytes, bytes] = {}
-        self.room = CACHE_BYTES
-        self.short = _Short()
+        self.room = CACHE_BYTES * 3 // 4 if lean else CACHE_BYTES
+        self.short = _Short(SLOTS_BITS - 2 if lean else SLOTS_BITS)
         #: Pieces that may hold white space after their first character.
         self.odd: set[bytes] = {b"\n"}
 
@@ -165,8 +172,10 @@ class Encoder:
         new = list(need.difference(known))
         fresh = self._lines(new) if self.newline is not None else {}
         rest = [x for x in new if x not in fresh]
-        found = self.library.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
-        fresh |= {x: array("I", e.ids).tobytes() for x, e in zip(rest, found, strict=True)}
+        for at in range(0, len(rest), ENCODED):
+            part = rest[at : at + ENCODED]
+            found = self.library.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
+            fresh |= {x: array("I", e.ids).tobytes() for x, e in zip(part, found, strict=True)}
         for p, core in marked.items():
             mark = p[len(core) :]
             out[p] = (known.get(core) or fresh[core]) + (known.get(mark) or fresh[mark])
@@ -202,19 +211,26 @@ class Encoder:
 
     def _gathered(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, bytes]:
         """How many ids each piece of ``data`` has, and all of them in a row."""
+        data += bytes(24)
+        parts = [self._found(data, starts[at : at + PIECES], ends[at : at + PIECES]) for at in range(0, len(starts), PIECES)]
+        return np.concatenate([np.zeros(0, np.int64), *(n for n, _ in parts)]), b"".join(ids for _, ids in parts)
+
+    def _found(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """As ``_gathered``, of as many pieces as are looked up at a time."""
         lengths = ends - starts
-        found, slot = self.short.find(data + bytes(24), starts, lengths)
-        n, at = self.short.n[slot].astype(np.int64), self.short.at[slot].astype(np.int64)
-        pool = self.short.pool[: self.short.used]
+        found, slot = self.short.find(data, starts, lengths)
         rest = np.flatnonzero(~found)
-        if len(rest):
-            pieces = [data[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
-            ids = self._looked_up(pieces)
-            own = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            n[rest], at[rest] = own, len(pool) + np.cumsum(own) - own
-            pool = np.concatenate([pool, np.frombuffer(b"".join(ids), np.uint32)])
-        upto = np.cumsum(n)
-        return n, pool[np.repeat(at - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)].tobytes()
+        pieces = [data[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        own, n, at = self.short.n[slot[found]].astype(np.int64), np.empty(len(starts), np.int64), self.short.at[slot[found]].astype(np.int64)
+        upto = np.cumsum(own)
+        short = self.short.pool[np.repeat(at - (upto - own), own) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        if not pieces:
+            return own, short.tobytes()
+        ids = self._looked_up(pieces)
+        n[found], n[rest] = own, np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        out, of_short = np.empty(int(n.sum()), np.uint32), np.repeat(found, n)
+        out[of_short], out[~of_short] = short, np.frombuffer(b"".join(ids), np.uint32)
+        return n, out.tobytes()
 
     def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces by the dictionary; new ones are encoded and remembered while there is room."""
@@ -239,14 +255,29 @@ class Encoder:
                 self.room -= size
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        plain = [self._is_plain(t) for t in texts]
-        done = iter(self._plain(list(compress(texts, plain))))
-        out = [next(done) if ok else self._spaced(t) if t else b"" for t, ok in zip(texts, plain, strict=True)]
-        if len(self.odd) * ENTRY_BYTES > CACHE_BYTES:
-            self.odd = {b"\n"}
+        out: list[bytes] = []
+        for part in _portions(texts):
+            plain = [self._is_plain(t) for t in part]
+            done = iter(self._plain(list(compress(part, plain))))
+            out += [next(done) if ok else self._spaced(t) if t else b"" for t, ok in zip(part, plain, strict=True)]
+            if len(self.odd) * ENTRY_BYTES > CACHE_BYTES:
+                self.odd = {b"\n"}
         return out
 
 
-def encoder(path: str) -> Encoder:
+def _portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """``texts`` in runs of about PORTION_BYTES; a text is not parted."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= PORTION_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def encoder(path: str, lean: bool = False) -> Encoder:
     """A worker's encoder of a file."""
-    return only(("encoder", path), lambda: Encoder(path, os.path.basename(path) == WORD))
+    return only(("encoder", path, lean), lambda: Encoder(path, os.path.basename(path) == WORD, lean))

@@ -1,12 +1,15 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from pagemill.llm import packing
-from pagemill.llm.tokens import WORD, vocabulary
+from pagemill.llm.common import release
+from pagemill.llm.tokens import WORD, encoder, vocabulary
 
 
 def test_pack_is_best_fit_and_bounded():
@@ -58,3 +61,27 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (1, "", 2), (None, "a b", 3), (2, "word " * 9000, 4), (2, "word " * 9000, 4)], "doc_id long, text string, piece int")
     check(spark, df)
     assert packing.packed(df.limit(0)).collect() == []
+
+
+def test_a_worker_takes_little_memory():
+    """Tables of an encoder, and what a batch of 4 MB takes besides, in many texts and in one."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(30_000)]
+    docs = [" ".join(rng.choices(words, k=640)) for _ in range(1000)]
+    path = vocabulary(WORD)
+    release()
+    plain = Tokenizer.from_file(path)
+    want = sorted((i, k, at, len(x[at : at + 4096]), zlib.crc32(x[at : at + 4096].tobytes())) for i, t in enumerate(docs) for x in [np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4")] for k, at in enumerate(range(0, len(x), 4096)))
+    for texts in (docs, [" ".join(docs)]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+        release()
+        tracemalloc.start()
+        rows = sorted(item for _, item in packing._encoded([batch], path, 4096, 1))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 110e6
+        if len(texts) > 1:
+            assert rows == want
+        else:  # joined by spaces, the texts' words have the same ids
+            assert sum(r[3] for r in rows) == sum(r[3] for r in want) - len(docs) + 1
+    assert encoder(path, lean=True).short.a.nbytes <= 8 << 20
